@@ -47,3 +47,15 @@ def directional_loss(y, p) -> Column:
     y, p = _as_col(y), _as_col(p)
     agree = F.when(F.signum(y) == F.signum(p), F.lit(1.0)).otherwise(F.lit(0.0))
     return F.avg(F.pow(y - p, 2)) * F.lit(2.0) / (F.lit(1.0) + F.avg(agree))
+
+
+def round_half_even(c, digits: int = 0) -> Column:
+    """Half-to-even rounding of the binary value scaled by 10^digits
+    (``rint(x·10ⁿ)/10ⁿ``, NumPy's rule). ``bround`` instead rounds the
+    shortest decimal text, which differs when that text ends in a 5 the
+    binary value does not reach."""
+    c = _as_col(c)
+    if digits == 0:
+        return F.rint(c)
+    f = float(10 ** digits)
+    return F.rint(c * F.lit(f)) / F.lit(f)

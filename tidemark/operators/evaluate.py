@@ -14,16 +14,17 @@ from tidemark.functions.numeric import (
 PERIODS = ["train", "validation"]
 
 
-def eval_rows(labels: DataFrame, preds: DataFrame, eval_boundary,
+def eval_rows(labels: DataFrame, preds: DataFrame | None, eval_boundary,
               keys: Iterable[str] = ()) -> DataFrame:
     """Labels ⟕ predictions on (keys, ssd, days_ahead), keep rows with both a
     prediction and a label, then actual/predicted price, APE, sign agreement
     and the period. (The left join followed by the not-null filter is planned
-    as an inner join.)"""
+    as an inner join.) With ``preds=None`` the labels already carry a
+    ``prediction`` column (fused plan, no join)."""
     keys = list(keys)
     on = keys + ["ssd", "days_ahead"]
-    p = preds.select(*on, "prediction")
-    j = labels.join(p, on, "left").where(F.col("prediction").isNotNull() & F.col("y").isNotNull())
+    j = labels if preds is None else labels.join(preds.select(*on, "prediction"), on, "left")
+    j = j.where(F.col("prediction").isNotNull() & F.col("y").isNotNull())
     return (j.withColumn("actual_price", price_from_return("current_spot_price", "y"))
              .withColumn("predicted_price", price_from_return("current_spot_price", "prediction"))
              .withColumn("ape", ape("predicted_price", "actual_price"))

@@ -16,11 +16,9 @@ from tidemark.functions.numeric import safe_div
 from tidemark.operators._common import series_window, trailing
 
 
-def baseline_predictions(spot: DataFrame, horizon: int = 5, lag: int = 10,
-                         keys: Iterable[str] = (), price: str = "price",
-                         kind: str = "mean_reversion") -> DataFrame:
-    """Long predictions ``(keys…, ssd, days_ahead, prediction)``; the same
-    return is forecast for every horizon."""
+def with_baseline(spot: DataFrame, lag: int = 10, keys: Iterable[str] = (),
+                  price: str = "price", kind: str = "mean_reversion") -> DataFrame:
+    """Adds ``prediction`` (NULL until a full window of ``lag`` rows)."""
     keys = list(keys)
     w = trailing(keys, lag)
     n = F.count(F.lit(1)).over(w)
@@ -30,7 +28,16 @@ def baseline_predictions(spot: DataFrame, horizon: int = 5, lag: int = 10,
         pred = safe_div(F.col(price), F.lag(price, lag - 1).over(series_window(keys))) - F.lit(1.0)
     else:
         raise ValueError(f"unknown baseline {kind!r}")
-    return (spot.select(*keys, "ssd", F.when(n == lag, pred).alias("prediction"))
+    return spot.withColumn("prediction", F.when(n == lag, pred))
+
+
+def baseline_predictions(spot: DataFrame, horizon: int = 5, lag: int = 10,
+                         keys: Iterable[str] = (), price: str = "price",
+                         kind: str = "mean_reversion") -> DataFrame:
+    """Long predictions ``(keys…, ssd, days_ahead, prediction)``; the same
+    return is forecast for every horizon."""
+    keys = list(keys)
+    return (with_baseline(spot, lag, keys, price, kind)
             .where(F.col("prediction").isNotNull())
             .select(*keys, "ssd", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("days_ahead"),
                     "prediction"))

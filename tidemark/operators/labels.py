@@ -12,24 +12,27 @@ from tidemark.operators._common import series_window
 
 
 def future_returns(spot: DataFrame, horizon: int = 5, keys: Iterable[str] = (),
-                   price: str = "price") -> DataFrame:
+                   price: str = "price", carry: Iterable[str] = ()) -> DataFrame:
     """``(keys…, ssd, current_spot_price, predicted_for, days_ahead, y)``.
 
     Horizon *d* looks *d* observed rows ahead (the next observed dates, not
     calendar days). Every date gets H rows; those without a future keep a
     NULL ``predicted_for`` and ``y``. All H ``lead``s share one window (one
-    sort) and one ``explode`` replaces H copies + a union.
+    sort) and one ``explode`` replaces H copies + a union. ``carry`` columns
+    (e.g. a per-date prediction from the same window) ride along, so a
+    backtest needs no join back to the labels.
     """
     keys = list(keys)
+    carry = list(carry)
     w = series_window(keys)
     per_h = [F.struct(F.lit(d).alias("days_ahead"),
                       F.lead("ssd", d).over(w).alias("predicted_for"),
                       F.lead(price, d).over(w).alias("future"))
              for d in range(1, horizon + 1)]
-    return (spot.select(*keys, "ssd", F.col(price).alias("current_spot_price"),
+    return (spot.select(*keys, "ssd", F.col(price).alias("current_spot_price"), *carry,
                         F.array(*per_h).alias("_hs"))
-            .select(*keys, "ssd", "current_spot_price", F.explode("_hs").alias("h"))
-            .select(*keys, "ssd", "current_spot_price",
+            .select(*keys, "ssd", "current_spot_price", *carry, F.explode("_hs").alias("h"))
+            .select(*keys, "ssd", "current_spot_price", *carry,
                     F.col("h.predicted_for").alias("predicted_for"),
                     F.col("h.days_ahead").alias("days_ahead"),
                     future_return("h.future", "current_spot_price").alias("y")))

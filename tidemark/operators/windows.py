@@ -7,6 +7,7 @@ from typing import Iterable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.numeric import round_half_even
 from tidemark.operators._common import series_window, trailing
 
 
@@ -102,4 +103,4 @@ def recent_history(frame: DataFrame, cols: Sequence[str], dates: DataFrame, n: i
                        F.element_at("lag_dates", F.col("step") + 1).alias("hist_date"),
                        "row", F.explode(drivers).alias("d")) \
         .select(*keys, "ssd", F.col("d.driver").alias("driver"), "step", "hist_date",
-                F.bround(F.element_at("row", F.col("d.i") + 1), digits).alias("value"))
+                round_half_even(F.element_at("row", F.col("d.i") + 1), digits).alias("value"))

@@ -8,12 +8,22 @@ to long rows for comparison.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.casts import to_real
+from tidemark.functions.numeric import round_half_even
+from tidemark.operators.align import fill
+from tidemark.operators.path import current_spot
+from tidemark.operators.profile import LABEL_SCHEMA, profile_labels
+from tidemark.session import scratch_path
+from tidemark.sources.artifacts import feature_order
+from tidemark.sources.scan import ingest_snapshot, read_table, scan_prices, write_table
 from tidemark.operators.evaluate import eval_rows, eval_summary, metric_pivot
-from tidemark.operators.forecast.baseline import baseline_predictions
+from tidemark.operators.forecast.baseline import baseline_predictions, with_baseline
 from tidemark.operators.labels import future_returns
 from tidemark.plans import roles as R
 
@@ -31,7 +41,7 @@ def query(fn=None, *, name: str | None = None):
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Round every DOUBLE column (output convention of checked queries)."""
-    return df.select(*[F.round(F.col(f.name), digits).alias(f.name)
+    return df.select(*[round_half_even(F.col(f.name), digits).alias(f.name)
                        if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
                        for f in df.schema.fields])
 
@@ -55,10 +65,11 @@ def labels_long(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _baseline_rows(spark, d, keys=()):
+    """Labels and the baseline share one window pass; no join."""
     spot = R.spot_many(spark, d) if keys else R.spot_one(spark, d)
-    labels = future_returns(spot, R.HORIZON, keys)
-    preds = baseline_predictions(spot, R.HORIZON, R.LAG, keys)
-    return eval_rows(labels, preds, R.EVAL_BOUNDARY, keys)
+    spot = with_baseline(spot, R.LAG, keys)
+    labels = future_returns(spot, R.HORIZON, keys, carry=["prediction"])
+    return eval_rows(labels, None, R.EVAL_BOUNDARY, keys)
 
 
 @query
@@ -85,3 +96,118 @@ def eval_mape(spark: SparkSession, d: str) -> DataFrame:
 def eval_da(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metric_pivot(_baseline_rows(spark, d), "da"))
 
+
+
+# ---- scans, pivot, merge, fills ---------------------------------------------
+
+@query
+def index_scan(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(R.index_long(spark, d))
+
+
+@query
+def index_pivot(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(R.index_wide(spark, d))
+
+
+@query
+def inventory_scan(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(R.inventory(spark, d))
+
+
+@query
+def freight_scan(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(R.freight(spark, d))
+
+
+@query
+def real_cast(spark: SparkSession, d: str) -> DataFrame:
+    """Lenient text → number on text built from the orders table."""
+    o = R.table(spark, d, "orders")
+    price_txt = F.format_string("%.2f", "o_totalprice")
+    return rounded(o.select(
+        "o_orderkey",
+        to_real("o_orderpriority").alias("r_priority"),
+        to_real("o_orderstatus").alias("r_status"),
+        to_real(F.concat(F.lit(" "), price_txt, F.lit("x"))).alias("r_padded"),
+        to_real(F.regexp_replace(price_txt, r"\.", ",")).alias("r_comma"),
+        to_real(F.concat(F.lit("."), F.substring(price_txt, 1, 2), F.lit("e2"))).alias("r_exp"),
+        to_real(F.when(F.col("o_orderstatus") == "F", F.lit(None)).otherwise(
+            F.col("o_orderstatus"))).alias("r_null"),
+        to_real("o_orderpriority", mode="strict").alias("s_priority"),
+        to_real(price_txt, mode="strict").alias("s_price")))
+
+
+@query
+def outer_merge(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(R.merged_one(spark, d))
+
+
+@query
+def ffill(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(fill(R.merged_one(spark, d), R.FEATURES, how="ffill"))
+
+
+@query
+def feature_frame(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(R.frame_one(spark, d))
+
+
+@query
+def feature_frame_many(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(R.frame_many(spark, d))
+
+
+@query
+def feature_order_q(spark: SparkSession, d: str) -> DataFrame:
+    """Feature order of the frame with each driver's count of known values
+    before filling (a profile of the merged frame)."""
+    merged = R.merged_one(spark, d)
+    order = feature_order(merged)
+    counts = merged.agg(*[F.count(c).alias(c) for c in R.FEATURES])
+    long = counts.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("driver"), F.col(c).alias("n_known")) for c in R.FEATURES
+    ])).alias("s")).select("s.driver", "s.n_known")
+    return order.join(long, "driver").select("pos", "driver", "n_known")
+
+
+QUERIES["feature_order"] = QUERIES.pop("feature_order_q")
+
+
+@query
+def label_profile(spark: SparkSession, d: str) -> DataFrame:
+    """First date, distinct dates, rows and known labels of the label table."""
+    return profile_labels(_labels_one(spark, d))
+
+
+@query
+def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Labels written as CSV (header, ISO dates) and read back with the
+    explicit label schema."""
+    path = scratch_path(spark, f"csv-labels-{uuid.uuid4().hex}")
+    write_table(_labels_one(spark, d), path, fmt="csv")
+    return rounded(read_table(spark, path, LABEL_SCHEMA, fmt="csv"))
+
+
+@query
+def snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """Forced refresh of the orders table into a snapshot folder, then the
+    spot scan over the snapshot copy."""
+    out = scratch_path(spark, f"snapshot-{uuid.uuid4().hex}")
+    paths = ingest_snapshot(spark, d, out, ["orders"])
+    return rounded(scan_prices(spark.read.parquet(paths["orders"]), "o_orderdate", "o_totalprice"))
+
+
+@query
+def current_spot_q(spark: SparkSession, d: str) -> DataFrame:
+    """Spot price (2 places, half-even) for requested dates: every order date
+    and the day after it; a date without a price gets status 'missing'."""
+    return current_spot(R.spot_one(spark, d), _request_days(spark, d))
+
+
+QUERIES["current_spot"] = QUERIES.pop("current_spot_q")
+
+
+def _request_days(spark, d):
+    o = R.table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("ssd"))
+    return o.union(o.select(F.date_add("ssd", 1).alias("ssd"))).where(F.col("ssd").isNotNull()).distinct()
