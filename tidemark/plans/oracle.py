@@ -202,3 +202,65 @@ ORACLE["current_spot"] = f"""WITH {SPOT1}, {REQ_DAYS}
 SELECT r.ssd, {reven('s.price', 2)} AS current_spot,
   CASE WHEN s.price IS NULL THEN 'missing' ELSE 'ok' END AS status
   FROM rq r LEFT JOIN spot1 s ON r.ssd = s.ssd"""
+
+# ---- windows, training set, scaling -----------------------------------------
+
+FR1 = FRAME1 + ",\nfr AS (SELECT *, row_number() OVER (ORDER BY ssd) AS rn FROM ff1)"
+FRM = FRAMEM + ",\nfrm AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ssd) AS rn FROM ffm)"
+VALS = ", ".join(r6(f"r.{q(c)}", q(c)) for c in FEATS)
+
+ORACLE["lag_windows"] = f"""WITH {FR1}
+SELECT e.ssd, CAST(r.rn - e.rn + {LAG - 1} AS INTEGER) AS step, r.ssd AS lag_date, {VALS}
+  FROM fr e JOIN fr r ON r.rn BETWEEN e.rn - {LAG - 1} AND e.rn WHERE e.rn >= {LAG}"""
+
+ORACLE["lag_windows_many"] = f"""WITH {FRM}
+SELECT e.series_id, e.ssd, CAST(r.rn - e.rn + {LAG - 1} AS INTEGER) AS step, r.ssd AS lag_date, {VALS}
+  FROM frm e JOIN frm r ON r.series_id = e.series_id AND r.rn BETWEEN e.rn - {LAG - 1} AND e.rn
+  WHERE e.rn >= {LAG}"""
+
+ORACLE["asof_windows"] = f"""WITH {FR1},
+pb AS (SELECT DISTINCT CAST(o_orderdate AS DATE) + 3 AS ssd FROM orders WHERE o_orderdate IS NOT NULL),
+pe AS (SELECT p.ssd, max(f.rn) AS e FROM pb p JOIN fr f ON f.ssd <= p.ssd GROUP BY p.ssd)
+SELECT p.ssd, CAST(r.rn - greatest(p.e - {LAG - 1}, 1) AS INTEGER) AS step, r.ssd AS lag_date, {VALS}
+  FROM pe p JOIN fr r ON r.rn BETWEEN p.e - {LAG - 1} AND p.e"""
+
+SAMPLES1 = FR1 + ",\n" + labels_cte("spot1") + f""",
+smp AS (SELECT f.* FROM fr f WHERE f.rn >= {LAG} AND f.ssd IN (SELECT ssd FROM spot1))"""
+
+ORACLE["training_set"] = f"""WITH {SAMPLES1}
+SELECT s.ssd, s.ssd < DATE '{CUT}' AS is_train, {r6('s.price', 'x_last_price')}, l.days_ahead, {r6('l.y', 'y')}
+  FROM smp s JOIN lab l ON l.ssd = s.ssd"""
+
+ORACLE["train_split"] = f"""WITH {SAMPLES1}
+SELECT ssd < DATE '{CUT}' AS is_train, count(*) AS n_samples, min(ssd) AS first_ssd, max(ssd) AS last_ssd
+  FROM smp GROUP BY 1"""
+
+ORACLE["fit_split"] = f"""WITH {SAMPLES1},
+t AS (SELECT ssd, row_number() OVER (ORDER BY ssd) AS k, count(*) OVER () AS n FROM smp WHERE ssd < DATE '{CUT}')
+SELECT ssd, k > floor(n * 0.75) AS is_val FROM t"""
+
+PARAMS1 = SAMPLES1 + f""",
+xr AS (SELECT r.* FROM smp e JOIN fr r ON r.rn BETWEEN e.rn - {LAG - 1} AND e.rn WHERE e.ssd < DATE '{CUT}'),
+pw AS (SELECT """ + ", ".join(
+    f"quantile_cont({q(c)}, 0.5) AS \"c_{c}\", "
+    f"CASE WHEN quantile_cont({q(c)}, 0.75) - quantile_cont({q(c)}, 0.25) = 0 THEN 1.0 "
+    f"ELSE quantile_cont({q(c)}, 0.75) - quantile_cont({q(c)}, 0.25) END AS \"s_{c}\"" for c in FEATS) + " FROM xr)"
+
+ORACLE["robust_params"] = f"WITH {PARAMS1} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS driver, {r6(q('c_' + c), 'center')}, {r6(q('s_' + c), 'scale')} FROM pw" for c in FEATS)
+
+ORACLE["scaled_windows"] = f"""WITH {PARAMS1},
+sf AS (SELECT f.ssd, f.rn, """ + ", ".join(
+    f"(f.{q(c)} - pw.{q('c_' + c)}) / pw.{q('s_' + c)} AS {q(c)}" for c in FEATS) + f""" FROM fr f CROSS JOIN pw)
+SELECT e.ssd, CAST(r.rn - e.rn + {LAG - 1} AS INTEGER) AS step, r.ssd AS lag_date, {VALS}
+  FROM sf e JOIN sf r ON r.rn BETWEEN e.rn - {LAG - 1} AND e.rn WHERE e.rn >= {LAG}"""
+
+FRIDAYS = """fri AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS ssd FROM orders
+  WHERE o_orderdate IS NOT NULL AND isodow(CAST(o_orderdate AS DATE)) = 5)"""
+
+ORACLE["recent_history"] = f"""WITH {FR1}, {FRIDAYS},
+pe AS (SELECT p.ssd, max(f.rn) AS e FROM fri p JOIN fr f ON f.ssd <= p.ssd GROUP BY p.ssd),
+h AS (SELECT p.ssd, CAST(r.rn - greatest(p.e - {LAG - 1}, 1) AS INTEGER) AS step, r.ssd AS hist_date, r.*
+  FROM pe p JOIN fr r ON r.rn BETWEEN p.e - {LAG - 1} AND p.e)
+""" + " UNION ALL ".join(
+    f"SELECT ssd, '{c}' AS driver, step, hist_date, {r6(reven(q(c), 2), 'value')} FROM h" for c in FEATS)

@@ -22,6 +22,9 @@ from tidemark.operators.profile import LABEL_SCHEMA, profile_labels
 from tidemark.session import scratch_path
 from tidemark.sources.artifacts import feature_order
 from tidemark.sources.scan import ingest_snapshot, read_table, scan_prices, write_table
+from tidemark.functions.dates import is_friday
+from tidemark.operators.scale import apply_robust, fit_robust
+from tidemark.operators.windows import asof_last_n, fit_split, lag_windows, recent_history, training_set
 from tidemark.operators.evaluate import eval_rows, eval_summary, metric_pivot
 from tidemark.operators.forecast.baseline import baseline_predictions, with_baseline
 from tidemark.operators.labels import future_returns
@@ -211,3 +214,101 @@ QUERIES["current_spot"] = QUERIES.pop("current_spot_q")
 def _request_days(spark, d):
     o = R.table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("ssd"))
     return o.union(o.select(F.date_add("ssd", 1).alias("ssd"))).where(F.col("ssd").isNotNull()).distinct()
+
+
+# ---- windows, training set, scaling -----------------------------------------
+
+def explode_windows(w: DataFrame, cols, keys=(), extra=()) -> DataFrame:
+    """Window rows → long rows ``(keys…, ssd, step, [lag_date], <cols>…)``."""
+    keys = list(keys)
+    has_dates = "lag_dates" in w.columns
+    base = w.select(*keys, "ssd", *extra, *(["lag_dates"] if has_dates else []),
+                    F.posexplode("x").alias("step", "row"))
+    out = [*keys, "ssd", *extra, "step"]
+    if has_dates:
+        out.append(F.element_at("lag_dates", F.col("step") + 1).alias("lag_date"))
+    out += [F.col("row")[i].alias(c) for i, c in enumerate(cols)]
+    return base.select(*out)
+
+
+def _windows_one(spark, d, with_dates=True):
+    return lag_windows(R.frame_one(spark, d), R.FEATURES, R.LAG, with_dates=with_dates)
+
+
+def _samples_one(spark, d):
+    return training_set(_windows_one(spark, d, with_dates=False), _labels_one(spark, d), R.TRAIN_CUTOFF)
+
+
+@query(name="lag_windows")
+def lag_windows_q(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(explode_windows(_windows_one(spark, d), R.FEATURES))
+
+
+@query
+def lag_windows_many(spark: SparkSession, d: str) -> DataFrame:
+    w = lag_windows(R.frame_many(spark, d), R.FEATURES, R.LAG, keys=R.KEYS, with_dates=True)
+    return rounded(explode_windows(w, R.FEATURES, R.KEYS))
+
+
+def _probe_days(spark, d):
+    o = R.table(spark, d, "orders").select(F.date_add(F.col("o_orderdate").cast("date"), 3).alias("ssd"))
+    return o.where(F.col("ssd").isNotNull()).distinct()
+
+
+@query
+def asof_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Backward as-of: last 10 frame rows on or before each order date + 3."""
+    w = asof_last_n(R.frame_one(spark, d), _probe_days(spark, d), R.FEATURES, R.LAG)
+    return rounded(explode_windows(w, R.FEATURES))
+
+
+@query(name="training_set")
+def training_set_q(spark: SparkSession, d: str) -> DataFrame:
+    """Label vectors of every sample (NULL slots kept) with the last price of
+    its window (checks the window ↔ label alignment)."""
+    s = _samples_one(spark, d)
+    return rounded(s.select("ssd", "is_train", F.col("x")[R.LAG - 1][0].alias("x_last_price"),
+                            F.posexplode("y").alias("k", "y"))
+                   .select("ssd", "is_train", "x_last_price", (F.col("k") + 1).alias("days_ahead"), "y"))
+
+
+@query
+def train_split(spark: SparkSession, d: str) -> DataFrame:
+    s = _samples_one(spark, d)
+    return s.groupBy("is_train").agg(F.count(F.lit(1)).alias("n_samples"),
+                                     F.min("ssd").alias("first_ssd"), F.max("ssd").alias("last_ssd"))
+
+
+@query(name="fit_split")
+def fit_split_q(spark: SparkSession, d: str) -> DataFrame:
+    s = _samples_one(spark, d).where("is_train")
+    return fit_split(s, 0.25).select("ssd", "is_val")
+
+
+def _params_one(spark, d):
+    frame = R.frame_one(spark, d)
+    ends = _samples_one(spark, d).where("is_train").select("ssd")
+    return frame, fit_robust(frame, R.FEATURES, R.LAG, ends)
+
+
+@query
+def robust_params(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_params_one(spark, d)[1])
+
+
+@query
+def scaled_windows(spark: SparkSession, d: str) -> DataFrame:
+    frame, params = _params_one(spark, d)
+    scaled = apply_robust(frame, params, R.FEATURES)
+    return rounded(explode_windows(lag_windows(scaled, R.FEATURES, R.LAG, with_dates=True), R.FEATURES))
+
+
+def _report_days(spark, d):
+    """Fridays among the order dates (the report request dates)."""
+    o = R.table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("ssd"))
+    return o.where(F.col("ssd").isNotNull() & is_friday("ssd")).distinct()
+
+
+@query(name="recent_history")
+def recent_history_q(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(recent_history(R.frame_one(spark, d), R.FEATURES, _report_days(spark, d), R.LAG))
