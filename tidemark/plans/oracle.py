@@ -264,3 +264,64 @@ h AS (SELECT p.ssd, CAST(r.rn - greatest(p.e - {LAG - 1}, 1) AS INTEGER) AS step
   FROM pe p JOIN fr r ON r.rn BETWEEN p.e - {LAG - 1} AND p.e)
 """ + " UNION ALL ".join(
     f"SELECT ssd, '{c}' AS driver, step, hist_date, {r6(reven(q(c), 2), 'value')} FROM h" for c in FEATS)
+
+# ---- linear scoring ------------------------------------------------------------
+
+NF = len(FEATS)
+
+
+def fixed_w(j: str, h: str) -> str:
+    return f"((((({j}) * 7 + {h}) % 11) - 5) / 1000.0)"
+
+
+def score_sql(src: str, part: str = "") -> str:
+    """Σ x·w summed sequentially in window order (oldest row first, drivers
+    in frame order), then + b: the operator's exact arithmetic."""
+    on = f"r.{part} = e.{part} AND " if part else ""
+    keep = f"e.{part}, " if part else ""
+    prods = ", ".join(f"r.{q(c)} * {fixed_w(f'(r.rn - e.rn + {LAG - 1}) * {NF} + {i}', 'h.k')}"
+                      for i, c in enumerate(FEATS))
+    return f"""sc AS (SELECT {keep}e.ssd, CAST(h.k AS INTEGER) AS days_ahead,
+  list_reduce(flatten(list([{prods}] ORDER BY r.rn)), lambda a, b: a + b) + h.k / 1000.0 AS prediction
+  FROM {src} e JOIN {src} r ON {on}r.rn BETWEEN e.rn - {LAG - 1} AND e.rn
+  CROSS JOIN (SELECT unnest(range(1, {H + 1})) AS k) h
+  WHERE e.rn >= {LAG} GROUP BY {keep}e.ssd, h.k)"""
+
+
+SCALED1 = PARAMS1 + """,
+sf AS (SELECT f.ssd, f.rn, """ + ", ".join(
+    f"(f.{q(c)} - pw.{q('c_' + c)}) / pw.{q('s_' + c)} AS {q(c)}" for c in FEATS) + " FROM fr f CROSS JOIN pw)"
+
+ORACLE["score_linear"] = f"""WITH {SCALED1}, {score_sql('sf')}
+SELECT ssd, days_ahead, {r6('prediction', 'prediction')} FROM sc"""
+
+PARAMSM = FRM + f""",
+xrm AS (SELECT r.* FROM frm e JOIN frm r ON r.series_id = e.series_id AND r.rn BETWEEN e.rn - {LAG - 1} AND e.rn
+  WHERE e.rn >= {LAG} AND e.ssd < DATE '{CUT}'),
+pwm AS (SELECT series_id, """ + ", ".join(
+    f"quantile_cont({q(c)}, 0.5) AS \"c_{c}\", "
+    f"CASE WHEN quantile_cont({q(c)}, 0.75) - quantile_cont({q(c)}, 0.25) = 0 THEN 1.0 "
+    f"ELSE quantile_cont({q(c)}, 0.75) - quantile_cont({q(c)}, 0.25) END AS \"s_{c}\"" for c in FEATS) + \
+    " FROM xrm GROUP BY series_id)"
+
+ORACLE["robust_params_many"] = f"WITH {PARAMSM} " + " UNION ALL ".join(
+    f"SELECT series_id, '{c}' AS driver, {r6(q('c_' + c), 'center')}, {r6(q('s_' + c), 'scale')} FROM pwm"
+    for c in FEATS)
+
+SCALEDM = PARAMSM + """,
+sfm AS (SELECT f.series_id, f.ssd, f.rn, """ + ", ".join(
+    f"(f.{q(c)} - p.{q('c_' + c)}) / p.{q('s_' + c)} AS {q(c)}" for c in FEATS) + \
+    " FROM frm f LEFT JOIN pwm p ON p.series_id = f.series_id)"
+
+ORACLE["predictions_long"] = f"""WITH {SCALEDM}, {score_sql('sfm', 'series_id')}
+SELECT series_id, ssd, days_ahead, {r6('prediction', 'prediction')} FROM sc"""
+
+ORACLE["predictions_wide"] = f"""WITH {SCALED1}, {score_sql('sf')}
+SELECT ssd, """ + ", ".join(
+    r6(f"max(CASE WHEN days_ahead = {h} THEN prediction END)", f"h{h}") for h in range(1, H + 1)) + \
+    " FROM sc GROUP BY ssd"
+
+ORACLE["directional_loss"] = f"""WITH {SPOT1}, {baseline_rows('spot1')}
+SELECT days_ahead, period, {r6('avg(pow(y - prediction, 2))', 'mse')},
+  {r6('avg(pow(y - prediction, 2)) * 2 / (1 + avg(CASE WHEN sign(y) = sign(prediction) THEN 1.0 ELSE 0.0 END))', 'directional_loss')}
+  FROM er GROUP BY ALL"""

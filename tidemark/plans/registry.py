@@ -19,12 +19,14 @@ from tidemark.functions.numeric import round_half_even
 from tidemark.operators.align import fill
 from tidemark.operators.path import current_spot
 from tidemark.operators.profile import LABEL_SCHEMA, profile_labels
-from tidemark.session import scratch_path
+from tidemark.session import materialize, scratch_path
 from tidemark.sources.artifacts import feature_order
 from tidemark.sources.scan import ingest_snapshot, read_table, scan_prices, write_table
 from tidemark.functions.dates import is_friday
 from tidemark.operators.scale import apply_robust, fit_robust
 from tidemark.operators.windows import asof_last_n, fit_split, lag_windows, recent_history, training_set
+from tidemark.functions.numeric import directional_loss
+from tidemark.operators.forecast.linear import fit_linear, predictions_wide, score_linear
 from tidemark.operators.evaluate import eval_rows, eval_summary, metric_pivot
 from tidemark.operators.forecast.baseline import baseline_predictions, with_baseline
 from tidemark.operators.labels import future_returns
@@ -312,3 +314,101 @@ def _report_days(spark, d):
 @query(name="recent_history")
 def recent_history_q(spark: SparkSession, d: str) -> DataFrame:
     return rounded(recent_history(R.frame_one(spark, d), R.FEATURES, _report_days(spark, d), R.LAG))
+
+
+# ---- linear forecaster, scoring, predictions ---------------------------------
+
+def fixed_models(spark: SparkSession, dim: int, series: DataFrame | None = None) -> DataFrame:
+    """A parameter table of known linear models (one per horizon, and per
+    series when ``series`` is given): ``w[j] = (((7j + h) mod 11) − 5)/1000``,
+    ``b = h/1000``. Used to check scoring against SQL independently of the
+    fit."""
+    hs = F.explode(F.sequence(F.lit(1), F.lit(R.HORIZON))).alias("days_ahead")
+    base = series.select("series_id", hs) if series is not None else \
+        spark.range(1).select(hs)
+    return base.select(
+        *(["series_id"] if series is not None else []), "days_ahead",
+        F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                    lambda j: (((j * 7 + F.col("days_ahead")) % 11) - 5) / 1000.0).alias("weights"),
+        (F.col("days_ahead") / 1000.0).alias("intercept"))
+
+
+def _scaled_windows_one(spark, d):
+    frame, params = _params_one(spark, d)
+    return lag_windows(apply_robust(frame, params, R.FEATURES), R.FEATURES, R.LAG)
+
+
+@query
+def score_linear_q(spark: SparkSession, d: str) -> DataFrame:
+    w = _scaled_windows_one(spark, d)
+    return rounded(score_linear(w, fixed_models(spark, R.LAG * len(R.FEATURES))))
+
+
+QUERIES["score_linear"] = QUERIES.pop("score_linear_q")
+
+
+def _pipeline_many(spark, d):
+    """Per-supplier frame → windows → label vectors → per-supplier scaler →
+    scaled windows. The frame feeds three branches, so it is checkpointed
+    once (lineage cut, no recomputation)."""
+    frame = materialize(R.frame_many(spark, d))
+    labels = future_returns(R.spot_many(spark, d), R.HORIZON, R.KEYS)
+    samples = training_set(lag_windows(frame, R.FEATURES, R.LAG, keys=R.KEYS), labels,
+                           R.TRAIN_CUTOFF, keys=R.KEYS)
+    ends = samples.where("is_train").select(*R.KEYS, "ssd")
+    params = fit_robust(frame, R.FEATURES, R.LAG, ends, keys=R.KEYS)
+    scaled = lag_windows(apply_robust(frame, params, R.FEATURES, keys=R.KEYS), R.FEATURES, R.LAG,
+                         keys=R.KEYS)
+    return frame, labels, params, scaled
+
+
+@query
+def robust_params_many(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_pipeline_many(spark, d)[2])
+
+
+@query
+def predictions_long(spark: SparkSession, d: str) -> DataFrame:
+    """Per-supplier scaled windows scored by per-supplier models (keyed path)."""
+    _, _, _, scaled = _pipeline_many(spark, d)
+    series = R.spot_many(spark, d).select("series_id").distinct()
+    return rounded(score_linear(scaled, fixed_models(spark, R.LAG * len(R.FEATURES), series), R.KEYS))
+
+
+@query(name="predictions_wide")
+def predictions_wide_q(spark: SparkSession, d: str) -> DataFrame:
+    w = _scaled_windows_one(spark, d)
+    p = score_linear(w, fixed_models(spark, R.LAG * len(R.FEATURES)))
+    return rounded(predictions_wide(p, R.HORIZON))
+
+
+def _fit_one(spark, d):
+    frame, params = _params_one(spark, d)
+    scaled = apply_robust(frame, params, R.FEATURES)
+    samples = training_set(lag_windows(scaled, R.FEATURES, R.LAG), _labels_one(spark, d), R.TRAIN_CUTOFF)
+    samples = fit_split(samples.where("is_train"), 0.25).unionByName(
+        samples.where(~F.col("is_train")).withColumn("is_val", F.lit(False)))
+    return samples, fit_linear(samples)
+
+
+@query(name="fit_linear")
+def fit_linear_q(spark: SparkSession, d: str) -> DataFrame:
+    """Ridge model per horizon (rows-only check: one model per horizon)."""
+    return _fit_one(spark, d)[1].select("days_ahead", "n", "dim", F.size("weights").alias("n_weights"))
+
+
+@query
+def linear_eval(spark: SparkSession, d: str) -> DataFrame:
+    """Backtest of the fitted linear models (rows-only check)."""
+    samples, models = _fit_one(spark, d)
+    preds = score_linear(samples.select("ssd", "x"), models)
+    return rounded(eval_summary(eval_rows(_labels_one(spark, d), preds, R.EVAL_BOUNDARY)))
+
+
+@query(name="directional_loss")
+def directional_loss_q(spark: SparkSession, d: str) -> DataFrame:
+    """MSE and the direction-penalised loss per horizon and period."""
+    rows = _baseline_rows(spark, d)
+    return rounded(rows.groupBy("days_ahead", "period").agg(
+        F.avg(F.pow(F.col("y") - F.col("prediction"), 2)).alias("mse"),
+        directional_loss(F.col("y"), F.col("prediction")).alias("directional_loss")))
