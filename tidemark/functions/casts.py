@@ -46,5 +46,5 @@ def to_day(c, dtype: T.DataType | None = None) -> Column:
     ``yyyy-MM-dd`` (anything else becomes NULL and is dropped by the scan)."""
     c = _as_col(c)
     if isinstance(dtype, T.StringType):
-        return F.try_to_date(c, F.lit("yyyy-MM-dd"))
+        return F.try_to_date(c, "yyyy-MM-dd")
     return c.cast("date")

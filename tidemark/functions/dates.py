@@ -26,7 +26,7 @@ def business_days(d, h: int) -> Column:
 def strict_date(s) -> Column:
     """Strict ``YYYY-MM-DD`` text → DATE, NULL when malformed or impossible."""
     s = _as_col(s)
-    return F.when(s.rlike(_ISO_DAY), F.try_to_date(s, F.lit("yyyy-MM-dd")))
+    return F.when(s.rlike(_ISO_DAY), F.try_to_date(s, "yyyy-MM-dd"))
 
 
 def is_friday(d) -> Column:

@@ -325,3 +325,47 @@ ORACLE["directional_loss"] = f"""WITH {SPOT1}, {baseline_rows('spot1')}
 SELECT days_ahead, period, {r6('avg(pow(y - prediction, 2))', 'mse')},
   {r6('avg(pow(y - prediction, 2)) * 2 / (1 + avg(CASE WHEN sign(y) = sign(prediction) THEN 1.0 ELSE 0.0 END))', 'directional_loss')}
   FROM er GROUP BY ALL"""
+
+# ---- calendar, forecast path, requests ---------------------------------------
+
+ORACLE["business_days"] = f"""WITH dd AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS ssd FROM orders WHERE o_orderdate IS NOT NULL),
+c AS (SELECT ssd, CAST(ssd + CAST(t.i AS INTEGER) AS DATE) AS bday FROM dd CROSS JOIN range(1, 15) t(i)
+  WHERE isodow(CAST(ssd + CAST(t.i AS INTEGER) AS DATE)) <= 5),
+k AS (SELECT ssd, CAST(row_number() OVER (PARTITION BY ssd ORDER BY bday) AS INTEGER) AS k, bday FROM c)
+SELECT ssd, k, bday, strftime(bday, '%Y-%m-%d') AS bday_text FROM k WHERE k <= {H}"""
+
+PATH1 = f"""{SPOT1}, {FRIDAYS},
+bp AS (SELECT ssd, CASE WHEN count(*) OVER w = {LAG} THEN avg(price) OVER w / nullif(price, 0) - 1 END AS prediction
+  FROM spot1 WINDOW w AS (ORDER BY ssd ROWS BETWEEN {LAG - 1} PRECEDING AND CURRENT ROW)),
+cs AS (SELECT f.ssd, {reven('s.price', 2)} AS current_spot FROM fri f JOIN spot1 s ON s.ssd = f.ssd WHERE s.price IS NOT NULL),
+bd AS (SELECT ssd, CAST(ssd + CAST(t.i AS INTEGER) AS DATE) AS bday FROM cs CROSS JOIN range(1, 15) t(i)
+  WHERE isodow(CAST(ssd + CAST(t.i AS INTEGER) AS DATE)) <= 5),
+bk AS (SELECT ssd, CAST(row_number() OVER (PARTITION BY ssd ORDER BY bday) AS INTEGER) AS k, bday FROM bd),
+fp AS (SELECT c.ssd, CAST(h.k AS INTEGER) AS days_ahead, b.bday AS future_date,
+  CAST({reven(f"c.current_spot * {reven('p.prediction', 2)} + c.current_spot", 0)} AS BIGINT) AS forecast_price,
+  c.current_spot
+  FROM cs c JOIN bp p ON p.ssd = c.ssd CROSS JOIN (SELECT unnest(range(1, {H + 1})) AS k) h
+  JOIN bk b ON b.ssd = c.ssd AND b.k = h.k WHERE p.prediction IS NOT NULL)"""
+
+ORACLE["forecast_path"] = f"""WITH {PATH1}
+SELECT ssd, days_ahead, future_date, forecast_price, {r6('current_spot', 'current_spot')} FROM fp"""
+
+REQS = """rqs AS (SELECT DISTINCT friday_date FROM (
+  SELECT strftime(ts, '%Y-%m-%d') AS friday_date FROM events
+  UNION ALL SELECT strftime(ts, '%Y/%m/%d') FROM events
+  UNION ALL SELECT CAST(year(ts) AS VARCHAR) || '-' || CAST(month(ts) AS VARCHAR) || '-' || CAST(day(ts) AS VARCHAR) FROM events
+  UNION ALL SELECT '2024-02-' || strftime(ts, '%d') FROM events
+  UNION ALL SELECT strftime(ts - INTERVAL 120 MONTH, '%Y-%m-%d') FROM events
+  UNION ALL SELECT strftime(ts + INTERVAL 36 MONTH, '%Y-%m-%d') FROM events
+  UNION ALL SELECT props FROM events) t),
+rv AS (SELECT friday_date AS request,
+  CASE WHEN regexp_matches(friday_date, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$')
+    THEN CAST(try_strptime(friday_date, '%Y-%m-%d') AS DATE) END AS report_date FROM rqs),
+rr AS (SELECT request, report_date, CASE WHEN report_date IS NULL THEN 'Date must be in YYYY-MM-DD format'
+  WHEN isodow(report_date) <> 5 THEN 'Provided date is not a Friday'
+  WHEN report_date NOT BETWEEN DATE '2015-01-14' AND DATE '2026-02-05'
+    THEN 'Date must be between 2015-01-14 and 2026-02-05' END AS reason FROM rv)"""
+
+ORACLE["request_validation"] = f"""WITH {REQS}
+SELECT request, report_date, reason IS NULL AS is_valid,
+  CASE WHEN reason IS NULL THEN 200 ELSE 400 END AS status_code, reason FROM rr"""

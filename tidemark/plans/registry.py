@@ -22,7 +22,9 @@ from tidemark.operators.profile import LABEL_SCHEMA, profile_labels
 from tidemark.session import materialize, scratch_path
 from tidemark.sources.artifacts import feature_order
 from tidemark.sources.scan import ingest_snapshot, read_table, scan_prices, write_table
-from tidemark.functions.dates import is_friday
+from tidemark.functions.dates import business_days, is_friday
+from tidemark.operators.path import forecast_path
+from tidemark.operators.requests import validate_requests
 from tidemark.operators.scale import apply_robust, fit_robust
 from tidemark.operators.windows import asof_last_n, fit_split, lag_windows, recent_history, training_set
 from tidemark.functions.numeric import directional_loss
@@ -412,3 +414,45 @@ def directional_loss_q(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rows.groupBy("days_ahead", "period").agg(
         F.avg(F.pow(F.col("y") - F.col("prediction"), 2)).alias("mse"),
         directional_loss(F.col("y"), F.col("prediction")).alias("directional_loss")))
+
+
+# ---- calendar, forecast path, requests ---------------------------------------
+
+@query(name="business_days")
+def business_days_q(spark: SparkSession, d: str) -> DataFrame:
+    """Next five weekdays after every order date, as dates and as text."""
+    o = R.table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("ssd")) \
+        .where(F.col("ssd").isNotNull()).distinct()
+    return (o.select("ssd", F.posexplode(business_days("ssd", R.HORIZON)).alias("k", "bday"))
+            .select("ssd", (F.col("k") + 1).alias("k"), "bday",
+                    F.date_format("bday", "yyyy-MM-dd").alias("bday_text")))
+
+
+def _path_one(spark, d):
+    spot = R.spot_one(spark, d)
+    preds = baseline_predictions(spot, R.HORIZON, R.LAG)
+    return forecast_path(preds, current_spot(spot, _report_days(spark, d)), R.HORIZON)
+
+
+@query(name="forecast_path")
+def forecast_path_q(spark: SparkSession, d: str) -> DataFrame:
+    """Rounded price path over the next business days for every Friday."""
+    return rounded(_path_one(spark, d))
+
+
+def _requests(spark, d):
+    """Request strings derived from event timestamps: ISO days, slashed days,
+    unpadded days, impossible days, days ten years back and three ahead, and
+    raw property text."""
+    ts = R.table(spark, d, "events").select("ts", "props")
+    forms = [F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "yyyy/MM/dd"),
+             F.date_format("ts", "yyyy-M-d"),
+             F.concat(F.lit("2024-02-"), F.date_format("ts", "dd")),
+             F.date_format(F.add_months("ts", -120), "yyyy-MM-dd"),
+             F.date_format(F.add_months("ts", 36), "yyyy-MM-dd"), F.col("props")]
+    return ts.select(F.explode(F.array(*forms)).alias("friday_date")).distinct()
+
+
+@query
+def request_validation(spark: SparkSession, d: str) -> DataFrame:
+    return validate_requests(_requests(spark, d))
