@@ -4,6 +4,7 @@ places as in the registry."""
 
 from __future__ import annotations
 
+from tidemark.operators.attribution import MODERATE_SHARE as MODERATE, STRONG_SHARE as STRONG
 from tidemark.plans import roles as R
 
 H, LAG = R.HORIZON, R.LAG
@@ -369,3 +370,58 @@ rr AS (SELECT request, report_date, CASE WHEN report_date IS NULL THEN 'Date mus
 ORACLE["request_validation"] = f"""WITH {REQS}
 SELECT request, report_date, reason IS NULL AS is_valid,
   CASE WHEN reason IS NULL THEN 200 ELSE 400 END AS status_code, reason FROM rr"""
+
+# ---- attribution -------------------------------------------------------------
+
+ATTR1 = SCALED1 + f""", {FRIDAYS},
+bgk AS (SELECT s.ssd, s.rn FROM sf s WHERE s.rn >= {LAG} AND s.ssd IN (SELECT ssd FROM spot1)
+  ORDER BY md5(strftime(s.ssd, '%Y-%m-%d') || ':{R.SEED}'), s.ssd LIMIT {R.BACKGROUND_N}),
+bgm AS (SELECT r.rn - b.rn + {LAG - 1} AS step, """ + ", ".join(f"avg(r.{q(c)}) AS {q('m_' + c)}" for c in FEATS) + \
+    f""" FROM bgk b JOIN sf r ON r.rn BETWEEN b.rn - {LAG - 1} AND b.rn GROUP BY 1),
+aw AS (SELECT e.ssd, r.rn - e.rn + {LAG - 1} AS step, r.ssd AS lag_date, """ + \
+    ", ".join(f"r.{q(c)}" for c in FEATS) + f""" FROM sf e JOIN sf r ON r.rn BETWEEN e.rn - {LAG - 1} AND e.rn
+  WHERE e.rn >= {LAG} AND e.ssd IN (SELECT ssd FROM fri)),
+sc AS (""" + " UNION ALL ".join(
+    f"""SELECT a.ssd, CAST(h.k AS INTEGER) AS days_ahead, '{c}' AS driver, CAST(a.step AS INTEGER) AS lag_step,
+  a.lag_date, {fixed_w(f'a.step * {NF} + {i}', 'h.k')} * (a.{q(c)} - m.{q('m_' + c)}) AS score
+  FROM aw a JOIN bgm m ON m.step = a.step CROSS JOIN (SELECT unnest(range(1, {H + 1})) AS k) h"""
+    for i, c in enumerate(FEATS)) + ")"
+
+ORACLE["background_sample"] = f"WITH {ATTR1} SELECT ssd FROM bgk"
+ORACLE["attribution_long"] = f"""WITH {ATTR1}
+SELECT ssd, days_ahead, driver, lag_step, lag_date, {r6('score', 'score')} FROM sc"""
+
+ORACLE["attribution_driver"] = f"""WITH {ATTR1},
+bd AS (SELECT ssd, CAST(ssd + CAST(t.i AS INTEGER) AS DATE) AS bday FROM fri CROSS JOIN range(1, 15) t(i)
+  WHERE isodow(CAST(ssd + CAST(t.i AS INTEGER) AS DATE)) <= 5),
+bk AS (SELECT ssd, CAST(row_number() OVER (PARTITION BY ssd ORDER BY bday) AS INTEGER) AS k, bday FROM bd)
+SELECT s.ssd, s.days_ahead, 'SHAPScoreFor ' || strftime(b.bday, '%Y-%m-%d') AS label, s.lag_step, s.lag_date,
+  {r6(reven('s.score', 4), 'score')}
+  FROM sc s JOIN bk b ON b.ssd = s.ssd AND b.k = s.days_ahead WHERE s.driver = 'inventory'"""
+
+SUMM1 = ATTR1 + """,
+sm AS (SELECT ssd, days_ahead, driver, sum(score) AS total, sum(abs(score)) AS abs_total FROM sc GROUP BY ALL),
+sm2 AS (SELECT *, abs_total / nullif(sum(abs_total) OVER (PARTITION BY ssd, days_ahead), 0) AS share FROM sm)"""
+
+ORACLE["attribution_summary"] = f"""WITH {SUMM1}
+SELECT ssd, days_ahead, driver, {r6('total', 'total')}, {r6('abs_total', 'abs_total')}, {r6('share', 'share')} FROM sm2"""
+
+ORACLE["driver_role"] = f"""WITH {SUMM1},
+{score_sql('sf').replace('WHERE e.rn >= ' + str(LAG), 'WHERE e.rn >= ' + str(LAG) + ' AND e.ssd IN (SELECT ssd FROM fri)').replace('sc AS (', 'pr AS (', 1)},
+cs AS (SELECT f.ssd, {reven('s.price', 2)} AS current_spot FROM fri f JOIN spot1 s ON s.ssd = f.ssd),
+lastp AS (SELECT c.ssd, c.current_spot,
+  {reven(f"c.current_spot * {reven('p.prediction', 2)} + c.current_spot", 0)} AS last_price
+  FROM cs c JOIN pr p ON p.ssd = c.ssd AND p.days_ahead = {H}),
+dd AS (SELECT ssd, driver, count(*) AS n, sum(CASE WHEN total > 0 THEN 1 ELSE 0 END) AS npos,
+  sum(CASE WHEN total < 0 THEN 1 ELSE 0 END) AS nneg, sum(abs_total) AS a FROM sm2 GROUP BY ALL),
+de AS (SELECT d.*, d.a / nullif(sum(d.a) OVER (PARTITION BY d.ssd), 0) AS share,
+  CASE WHEN npos = n THEN 'UPWARD' WHEN nneg = n THEN 'DOWNWARD' ELSE 'MIXED' END AS attribution_direction,
+  CASE WHEN l.last_price > l.current_spot THEN 'UPWARD' WHEN l.last_price < l.current_spot THEN 'DOWNWARD'
+    ELSE 'FLAT' END AS forecast_direction
+  FROM dd d JOIN lastp l ON l.ssd = d.ssd)
+SELECT ssd, driver, attribution_direction, forecast_direction,
+  CASE WHEN attribution_direction IN ('UPWARD', 'DOWNWARD') AND attribution_direction = forecast_direction THEN 'SUPPORTING'
+    WHEN attribution_direction IN ('UPWARD', 'DOWNWARD') AND forecast_direction IN ('UPWARD', 'DOWNWARD') THEN 'OPPOSING'
+    ELSE 'NEUTRAL' END AS role,
+  CASE WHEN share >= {STRONG} THEN 'STRONG' WHEN share >= {MODERATE} THEN 'MODERATE' ELSE 'LOW' END AS strength,
+  {r6('share', 'share')} FROM de"""

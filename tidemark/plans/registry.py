@@ -29,6 +29,9 @@ from tidemark.operators.scale import apply_robust, fit_robust
 from tidemark.operators.windows import asof_last_n, fit_split, lag_windows, recent_history, training_set
 from tidemark.functions.numeric import directional_loss
 from tidemark.operators.forecast.linear import fit_linear, predictions_wide, score_linear
+from tidemark.operators.attribution import (
+    attribute_linear, attribution_summary, driver_role, sample_background,
+)
 from tidemark.operators.evaluate import eval_rows, eval_summary, metric_pivot
 from tidemark.operators.forecast.baseline import baseline_predictions, with_baseline
 from tidemark.operators.labels import future_returns
@@ -456,3 +459,61 @@ def _requests(spark, d):
 @query
 def request_validation(spark: SparkSession, d: str) -> DataFrame:
     return validate_requests(_requests(spark, d))
+
+
+# ---- attribution -------------------------------------------------------------
+
+def _attr_inputs(spark, d):
+    """Scaled windows of the single series, the samples among them, the
+    report-day windows and the background set."""
+    frame, params = _params_one(spark, d)
+    scaled = lag_windows(apply_robust(frame, params, R.FEATURES), R.FEATURES, R.LAG, with_dates=True)
+    label_days = R.spot_one(spark, d).select("ssd")
+    samples = scaled.join(label_days, "ssd", "left_semi")
+    report = scaled.join(_report_days(spark, d), "ssd", "left_semi")
+    background = sample_background(samples, R.BACKGROUND_N, R.SEED)
+    models = fixed_models(spark, R.LAG * len(R.FEATURES))
+    return report, models, background
+
+
+def _scores_one(spark, d):
+    report, models, background = _attr_inputs(spark, d)
+    return attribute_linear(report, models, background, R.FEATURES)
+
+
+@query(name="background_sample")
+def background_sample_q(spark: SparkSession, d: str) -> DataFrame:
+    _, _, background = _attr_inputs(spark, d)
+    return background.select("ssd")
+
+
+@query
+def attribution_long(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_scores_one(spark, d))
+
+
+@query
+def attribution_driver(spark: SparkSession, d: str) -> DataFrame:
+    """One driver's lag-step scores per horizon, labelled with the target
+    business day, rounded to 4 places."""
+    s = _scores_one(spark, d).where(F.col("driver") == "inventory")
+    day = F.element_at(business_days("ssd", R.HORIZON), F.col("days_ahead"))
+    return rounded(s.select("ssd", "days_ahead",
+                            F.concat(F.lit("SHAPScoreFor "), F.date_format(day, "yyyy-MM-dd")).alias("label"),
+                            "lag_step", "lag_date", round_half_even("score", 4).alias("score")))
+
+
+@query(name="attribution_summary")
+def attribution_summary_q(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(attribution_summary(_scores_one(spark, d)))
+
+
+def _linear_path_one(spark, d):
+    report, models, _ = _attr_inputs(spark, d)
+    preds = score_linear(report, models)
+    return forecast_path(preds, current_spot(R.spot_one(spark, d), _report_days(spark, d)), R.HORIZON)
+
+
+@query(name="driver_role")
+def driver_role_q(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(driver_role(attribution_summary(_scores_one(spark, d)), _linear_path_one(spark, d)))
