@@ -425,3 +425,101 @@ SELECT ssd, driver, attribution_direction, forecast_direction,
     ELSE 'NEUTRAL' END AS role,
   CASE WHEN share >= {STRONG} THEN 'STRONG' WHEN share >= {MODERATE} THEN 'MODERATE' ELSE 'LOW' END AS strength,
   {r6('share', 'share')} FROM de"""
+
+# ---- dictionary, context, report ---------------------------------------------
+
+def _dictionary_values() -> str:
+    import json
+    from tidemark.sources.dictionary import DEFAULT_PATH, INFO_FIELDS
+    doc = json.load(open(DEFAULT_PATH))
+
+    def lit(s):
+        return "'" + s.replace("'", "''") + "'"
+    rows = ", ".join("(" + ", ".join([lit(k)] + [lit(v[f]) for f in INFO_FIELDS]) + ")" for k, v in doc.items())
+    return f"dct AS (SELECT * FROM (VALUES {rows}) t(driver, " + ", ".join(INFO_FIELDS) + "))"
+
+
+DICT = _dictionary_values()
+
+ORACLE["driver_dictionary"] = f"WITH {FRAME1}, {DICT}, kd AS (" + " UNION ALL ".join(
+    f"SELECT {i} AS pos, '{c}' AS driver, count({q(c)}) AS n_known FROM m1" for i, c in enumerate(FEATS)) + \
+    """) SELECT k.pos, k.driver, k.n_known, d.business_name, d.asset_class, d.macro_role, d.relationship_to_target
+  FROM kd k LEFT JOIN dct d ON d.driver = k.driver"""
+
+NL = "chr(10)"
+
+
+def table_text(header: str, line: str, order: str) -> str:
+    return (f"'[' || CAST(count(*) AS VARCHAR) || ']{{{header}}}:' || {NL} || "
+            f"string_agg('  ' || {line}, {NL} ORDER BY {order})")
+
+
+HIST = f"""pe AS (SELECT p.ssd, max(f.rn) AS e FROM fri p JOIN fr f ON f.ssd <= p.ssd GROUP BY p.ssd),
+h AS (SELECT p.ssd, CAST(r.rn - greatest(p.e - {LAG - 1}, 1) AS INTEGER) AS step, r.ssd AS hist_date, r.*
+  FROM pe p JOIN fr r ON r.rn BETWEEN p.e - {LAG - 1} AND p.e),
+hl AS (""" + " UNION ALL ".join(
+    f"SELECT ssd, '{c}' AS driver, step, hist_date, {reven(q(c), 2)} AS value FROM h" for c in FEATS) + f"""),
+ht AS (SELECT ssd, driver, {table_text('ssd,value', "strftime(hist_date, '%Y-%m-%d') || ',' || printf('%.2f', value)", 'step')} AS history
+  FROM hl GROUP BY ssd, driver)"""
+
+ORACLE["table_encode"] = f"WITH {FR1}, {FRIDAYS}, {HIST} SELECT ssd, driver, history FROM ht"
+
+_ROLE_SQL = ORACLE["driver_role"]
+_ROLE_BODY = _ROLE_SQL[len("WITH "):]
+_ROLE_CTES, _ROLE_SELECT = _ROLE_BODY.rsplit("\nSELECT ssd, driver, attribution_direction", 1)
+CTX = _ROLE_CTES + f""",
+rl AS (SELECT ssd, driver, attribution_direction{_ROLE_SELECT}),
+bd AS (SELECT ssd, CAST(ssd + CAST(t.i AS INTEGER) AS DATE) AS bday FROM cs CROSS JOIN range(1, 15) t(i)
+  WHERE isodow(CAST(ssd + CAST(t.i AS INTEGER) AS DATE)) <= 5),
+bk AS (SELECT ssd, CAST(row_number() OVER (PARTITION BY ssd ORDER BY bday) AS INTEGER) AS k, bday FROM bd),
+fpt AS (SELECT c.ssd, c.current_spot, p.days_ahead, b.bday AS future_date,
+  CAST({reven(f"c.current_spot * {reven('p.prediction', 2)} + c.current_spot", 0)} AS BIGINT) AS forecast_price
+  FROM cs c JOIN pr p ON p.ssd = c.ssd JOIN bk b ON b.ssd = c.ssd AND b.k = p.days_ahead),
+ftx AS (SELECT ssd, first(current_spot) AS current_spot,
+  {table_text('FutureDates,ForecastedPrice', "strftime(future_date, '%Y-%m-%d') || ',' || printf('%d', forecast_price)", 'days_ahead')} AS forecast
+  FROM fpt GROUP BY ssd),
+atx AS (SELECT s.ssd, s.driver,
+  {table_text('horizon,score', "'SHAPScoreFor ' || strftime(f.future_date, '%Y-%m-%d') || ',' || printf('%.4f', " + reven('s.total', 4) + ")", 's.days_ahead')} AS attribution
+  FROM sm2 s JOIN fpt f ON f.ssd = s.ssd AND f.days_ahead = s.days_ahead GROUP BY s.ssd, s.driver),
+{HIST},
+ctx AS (SELECT ht.ssd, ht.driver, ht.history, atx.attribution, rl.attribution_direction, rl.forecast_direction,
+  rl.role, rl.strength, ftx.forecast, ftx.current_spot, d.business_name, d.asset_class, d.macro_role,
+  d.relationship_to_target
+  FROM ht JOIN atx ON atx.ssd = ht.ssd AND atx.driver = ht.driver
+  JOIN rl ON rl.ssd = ht.ssd AND rl.driver = ht.driver
+  JOIN ftx ON ftx.ssd = ht.ssd LEFT JOIN dct d ON d.driver = ht.driver)"""
+
+ORACLE["driver_context"] = f"""WITH {CTX.replace(FRIDAYS + ',', FRIDAYS + ', ' + DICT + ',', 1)}
+SELECT ssd, driver, history, attribution, attribution_direction, forecast_direction, role, strength, forecast,
+  {r6('current_spot', 'current_spot')}, business_name, asset_class, macro_role, relationship_to_target FROM ctx"""
+
+_PARTS = [
+    "'ANALYSIS DATE: ' || strftime(ssd, '%Y-%m-%d')",
+    f"'CURRENT PRICE: ' || printf('%.1f', {reven('current_spot', 1)})", "''", "'DRIVER'",
+    "'Name: ' || business_name", "'Asset class: ' || coalesce(asset_class, '')",
+    "'Role: ' || coalesce(macro_role, '')", "'Relation to target: ' || coalesce(relationship_to_target, '')",
+    "''", "'RECENT DRIVER DATA:'", "history", "''", "'MODEL FORECAST:'", "forecast", "''",
+    "'ATTRIBUTION:'", "attribution", "''", "'CONTEXT:'",
+    "'Forecast direction: ' || forecast_direction", "'Attribution direction: ' || attribution_direction",
+    "'Role relative to forecast: ' || role", "'Influence strength: ' || strength"]
+_PROMPT = f" || {NL} || ".join(f"({x})" for x in _PARTS)
+
+ORACLE["context_render"] = f"""WITH {CTX.replace(FRIDAYS + ',', FRIDAYS + ', ' + DICT + ',', 1)}
+SELECT ssd, driver, {_PROMPT} AS prompt FROM ctx"""
+
+_INS = ["feature_name", "feature_behavior", "shap_interpretation", "forecast_alignment",
+        "influence_strength", "analyst_explanation"]
+
+ORACLE["insight_parse"] = f"""WITH {_ROLE_CTES},
+rl AS (SELECT ssd, driver, attribution_direction{_ROLE_SELECT}),
+fl AS (SELECT ssd, driver, 'full' AS variant, driver AS feature_name, attribution_direction AS feature_behavior,
+  role AS shap_interpretation, forecast_direction AS forecast_alignment, strength AS influence_strength,
+  driver || ' ' || role || ' ' || strength AS analyst_explanation, TRUE AS valid FROM rl),
+cut AS (SELECT ssd, driver, 'cut' AS variant, """ + ", ".join(f"CAST(NULL AS VARCHAR) AS {f}" for f in _INS) + """,
+  FALSE AS valid FROM rl),
+ev AS (SELECT CAST(ts AS DATE) AS ssd, 'props' AS driver, 'props' AS variant, """ + ", ".join(
+    f"CASE WHEN json_valid(props) THEN json_extract_string(props, '$.{f}') END AS {f}" for f in _INS) + """,
+  json_valid(props) AS valid FROM events),
+allr AS (SELECT * FROM fl UNION ALL SELECT * FROM cut UNION ALL SELECT * FROM ev)
+SELECT ssd, driver, variant, """ + ", ".join(_INS) + """, CASE WHEN NOT valid THEN 'malformed' WHEN """ + \
+    " AND ".join(f"{f} IS NOT NULL" for f in _INS) + """ THEN 'ok' ELSE 'incomplete' END AS parse_status FROM allr"""

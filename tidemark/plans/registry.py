@@ -32,6 +32,10 @@ from tidemark.operators.forecast.linear import fit_linear, predictions_wide, sco
 from tidemark.operators.attribution import (
     attribute_linear, attribution_summary, driver_role, sample_background,
 )
+from tidemark.operators.context import (
+    driver_context, history_text, parse_insights, render_driver_context, report_context,
+)
+from tidemark.sources.dictionary import driver_dictionary, with_driver_info
 from tidemark.operators.evaluate import eval_rows, eval_summary, metric_pivot
 from tidemark.operators.forecast.baseline import baseline_predictions, with_baseline
 from tidemark.operators.labels import future_returns
@@ -463,11 +467,14 @@ def request_validation(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- attribution -------------------------------------------------------------
 
-def _attr_inputs(spark, d):
+def _attr_inputs(spark, d, cut: bool = False):
     """Scaled windows of the single series, the samples among them, the
-    report-day windows and the background set."""
+    report-day windows and the background set. ``cut``: checkpoint the
+    scaled windows once when several branches reuse them."""
     frame, params = _params_one(spark, d)
     scaled = lag_windows(apply_robust(frame, params, R.FEATURES), R.FEATURES, R.LAG, with_dates=True)
+    if cut:
+        scaled = materialize(scaled)
     label_days = R.spot_one(spark, d).select("ssd")
     samples = scaled.join(label_days, "ssd", "left_semi")
     report = scaled.join(_report_days(spark, d), "ssd", "left_semi")
@@ -508,12 +515,92 @@ def attribution_summary_q(spark: SparkSession, d: str) -> DataFrame:
     return rounded(attribution_summary(_scores_one(spark, d)))
 
 
-def _linear_path_one(spark, d):
-    report, models, _ = _attr_inputs(spark, d)
+def _linear_path_one(spark, d, inputs=None):
+    report, models, _ = inputs or _attr_inputs(spark, d)
     preds = score_linear(report, models)
     return forecast_path(preds, current_spot(R.spot_one(spark, d), _report_days(spark, d)), R.HORIZON)
 
 
 @query(name="driver_role")
 def driver_role_q(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(driver_role(attribution_summary(_scores_one(spark, d)), _linear_path_one(spark, d)))
+    inputs = _attr_inputs(spark, d, cut=True)
+    report, models, background = inputs
+    summary = attribution_summary(attribute_linear(report, models, background, R.FEATURES))
+    return rounded(driver_role(summary, _linear_path_one(spark, d, inputs)))
+
+
+# ---- dictionary, context, report ---------------------------------------------
+
+def _known_drivers(spark, d):
+    """Drivers of the frame with their count of known values before filling."""
+    merged = R.merged_one(spark, d)
+    counts = merged.agg(*[F.count(c).alias(c) for c in R.FEATURES])
+    return counts.select(F.posexplode(F.array(*[
+        F.struct(F.lit(c).alias("driver"), F.col(c).alias("n_known")) for c in R.FEATURES
+    ])).alias("pos", "s")).select("pos", "s.driver", "s.n_known")
+
+
+@query(name="driver_dictionary")
+def driver_dictionary_q(spark: SparkSession, d: str) -> DataFrame:
+    return with_driver_info(_known_drivers(spark, d), driver_dictionary(spark))
+
+
+def _context_one(spark, d):
+    inputs = _attr_inputs(spark, d, cut=True)
+    report, models, background = inputs
+    scores = attribute_linear(report, models, background, R.FEATURES)
+    summary = attribution_summary(scores)
+    path = _linear_path_one(spark, d, inputs)
+    roles = driver_role(summary, path)
+    history = recent_history(R.frame_one(spark, d), R.FEATURES, _report_days(spark, d), R.LAG)
+    return driver_context(driver_dictionary(spark), history, path, summary, roles)
+
+
+@query
+def table_encode(spark: SparkSession, d: str) -> DataFrame:
+    """Last 10 values of every driver before each Friday as compact text."""
+    history = recent_history(R.frame_one(spark, d), R.FEATURES, _report_days(spark, d), R.LAG)
+    return history_text(history)
+
+
+@query(name="driver_context")
+def driver_context_q(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_context_one(spark, d))
+
+
+@query
+def context_render(spark: SparkSession, d: str) -> DataFrame:
+    return render_driver_context(_context_one(spark, d))
+
+
+def _insight_texts(spark, d):
+    """Insight JSON built from the role table (complete and cut short) and
+    the raw event property text (valid JSON, none of the fields)."""
+    inputs = _attr_inputs(spark, d, cut=True)
+    report, models, background = inputs
+    roles = driver_role(attribution_summary(attribute_linear(report, models, background, R.FEATURES)),
+                        _linear_path_one(spark, d, inputs))
+    full = F.to_json(F.struct(
+        F.col("driver").alias("feature_name"), F.col("attribution_direction").alias("feature_behavior"),
+        F.col("role").alias("shap_interpretation"), F.col("forecast_direction").alias("forecast_alignment"),
+        F.col("strength").alias("influence_strength"),
+        F.concat_ws(" ", "driver", "role", "strength").alias("analyst_explanation")))
+    rows = roles.select("ssd", "driver", full.alias("response"))
+    cut = rows.select("ssd", "driver", F.substring("response", 1, 40).alias("response"))
+    ev = R.table(spark, d, "events").select(F.col("ts").cast("date").alias("ssd"),
+                                            F.lit("props").alias("driver"), F.col("props").alias("response"))
+    return (rows.withColumn("variant", F.lit("full"))
+            .unionByName(cut.withColumn("variant", F.lit("cut")))
+            .unionByName(ev.withColumn("variant", F.lit("props"))))
+
+
+@query
+def insight_parse(spark: SparkSession, d: str) -> DataFrame:
+    return parse_insights(_insight_texts(spark, d), "response").drop("response")
+
+
+@query(name="report_context")
+def report_context_q(spark: SparkSession, d: str) -> DataFrame:
+    """Per Friday: forecast table, spot, sorted driver contexts as JSON and
+    validity (rows-only check: JSON text layout is engine specific)."""
+    return report_context(_context_one(spark, d), horizon=R.HORIZON)
