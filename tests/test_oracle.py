@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as E
 from tests.conftest import SF_SMALL
-from tools.check_oracle import TABLES, rows_of
+from tools.check_oracle import TABLES, close_rows, rows_of
 
 QUERIES = E.queries()
 SQL = E.oracle_sql()
@@ -28,7 +28,10 @@ def test_query_matches_sql(spark, duck, name):
     dcols, drows = [c[0] for c in res.description], res.fetchall()
     assert sorted(scols) == sorted(dcols)
     assert len(srows) == len(drows)
-    assert rows_of(scols, srows) == rows_of(dcols, drows)
+    a, b = rows_of(scols, srows), rows_of(dcols, drows)
+    # exact after the shared 6-place rounding, or equal within 2e-6 where a
+    # value sits on a rounding tie and summation order flips the last place
+    assert a == b or close_rows(a, b)
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))

@@ -397,7 +397,7 @@ bd AS (SELECT ssd, CAST(ssd + CAST(t.i AS INTEGER) AS DATE) AS bday FROM fri CRO
 bk AS (SELECT ssd, CAST(row_number() OVER (PARTITION BY ssd ORDER BY bday) AS INTEGER) AS k, bday FROM bd)
 SELECT s.ssd, s.days_ahead, 'SHAPScoreFor ' || strftime(b.bday, '%Y-%m-%d') AS label, s.lag_step, s.lag_date,
   {r6(reven('s.score', 4), 'score')}
-  FROM sc s JOIN bk b ON b.ssd = s.ssd AND b.k = s.days_ahead WHERE s.driver = 'inventory'"""
+  FROM sc s JOIN bk b ON b.ssd = s.ssd AND b.k = s.days_ahead WHERE s.driver = 'price'"""
 
 SUMM1 = ATTR1 + """,
 sm AS (SELECT ssd, days_ahead, driver, sum(score) AS total, sum(abs(score)) AS abs_total FROM sc GROUP BY ALL),

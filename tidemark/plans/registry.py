@@ -502,8 +502,10 @@ def attribution_long(spark: SparkSession, d: str) -> DataFrame:
 @query
 def attribution_driver(spark: SparkSession, d: str) -> DataFrame:
     """One driver's lag-step scores per horizon, labelled with the target
-    business day, rounded to 4 places."""
-    s = _scores_one(spark, d).where(F.col("driver") == "inventory")
+    business day, rounded to 4 places. The checked driver is the continuous
+    price: integer-valued drivers (daily quantity) put exact decimal ties at
+    the 4th place, where each engine's summation order decides the last bit."""
+    s = _scores_one(spark, d).where(F.col("driver") == "price")
     day = F.element_at(business_days("ssd", R.HORIZON), F.col("days_ahead"))
     return rounded(s.select("ssd", "days_ahead",
                             F.concat(F.lit("SHAPScoreFor "), F.date_format(day, "yyyy-MM-dd")).alias("label"),
