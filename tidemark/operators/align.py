@@ -18,12 +18,16 @@ def pivot_drivers(long_df: DataFrame, drivers: Sequence[str], keys: Iterable[str
     """``(keys…, ssd, driver, value)`` → ``(keys…, ssd, <driver>…)`` with the
     mean per cell. NULL values are removed first, so a date whose every value
     is missing disappears. The driver list is explicit: fixed column order,
-    no extra distinct job, and only listed drivers are read."""
+    no extra distinct job, and only listed drivers are read.
+
+    Planned as one conditional aggregate per driver over a single
+    ``groupBy(keys, ssd)``: one shuffle with a map-side partial aggregate
+    (``pivot()`` would first group by (date, driver) and shuffle twice)."""
     keys = list(keys)
     drivers = list(drivers)
     src = long_df.where(F.col("value").isNotNull() & F.col("driver").isin(drivers))
-    return src.groupBy(*keys, "ssd").pivot("driver", drivers).agg(F.avg("value")) \
-        .select(*keys, "ssd", *drivers)
+    return src.groupBy(*keys, "ssd").agg(*[
+        F.avg(F.when(F.col("driver") == F.lit(c), F.col("value"))).alias(c) for c in drivers])
 
 
 def outer_merge(frames: Sequence[DataFrame], keys: Iterable[str] = ()) -> DataFrame:

@@ -8,9 +8,8 @@ the partial sums (one per group and batch, ``(d+1)²`` doubles each) are
 shuffled by group and solved in a tiny grouped step. No group of samples is
 ever collected in one task, however large a series is.
 
-Score plan: models of a series are packed into one array row, joined to the
-windows by key (broadcast when there is a single series: H rows), and each
-prediction is ``Σ x·w + b`` as a higher-order array expression (codegen).
+Score plan: each series' windows meet that series' models once (co-group)
+and are scored as one matrix product per Arrow block; see ``score_linear``.
 """
 
 from __future__ import annotations
@@ -109,14 +108,72 @@ def pack_models(models: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
 
 
 def dot(xf, w):
-    """Σ xf[i]·w[i] as a JVM array expression."""
+    """Σ xf[i]·w[i] as a higher-order array expression (any length; not
+    code-generated, used when the window shape is unknown)."""
     return F.aggregate(F.zip_with(xf, w, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
 
 
-def score_linear(windows: DataFrame, models: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
+# A single (unkeyed) model set is a parameter table of H rows × d weights;
+# above this many rows it is not a per-horizon model set.
+MAX_GLOBAL_MODELS = 1000
+
+
+def score_linear(windows: DataFrame, models: DataFrame, keys: Iterable[str] = (),
+                 vectorized: bool = True) -> DataFrame:
     """Long predictions ``(keys…, ssd, days_ahead, prediction)`` for every
-    window and every horizon model of its series."""
+    window and every horizon model of its series.
+
+    Vectorized plan: with keys, each series' windows are co-grouped with
+    that series' models (windows are already clustered by series from the
+    window stage) and scored as one ``X·Wᵀ + b`` product in NumPy; a group
+    is one series, bounded by its calendar. Without keys the H×d model
+    table (size-checked) is shipped with the function and every Arrow batch
+    is scored independently. ``vectorized=False`` keeps everything in SQL
+    array expressions (interpreted, slower)."""
     keys = list(keys)
+    if not vectorized:
+        return _score_sql(windows, models, keys)
+    kf = _key_fields(windows, keys)
+    out_schema = T.StructType(kf + [T.StructField("ssd", T.DateType()),
+                                    T.StructField("days_ahead", T.IntegerType()),
+                                    T.StructField("prediction", T.DoubleType())])
+    w = windows.select(*keys, "ssd", F.flatten("x").alias("xf"))
+
+    def score_block(wins: pd.DataFrame, hs, W, b) -> pd.DataFrame:
+        if wins.empty or len(hs) == 0:
+            return pd.DataFrame({f.name: [] for f in out_schema.fields})
+        X = np.vstack(wins["xf"].to_numpy())
+        P = X @ W.T + b
+        n, h = P.shape
+        out = {k: np.repeat(wins[k].to_numpy(), h) for k in keys}
+        out["ssd"] = np.repeat(wins["ssd"].to_numpy(), h)
+        out["days_ahead"] = np.tile(np.asarray(hs, dtype=np.int32), n)
+        out["prediction"] = P.ravel()
+        return pd.DataFrame(out)
+
+    def unpack(m: pd.DataFrame):
+        m = m.sort_values("days_ahead")
+        W = np.vstack(m["weights"].to_numpy()) if len(m) else np.zeros((0, 0))
+        return m["days_ahead"].to_list(), W, m["intercept"].to_numpy(dtype=float)
+
+    mcols = models.select(*keys, "days_ahead", "weights", "intercept")
+    if keys:
+        def per_series(wins: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+            return score_block(wins, *unpack(m))
+        return w.groupBy(*keys).cogroup(mcols.groupBy(*keys)).applyInPandas(per_series, out_schema)
+
+    rows = mcols.limit(MAX_GLOBAL_MODELS + 1).toPandas()
+    if len(rows) > MAX_GLOBAL_MODELS:
+        raise ValueError("an unkeyed model table must be one small model set (per horizon)")
+    hs, W, b = unpack(rows)
+
+    def per_batch(batches):
+        for pdf in batches:
+            yield score_block(pdf, hs, W, b)
+    return w.mapInPandas(per_batch, out_schema)
+
+
+def _score_sql(windows: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
     packed = pack_models(models, keys)
     if keys:
         j = windows.join(packed, keys)

@@ -36,3 +36,15 @@ def future_returns(spot: DataFrame, horizon: int = 5, keys: Iterable[str] = (),
                     F.col("h.predicted_for").alias("predicted_for"),
                     F.col("h.days_ahead").alias("days_ahead"),
                     future_return("h.future", "current_spot_price").alias("y")))
+
+
+def future_return_vectors(spot: DataFrame, horizon: int = 5, keys: Iterable[str] = (),
+                          price: str = "price") -> DataFrame:
+    """``(keys…, ssd, y ARRAY<DOUBLE>, last_target DATE)``: the label vector of
+    every date (horizon order, NULL slots kept) straight from the spot series
+    in one window pass, without exploding and regrouping long labels."""
+    keys = list(keys)
+    w = series_window(keys)
+    ys = [future_return(F.lead(price, d).over(w), F.col(price)) for d in range(1, horizon + 1)]
+    return spot.select(*keys, "ssd", F.array(*ys).alias("y"),
+                       F.lead("ssd", horizon).over(w).alias("last_target"))

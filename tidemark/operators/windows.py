@@ -20,11 +20,16 @@ def lag_windows(frame: DataFrame, cols: Sequence[str], lag: int = 10, keys: Iter
     keys = list(keys)
     w = trailing(keys, lag)
     sel = [*keys, "ssd",
-           F.collect_list(F.array(*[F.col(c).cast("double") for c in cols])).over(w).alias("x")]
+           F.collect_list(F.array(*[F.col(c).cast("double") for c in cols])).over(w).alias("x"),
+           F.count(F.lit(1)).over(w).alias("_n")]
     if with_dates:
         sel.append(F.collect_list("ssd").over(w).alias("lag_dates"))
     out = frame.select(*sel)
-    return out.where(F.size("x") == lag) if complete else out
+    # Completeness is tested on a row count, not on size(x), so plans that
+    # only need window dates never build the arrays (column pruning).
+    if complete:
+        out = out.where(F.col("_n") == lag)
+    return out.drop("_n")
 
 
 def asof_last_n(frame: DataFrame, dates: DataFrame, cols: Sequence[str], n: int,
@@ -69,13 +74,16 @@ def training_set(windows: DataFrame, labels: DataFrame, train_cutoff,
                  keys: Iterable[str] = (), embargo: bool = False) -> DataFrame:
     """Windows ⋈ label vectors on ``(keys, ssd)`` with ``is_train = ssd <
     cutoff`` (with ``embargo`` also every target date before the cutoff).
-    Windows of dates without labels are not samples."""
+    Windows of dates without labels are not samples. ``labels`` is either the
+    long label table or vectors from ``future_return_vectors``."""
     keys = list(keys)
+    vectors = labels if "y" in labels.columns and "days_ahead" not in labels.columns \
+        else label_vectors(labels, keys)
     cutoff = F.lit(train_cutoff).cast("date")
     is_train = F.col("ssd") < cutoff
     if embargo:
         is_train = is_train & (F.col("last_target") < cutoff)
-    return (windows.join(label_vectors(labels, keys), keys + ["ssd"])
+    return (windows.join(vectors, keys + ["ssd"])
             .select(*keys, "ssd", "x", "y", F.coalesce(is_train, F.lit(False)).alias("is_train")))
 
 

@@ -276,14 +276,15 @@ def fixed_w(j: str, h: str) -> str:
 
 
 def score_sql(src: str, part: str = "") -> str:
-    """Σ x·w summed sequentially in window order (oldest row first, drivers
-    in frame order), then + b: the operator's exact arithmetic."""
+    """Σ x·w over the window, + b (the engine sums in BLAS order; values are
+    compared after 6-place rounding)."""
     on = f"r.{part} = e.{part} AND " if part else ""
     keep = f"e.{part}, " if part else ""
     prods = ", ".join(f"r.{q(c)} * {fixed_w(f'(r.rn - e.rn + {LAG - 1}) * {NF} + {i}', 'h.k')}"
                       for i, c in enumerate(FEATS))
     return f"""sc AS (SELECT {keep}e.ssd, CAST(h.k AS INTEGER) AS days_ahead,
-  list_reduce(flatten(list([{prods}] ORDER BY r.rn)), lambda a, b: a + b) + h.k / 1000.0 AS prediction
+  list_reduce(list(list_reduce([{prods}], lambda a, b: a + b) ORDER BY r.rn), lambda a, b: a + b)
+    + h.k / 1000.0 AS prediction
   FROM {src} e JOIN {src} r ON {on}r.rn BETWEEN e.rn - {LAG - 1} AND e.rn
   CROSS JOIN (SELECT unnest(range(1, {H + 1})) AS k) h
   WHERE e.rn >= {LAG} GROUP BY {keep}e.ssd, h.k)"""

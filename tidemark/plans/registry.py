@@ -38,10 +38,11 @@ from tidemark.operators.context import (
 from tidemark.sources.dictionary import driver_dictionary, with_driver_info
 from tidemark.operators.evaluate import eval_rows, eval_summary, metric_pivot
 from tidemark.operators.forecast.baseline import baseline_predictions, with_baseline
-from tidemark.operators.labels import future_returns
+from tidemark.operators.labels import future_return_vectors, future_returns
 from tidemark.plans import roles as R
 
 DIGITS = 6
+SHAPE = (R.LAG, len(R.FEATURES))
 QUERIES: dict = {}
 
 
@@ -360,8 +361,8 @@ def _pipeline_many(spark, d):
     """Per-supplier frame → windows → label vectors → per-supplier scaler →
     scaled windows. The frame feeds three branches, so it is checkpointed
     once (lineage cut, no recomputation)."""
-    frame = materialize(R.frame_many(spark, d))
-    labels = future_returns(R.spot_many(spark, d), R.HORIZON, R.KEYS)
+    frame = materialize(R.frame_many(spark, d), "frame_many")
+    labels = future_return_vectors(R.spot_many(spark, d), R.HORIZON, R.KEYS)
     samples = training_set(lag_windows(frame, R.FEATURES, R.LAG, keys=R.KEYS), labels,
                            R.TRAIN_CUTOFF, keys=R.KEYS)
     ends = samples.where("is_train").select(*R.KEYS, "ssd")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Joins on (series_id, ssd) may reuse a series_id partitioning that the
+    # per-series window stages already produced (no second shuffle).
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
 }
 
@@ -59,14 +63,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
+def materialize(df: DataFrame, name: str | None = None) -> DataFrame:
+    """Cut lineage: write the frame as Parquet into the shared checkpoint
+    folder and read it back.
 
-    Used where a frame feeds several later stages; a lost executor then
-    re-reads the checkpoint instead of recomputing the whole plan.
+    One job (a reliable ``checkpoint()`` without a cache computes its input
+    twice), columnar and compressed, and the re-read frame carries file
+    statistics that adaptive execution uses for join planning. A lost
+    executor re-reads the files instead of recomputing the plan.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name or 'frame'}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
