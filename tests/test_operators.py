@@ -185,3 +185,29 @@ def test_training_set_embargo(spark):
     plain = training_set(w, labels, "2024-01-08").where("is_train").count()
     emb = training_set(w, labels, "2024-01-08", embargo=True).where("is_train").count()
     assert plain == 5 and emb == 3
+
+
+def test_two_pass_fill_equals_window_fill(spark):
+    from tidemark.operators.order import two_pass_fill
+    rng = np.random.default_rng(11)
+    rows = []
+    for s in ("a", "b"):
+        for i in range(40):
+            v = [None if rng.random() < 0.5 else float(rng.normal()) for _ in range(2)]
+            rows.append((s, D[0] + dt.timedelta(days=int(i * 2 + (s == "b"))), *v))
+    df = spark.createDataFrame(rows, "k string, ssd date, u double, v double")
+    for how in ("ffill", "ffill_bfill"):
+        a = sorted(map(tuple, fill(df, ["u", "v"], ["k"], how).collect()))
+        b = sorted(map(tuple, two_pass_fill(df, ["u", "v"], ["k"], how, block_days=5).collect()))
+        assert a == b
+
+
+def test_halo_windows_equal_global_windows(spark):
+    from tidemark.operators.order import halo_lag_windows
+    rows = [(s, D[0] + dt.timedelta(days=i * 3), float(i), float(-i)) for s in ("a", "b") for i in range(37)]
+    df = spark.createDataFrame(rows, "k string, ssd date, u double, v double")
+    a = sorted((r.k, r.ssd, str(r.x), str(r.lag_dates)) for r in
+               lag_windows(df, ["u", "v"], 4, ["k"], with_dates=True).collect())
+    b = sorted((r.k, r.ssd, str(r.x), str(r.lag_dates)) for r in
+               halo_lag_windows(df, ["u", "v"], 4, ["k"], block_rows=5, with_dates=True).collect())
+    assert a == b and len(a) == 2 * (37 - 3)

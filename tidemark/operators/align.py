@@ -97,12 +97,17 @@ def align_sources(series_frames: Sequence[DataFrame], global_frames: Sequence[Da
 
 
 def fill(df: DataFrame, cols: Iterable[str], keys: Iterable[str] = (),
-         how: str = "ffill_bfill") -> DataFrame:
+         how: str = "ffill_bfill", path: str = "window") -> DataFrame:
     """Forward fill each column in date order, then (``ffill_bfill``) fill the
     leading gap with the first known value. ``ffill`` alone never looks
-    ahead. Both frames use the same partition/order spec: one sort."""
+    ahead. Both frames use the same partition/order spec: one sort.
+    ``path="two_pass"`` fills inside date blocks and carries block edges
+    (for a series too long for one task; same result)."""
     keys = list(keys)
     cols = list(cols)
+    if path == "two_pass":
+        from tidemark.operators.order import two_pass_fill
+        return two_pass_fill(df, cols, keys, how)
     w = series_window(keys)
     fwd = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     back = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)

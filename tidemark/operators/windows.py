@@ -12,12 +12,18 @@ from tidemark.operators._common import series_window, trailing
 
 
 def lag_windows(frame: DataFrame, cols: Sequence[str], lag: int = 10, keys: Iterable[str] = (),
-                with_dates: bool = False, complete: bool = True) -> DataFrame:
+                with_dates: bool = False, complete: bool = True, path: str = "window") -> DataFrame:
     """``(keys…, ssd, x ARRAY<ARRAY<DOUBLE>>[, lag_dates])``: the ``lag`` rows
     ending at each row, oldest first, drivers in ``cols`` order. Only full
     windows are kept unless ``complete=False``. One sorted window pass; no
-    per-date rescans."""
+    per-date rescans. ``path="halo"`` splits each series into row blocks
+    with a halo (for a series too long for one task; same result)."""
     keys = list(keys)
+    if path == "halo":
+        if not complete:
+            raise ValueError("the halo path returns complete windows only")
+        from tidemark.operators.order import halo_lag_windows
+        return halo_lag_windows(frame, cols, lag, keys, with_dates=with_dates)
     w = trailing(keys, lag)
     sel = [*keys, "ssd",
            F.collect_list(F.array(*[F.col(c).cast("double") for c in cols])).over(w).alias("x"),

@@ -524,3 +524,8 @@ ev AS (SELECT CAST(ts AS DATE) AS ssd, 'props' AS driver, 'props' AS variant, ""
 allr AS (SELECT * FROM fl UNION ALL SELECT * FROM cut UNION ALL SELECT * FROM ev)
 SELECT ssd, driver, variant, """ + ", ".join(_INS) + """, CASE WHEN NOT valid THEN 'malformed' WHEN """ + \
     " AND ".join(f"{f} IS NOT NULL" for f in _INS) + """ THEN 'ok' ELSE 'incomplete' END AS parse_status FROM allr"""
+
+# ---- scalable paths: identical results to the global window ------------------
+
+ORACLE["feature_frame_two_pass"] = ORACLE["feature_frame"]
+ORACLE["lag_windows_halo"] = ORACLE["lag_windows"]

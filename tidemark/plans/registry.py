@@ -607,3 +607,20 @@ def report_context_q(spark: SparkSession, d: str) -> DataFrame:
     """Per Friday: forecast table, spot, sorted driver contexts as JSON and
     validity (rows-only check: JSON text layout is engine specific)."""
     return report_context(_context_one(spark, d), horizon=R.HORIZON)
+
+
+# ---- scalable paths for one long series (same SQL as the global window) -----
+
+@query
+def feature_frame_two_pass(spark: SparkSession, d: str) -> DataFrame:
+    """The single-series frame filled block by block (two-pass fill)."""
+    return rounded(fill(R.merged_one(spark, d), R.FEATURES, path="two_pass"))
+
+
+@query
+def lag_windows_halo(spark: SparkSession, d: str) -> DataFrame:
+    """Single-series windows through row blocks with a halo (block of 256
+    rows so the halo is exercised many times)."""
+    from tidemark.operators.order import halo_lag_windows
+    w = halo_lag_windows(R.frame_one(spark, d), R.FEATURES, R.LAG, block_rows=256, with_dates=True)
+    return rounded(explode_windows(w, R.FEATURES))
