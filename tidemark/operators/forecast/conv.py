@@ -1,0 +1,182 @@
+"""Temporal-convolution backend as Spark jobs.
+
+* ``fit_conv``: one model per (series, horizon): samples are grouped by
+  ``keys + days_ahead`` and each group trains the NumPy network
+  (``convnet.fit``) in one Python task. A group is one series' training
+  windows for one horizon, bounded by that series' calendar. Returns the
+  parameter vector, input shape and the epoch history.
+* ``conv_history``: epoch rows ``(keys…, days_ahead, epoch, loss, mse,
+  val_loss, val_mse)``.
+* ``score_conv``: inference for every window; per series co-grouped with its
+  models (keys) or with the small model set shipped to every batch.
+* ``attribute_conv``: expected-gradient attribution against a background
+  set, long rows like ``attribute_linear``.
+"""
+
+from __future__ import annotations
+
+from typing import Iterable, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.operators.forecast.convnet import ConvNet, expected_gradients, fit
+
+HISTORY_TYPE = T.ArrayType(T.StructType([
+    T.StructField("epoch", T.IntegerType()), T.StructField("loss", T.DoubleType()),
+    T.StructField("mse", T.DoubleType()), T.StructField("val_loss", T.DoubleType()),
+    T.StructField("val_mse", T.DoubleType())]))
+
+MAX_GLOBAL_MODELS = 1000
+
+
+def _fields(df: DataFrame, keys):
+    return [df.schema[k] for k in keys]
+
+
+def fit_conv(samples: DataFrame, lag: int, n_features: int, keys: Iterable[str] = (),
+             epochs: int = 500, batch: int = 20, val_fraction: float = 0.25,
+             patience: int = 10, seed: int = 42) -> DataFrame:
+    """Models ``(keys…, days_ahead, params, lag, n_features, n, history)``
+    trained on the ``is_train`` samples with a label for the horizon; the
+    hold-out is the chronologically last ``val_fraction`` of each group."""
+    keys = list(keys)
+    flat = (samples.where("is_train")
+            .select(*keys, "ssd", F.flatten("x").alias("xf"), F.posexplode("y").alias("k", "y"))
+            .where(F.col("y").isNotNull())
+            .select(*keys, "ssd", (F.col("k") + 1).alias("days_ahead"), "xf", "y"))
+    schema = T.StructType(_fields(flat, keys) + [
+        T.StructField("days_ahead", T.IntegerType()),
+        T.StructField("params", T.ArrayType(T.DoubleType())),
+        T.StructField("lag", T.IntegerType()), T.StructField("n_features", T.IntegerType()),
+        T.StructField("n", T.LongType()), T.StructField("history", HISTORY_TYPE)])
+    group = keys + ["days_ahead"]
+
+    def train(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ssd")
+        x = np.vstack(pdf["xf"].to_numpy()).reshape(len(pdf), lag, n_features)
+        y = pdf["y"].to_numpy(dtype=float)
+        model, hist = fit(x, y, epochs, batch, val_fraction, patience, seed)
+        row = {k: pdf[k].iloc[0] for k in group}
+        row.update(params=model.to_vector().tolist(), lag=lag, n_features=n_features, n=len(pdf),
+                   history=[dict(epoch=e, loss=lo, mse=m, val_loss=vl, val_mse=vm)
+                            for e, lo, m, vl, vm in hist])
+        return pd.DataFrame([row])
+
+    return flat.groupBy(*group).applyInPandas(train, schema)
+
+
+def conv_history(models: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
+    keys = list(keys)
+    return (models.select(*keys, "days_ahead", F.explode("history").alias("h"))
+            .select(*keys, "days_ahead", "h.epoch", "h.loss", "h.mse", "h.val_loss", "h.val_mse"))
+
+
+def _check_shape(m: pd.DataFrame, lag: int, nf: int) -> None:
+    """A model must have been trained on windows of this shape."""
+    bad = m[(m["lag"] != lag) | (m["n_features"] != nf)]
+    if len(bad):
+        raise ValueError(f"model input shape ({bad['lag'].iloc[0]}, {bad['n_features'].iloc[0]}) "
+                         f"does not match windows ({lag}, {nf})")
+
+
+def _nets(m: pd.DataFrame):
+    m = m.sort_values("days_ahead")
+    return [(int(r.days_ahead), ConvNet.from_vector(r.params, int(r.lag), int(r.n_features)))
+            for r in m.itertuples()]
+
+
+def _grouped(windows: DataFrame, models: DataFrame, keys: list[str], fn, schema: T.StructType,
+             extra: DataFrame | None = None) -> DataFrame:
+    """Run ``fn(windows_pdf, models_pdf)`` per series (co-group) or, without
+    keys, per Arrow batch with the small model set shipped along."""
+    mcols = models.select(*keys, "days_ahead", "params", "lag", "n_features")
+    if keys:
+        return windows.groupBy(*keys).cogroup(mcols.groupBy(*keys)).applyInPandas(fn, schema)
+    rows = mcols.limit(MAX_GLOBAL_MODELS + 1).toPandas()
+    if len(rows) > MAX_GLOBAL_MODELS:
+        raise ValueError("an unkeyed model table must be one small model set (per horizon)")
+
+    def per_batch(batches):
+        for pdf in batches:
+            yield fn(pdf, rows)
+    return windows.mapInPandas(per_batch, schema)
+
+
+def score_conv(windows: DataFrame, models: DataFrame, lag: int, n_features: int,
+               keys: Iterable[str] = ()) -> DataFrame:
+    """Long predictions ``(keys…, ssd, days_ahead, prediction)``."""
+    keys = list(keys)
+    schema = T.StructType(_fields(windows, keys) + [
+        T.StructField("ssd", T.DateType()), T.StructField("days_ahead", T.IntegerType()),
+        T.StructField("prediction", T.DoubleType())])
+    w = windows.select(*keys, "ssd", F.flatten("x").alias("xf"))
+
+    def fn(wins: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        if wins.empty or m.empty:
+            return pd.DataFrame({f.name: [] for f in schema.fields})
+        _check_shape(m, lag, n_features)
+        x = np.vstack(wins["xf"].to_numpy()).reshape(len(wins), lag, n_features)
+        parts = []
+        for h, net in _nets(m):
+            p = wins[keys + ["ssd"]].copy()
+            p["days_ahead"] = np.int32(h)
+            p["prediction"] = net.predict(x)
+            parts.append(p)
+        return pd.concat(parts, ignore_index=True)
+
+    return _grouped(w, models, keys, fn, schema)
+
+
+def attribute_conv(windows: DataFrame, models: DataFrame, background: DataFrame, cols: Sequence[str],
+                   lag: int, keys: Iterable[str] = (), samples: int = 200, seed: int = 42) -> DataFrame:
+    """Expected-gradient scores ``(keys…, ssd, days_ahead, driver, lag_step,
+    lag_date, score)``. The background windows of a series travel with its
+    models (the background is at most a few hundred windows per series)."""
+    keys = list(keys)
+    nf = len(cols)
+    bg = background.select(*keys, F.flatten("x").alias("xf"))
+    bg_packed = bg.groupBy(*keys).agg(F.collect_list("xf").alias("bg")) if keys else \
+        bg.agg(F.collect_list("xf").alias("bg"))
+    m = models.join(bg_packed, keys) if keys else \
+        models.withColumn("_one", F.lit(1)).join(bg_packed.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    schema = T.StructType(_fields(windows, keys) + [
+        T.StructField("ssd", T.DateType()), T.StructField("days_ahead", T.IntegerType()),
+        T.StructField("driver", T.StringType()), T.StructField("lag_step", T.IntegerType()),
+        T.StructField("lag_date", T.DateType()), T.StructField("score", T.DoubleType())])
+    w = windows.select(*keys, "ssd", "lag_dates", F.flatten("x").alias("xf"))
+    names = np.array(list(cols), dtype=object)
+
+    def fn(wins: pd.DataFrame, mp: pd.DataFrame) -> pd.DataFrame:
+        if wins.empty or mp.empty:
+            return pd.DataFrame({f.name: [] for f in schema.fields})
+        _check_shape(mp, lag, nf)
+        x = np.vstack(wins["xf"].to_numpy()).reshape(len(wins), lag, nf)
+        b = np.vstack(list(mp["bg"].iloc[0])).reshape(-1, lag, nf)
+        dates = np.vstack(wins["lag_dates"].to_numpy())
+        parts = []
+        for h, net in _nets(mp):
+            sc = expected_gradients(net, x, b, samples, seed + h).reshape(len(wins), -1)
+            n = len(wins)
+            j = np.tile(np.arange(lag * nf), n)
+            part = {k: np.repeat(wins[k].to_numpy(), lag * nf) for k in keys}
+            part.update(ssd=np.repeat(wins["ssd"].to_numpy(), lag * nf),
+                        days_ahead=np.int32(h), driver=names[j % nf],
+                        lag_step=(j // nf).astype(np.int32),
+                        lag_date=dates[np.repeat(np.arange(n), lag * nf), j // nf],
+                        score=sc.ravel())
+            parts.append(pd.DataFrame(part))
+        return pd.concat(parts, ignore_index=True)
+
+    mm = m.select(*keys, "days_ahead", "params", "lag", "n_features", "bg")
+    if keys:
+        return w.groupBy(*keys).cogroup(mm.groupBy(*keys)).applyInPandas(fn, schema)
+    rows = mm.limit(MAX_GLOBAL_MODELS + 1).toPandas()
+
+    def per_batch(batches):
+        for pdf in batches:
+            yield fn(pdf, rows)
+    return w.mapInPandas(per_batch, schema)

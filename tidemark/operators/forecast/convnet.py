@@ -1,0 +1,211 @@
+"""NumPy temporal-convolution forecaster (runs inside Spark Python tasks).
+
+Architecture (one output per model, one model per horizon):
+conv over time (12 filters, width 5, valid, GELU) → batch normalisation
+(momentum 0.99, ε 1e-3) → flatten (step-major) → dense (tanh) with an L2
+penalty 1e-3 on its kernel and an L1 penalty 1e-4 on its output.
+Objective per batch: ``MSE · 2 / (1 + share of equal signs)`` plus the
+penalties; the direction factor is a per-batch constant (sign has no
+gradient). Adam (lr 1e-3, β 0.9 / 0.999, ε 1e-7), Glorot-uniform kernels.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+# Fixed architecture and optimiser constants.
+FILTERS = 12
+WIDTH = 5
+BN_MOMENTUM = 0.99
+BN_EPS = 1e-3
+L2_KERNEL = 1e-3
+L1_ACTIVITY = 1e-4
+LR, BETA1, BETA2, ADAM_EPS = 1e-3, 0.9, 0.999, 1e-7
+
+_SQRT2 = np.sqrt(2.0)
+_INV_SQRT_2PI = 1.0 / np.sqrt(2.0 * np.pi)
+
+
+def erf(x: np.ndarray) -> np.ndarray:
+    """Vectorised error function (Abramowitz & Stegun 7.1.26, |error| < 1.5e-7)."""
+    s = np.sign(x)
+    a = np.abs(x)
+    t = 1.0 / (1.0 + 0.3275911 * a)
+    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    return s * (1.0 - poly * np.exp(-a * a))
+
+
+def gelu(z):
+    return 0.5 * z * (1.0 + erf(z / _SQRT2))
+
+
+def gelu_grad(z):
+    return 0.5 * (1.0 + erf(z / _SQRT2)) + z * _INV_SQRT_2PI * np.exp(-0.5 * z * z)
+
+
+class ConvNet:
+    """Parameters and forward/backward passes for windows ``(B, lag, F)``."""
+
+    def __init__(self, lag: int, n_features: int, seed: int = 42):
+        if lag < WIDTH:
+            raise ValueError(f"lag must be at least {WIDTH}")
+        self.lag, self.nf = lag, n_features
+        self.steps = lag - WIDTH + 1
+        rng = np.random.default_rng(seed)
+        fan_in, fan_out = WIDTH * n_features, WIDTH * FILTERS
+        lim = np.sqrt(6.0 / (fan_in + fan_out))
+        self.K = rng.uniform(-lim, lim, size=(WIDTH * n_features, FILTERS))
+        self.bk = np.zeros(FILTERS)
+        self.gamma, self.beta = np.ones(FILTERS), np.zeros(FILTERS)
+        self.mm, self.mv = np.zeros(FILTERS), np.ones(FILTERS)
+        d = self.steps * FILTERS
+        lim = np.sqrt(6.0 / (d + 1))
+        self.W = rng.uniform(-lim, lim, size=(d, 1))
+        self.b = np.zeros(1)
+
+    # ---- parameter vector (storage order) ----
+    TRAINABLE = ("K", "bk", "gamma", "beta", "W", "b")
+
+    def to_vector(self) -> np.ndarray:
+        return np.concatenate([self.K.ravel(), self.bk, self.gamma, self.beta, self.mm, self.mv,
+                               self.W.ravel(), self.b])
+
+    @classmethod
+    def from_vector(cls, v, lag: int, n_features: int) -> "ConvNet":
+        m = cls(lag, n_features)
+        v = np.asarray(v, dtype=float)
+        sizes = [m.K.size, FILTERS, FILTERS, FILTERS, FILTERS, FILTERS, m.W.size, 1]
+        if len(v) != sum(sizes):
+            raise ValueError(f"model has {len(v)} parameters, shape ({lag}, {n_features}) needs {sum(sizes)}")
+        parts = np.split(v, np.cumsum(sizes)[:-1])
+        m.K = parts[0].reshape(m.K.shape)
+        m.bk, m.gamma, m.beta, m.mm, m.mv = parts[1:6]
+        m.W = parts[6].reshape(m.W.shape)
+        m.b = parts[7]
+        return m
+
+    def copy(self) -> "ConvNet":
+        return ConvNet.from_vector(self.to_vector(), self.lag, self.nf)
+
+    # ---- passes ----
+    def _patches(self, x):
+        return np.stack([x[:, s:s + WIDTH, :].reshape(x.shape[0], -1) for s in range(self.steps)], axis=1)
+
+    def forward(self, x, training: bool = False):
+        P = self._patches(x)                      # (B, S, W·F)
+        z = P @ self.K + self.bk                  # (B, S, C)
+        c = gelu(z)
+        if training:
+            mu, var = c.mean(axis=(0, 1)), c.var(axis=(0, 1))
+        else:
+            mu, var = self.mm, self.mv
+        inv = 1.0 / np.sqrt(var + BN_EPS)
+        xhat = (c - mu) * inv
+        n = self.gamma * xhat + self.beta
+        flat = n.reshape(x.shape[0], -1)
+        out = np.tanh(flat @ self.W + self.b)[:, 0]
+        cache = dict(P=P, z=z, xhat=xhat, inv=inv, flat=flat, out=out, mu=mu, var=var)
+        return out, cache
+
+    def predict(self, x):
+        return self.forward(x, training=False)[0]
+
+    def loss_terms(self, out, y):
+        """(objective, mse, direction factor) of one batch."""
+        mse = float(np.mean((y - out) ** 2))
+        share = float(np.mean(np.sign(y) == np.sign(out)))
+        pen = 2.0 / (1.0 + share)
+        reg = L2_KERNEL * float(np.sum(self.W ** 2)) + L1_ACTIVITY * float(np.sum(np.abs(out))) / len(out)
+        return mse * pen + reg, mse, pen
+
+    def grads(self, x, y):
+        """Objective, mse and parameter gradients of one training batch."""
+        B = x.shape[0]
+        out, c = self.forward(x, training=True)
+        loss, mse, pen = self.loss_terms(out, y)
+        dout = pen * 2.0 * (out - y) / B + L1_ACTIVITY * np.sign(out) / B
+        dpre = (dout * (1.0 - out ** 2))[:, None]
+        g = {"W": c["flat"].T @ dpre + 2.0 * L2_KERNEL * self.W, "b": dpre.sum(axis=0)}
+        dn = (dpre @ self.W.T).reshape(c["xhat"].shape)
+        g["gamma"] = (dn * c["xhat"]).sum(axis=(0, 1))
+        g["beta"] = dn.sum(axis=(0, 1))
+        dxhat = dn * self.gamma
+        m = dxhat.shape[0] * dxhat.shape[1]
+        dc = c["inv"] / m * (m * dxhat - dxhat.sum(axis=(0, 1))
+                             - c["xhat"] * (dxhat * c["xhat"]).sum(axis=(0, 1)))
+        dz = dc * gelu_grad(c["z"])
+        g["K"] = c["P"].reshape(-1, self.K.shape[0]).T @ dz.reshape(-1, FILTERS)
+        g["bk"] = dz.sum(axis=(0, 1))
+        self.mm = BN_MOMENTUM * self.mm + (1 - BN_MOMENTUM) * c["mu"]
+        self.mv = BN_MOMENTUM * self.mv + (1 - BN_MOMENTUM) * c["var"]
+        return loss, mse, g
+
+    def input_grad(self, x):
+        """∂out/∂x for every window (inference mode), shape (B, lag, F)."""
+        out, c = self.forward(x, training=False)
+        dpre = (1.0 - out ** 2)[:, None]
+        dn = (dpre @ self.W.T).reshape(c["xhat"].shape)
+        dz = dn * self.gamma * c["inv"] * gelu_grad(c["z"])
+        dP = dz @ self.K.T                         # (B, S, W·F)
+        dx = np.zeros_like(x)
+        for s in range(self.steps):
+            dx[:, s:s + WIDTH, :] += dP[:, s, :].reshape(x.shape[0], WIDTH, self.nf)
+        return dx
+
+
+def fit(x: np.ndarray, y: np.ndarray, epochs: int = 500, batch: int = 20, val_fraction: float = 0.25,
+        patience: int = 10, seed: int = 42):
+    """Train on chronologically ordered samples: the last ``val_fraction`` is
+    held out (split before shuffling), batches are reshuffled every epoch,
+    training stops when the validation objective has not improved for
+    ``patience`` epochs and the best weights are restored.
+    Returns (model, history rows (epoch, loss, mse, val_loss, val_mse))."""
+    rng = np.random.default_rng(seed)
+    model = ConvNet(x.shape[1], x.shape[2], seed)
+    split = int(np.floor(len(x) * (1.0 - val_fraction)))
+    xt, yt, xv, yv = x[:split], y[:split], x[split:], y[split:]
+    state = {k: (np.zeros_like(getattr(model, k)), np.zeros_like(getattr(model, k))) for k in ConvNet.TRAINABLE}
+    step, best, best_vec, wait, history = 0, np.inf, model.to_vector(), 0, []
+    for epoch in range(1, epochs + 1):
+        order = rng.permutation(len(xt))
+        losses, mses, weights = [], [], []
+        for i in range(0, len(order), batch):
+            idx = order[i:i + batch]
+            loss, mse, g = model.grads(xt[idx], yt[idx])
+            step += 1
+            for k in ConvNet.TRAINABLE:
+                m, v = state[k]
+                m[...] = BETA1 * m + (1 - BETA1) * g[k]
+                v[...] = BETA2 * v + (1 - BETA2) * g[k] ** 2
+                mh, vh = m / (1 - BETA1 ** step), v / (1 - BETA2 ** step)
+                setattr(model, k, getattr(model, k) - LR * mh / (np.sqrt(vh) + ADAM_EPS))
+            losses.append(loss), mses.append(mse), weights.append(len(idx))
+        if len(xv):
+            vo = model.predict(xv)
+            val_loss, val_mse, _ = model.loss_terms(vo, yv)
+        else:
+            val_loss = val_mse = float("nan")
+        history.append((epoch, float(np.average(losses, weights=weights)),
+                        float(np.average(mses, weights=weights)), float(val_loss), float(val_mse)))
+        monitor = val_loss if len(xv) else history[-1][1]
+        if monitor < best:
+            best, best_vec, wait = monitor, model.to_vector(), 0
+        else:
+            wait += 1
+            if wait >= patience:
+                break
+    return ConvNet.from_vector(best_vec, x.shape[1], x.shape[2]), history
+
+
+def expected_gradients(model: ConvNet, x: np.ndarray, background: np.ndarray, samples: int = 200,
+                       seed: int = 42) -> np.ndarray:
+    """Attribution of every window: mean over seeded draws of a background
+    window ``b`` and ``α ~ U(0,1)`` of ``(x − b) · ∂f/∂x (b + α(x − b))``.
+    Returns (B, lag, F)."""
+    rng = np.random.default_rng(seed)
+    out = np.zeros_like(x)
+    for _ in range(samples):
+        b = background[rng.integers(0, len(background), size=len(x))]
+        a = rng.uniform(size=(len(x), 1, 1))
+        out += (x - b) * model.input_grad(b + a * (x - b))
+    return out / samples
