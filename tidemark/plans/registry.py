@@ -20,7 +20,10 @@ from tidemark.operators.align import fill
 from tidemark.operators.path import current_spot
 from tidemark.operators.profile import LABEL_SCHEMA, profile_labels
 from tidemark.session import materialize, scratch_path
-from tidemark.sources.artifacts import feature_order
+from tidemark.sources.artifacts import (
+    check_model_shape, feature_order, load_models, load_params, load_windows, save_models, save_params,
+    save_windows,
+)
 from tidemark.sources.scan import ingest_snapshot, read_table, scan_prices, write_table
 from tidemark.functions.dates import business_days, is_friday
 from tidemark.operators.path import forecast_path
@@ -677,3 +680,48 @@ def attribution_conv(spark: SparkSession, d: str) -> DataFrame:
     background = sample_background(scaled.join(samples.select("ssd"), "ssd", "left_semi"),
                                    R.BACKGROUND_N, R.SEED)
     return attribute_conv(report, models, background, R.FEATURES, R.LAG, seed=R.SEED)
+
+
+# ---- artifacts and incremental ingest -------------------------------------------
+
+@query
+def windows_dataset(spark: SparkSession, d: str) -> DataFrame:
+    """Training set written partitioned by split and read back (train part
+    only; the split column prunes the read to one folder)."""
+    path = scratch_path(spark, f"windows-{uuid.uuid4().hex}")
+    save_windows(_samples_one(spark, d), path)
+    s = load_windows(spark, path, train_only=True)
+    return rounded(s.select("ssd", "is_train", F.col("x")[R.LAG - 1][0].alias("x_last_price"),
+                            F.posexplode("y").alias("k", "y"))
+                   .select("ssd", "is_train", "x_last_price", (F.col("k") + 1).alias("days_ahead"), "y"))
+
+
+@query
+def scaler_artifact(spark: SparkSession, d: str) -> DataFrame:
+    """Scaler parameters saved as a table and loaded back."""
+    path = scratch_path(spark, f"scaler-{uuid.uuid4().hex}")
+    save_params(_params_one(spark, d)[1], path)
+    return rounded(load_params(spark, path))
+
+
+@query
+def model_artifact(spark: SparkSession, d: str) -> DataFrame:
+    """Per-horizon models saved partitioned by horizon, loaded back (numeric
+    horizon order), checked against the window shape and used to score."""
+    path = scratch_path(spark, f"models-{uuid.uuid4().hex}")
+    save_models(fixed_models(spark, R.LAG * len(R.FEATURES))
+                .withColumn("dim", F.lit(R.LAG * len(R.FEATURES))), path)
+    models = check_model_shape(load_models(spark, path), R.LAG * len(R.FEATURES))
+    return rounded(score_linear(_scaled_windows_one(spark, d), models))
+
+
+@query
+def snapshot_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Orders files ingested by the streaming landing-file ingest, then the
+    spot scan over the snapshot."""
+    from tidemark.streaming import ingest_stream
+    schema = R.table(spark, d, "orders").schema
+    run = uuid.uuid4().hex
+    out = ingest_stream(spark, f"{d.rstrip('/')}/orders*.parquet", schema,
+                        scratch_path(spark, f"stream-out-{run}"), scratch_path(spark, f"stream-ckpt-{run}"))
+    return rounded(scan_prices(spark.read.parquet(out), "o_orderdate", "o_totalprice"))

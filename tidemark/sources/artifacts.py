@@ -35,8 +35,13 @@ def save_windows(samples: DataFrame, path: str) -> None:
 
 
 def load_windows(spark: SparkSession, path: str, train_only: bool = False) -> DataFrame:
+    """Read a window dataset; ``train_only`` reads just the ``is_train=true``
+    folder (partition pruning). Folder values come back as text and are
+    cast to BOOLEAN."""
     df = read_table(spark, path)
-    return df.where(F.col("is_train")) if train_only else df
+    if train_only:
+        df = df.where(F.col("is_train").cast("string") == F.lit("true"))
+    return df.withColumn("is_train", F.col("is_train").cast("string") == F.lit("true"))
 
 
 def save_params(params: DataFrame, path: str) -> None:
@@ -56,3 +61,12 @@ def load_models(spark: SparkSession, path: str) -> DataFrame:
     """Models ordered numerically by horizon (never by file name)."""
     df = read_table(spark, path)
     return df.withColumn("days_ahead", F.col("days_ahead").cast("int"))
+
+
+def check_model_shape(models: DataFrame, dim: int) -> DataFrame:
+    """Fail the job when a stored model was trained on windows of another
+    size (``dim`` = lag × drivers); an empty model set is an error too."""
+    bad = (F.col("dim") != F.lit(dim)) | (F.size("weights") != F.lit(dim))
+    return models.withColumn("weights", F.when(bad, F.raise_error(F.concat(
+        F.lit("model input size "), F.col("dim").cast("string"), F.lit(f" does not match windows ({dim})"))))
+        .otherwise(F.col("weights")))
