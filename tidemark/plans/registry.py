@@ -302,8 +302,12 @@ def fit_split_q(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _params_one(spark, d):
-    frame = R.frame_one(spark, d)
-    ends = _samples_one(spark, d).where("is_train").select("ssd")
+    """Frame (lineage cut once: it feeds the scaler, the windows and the
+    samples) and scaler parameters fitted on the training windows."""
+    frame = materialize(R.frame_one(spark, d), "frame_one")
+    samples = training_set(lag_windows(frame, R.FEATURES, R.LAG),
+                           future_return_vectors(R.spot_one(spark, d), R.HORIZON), R.TRAIN_CUTOFF)
+    ends = samples.where("is_train").select("ssd")
     return frame, fit_robust(frame, R.FEATURES, R.LAG, ends)
 
 
