@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import ship_package
+
 from tidemark.operators.forecast.convnet import ConvNet, expected_gradients, fit
 
 HISTORY_TYPE = T.ArrayType(T.StructType([
@@ -44,6 +46,7 @@ def fit_conv(samples: DataFrame, lag: int, n_features: int, keys: Iterable[str]
     trained on the ``is_train`` samples with a label for the horizon; the
     hold-out is the chronologically last ``val_fraction`` of each group."""
     keys = list(keys)
+    ship_package(samples.sparkSession)
     flat = (samples.where("is_train")
             .select(*keys, "ssd", F.flatten("x").alias("xf"), F.posexplode("y").alias("k", "y"))
             .where(F.col("y").isNotNull())
@@ -110,6 +113,7 @@ def score_conv(windows: DataFrame, models: DataFrame, lag: int, n_features: int,
                keys: Iterable[str] = ()) -> DataFrame:
     """Long predictions ``(keys…, ssd, days_ahead, prediction)``."""
     keys = list(keys)
+    ship_package(windows.sparkSession)
     schema = T.StructType(_fields(windows, keys) + [
         T.StructField("ssd", T.DateType()), T.StructField("days_ahead", T.IntegerType()),
         T.StructField("prediction", T.DoubleType())])
@@ -137,6 +141,7 @@ def attribute_conv(windows: DataFrame, models: DataFrame, background: DataFrame,
     lag_date, score)``. The background windows of a series travel with its
     models (the background is at most a few hundred windows per series)."""
     keys = list(keys)
+    ship_package(windows.sparkSession)
     nf = len(cols)
     bg = background.select(*keys, F.flatten("x").alias("xf"))
     bg_packed = bg.groupBy(*keys).agg(F.collect_list("xf").alias("bg")) if keys else \
@@ -180,3 +185,4 @@ def attribute_conv(windows: DataFrame, models: DataFrame, background: DataFrame,
         for pdf in batches:
             yield fn(pdf, rows)
     return w.mapInPandas(per_batch, schema)
+

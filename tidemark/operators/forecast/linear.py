@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import ship_package
+
 
 def _key_fields(df: DataFrame, keys) -> list[T.StructField]:
     return [df.schema[k] for k in keys]
@@ -49,6 +51,7 @@ def fit_linear(samples: DataFrame, keys: Iterable[str] = (), reg: float = 1e-3,
     not penalised). Windows are expected already scaled.
     """
     keys = list(keys)
+    ship_package(samples.sparkSession)
     flat = flat_samples(samples, keys, split)
     kf = _key_fields(flat, keys)
     gram_schema = T.StructType(kf + [
@@ -131,6 +134,7 @@ def score_linear(windows: DataFrame, models: DataFrame, keys: Iterable[str] = ()
     is scored independently. ``vectorized=False`` keeps everything in SQL
     array expressions (interpreted, slower)."""
     keys = list(keys)
+    ship_package(windows.sparkSession)
     if not vectorized:
         return _score_sql(windows, models, keys)
     kf = _key_fields(windows, keys)
@@ -194,3 +198,4 @@ def predictions_wide(preds: DataFrame, horizon: int, keys: Iterable[str] = ()) -
     return (preds.groupBy(*keys, "ssd").pivot("days_ahead", list(range(1, horizon + 1)))
             .agg(F.first("prediction"))
             .select(*keys, "ssd", *[F.col(str(h)).alias(f"h{h}") for h in range(1, horizon + 1)]))
+

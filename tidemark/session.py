@@ -81,3 +81,29 @@ def materialize(df: DataFrame, name: str | None = None) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-path of the shared checkpoint folder for intermediate tables."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tidemark`` importable in executor Python workers (what
+    ``--py-files`` does): the package is zipped once per SparkContext and
+    added with ``addPyFile``, which distributes it to every executor.
+    Called by the operators that run Python tasks."""
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import zipfile
+
+    root = os.path.dirname(os.path.abspath(__file__))
+    zpath = os.path.join(tempfile.mkdtemp(prefix="tidemark-pyfiles-"), "tidemark.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _dirs, files in os.walk(root):
+            for f in files:
+                if f.endswith((".py", ".json")):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.join("tidemark", os.path.relpath(full, root)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)
