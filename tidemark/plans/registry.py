@@ -177,7 +177,7 @@ def feature_frame_many(spark: SparkSession, d: str) -> DataFrame:
     return rounded(R.frame_many(spark, d))
 
 
-@query
+@query(name="feature_order")
 def feature_order_q(spark: SparkSession, d: str) -> DataFrame:
     """Feature order of the frame with each driver's count of known values
     before filling (a profile of the merged frame)."""
@@ -190,8 +190,6 @@ def feature_order_q(spark: SparkSession, d: str) -> DataFrame:
     return order.join(long, "driver").select("pos", "driver", "n_known")
 
 
-QUERIES["feature_order"] = QUERIES.pop("feature_order_q")
-
 
 @query
 def label_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -217,15 +215,13 @@ def snapshot(spark: SparkSession, d: str) -> DataFrame:
     return rounded(scan_prices(spark.read.parquet(paths["orders"]), "o_orderdate", "o_totalprice"))
 
 
-@query
+@query(name="current_spot")
 def current_spot_q(spark: SparkSession, d: str) -> DataFrame:
     """Spot price (2 places, half-even) for requested dates: every order date
     and the day after it; a date without a price gets status 'missing'."""
     return current_spot(R.spot_one(spark, d), _request_days(spark, d))
 
 
-QUERIES["current_spot"] = QUERIES.pop("current_spot_q")
-
 
 def _request_days(spark, d):
     o = R.table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("ssd"))
@@ -356,14 +352,12 @@ def _scaled_windows_one(spark, d):
     return lag_windows(apply_robust(frame, params, R.FEATURES), R.FEATURES, R.LAG)
 
 
-@query
+@query(name="score_linear")
 def score_linear_q(spark: SparkSession, d: str) -> DataFrame:
     w = _scaled_windows_one(spark, d)
     return rounded(score_linear(w, fixed_models(spark, R.LAG * len(R.FEATURES))))
 
 
-QUERIES["score_linear"] = QUERIES.pop("score_linear_q")
-
 
 def _pipeline_many(spark, d):
     """Per-supplier frame → windows → label vectors → per-supplier scaler →
