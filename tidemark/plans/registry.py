@@ -363,8 +363,9 @@ def _pipeline_many(spark, d):
     """Per-supplier frame → windows → label vectors → per-supplier scaler →
     scaled windows. The frame feeds three branches, so it is checkpointed
     once (lineage cut, no recomputation)."""
-    frame = materialize(R.frame_many(spark, d), "frame_many")
-    labels = future_return_vectors(R.spot_many(spark, d), R.HORIZON, R.KEYS)
+    spot = materialize(R.spot_many(spark, d), "spot_many")  # one scan of the line table
+    frame = materialize(R.frame_many(spark, d, spot), "frame_many")
+    labels = future_return_vectors(spot, R.HORIZON, R.KEYS)
     samples = training_set(lag_windows(frame, R.FEATURES, R.LAG, keys=R.KEYS), labels,
                            R.TRAIN_CUTOFF, keys=R.KEYS)
     ends = samples.where("is_train").select(*R.KEYS, "ssd")

@@ -80,9 +80,10 @@ def frame_one(spark: SparkSession, d: str) -> DataFrame:
     return fill(merged_one(spark, d), FEATURES)
 
 
-def frame_many(spark: SparkSession, d: str) -> DataFrame:
+def frame_many(spark: SparkSession, d: str, spot: DataFrame | None = None) -> DataFrame:
     """Per-supplier feature frame on each supplier's own dates with the
-    date-only drivers attached from the daily calendar."""
-    m = align_sources([spot_many(spark, d)], [index_wide(spark, d), inventory(spark, d),
+    date-only drivers attached from the daily calendar. ``spot``: an already
+    computed ``spot_many`` (so callers that also need labels scan once)."""
+    m = align_sources([spot if spot is not None else spot_many(spark, d)], [index_wide(spark, d), inventory(spark, d),
                                               freight(spark, d)], keys=KEYS, calendar="own")
     return fill(m, ["price"], keys=KEYS)
