@@ -5,10 +5,11 @@ import pytest
 
 import __spark_entry__ as E
 from tests.conftest import SF_SMALL
+from tidemark.plans import oracle, registry
 from tools.check_oracle import TABLES, close_rows, rows_of
 
-QUERIES = E.queries()
-SQL = E.oracle_sql()
+QUERIES = registry.QUERIES
+SQL = oracle.ORACLE
 
 
 @pytest.fixture(scope="module")
