@@ -18,7 +18,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     learns from the labelled documents of the input. Rows that share an id go
     together; rows with a null id are scored by nothing and stay."""
     scores = toxicity_model(spark, docs, sf_dir).score(docs)
-    bad = scores.where(F.col("score") >= THRESHOLD).select("doc_id").distinct()
+    bad = materialize(scores.where(F.col("score") >= THRESHOLD).select("doc_id").distinct(), "toxic")
     return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -33,8 +33,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group: the smallest id. Rows without text form
     no group and stay."""
-    groups = materialize(simhash.simhash_groups(docs.where(F.trim("text") != ""), shingle=3, max_bits=2), "groups")
-    later = groups.where("doc_id <> component_id").select("doc_id")
+    groups = simhash.simhash_groups(docs.where(F.trim("text") != ""), shingle=3, max_bits=2)
+    later = materialize(groups.where("doc_id <> component_id").select("doc_id"), "later")
     return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -14,38 +14,50 @@ from tidemark.llm.components import connected_components
 CHUNK = 1024
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length one, in doubles; scaled first so that no square over- or
+    underflows."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 class ProductCode:
-    """``words ** 3`` directions of the sphere: each the sum of one random word
-    from each of three blocks of coordinates. ``decode`` lists every direction
-    whose inner product with a unit vector is at least ``tail`` standard
-    deviations of a random one, without looking at the others: the two leading
-    blocks are combined, cut by the best the third can add, and the third is
-    read off its sorted scores."""
-
-    def __init__(self, dim: int, words: int = 26, tail: float = 3.2, seed: int = 7):
+    """``codes`` random product codes of ``words ** 2`` directions each: after a
+    random rotation, a direction is a random word of the first half of the
+    coordinates beside one of the second. ``decode`` lists every direction whose
+    inner product with a unit vector is at least ``tail`` standard deviations of
+    a random one. A first word is looked at only where the best second word
+    can lift it over the bound. Several small codes instead of one large one keep
+    the number of filters of a vector near its mean."""
+
+    def __init__(self, dim: int, codes: int = 12, words: int = 40, tail: float = 3.0, seed: int = 7):
         rng = np.random.default_rng([seed, dim])
-        self.words, self.least = words, tail / np.sqrt(dim)
-        self.parts = [p for p in np.array_split(np.arange(dim), 3)]
-        self.codes = []
-        for p in self.parts:
-            c = rng.standard_normal((words, len(p)))
-            norm = np.linalg.norm(c, axis=1, keepdims=True)
-            self.codes.append(c / np.where(norm > 0, norm, 1) * np.sqrt(len(p) / dim))
-
-    def decode(self, x: np.ndarray) -> list[np.ndarray]:
+        self.words, self.least, self.codes = words, tail / np.sqrt(dim), []
+        for _ in range(codes):
+            turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
+            both = []
+            for part in np.array_split(turn, 2, axis=1):
+                c = rng.standard_normal((words, part.shape[1]))
+                c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
+                both.append(part @ c.T * np.sqrt(part.shape[1] / dim))  # scores are x @ this
+            self.codes.append(both)
+
+    def decode(self, x: np.ndarray, step: int = 2048) -> list[np.ndarray]:
         """The sorted filter numbers of each row of unit vectors ``x``."""
-        w = self.words
-        s = [x[:, p] @ c.T for p, c in zip(self.parts, self.codes)]
-        order = np.argsort(-s[2], axis=1, kind="stable")
-        third = np.take_along_axis(s[2], order, axis=1)
         out = []
-        for i in range(len(x)):
-            pair = (s[0][i][:, None] + s[1][i][None, :]).ravel()
-            lead = np.flatnonzero(pair >= self.least - third[i, 0])
-            many = np.searchsorted(-third[i], pair[lead] - self.least, "right")
-            ends = np.cumsum(many)
-            rank = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - many, many)
-            out.append(np.sort(np.repeat(lead, many) * w + order[i, rank]))
+        for at in range(0, len(x), step):
+            rows, found = [], []
+            for k, (one, two) in enumerate(self.codes):
+                s, t = x[at:at + step] @ one, x[at:at + step] @ two
+                row, first = np.nonzero(s >= self.least - t.max(axis=1, keepdims=True))
+                pair, second = np.nonzero(t[row] >= (self.least - s[row, first])[:, None])
+                rows.append(row[pair])
+                found.append((k * self.words + first[pair]) * self.words + second)
+            rows, found = np.concatenate(rows), np.concatenate(found).astype(np.int32)
+            order = np.lexsort((found, rows))
+            ends = np.searchsorted(rows[order], np.arange(1, len(x[at:at + step])))
+            out += np.split(found[order], ends)
         return out
 
 
@@ -96,7 +108,8 @@ def bucket_links(x: np.ndarray, node: np.ndarray, copies: np.ndarray, lists: lis
     return [(n, links[n], root[n]) for n in root]
 
 
-def cosine_groups(vectors: DataFrame, least: float = 0.93, words: int = 26, tail: float = 3.2, id_col: str = "vec_id",
+def cosine_groups(vectors: DataFrame, least: float = 0.93, codes: int = 12, words: int = 40,
+                  tail: float = 3.0, id_col: str = "vec_id",
                   vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row.
 
@@ -107,9 +120,10 @@ def cosine_groups(vectors: DataFrame, least: float = 0.93, words: int = 26, tail
     are compared, in blocks of ``CHUNK`` x ``CHUNK``, the blocks of a large
     filter in tasks of their own. Only verified pairs count, each once, and a
     block returns one row per member, never its pairs. Pairs that share no
-    filter are missed: with the default ``words`` and ``tail`` a pair at 0.93
-    shares about six (recall is measured in the tests). Buckets hold about
-    ``n * P(N(0, 1) > tail)`` vectors of a label: raise both with the table.
+    filter are missed: with the defaults a vector has about 20 filters and 1 in
+    100 pairs at 0.93 shares none (recall is measured in the tests). Buckets
+    hold about ``n * P(N(0, 1) > tail)`` vectors of a label: raise ``codes`` and
+    ``tail`` with the table.
 
     Vectors that are null, zero, empty or hold null or non-finite components,
     and those without label or id, link with nothing: no links, component their
@@ -117,37 +131,33 @@ def cosine_groups(vectors: DataFrame, least: float = 0.93, words: int = 26, tail
     other; one id with several vectors is one vertex of them all. Other columns
     are not read; an empty table gives an empty result.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"),
+    # floats travel as floats; all arithmetic is in doubles
+    wide = "float" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(f"array<{wide}>").alias("v"),
                           F.col(label_col).alias("label"))
     sound = F.expr("vec_id is not null and label is not null and v is not null and size(v) > 0"
                    " and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))"
                    " and exists(v, x -> x <> 0)")
-    ok = rows.where(F.coalesce(sound, F.lit(False))).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
+    ok = rows.where(F.coalesce(sound, F.lit(False))).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0).cast(wide)))
     distinct = materialize(ok.groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")), "vectors")
-    node_schema = pa.schema([("node", pa.int64()), ("copies", pa.int64()), ("v", pa.list_(pa.float64())),
-                             ("dim", pa.int32()), ("filters", pa.list_(pa.int32()))])
     kind = vectors.schema[label_col].dataType
 
     def listed(batches):
-        codes = {}
+        made = {}
         for b in batches:
-            vs = [np.array(v) for v in b.column("v").to_pylist()]
+            vs = b.column("v").to_pylist()
             dims = np.array([len(v) for v in vs])
-            units, filters = [None] * len(vs), [None] * len(vs)
+            filters = [None] * len(vs)
             for d in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == d)
-                x = np.array([vs[i] for i in at])
-                x /= np.abs(x).max(axis=1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                codes.setdefault(d, ProductCode(d, words, tail))
-                for i, u, f in zip(at, x, codes[d].decode(x)):
-                    units[i], filters[i] = u, f.astype(np.int32)
-            cols = [b.column("node"), b.column("copies"), pa.array(units, pa.list_(pa.float64())), pa.array(dims, pa.int32()),
-                    pa.array(filters, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([b.column("label"), *cols], ["label", *node_schema.names])
+                made.setdefault(d, ProductCode(d, codes, words, tail))
+                for i, f in zip(at, made[d].decode(unit(np.array([vs[i] for i in at])))):
+                    filters[i] = f
+            cols = [*b.columns, pa.array(dims, pa.int32()), pa.array(filters, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, "dim", "filters"])
 
     sent = arrow_map(distinct.select("label", "node", "copies", "v"), listed,
-                     f"label {kind.simpleString()}, node long, copies long, v array<double>, dim int, filters array<int>")
+                     f"label {kind.simpleString()}, node long, copies long, v array<{wide}>, dim int, filters array<int>")
     sent = materialize(sent, "filters")
     keyed = sent.select("*", F.explode("filters").alias("f"))
     sizes = (keyed.groupBy("label", "dim", "f").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -178,7 +188,7 @@ def cosine_groups(vectors: DataFrame, least: float = 0.93, words: int = 26, tail
             return
         i, j, f = (t.column(c)[0].as_py() for c in ("i", "j", "f"))
         c = t.column("c").to_numpy()
-        x = t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        x = unit(t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1))
         node, copies = t.column("node").to_numpy(), t.column("copies").to_numpy()
         left = np.flatnonzero(c == i)
         right = left if i == j else np.flatnonzero(c == j)

@@ -134,4 +134,5 @@ def contained_items(docs: DataFrame, items: DataFrame, shingle: int = 5, least:
 def without_leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", **kw) -> DataFrame:
     """Rows of ``docs`` whose document holds no item; rows with a null id stay."""
     bad = contained_items(docs, items, doc_col=doc_col, **kw).select(F.col("doc_id").alias(doc_col)).distinct()
+    bad = materialize(bad, "leaks")
     return docs.join(bad, doc_col, "left_anti").select(*docs.columns)
