@@ -119,10 +119,12 @@ class BoostedTrees:
 
 def fit_quality(stats: DataFrame, labelled: DataFrame, max_rows: int = 20_000, **kw) -> BoostedTrees:
     """Trees from ``labelled(doc_id, y)`` (``y`` 0 or 1, others left out) and
-    their statistics. ``max_rows`` bounds the sample, taken by smallest hash of
-    the id. Without both classes the model is the base rate."""
-    rows = (stats.join(labelled.where("y in (0, 1)"), "doc_id").withColumn("h", F.xxhash64("doc_id"))
-            .orderBy("h", "y", "x").limit(max_rows).select("x", "y").collect())
+    their statistics. ``max_rows`` bounds the labels taken (smallest hashes of the
+    id, chosen before the join). Without both classes the model is the base
+    rate."""
+    chosen = materialize(labelled.where("y in (0, 1)").select("doc_id", "y", F.xxhash64("doc_id").alias("h"))
+                         .orderBy("h", "y").limit(max_rows), "chosen")
+    rows = stats.join(F.broadcast(chosen), "doc_id").orderBy("h", "y", "x").select("x", "y").collect()
     x = np.array([r["x"] for r in rows], float).reshape(-1, len(FEATURES))
     y = np.array([r["y"] for r in rows], float)
     if len(set(y.tolist())) < 2:

@@ -39,7 +39,7 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.ToxicityModel:
     known = labelled(docs, table(spark, sf_dir, "labels"), "toxic", 4, 2)
-    return toxicity.ToxicityModel.fit(docs.select("doc_id", "text").join(known, "doc_id"))
+    return toxicity.ToxicityModel.fit(docs, known)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

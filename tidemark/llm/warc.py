@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 
 from tidemark.llm.common import ship_package
 
@@ -99,11 +99,14 @@ class WarcReader(DataSourceReader):
         self.size = int(options.get("partition_bytes", 64 << 20))
         self.payload = options.get("payload", "true").lower() == "true"
         self.want: dict[str, set] = {}
+        self.there: set[str] = set()
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
-            name = f.attribute[0] if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 else None
-            if name in FIELDS:
+            name = f.attribute[0] if isinstance(f, (EqualTo, In, IsNotNull)) and len(f.attribute) == 1 else None
+            if name in FIELDS and isinstance(f, IsNotNull):
+                self.there.add(name)
+            elif name in FIELDS:
                 values = set(f.value) if isinstance(f, In) else {f.value}
                 self.want[name] = self.want[name] & values if name in self.want else values
             else:
@@ -146,7 +149,7 @@ class WarcReader(DataSourceReader):
                     row[name] = kind(head[key]) if key in head else None
                 except ValueError:
                     row[name] = None
-            if any(row[k] not in v or row[k] is None for k, v in self.want.items()):
+            if any(row[k] is None for k in self.there) or any(row[k] not in v or row[k] is None for k, v in self.want.items()):
                 rec.skip()
                 continue
             row["headers"], row["payload"] = head, None
