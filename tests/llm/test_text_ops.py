@@ -23,9 +23,9 @@ def test_folding_and_exceptions():
     assert toxicity.Lexicon({}).features("") == (0.0, 0.0, 0.0, 0.0)
 
 
-@pytest.mark.parametrize("name,column,least", [("op3_toxicity", "toxic", .85), ("op4_quality", "quality", .95)])
+@pytest.mark.parametrize("name,column,least", [("op3_toxicity", "toxic", .95), ("op4_quality", "quality", .95)])
 def test_scores_on_held_out_labels(spark, name, column, least):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     rows = queries.QUERIES[name](spark, sf).collect()
     labels = {r.doc_id: r[column] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
@@ -117,7 +117,7 @@ def test_secrets(spark, docs_of):
             (4, "ſecret=abcdefg " + "f" * 100_000)]
     rows += [(10 + i, f"some words token = \"{hexed(40)}\" and more") for i in range(60)]
     rows += [(100 + i, f"mail to user{i}.{hexed(3)}@mail{i}.example.com on 10.20.{i}.{i + 1}.99 now") for i in range(60)]
-    rows += [(200, f"key material {hexed(11)}{hexed(12).upper()}{hexed(15)} at the end")]
+    rows += [(200, f"some words credential = \"{hexed(22)}\" and more")]
     found = {r.doc_id: r.findings for r in secret_scan.scan(docs_of(rows)).collect()}
     for i, t in rows:
         base = [f"{x['kind']}:{x['start']}:{x['end']}" for x in found[i] if x["kind"] != "model"]
