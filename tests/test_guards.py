@@ -1,10 +1,7 @@
 """Guards that fail the job instead of producing empty or wrong rows."""
 
-import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from tidemark.operators.forecast.convnet import ConvNet
 from tidemark.sources.artifacts import check_model_shape
 from tidemark.sources.dictionary import driver_dictionary, with_driver_info
 
@@ -24,8 +21,26 @@ def test_model_shape_mismatch_fails(spark):
         check_model_shape(m, 8).collect()
 
 
-def test_conv_parameter_count_checked():
-    v = ConvNet(10, 3).to_vector()
-    with pytest.raises(ValueError, match="parameters"):
-        ConvNet.from_vector(v, 10, 4)
-    assert np.array_equal(ConvNet.from_vector(v, 10, 3).to_vector(), v)
+
+def test_empty_model_set_fails(spark):
+    none = spark.createDataFrame([], "days_ahead int, weights array<double>, intercept double, dim int")
+    with pytest.raises(Exception, match="no model"):
+        check_model_shape(none, 6).collect()
+
+
+def test_cluster_needs_a_shared_folder():
+    from tidemark.session import checkpoint_dir
+
+    class Cluster:
+        """A session whose master is no local one and that names no folder."""
+        master = "spark://host:1"
+        conf = sparkContext = property(lambda self: self)
+
+        def get(self, *a):
+            return None
+
+        def getConf(self):
+            return self
+
+    with pytest.raises(ValueError, match="shared folder"):
+        checkpoint_dir(Cluster())

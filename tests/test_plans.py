@@ -32,3 +32,45 @@ def test_stream_ingest_exactly_once(spark):
     n1 = spark.read.parquet(out).count()
     ingest_stream(spark, pattern, schema, out, ck)
     assert spark.read.parquet(out).count() == n1 == spark.read.parquet(f"{SF_SMALL}/orders.parquet").count()
+
+
+def test_stream_ingest_replays_a_batch_without_duplicates(spark):
+    """The commit mark of the last batch is gone, as after a crash between
+    writing and committing: the restarted query runs that batch again."""
+    import glob
+    import os
+
+    from tidemark.session import scratch_path
+    from tidemark.streaming import ingest_stream
+    schema = spark.read.parquet(f"{SF_SMALL}/orders.parquet").schema
+    run = uuid.uuid4().hex
+    out, ck = scratch_path(spark, f"r-out-{run}"), scratch_path(spark, f"r-ck-{run}")
+    pattern = f"{SF_SMALL}/orders*.parquet"
+    ingest_stream(spark, pattern, schema, out, ck)
+    marks = [f for f in glob.glob(f"{ck.removeprefix('file:')}/commits/*") if os.path.basename(f).isdigit()]
+    assert marks
+    for f in marks:
+        os.remove(f)
+        crc = os.path.join(os.path.dirname(f), f".{os.path.basename(f)}.crc")
+        if os.path.exists(crc):
+            os.remove(crc)
+    ingest_stream(spark, pattern, schema, out, ck)
+    assert spark.read.parquet(out).count() == spark.read.parquet(f"{SF_SMALL}/orders.parquet").count()
+
+
+def test_fill_time_grows_linearly(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.align import fill
+
+    def seconds(n):
+        df = spark.range(n).select(F.expr("date_add(date'1900-01-01', cast(id as int))").alias("ssd"),
+                                   *[F.when(F.col("id") % 7 == k, F.col("id").cast("double")).alias(f"c{k}") for k in range(4)])
+        t = time.time()
+        assert fill(df, ["c0", "c1", "c2", "c3"]).where("c0 is null or c3 is null").count() == 0
+        return time.time() - t
+
+    seconds(1_000)
+    assert seconds(40_000) < 15

@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from tidemark.operators._common import series_window
 
-# Upper bound on rows of the date-only calendar that may be broadcast (one
-# row per day is ~36.6k rows per century; a few MB at a dozen columns).
-MAX_BROADCAST_DATES = 200_000
-
 
 def pivot_drivers(long_df: DataFrame, drivers: Sequence[str], keys: Iterable[str] = ()) -> DataFrame:
     """``(keys…, ssd, driver, value)`` → ``(keys…, ssd, <driver>…)`` with the
@@ -45,7 +41,7 @@ def global_calendar(global_frame: DataFrame) -> DataFrame:
     each column forward filled (back filled before its first value).
 
     Built from the date-only sources alone (never from the per-series
-    tables) and checkpointed, so its size is known before it is broadcast.
+    tables) and checkpointed, so that the planner knows its size.
     """
     from tidemark.session import materialize
 
@@ -67,10 +63,8 @@ def align_sources(series_frames: Sequence[DataFrame], global_frames: Sequence[Da
     dates. The date-only sources become a daily calendar (``global_calendar``)
     whose value on day *t* is the last known value at or before *t*; each
     series row takes the calendar row of its date clamped into the calendar
-    span (before the span → first values, after it → last values). The
-    calendar is broadcast after its row count is checked; above the bound it
-    is joined by shuffle. Equals the union-calendar fill restricted to the
-    series' own dates.
+    span (before the span → first values, after it → last values). Equals the
+    union-calendar fill restricted to the series' own dates.
     """
     keys = list(keys)
     s = outer_merge(series_frames, keys)
@@ -85,14 +79,12 @@ def align_sources(series_frames: Sequence[DataFrame], global_frames: Sequence[Da
         raise ValueError("many series use calendar='own'")
     cal = global_calendar(g)
     gcols = [c for c in cal.columns if c != "ssd"]
-    # One scalar row (span and size) from the small checkpointed calendar.
-    st = cal.agg(F.min("ssd").alias("lo"), F.max("ssd").alias("hi"),
-                 F.count(F.lit(1)).alias("n")).first()
-    side = cal.withColumnRenamed("ssd", "_cal_day")
-    if st["n"] <= MAX_BROADCAST_DATES:
-        side = F.broadcast(side)
-    day = F.least(F.greatest(F.col("ssd"), F.lit(st["lo"])), F.lit(st["hi"]))
-    joined = s.withColumn("_cal_day", day).join(side, "_cal_day", "left")
+    # the calendar's span is one row; the join of the calendar itself is chosen
+    # from the file sizes of the checkpointed table
+    span = cal.agg(F.min("ssd").alias("_lo"), F.max("ssd").alias("_hi"))
+    day = F.least(F.greatest(F.col("ssd"), F.col("_lo")), F.col("_hi"))
+    joined = (s.crossJoin(F.broadcast(span)).withColumn("_cal_day", day)
+              .join(cal.withColumnRenamed("ssd", "_cal_day"), "_cal_day", "left"))
     return joined.select(*keys, "ssd", *[c for c in s.columns if c not in keys and c != "ssd"], *gcols)
 
 
@@ -110,13 +102,16 @@ def fill(df: DataFrame, cols: Iterable[str], keys: Iterable[str] = (),
         return two_pass_fill(df, cols, keys, how)
     w = series_window(keys)
     fwd = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    back = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # after the forward fill only the head is open, and the first known value of
+    # the whole series closes it: one pass, where a frame that shrinks towards
+    # the end would be summed up anew for every row
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     out = []
     for c in df.columns:
         if c in cols:
             v = F.last(c, ignorenulls=True).over(fwd)
             if how == "ffill_bfill":
-                v = F.coalesce(v, F.first(c, ignorenulls=True).over(back))
+                v = F.coalesce(v, F.first(c, ignorenulls=True).over(whole))
             elif how != "ffill":
                 raise ValueError(f"unknown fill {how!r}")
             out.append(v.alias(c))

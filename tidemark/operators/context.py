@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import round_half_even
 from tidemark.functions.text import fmt_fixed, render_table
+from tidemark.sources.dictionary import with_driver_info
+
+# Fixed value: the label that stands before a score's target day.
+SCORE_LABEL = "SHAPScoreFor "
 
 INSIGHT_FIELDS = ["feature_name", "feature_behavior", "shap_interpretation",
                   "forecast_alignment", "influence_strength", "analyst_explanation"]
@@ -54,7 +58,7 @@ def attribution_text(summary: DataFrame, path: DataFrame, keys: Iterable[str] =
     keys = list(keys)
     p = path.select(*keys, "ssd", "days_ahead", "future_date")
     s = summary.join(p, keys + ["ssd", "days_ahead"])
-    label = F.concat(F.lit("SHAPScoreFor "), F.date_format("future_date", "yyyy-MM-dd"))
+    label = F.concat(F.lit(SCORE_LABEL), F.date_format("future_date", "yyyy-MM-dd"))
     return encode_table(s, keys + ["ssd", "driver"], "days_ahead",
                         [label, fmt_fixed(round_half_even("total", 4), 4)],
                         ["horizon", "score"], out="attribution")
@@ -71,30 +75,29 @@ def driver_context(info: DataFrame, history: DataFrame, path: DataFrame, summary
     f = path_text(path, keys)
     r = roles.select(*on, "attribution_direction", "forecast_direction", "role", "strength")
     base = h.join(a, on).join(r, on).join(f, keys + ["ssd"])
-    return base.join(F.broadcast(info), "driver", "left")
+    return with_driver_info(base, info)
 
 
 def render_driver_context(ctx: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
-    """``(keys…, ssd, driver, prompt)``: the per-driver context as text (our
-    own wording), numbers in fixed formats."""
+    """``(keys…, ssd, driver, prompt)``: one keyed record per driver. A head of
+    ``name=value`` fields says what the driver is and where it stands; three
+    tables follow, each under a line that names it and its columns' meaning."""
     keys = list(keys)
+
+    def field(name, value):
+        return F.concat(F.lit(f"{name}="), F.coalesce(value, F.lit("-")))
+
     text = F.concat_ws(
         "\n",
-        F.concat(F.lit("ANALYSIS DATE: "), F.date_format("ssd", "yyyy-MM-dd")),
-        F.concat(F.lit("CURRENT PRICE: "), fmt_fixed(round_half_even("current_spot", 1), 1)),
-        F.lit(""), F.lit("DRIVER"),
-        F.concat(F.lit("Name: "), F.col("business_name")),
-        F.concat(F.lit("Asset class: "), F.coalesce("asset_class", F.lit(""))),
-        F.concat(F.lit("Role: "), F.coalesce("macro_role", F.lit(""))),
-        F.concat(F.lit("Relation to target: "), F.coalesce("relationship_to_target", F.lit(""))),
-        F.lit(""), F.lit("RECENT DRIVER DATA:"), F.col("history"),
-        F.lit(""), F.lit("MODEL FORECAST:"), F.col("forecast"),
-        F.lit(""), F.lit("ATTRIBUTION:"), F.col("attribution"),
-        F.lit(""), F.lit("CONTEXT:"),
-        F.concat(F.lit("Forecast direction: "), F.col("forecast_direction")),
-        F.concat(F.lit("Attribution direction: "), F.col("attribution_direction")),
-        F.concat(F.lit("Role relative to forecast: "), F.col("role")),
-        F.concat(F.lit("Influence strength: "), F.col("strength")))
+        F.concat_ws(" ", F.lit("[driver]"), field("id", F.col("driver")), field("on", F.date_format("ssd", "yyyy-MM-dd")),
+                    field("spot", fmt_fixed(round_half_even("current_spot", 1), 1))),
+        F.concat_ws("; ", field("stance", F.col("role")), field("weight", F.col("strength")),
+                    field("pushes", F.col("attribution_direction")), field("path", F.col("forecast_direction"))),
+        F.concat_ws("; ", field("title", F.col("business_name")), field("class", F.col("asset_class")),
+                    field("theme", F.col("macro_role")), field("link", F.col("relationship_to_target"))),
+        F.lit("[scores] total per horizon"), F.col("attribution"),
+        F.lit("[path] price per business day"), F.col("forecast"),
+        F.lit("[series] latest values, oldest first"), F.col("history"))
     return ctx.select(*keys, "ssd", "driver", text.alias("prompt"))
 
 

@@ -1,2 +1 @@
-"""Forecasters: a JVM-only baseline, a linear direct model per horizon, and
-the temporal-convolution model (NumPy inside grouped Arrow batches)."""
+"""Forecasters: a JVM-only baseline and a linear direct model per horizon."""

@@ -29,6 +29,10 @@ def _key_fields(df: DataFrame, keys) -> list[T.StructField]:
     return [df.schema[k] for k in keys]
 
 
+#: Sums that a task keeps before it passes them on.
+MAX_HELD_GROUPS = 64
+
+
 def flat_samples(samples: DataFrame, keys: Iterable[str] = (), split: str | None = "train") -> DataFrame:
     """``(keys…, days_ahead, xf ARRAY<DOUBLE>, y)`` with labelled rows only.
     ``split``: 'train' (is_train and not is_val when present), 'all' or None."""
@@ -64,6 +68,15 @@ def fit_linear(samples: DataFrame, keys: Iterable[str] = (), reg: float = 1e-3,
     group_cols = keys + ["days_ahead"]
 
     def partial(batches):
+        """One sum per group and task; a task that meets many groups (series lie
+        together after the window stage) passes finished ones on."""
+        held: dict = {}
+
+        def flush():
+            rows = [dict(zip(group_cols, k)) | dict(gram=g.ravel(), xty=b, yy=yy, n=n) for k, (g, b, yy, n) in held.items()]
+            held.clear()
+            return pd.DataFrame(rows)
+
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -72,9 +85,12 @@ def fit_linear(samples: DataFrame, keys: Iterable[str] = (), reg: float = 1e-3,
                 X = np.hstack([X, np.ones((X.shape[0], 1))])
                 y = g["y"].to_numpy(dtype=float)
                 gk = gkey if isinstance(gkey, tuple) else (gkey,)
-                row = dict(zip(group_cols, gk))
-                row.update(gram=(X.T @ X).ravel(), xty=X.T @ y, yy=float(y @ y), n=len(y))
-                yield pd.DataFrame([row])
+                now = (X.T @ X, X.T @ y, float(y @ y), len(y))
+                held[gk] = tuple(a + b for a, b in zip(held[gk], now)) if gk in held else now
+            if len(held) > MAX_HELD_GROUPS:
+                yield flush()
+        if held:
+            yield flush()
 
     parts = flat.mapInPandas(partial, gram_schema)
 
@@ -116,27 +132,20 @@ def dot(xf, w):
     return F.aggregate(F.zip_with(xf, w, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
 
 
-# A single (unkeyed) model set is a parameter table of H rows × d weights;
-# above this many rows it is not a per-horizon model set.
-MAX_GLOBAL_MODELS = 1000
-
-
-def score_linear(windows: DataFrame, models: DataFrame, keys: Iterable[str] = (),
-                 vectorized: bool = True) -> DataFrame:
+def score_linear(windows: DataFrame, models: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
     """Long predictions ``(keys…, ssd, days_ahead, prediction)`` for every
     window and every horizon model of its series.
 
-    Vectorized plan: with keys, each series' windows are co-grouped with
-    that series' models (windows are already clustered by series from the
-    window stage) and scored as one ``X·Wᵀ + b`` product in NumPy; a group
-    is one series, bounded by its calendar. Without keys the H×d model
-    table (size-checked) is shipped with the function and every Arrow batch
-    is scored independently. ``vectorized=False`` keeps everything in SQL
-    array expressions (interpreted, slower)."""
+    With keys, each series' windows are co-grouped with that series' models
+    (windows are already clustered by series from the window stage) and scored
+    as one ``X·Wᵀ + b`` product in NumPy; a group is one series, bounded by its
+    calendar. Without keys the models are packed into one row, which joins every
+    window, and the product is an array expression: nothing runs while the plan
+    is built and no model passes through the driver."""
     keys = list(keys)
+    if not keys:
+        return _score_packed(windows, models)
     ship_package(windows.sparkSession)
-    if not vectorized:
-        return _score_sql(windows, models, keys)
     kf = _key_fields(windows, keys)
     out_schema = T.StructType(kf + [T.StructField("ssd", T.DateType()),
                                     T.StructField("days_ahead", T.IntegerType()),
@@ -161,35 +170,19 @@ def score_linear(windows: DataFrame, models: DataFrame, keys: Iterable[str] = ()
         return m["days_ahead"].to_list(), W, m["intercept"].to_numpy(dtype=float)
 
     mcols = models.select(*keys, "days_ahead", "weights", "intercept")
-    if keys:
-        def per_series(wins: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-            return score_block(wins, *unpack(m))
-        return w.groupBy(*keys).cogroup(mcols.groupBy(*keys)).applyInPandas(per_series, out_schema)
 
-    rows = mcols.limit(MAX_GLOBAL_MODELS + 1).toPandas()
-    if len(rows) > MAX_GLOBAL_MODELS:
-        raise ValueError("an unkeyed model table must be one small model set (per horizon)")
-    hs, W, b = unpack(rows)
-
-    def per_batch(batches):
-        for pdf in batches:
-            yield score_block(pdf, hs, W, b)
-    return w.mapInPandas(per_batch, out_schema)
+    def per_series(wins: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        return score_block(wins, *unpack(m))
+    return w.groupBy(*keys).cogroup(mcols.groupBy(*keys)).applyInPandas(per_series, out_schema)
 
 
-def _score_sql(windows: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
-    packed = pack_models(models, keys)
-    if keys:
-        j = windows.join(packed, keys)
-    else:
-        j = windows.withColumn("_one", F.lit(1)).join(
-            F.broadcast(packed.withColumn("_one", F.lit(1))), "_one").drop("_one")
+def _score_packed(windows: DataFrame, models: DataFrame) -> DataFrame:
+    joined = windows.select("ssd", F.flatten("x").alias("_xf")).crossJoin(F.broadcast(pack_models(models)))
     preds = F.transform("models", lambda m: F.struct(
         m["days_ahead"].alias("days_ahead"),
         (dot(F.col("_xf"), m["weights"]) + m["intercept"]).alias("prediction")))
-    return (j.select(*keys, "ssd", F.flatten("x").alias("_xf"), "models")
-            .select(*keys, "ssd", F.explode(preds).alias("p"))
-            .select(*keys, "ssd", "p.days_ahead", "p.prediction"))
+    return (joined.select("ssd", F.explode(preds).alias("p"))
+            .select("ssd", "p.days_ahead", "p.prediction"))
 
 
 def predictions_wide(preds: DataFrame, horizon: int, keys: Iterable[str] = ()) -> DataFrame:

@@ -91,7 +91,7 @@ def two_pass_fill(df: DataFrame, cols: Sequence[str], keys: Iterable[str] = (),
                          wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias(f"_f_{c}")
                        for c in cols],
                      *[F.first(c, ignorenulls=True).over(
-                         wb.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias(f"_b_{c}")
+                         wb.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(f"_b_{c}")
                        for c in cols])
     # one row per block: its last and first known value of every column
     edge = d.groupBy(*keys, "_blk").agg(
@@ -102,7 +102,8 @@ def two_pass_fill(df: DataFrame, cols: Sequence[str], keys: Iterable[str] = (),
                         *[F.last(f"_l_{c}", ignorenulls=True).over(
                             wk.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_cf_{c}") for c in cols],
                         *[F.first(f"_e_{c}", ignorenulls=True).over(
-                            wk.rowsBetween(1, Window.unboundedFollowing)).alias(f"_cb_{c}") for c in cols])
+                            wk.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(f"_cb_{c}")
+                          for c in cols])
     j = local.join(carry, keys + ["_blk"], "left")
     out = []
     for c in df.columns:

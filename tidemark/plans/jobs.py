@@ -16,7 +16,6 @@ from tidemark.operators.attribution import (
 )
 from tidemark.operators.context import driver_context, render_driver_context, report_context
 from tidemark.operators.evaluate import eval_rows, eval_summary, metric_pivot
-from tidemark.operators.forecast.conv import conv_history, fit_conv, score_conv
 from tidemark.operators.forecast.linear import fit_linear, score_linear
 from tidemark.operators.labels import future_return_vectors, future_returns
 from tidemark.operators.path import current_spot, forecast_path
@@ -64,10 +63,10 @@ def training_job(spark: SparkSession, spot: DataFrame, out: str, lag: int, horiz
     return path
 
 
-def fit_job(spark: SparkSession, out: str, lag: int, keys: Iterable[str] = (), backend: str = "linear",
+def fit_job(spark: SparkSession, out: str, lag: int, keys: Iterable[str] = (),
             val_fraction: float = 0.25, **opts) -> str:
-    """E4: scaler (fitted on the training windows), scaled samples, one model
-    per horizon (and series), and the fit history for the conv backend."""
+    """E4: scaler (fitted on the training windows), scaled samples and one
+    model per horizon (and series)."""
     keys = list(keys)
     frame = read_table(spark, _p(out, "features"))
     cols = [r.driver for r in read_table(spark, _p(out, "feature_order")).orderBy("pos").collect()]
@@ -81,35 +80,17 @@ def fit_job(spark: SparkSession, out: str, lag: int, keys: Iterable[str] = (), b
     scaled_samples = scaled.join(samples.select(*keys, "ssd", "y", "is_train"), keys + ["ssd"])
     write_table(scaled_samples, _p(out, "scaled_windows"))
     scaled_samples = read_table(spark, _p(out, "scaled_windows"))
-    if backend == "linear":
-        train = fit_split(scaled_samples.where("is_train"), val_fraction, keys)
-        models = fit_linear(train, keys, **opts)
-    elif backend == "conv":
-        models = fit_conv(scaled_samples, lag, len(cols), keys, val_fraction=val_fraction, **opts)
-    else:
-        raise ValueError(f"unknown backend {backend!r}")
-    path = _p(out, f"models_{backend}")
-    save_models(models, path)
-    if backend == "conv":
-        write_table(conv_history(read_table(spark, path), keys), _p(out, "fit_history"))
+    train = fit_split(scaled_samples.where("is_train"), val_fraction, keys)
+    path = _p(out, "models_linear")
+    save_models(fit_linear(train, keys, **opts), path)
     return path
 
 
-def _score(spark, out, lag, n_features, keys, backend):
-    scaled = read_table(spark, _p(out, "scaled_windows"))
-    models = read_table(spark, _p(out, f"models_{backend}"))
-    if backend == "linear":
-        return score_linear(scaled, models, keys)
-    return score_conv(scaled, models, lag, n_features, keys)
-
-
-def backtest_job(spark: SparkSession, out: str, lag: int, eval_boundary, keys: Iterable[str] = (),
-                 backend: str = "linear") -> dict[str, str]:
+def backtest_job(spark: SparkSession, out: str, lag: int, eval_boundary, keys: Iterable[str] = ()) -> dict[str, str]:
     """E5: predictions for every window, evaluation rows, MAPE and DA pivots
     and the long summary (persisted, unlike the source, which only logs)."""
     keys = list(keys)
-    n_features = read_table(spark, _p(out, "feature_order")).count()
-    preds = _score(spark, out, lag, n_features, keys, backend)
+    preds = score_linear(read_table(spark, _p(out, "scaled_windows")), read_table(spark, _p(out, "models_linear")), keys)
     write_table(preds, _p(out, "predictions"))
     rows = eval_rows(read_table(spark, _p(out, "labels")), read_table(spark, _p(out, "predictions")),
                      eval_boundary, keys)
@@ -126,21 +107,25 @@ def backtest_job(spark: SparkSession, out: str, lag: int, eval_boundary, keys: I
 def report_job(spark: SparkSession, requests: DataFrame, spot: DataFrame, out: str, lag: int, horizon: int,
                keys: Iterable[str] = (), start: str | None = None, end: str | None = None,
                background_n: int = 100, seed: int = 42) -> dict[str, str]:
-    """E6 (linear backend): validate the requested dates, then per valid date
-    and driver the forecast path, attribution, role labels, history and the
-    rendered context; one report-context row per date."""
+    """E6: validate the requested dates, then per valid date and driver (and
+    series, for every series with a spot on that date) the forecast path,
+    attribution, role labels, history and the rendered context; one
+    report-context row per date, and one outcome row per request. A date that is
+    requested twice is computed once."""
     keys = list(keys)
     kw = {k: v for k, v in (("start", start), ("end", end)) if v}
     checked = validate_requests(requests, **kw)
     write_table(checked, _p(out, "requests"))
-    days = read_table(spark, _p(out, "requests")).where("is_valid").select(F.col("report_date").alias("ssd"))
+    days = read_table(spark, _p(out, "requests")).where("is_valid").select(F.col("report_date").alias("ssd")).distinct()
+    if keys:
+        days = days.join(spot.select(*keys, "ssd").distinct(), "ssd").select(*keys, "ssd")
     frame = read_table(spark, _p(out, "features"))
     cols = [r.driver for r in read_table(spark, _p(out, "feature_order")).orderBy("pos").collect()]
     params = read_table(spark, _p(out, "scaler"))
     models = read_table(spark, _p(out, "models_linear"))
     scaled = lag_windows(apply_robust(frame, params, cols, keys), cols, lag, keys, with_dates=True)
     samples = read_table(spark, _p(out, "windows")).select(*keys, "ssd")
-    report = scaled.join(days, "ssd", "left_semi")
+    report = scaled.join(days, keys + ["ssd"], "left_semi")
     background = sample_background(scaled.join(samples, keys + ["ssd"], "left_semi"), background_n, seed, keys)
     summary = attribution_summary(attribute_linear(report, models, background, cols, keys), keys)
     path = forecast_path(score_linear(report, models, keys), current_spot(spot, days, keys), horizon, keys)
@@ -151,4 +136,18 @@ def report_job(spark: SparkSession, requests: DataFrame, spot: DataFrame, out: s
     ctx = read_table(spark, _p(out, "driver_context"))
     write_table(render_driver_context(ctx, keys), _p(out, "driver_prompts"))
     write_table(report_context(ctx, keys, horizon), _p(out, "report_context"))
-    return {n: _p(out, n) for n in ("requests", "driver_context", "driver_prompts", "report_context")}
+    done = read_table(spark, _p(out, "report_context")).groupBy("ssd").agg(
+        F.count(F.lit(1)).alias("n_reports"), F.min("reason").alias("_why"))
+    write_table(request_outcomes(read_table(spark, _p(out, "requests")), done), _p(out, "outcomes"))
+    return {n: _p(out, n) for n in ("requests", "outcomes", "driver_context", "driver_prompts", "report_context")}
+
+
+def request_outcomes(checked: DataFrame, done: DataFrame) -> DataFrame:
+    """One row per request with ``status``: 'rejected' by validation, 'failed' when
+    the date has no complete report (no spot, window or path), else 'done'."""
+    j = checked.join(done.withColumnRenamed("ssd", "report_date"), "report_date", "left")
+    status = (F.when(~F.col("is_valid"), "rejected")
+              .when(F.col("n_reports").isNull() | F.col("_why").isNotNull(), "failed").otherwise("done"))
+    missing = F.when(status == "failed", F.coalesce("_why", F.lit("no spot or window for the date")))
+    return (j.withColumn("n_reports", F.coalesce("n_reports", F.lit(0)))
+            .withColumn("status", status).withColumn("outcome_reason", missing).drop("_why"))

@@ -5,6 +5,7 @@ places as in the registry."""
 from __future__ import annotations
 
 from tidemark.operators.attribution import MODERATE_SHARE as MODERATE, STRONG_SHARE as STRONG
+from tidemark.operators.context import INSIGHT_FIELDS, SCORE_LABEL
 from tidemark.plans import roles as R
 
 H, LAG = R.HORIZON, R.LAG
@@ -216,8 +217,8 @@ SELECT e.ssd, CAST(r.rn - e.rn + {LAG - 1} AS INTEGER) AS step, r.ssd AS lag_dat
 
 ORACLE["lag_windows_many"] = f"""WITH {FRM}
 SELECT e.series_id, e.ssd, CAST(r.rn - e.rn + {LAG - 1} AS INTEGER) AS step, r.ssd AS lag_date, {VALS}
-  FROM frm e JOIN frm r ON r.series_id = e.series_id AND r.rn BETWEEN e.rn - {LAG - 1} AND e.rn
-  WHERE e.rn >= {LAG}"""
+  FROM (SELECT series_id, ssd, rn, rn - unnest(range(0, {LAG})) AS at FROM frm WHERE rn >= {LAG}) e
+  JOIN frm r ON r.series_id = e.series_id AND r.rn = e.at"""
 
 ORACLE["asof_windows"] = f"""WITH {FR1},
 pb AS (SELECT DISTINCT CAST(o_orderdate AS DATE) + 3 AS ssd FROM orders WHERE o_orderdate IS NOT NULL),
@@ -396,9 +397,9 @@ ORACLE["attribution_driver"] = f"""WITH {ATTR1},
 bd AS (SELECT ssd, CAST(ssd + CAST(t.i AS INTEGER) AS DATE) AS bday FROM fri CROSS JOIN range(1, 15) t(i)
   WHERE isodow(CAST(ssd + CAST(t.i AS INTEGER) AS DATE)) <= 5),
 bk AS (SELECT ssd, CAST(row_number() OVER (PARTITION BY ssd ORDER BY bday) AS INTEGER) AS k, bday FROM bd)
-SELECT s.ssd, s.days_ahead, 'SHAPScoreFor ' || strftime(b.bday, '%Y-%m-%d') AS label, s.lag_step, s.lag_date,
-  {r6(reven('s.score', 4), 'score')}
-  FROM sc s JOIN bk b ON b.ssd = s.ssd AND b.k = s.days_ahead WHERE s.driver = 'price'"""
+SELECT s.ssd, s.days_ahead, '{SCORE_LABEL}' || strftime(b.bday, '%Y-%m-%d') AS label, s.lag_step, s.lag_date,
+  {r6('s.score', 'score')}, s.driver
+  FROM sc s JOIN bk b ON b.ssd = s.ssd AND b.k = s.days_ahead"""
 
 SUMM1 = ATTR1 + """,
 sm AS (SELECT ssd, days_ahead, driver, sum(score) AS total, sum(abs(score)) AS abs_total FROM sc GROUP BY ALL),
@@ -480,7 +481,7 @@ ftx AS (SELECT ssd, first(current_spot) AS current_spot,
   {table_text('FutureDates,ForecastedPrice', "strftime(future_date, '%Y-%m-%d') || ',' || printf('%d', forecast_price)", 'days_ahead')} AS forecast
   FROM fpt GROUP BY ssd),
 atx AS (SELECT s.ssd, s.driver,
-  {table_text('horizon,score', "'SHAPScoreFor ' || strftime(f.future_date, '%Y-%m-%d') || ',' || printf('%.4f', " + reven('s.total', 4) + ")", 's.days_ahead')} AS attribution
+  {table_text('horizon,score', f"'{SCORE_LABEL}' || strftime(f.future_date, '%Y-%m-%d') || ',' || printf('%.4f', " + reven('s.total', 4) + ")", 's.days_ahead')} AS attribution
   FROM sm2 s JOIN fpt f ON f.ssd = s.ssd AND f.days_ahead = s.days_ahead GROUP BY s.ssd, s.driver),
 {HIST},
 ctx AS (SELECT ht.ssd, ht.driver, ht.history, atx.attribution, rl.attribution_direction, rl.forecast_direction,
@@ -494,22 +495,19 @@ ORACLE["driver_context"] = f"""WITH {CTX.replace(FRIDAYS + ',', FRIDAYS + ', ' +
 SELECT ssd, driver, history, attribution, attribution_direction, forecast_direction, role, strength, forecast,
   {r6('current_spot', 'current_spot')}, business_name, asset_class, macro_role, relationship_to_target FROM ctx"""
 
-_PARTS = [
-    "'ANALYSIS DATE: ' || strftime(ssd, '%Y-%m-%d')",
-    f"'CURRENT PRICE: ' || printf('%.1f', {reven('current_spot', 1)})", "''", "'DRIVER'",
-    "'Name: ' || business_name", "'Asset class: ' || coalesce(asset_class, '')",
-    "'Role: ' || coalesce(macro_role, '')", "'Relation to target: ' || coalesce(relationship_to_target, '')",
-    "''", "'RECENT DRIVER DATA:'", "history", "''", "'MODEL FORECAST:'", "forecast", "''",
-    "'ATTRIBUTION:'", "attribution", "''", "'CONTEXT:'",
-    "'Forecast direction: ' || forecast_direction", "'Attribution direction: ' || attribution_direction",
-    "'Role relative to forecast: ' || role", "'Influence strength: ' || strength"]
-_PROMPT = f" || {NL} || ".join(f"({x})" for x in _PARTS)
+_PROMPT = f" || {NL} || ".join(f"({x})" for x in [
+    f"'[driver] id=' || driver || ' on=' || strftime(ssd, '%Y-%m-%d') || ' spot=' || printf('%.1f', {reven('current_spot', 1)})",
+    "'stance=' || coalesce(role, '-') || '; weight=' || coalesce(strength, '-') || '; pushes=' || "
+    "coalesce(attribution_direction, '-') || '; path=' || coalesce(forecast_direction, '-')",
+    "'title=' || coalesce(business_name, '-') || '; class=' || coalesce(asset_class, '-') || '; theme=' || "
+    "coalesce(macro_role, '-') || '; link=' || coalesce(relationship_to_target, '-')",
+    "'[scores] total per horizon'", "attribution", "'[path] price per business day'", "forecast",
+    "'[series] latest values, oldest first'", "history"])
 
 ORACLE["context_render"] = f"""WITH {CTX.replace(FRIDAYS + ',', FRIDAYS + ', ' + DICT + ',', 1)}
 SELECT ssd, driver, {_PROMPT} AS prompt FROM ctx"""
 
-_INS = ["feature_name", "feature_behavior", "shap_interpretation", "forecast_alignment",
-        "influence_strength", "analyst_explanation"]
+_INS = INSIGHT_FIELDS
 
 ORACLE["insight_parse"] = f"""WITH {_ROLE_CTES},
 rl AS (SELECT ssd, driver, attribution_direction{_ROLE_SELECT}),

@@ -36,10 +36,10 @@ from tidemark.operators.attribution import (
     attribute_linear, attribution_summary, driver_role, sample_background,
 )
 from tidemark.operators.context import (
+    SCORE_LABEL,
     driver_context, history_text, parse_insights, render_driver_context, report_context,
 )
 from tidemark.sources.dictionary import driver_dictionary, with_driver_info
-from tidemark.operators.forecast.conv import attribute_conv, conv_history, fit_conv, score_conv
 from tidemark.operators.evaluate import eval_rows, eval_summary, metric_pivot
 from tidemark.operators.forecast.baseline import baseline_predictions, with_baseline
 from tidemark.operators.labels import future_return_vectors, future_returns
@@ -505,15 +505,14 @@ def attribution_long(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def attribution_driver(spark: SparkSession, d: str) -> DataFrame:
-    """One driver's lag-step scores per horizon, labelled with the target
-    business day, rounded to 4 places. The checked driver is the continuous
-    price: integer-valued drivers (daily quantity) put exact decimal ties at
-    the 4th place, where each engine's summation order decides the last bit."""
-    s = _scores_one(spark, d).where(F.col("driver") == "price")
+    """Every driver's lag-step scores per horizon, labelled with the target
+    business day. The score is left unrounded (beyond the shared 6 places): at 4
+    places, integer-valued drivers sit on exact decimal ties."""
+    s = _scores_one(spark, d)
     day = F.element_at(business_days("ssd", R.HORIZON), F.col("days_ahead"))
-    return rounded(s.select("ssd", "days_ahead",
-                            F.concat(F.lit("SHAPScoreFor "), F.date_format(day, "yyyy-MM-dd")).alias("label"),
-                            "lag_step", "lag_date", round_half_even("score", 4).alias("score")))
+    return rounded(s.select("ssd", "days_ahead", "driver",
+                            F.concat(F.lit(SCORE_LABEL), F.date_format(day, "yyyy-MM-dd")).alias("label"),
+                            "lag_step", "lag_date", "score"))
 
 
 @query(name="attribution_summary")
@@ -592,7 +591,7 @@ def _insight_texts(spark, d):
         F.col("strength").alias("influence_strength"),
         F.concat_ws(" ", "driver", "role", "strength").alias("analyst_explanation")))
     rows = roles.select("ssd", "driver", full.alias("response"))
-    cut = rows.select("ssd", "driver", F.substring("response", 1, 40).alias("response"))
+    cut = rows.select("ssd", "driver", F.regexp_replace("response", r"\}$", "").alias("response"))
     ev = R.table(spark, d, "events").select(F.col("ts").cast("date").alias("ssd"),
                                             F.lit("props").alias("driver"), F.col("props").alias("response"))
     return (rows.withColumn("variant", F.lit("full"))
@@ -629,58 +628,6 @@ def lag_windows_halo(spark: SparkSession, d: str) -> DataFrame:
     return rounded(explode_windows(w, R.FEATURES))
 
 
-# ---- temporal-convolution backend (rows-only checks) --------------------------
-
-def _conv_one(spark, d):
-    """Scaled single-series samples (with the fit hold-out) and the models
-    trained on them, one per horizon."""
-    frame, params = _params_one(spark, d)
-    scaled = lag_windows(apply_robust(frame, params, R.FEATURES), R.FEATURES, R.LAG, with_dates=True)
-    scaled = materialize(scaled, "scaled_one")
-    samples = training_set(scaled.drop("lag_dates"), future_return_vectors(R.spot_one(spark, d), R.HORIZON),
-                           R.TRAIN_CUTOFF)
-    models = materialize(fit_conv(samples, R.LAG, len(R.FEATURES), seed=R.SEED), "conv_models")
-    return scaled, samples, models
-
-
-@query(name="fit_conv")
-def fit_conv_q(spark: SparkSession, d: str) -> DataFrame:
-    """One network per horizon: sample count, parameter count, epochs run."""
-    _, _, models = _conv_one(spark, d)
-    return models.select("days_ahead", "n", F.size("params").alias("n_params"),
-                         F.size("history").alias("epochs"))
-
-
-@query(name="conv_history")
-def conv_history_q(spark: SparkSession, d: str) -> DataFrame:
-    """Epoch history (loss, mse, val_loss, val_mse) of every horizon model."""
-    return conv_history(_conv_one(spark, d)[2])
-
-
-@query(name="score_conv")
-def score_conv_q(spark: SparkSession, d: str) -> DataFrame:
-    scaled, _, models = _conv_one(spark, d)
-    return score_conv(scaled, models, R.LAG, len(R.FEATURES))
-
-
-@query
-def conv_eval(spark: SparkSession, d: str) -> DataFrame:
-    """Backtest of the networks: MAPE, DA, loss per horizon and period."""
-    scaled, _, models = _conv_one(spark, d)
-    preds = score_conv(scaled, models, R.LAG, len(R.FEATURES))
-    return eval_summary(eval_rows(_labels_one(spark, d), preds, R.EVAL_BOUNDARY))
-
-
-@query
-def attribution_conv(spark: SparkSession, d: str) -> DataFrame:
-    """Expected-gradient scores of the networks for every Friday window."""
-    scaled, samples, models = _conv_one(spark, d)
-    report = scaled.join(_report_days(spark, d), "ssd", "left_semi")
-    background = sample_background(scaled.join(samples.select("ssd"), "ssd", "left_semi"),
-                                   R.BACKGROUND_N, R.SEED)
-    return attribute_conv(report, models, background, R.FEATURES, R.LAG, seed=R.SEED)
-
-
 # ---- artifacts and incremental ingest -------------------------------------------
 
 @query

@@ -51,12 +51,15 @@ def get_session(master: str | None = None, app: str = "tidemark",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names this folder (on shared storage). Only when it is unset,
-    as in local tests, a private scratch folder is created and registered.
+    A cluster names this folder (on shared storage) and must do so: without it a
+    job on any master but ``local[…]`` stops here. Only a local session gets a
+    private scratch folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         d = tempfile.mkdtemp(prefix="tidemark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

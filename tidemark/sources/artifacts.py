@@ -67,6 +67,9 @@ def check_model_shape(models: DataFrame, dim: int) -> DataFrame:
     """Fail the job when a stored model was trained on windows of another
     size (``dim`` = lag × drivers); an empty model set is an error too."""
     bad = (F.col("dim") != F.lit(dim)) | (F.size("weights") != F.lit(dim))
+    some = models.agg(F.count(F.lit(1)).alias("_n")).select(
+        F.when(F.col("_n") == 0, F.raise_error(F.lit("no model in the set"))).otherwise(F.lit(1)).cast("int").alias("_some"))
+    models = F.broadcast(some).join(models, F.col("_some") == 1, "left").drop("_some")
     return models.withColumn("weights", F.when(bad, F.raise_error(F.concat(
         F.lit("model input size "), F.col("dim").cast("string"), F.lit(f" does not match windows ({dim})"))))
         .otherwise(F.col("weights")))
