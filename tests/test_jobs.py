@@ -23,7 +23,31 @@ def test_experiment_and_report(spark):
     summary = read_table(spark, paths["eval_summary"])
     assert summary.count() == 2 * R.HORIZON
     fridays = spot.where(F.weekday("ssd") == 4).select(F.date_format("ssd", "yyyy-MM-dd").alias("friday_date"))
-    rep = jobs.report_job(spark, fridays, spot, out, R.LAG, R.HORIZON, start="1995-01-01", end="2001-12-31")
+    asked = fridays.union(fridays.limit(1)).union(spark.createDataFrame([("1999-13-01",), ("1995-01-06",)], "friday_date string"))
+    rep = jobs.report_job(spark, asked, spot, out, R.LAG, R.HORIZON, start="1995-01-01", end="2001-12-31")
     ctx = read_table(spark, rep["report_context"])
     assert ctx.count() > 0 and ctx.where("is_valid").count() > 0
-    assert read_table(spark, rep["driver_prompts"]).where(F.col("prompt").contains("MODEL FORECAST")).count() > 0
+    assert read_table(spark, rep["driver_prompts"]).where(F.col("prompt").contains("[path]")).count() > 0
+    assert ctx.count() == ctx.select("ssd").distinct().count()
+    outcomes = read_table(spark, rep["outcomes"])
+    assert outcomes.count() == asked.count()
+    assert {r.status for r in outcomes.collect()} >= {"done", "rejected"}
+    assert outcomes.where("status = 'failed' and outcome_reason is null").count() == 0
+
+
+def test_report_for_many_series(spark):
+    out = scratch_path(spark, f"jobs-{uuid.uuid4().hex}")
+    keys = ["series_id"]
+    spot = R.spot_many(spark, SF_SMALL)
+    jobs.labels_job(spot, out, R.HORIZON, keys)
+    jobs.features_job([spot], [R.index_wide(spark, SF_SMALL), R.inventory(spark, SF_SMALL), R.freight(spark, SF_SMALL)], out, keys)
+    jobs.training_job(spark, spot, out, R.LAG, R.HORIZON, R.TRAIN_CUTOFF, keys)
+    jobs.fit_job(spark, out, R.LAG, keys)
+    fridays = (spot.where(F.weekday("ssd") == 4).groupBy("ssd").count().orderBy(F.desc("count"), "ssd").limit(3)
+               .select(F.date_format("ssd", "yyyy-MM-dd").alias("friday_date")))
+    rep = jobs.report_job(spark, fridays, spot, out, R.LAG, R.HORIZON, keys, start="1995-01-01", end="2001-12-31")
+    ctx = read_table(spark, rep["report_context"])
+    assert ctx.where("is_valid").count() > 0
+    assert ctx.count() == ctx.select("series_id", "ssd").distinct().count()
+    done = {str(r.ssd): r["count"] for r in ctx.groupBy("ssd").count().collect()}
+    assert {str(r.report_date): r.n_reports for r in read_table(spark, rep["outcomes"]).collect()} == done

@@ -154,7 +154,7 @@ def score_linear(windows: DataFrame, models: DataFrame, keys: Iterable[str] = ()
 
     def score_block(wins: pd.DataFrame, hs, W, b) -> pd.DataFrame:
         if wins.empty or len(hs) == 0:
-            return pd.DataFrame({f.name: [] for f in out_schema.fields})
+            return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in out_schema.fields})
         X = np.vstack(wins["xf"].to_numpy())
         P = X @ W.T + b
         n, h = P.shape
