@@ -31,9 +31,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the smallest id. Rows without text form
-    no group and stay."""
-    groups = simhash.simhash_groups(docs.where(F.trim("text") != ""), shingle=3, max_bits=2)
+    """One document of each SimHash group: the smallest id. Texts without words
+    share fingerprint zero and are a group like any other; rows with a null id
+    stay."""
+    groups = simhash.simhash_groups(docs, shingle=3, max_bits=2)
     later = materialize(groups.where("doc_id <> component_id").select("doc_id"), "later")
     return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
 
