@@ -12,20 +12,21 @@ from tidemark.operators._common import series_window, trailing
 
 
 def lag_windows(frame: DataFrame, cols: Sequence[str], lag: int = 10, keys: Iterable[str] = (),
-                with_dates: bool = False, complete: bool = True, path: str = "window") -> DataFrame:
-    """``(keys…, ssd, x ARRAY<ARRAY<DOUBLE>>[, lag_dates])``: the ``lag`` rows
-    ending at each row, oldest first, drivers in ``cols`` order. Only full
+                with_dates: bool = False, complete: bool = True, path: str = "window",
+                carry: Sequence[str] = ()) -> DataFrame:
+    """``(keys…, ssd, <carry>…, x ARRAY<ARRAY<DOUBLE>>[, lag_dates])``: the ``lag``
+    rows ending at each row, oldest first, drivers in ``cols`` order. Only full
     windows are kept unless ``complete=False``. One sorted window pass; no
     per-date rescans. ``path="halo"`` splits each series into row blocks
     with a halo (for a series too long for one task; same result)."""
     keys = list(keys)
     if path == "halo":
-        if not complete:
-            raise ValueError("the halo path returns complete windows only")
+        if not complete or carry:
+            raise ValueError("the halo path returns complete windows only and carries no columns")
         from tidemark.operators.order import halo_lag_windows
         return halo_lag_windows(frame, cols, lag, keys, with_dates=with_dates)
     w = trailing(keys, lag)
-    sel = [*keys, "ssd",
+    sel = [*keys, "ssd", *carry,
            F.collect_list(F.array(*[F.col(c).cast("double") for c in cols])).over(w).alias("x"),
            F.count(F.lit(1)).over(w).alias("_n")]
     if with_dates:
@@ -51,8 +52,7 @@ def asof_last_n(frame: DataFrame, dates: DataFrame, cols: Sequence[str], n: int,
     """
     keys = list(keys)
     numbered = frame.withColumn("_rn", F.row_number().over(series_window(keys)))
-    wins = lag_windows(numbered, cols, n, keys, with_dates=True, complete=False) \
-        .join(numbered.select(*keys, "ssd", "_rn"), keys + ["ssd"]).drop("ssd")
+    wins = lag_windows(numbered, cols, n, keys, with_dates=True, complete=False, carry=["_rn"]).drop("ssd")
     probes = dates.select(*keys, "ssd").distinct()
     merged = (numbered.select(*keys, "ssd", "_rn", F.lit(0).alias("_probe"))
               .unionByName(probes.select(*keys, "ssd", F.lit(None).cast("int").alias("_rn"),

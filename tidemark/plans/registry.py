@@ -270,7 +270,7 @@ def _probe_days(spark, d):
 @query
 def asof_windows(spark: SparkSession, d: str) -> DataFrame:
     """Backward as-of: last 10 frame rows on or before each order date + 3."""
-    w = asof_last_n(R.frame_one(spark, d), _probe_days(spark, d), R.FEATURES, R.LAG)
+    w = asof_last_n(materialize(R.frame_one(spark, d), "frame_one"), _probe_days(spark, d), R.FEATURES, R.LAG)
     return rounded(explode_windows(w, R.FEATURES))
 
 
@@ -327,7 +327,24 @@ def _report_days(spark, d):
 
 @query(name="recent_history")
 def recent_history_q(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(recent_history(R.frame_one(spark, d), R.FEATURES, _report_days(spark, d), R.LAG))
+    return rounded(_history_one(spark, d))
+
+
+def _history_one(spark, d):
+    """History of the report days; numbering and windows both read the frame, so
+    it is written once."""
+    frame = materialize(R.frame_one(spark, d), "frame_one")
+    return recent_history(frame, R.FEATURES, _report_days(spark, d), R.LAG)
+
+
+@query
+def history_many(spark: SparkSession, d: str) -> DataFrame:
+    """Every supplier's last 10 values of every driver on or before its own
+    Fridays with a price."""
+    spot = materialize(R.spot_many(spark, d), "spot_many")
+    frame = materialize(R.frame_many(spark, d, spot), "frame_many")
+    days = spot.where(is_friday("ssd")).select(*R.KEYS, "ssd")
+    return rounded(recent_history(frame, R.FEATURES, days, R.LAG, R.KEYS))
 
 
 # ---- linear forecaster, scoring, predictions ---------------------------------
@@ -366,10 +383,12 @@ def _pipeline_many(spark, d):
     spot = materialize(R.spot_many(spark, d), "spot_many")  # one scan of the line table
     frame = materialize(R.frame_many(spark, d, spot), "frame_many")
     labels = future_return_vectors(spot, R.HORIZON, R.KEYS)
-    samples = training_set(lag_windows(frame, R.FEATURES, R.LAG, keys=R.KEYS), labels,
+    # windows look back only: rows from the cutoff on are in no training window
+    past = frame.where(F.col("ssd") < F.lit(R.TRAIN_CUTOFF).cast("date"))
+    samples = training_set(lag_windows(past, R.FEATURES, R.LAG, keys=R.KEYS), labels,
                            R.TRAIN_CUTOFF, keys=R.KEYS)
     ends = samples.where("is_train").select(*R.KEYS, "ssd")
-    params = fit_robust(frame, R.FEATURES, R.LAG, ends, keys=R.KEYS)
+    params = fit_robust(past, R.FEATURES, R.LAG, ends, keys=R.KEYS)
     scaled = lag_windows(apply_robust(frame, params, R.FEATURES, keys=R.KEYS), R.FEATURES, R.LAG,
                          keys=R.KEYS)
     return frame, labels, params, scaled
@@ -383,8 +402,8 @@ def robust_params_many(spark: SparkSession, d: str) -> DataFrame:
 @query
 def predictions_long(spark: SparkSession, d: str) -> DataFrame:
     """Per-supplier scaled windows scored by per-supplier models (keyed path)."""
-    _, _, _, scaled = _pipeline_many(spark, d)
-    series = R.spot_many(spark, d).select("series_id").distinct()
+    frame, _, _, scaled = _pipeline_many(spark, d)
+    series = frame.select(F.col("series_id").alias("series_id")).distinct()  # an attribute of its own for the co-group
     return rounded(score_linear(scaled, fixed_models(spark, R.LAG * len(R.FEATURES), series), R.KEYS))
 
 
@@ -418,6 +437,44 @@ def linear_eval(spark: SparkSession, d: str) -> DataFrame:
     return rounded(eval_summary(eval_rows(_labels_one(spark, d), preds, R.EVAL_BOUNDARY)))
 
 
+def _ridge(spark, d, keys=()):
+    """Labels, scaled prices as windows of one step, and the models fitted on them:
+    with one input the ridge solution has a closed form that SQL can state."""
+    spot = materialize(R.spot_many(spark, d) if keys else R.spot_one(spark, d), "spot")
+    past = spot.where(F.col("ssd") < F.lit(R.TRAIN_CUTOFF).cast("date"))
+    params = fit_robust(past, ["price"], 1, past.select(*keys, "ssd"), keys=keys)
+    windows = lag_windows(apply_robust(spot, params, ["price"], keys=keys), ["price"], 1, keys)
+    samples = training_set(windows, future_return_vectors(spot, R.HORIZON, keys), R.TRAIN_CUTOFF, keys)
+    models = materialize(fit_linear(samples, keys, reg=R.RIDGE), "models")
+    return future_returns(spot, R.HORIZON, keys), windows, models
+
+
+def _ridge_models(spark, d, keys=()):
+    models = _ridge(spark, d, keys)[2]
+    return rounded(models.select(*keys, "days_ahead", F.col("weights")[0].alias("slope"), "intercept", "n", "dim"))
+
+
+@query
+def fit_ridge(spark: SparkSession, d: str) -> DataFrame:
+    """Fitted ridge models of the single series on its scaled price."""
+    return _ridge_models(spark, d)
+
+
+@query
+def fit_ridge_many(spark: SparkSession, d: str) -> DataFrame:
+    """Fitted ridge models of every supplier on its scaled price."""
+    return _ridge_models(spark, d, R.KEYS)
+
+
+@query
+def ridge_eval_many(spark: SparkSession, d: str) -> DataFrame:
+    """Per-supplier backtest of the fitted models: predictions are a table of
+    their own and join the labels on series, date and horizon."""
+    labels, windows, models = _ridge(spark, d, R.KEYS)
+    preds = score_linear(windows, models, R.KEYS)
+    return rounded(eval_summary(eval_rows(labels, preds, R.EVAL_BOUNDARY, R.KEYS), R.KEYS))
+
+
 @query(name="directional_loss")
 def directional_loss_q(spark: SparkSession, d: str) -> DataFrame:
     """MSE and the direction-penalised loss per horizon and period."""
@@ -557,15 +614,13 @@ def _context_one(spark, d):
     summary = attribution_summary(scores)
     path = _linear_path_one(spark, d, inputs)
     roles = driver_role(summary, path)
-    history = recent_history(R.frame_one(spark, d), R.FEATURES, _report_days(spark, d), R.LAG)
-    return driver_context(driver_dictionary(spark), history, path, summary, roles)
+    return driver_context(driver_dictionary(spark), _history_one(spark, d), path, summary, roles)
 
 
 @query
 def table_encode(spark: SparkSession, d: str) -> DataFrame:
     """Last 10 values of every driver before each Friday as compact text."""
-    history = recent_history(R.frame_one(spark, d), R.FEATURES, _report_days(spark, d), R.LAG)
-    return history_text(history)
+    return history_text(_history_one(spark, d))
 
 
 @query(name="driver_context")

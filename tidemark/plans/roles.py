@@ -18,6 +18,7 @@ LAG = 10
 TRAIN_CUTOFF = "2000-01-01"
 EVAL_BOUNDARY = "2000-07-01"
 BACKGROUND_N = 100
+RIDGE = 1e-3
 SEED = 42
 # Index classes (return flag _ line status), the excluded one, and the
 # driver order of the frame.
@@ -69,6 +70,19 @@ def freight(spark: SparkSession, d: str) -> DataFrame:
     return scan_series(daily, "day", "t", out="freight", dedupe="none")
 
 
+def date_only(spark: SparkSession, d: str) -> DataFrame:
+    """The index classes, the inventory and the freight series side by side, from
+    one scan: they share the table and the grain, so one aggregate makes the rows
+    that merging the three on the date makes."""
+    day = F.col("l_shipdate").cast("date")
+    cls = F.concat("l_returnflag", F.lit("_"), "l_linestatus")
+    sparse = (F.col("l_linenumber") == 1) & (F.col("l_shipdate") >= F.lit("1996-01-01").cast("timestamp_ntz"))
+    return table(spark, d, "lineitem").where(day.isNotNull()).groupBy(day.alias("ssd")).agg(
+        *[F.avg(F.when(cls == c, F.col("l_extendedprice").cast("double"))).alias(c) for c in INDEX_DRIVERS],
+        F.sum("l_quantity").cast("double").alias("inventory"),
+        F.avg(F.when(sparse, F.col("l_tax").cast("double"))).alias("freight"))
+
+
 def merged_one(spark: SparkSession, d: str) -> DataFrame:
     """Four sources full-outer merged on the date (before filling)."""
     return align_sources([spot_one(spark, d)], [index_wide(spark, d), inventory(spark, d),
@@ -84,6 +98,5 @@ def frame_many(spark: SparkSession, d: str, spot: DataFrame | None = None) -> Da
     """Per-supplier feature frame on each supplier's own dates with the
     date-only drivers attached from the daily calendar. ``spot``: an already
     computed ``spot_many`` (so callers that also need labels scan once)."""
-    m = align_sources([spot if spot is not None else spot_many(spark, d)], [index_wide(spark, d), inventory(spark, d),
-                                              freight(spark, d)], keys=KEYS, calendar="own")
-    return fill(m, ["price"], keys=KEYS)
+    return align_sources([spot if spot is not None else spot_many(spark, d)], [date_only(spark, d)],
+                         keys=KEYS, calendar="own")
