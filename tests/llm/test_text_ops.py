@@ -166,3 +166,14 @@ def test_decontamination(spark, docs_of, broadcast_values):
     assert decontam.contained_items(docs_of(docs), df.limit(0)).count() == 0
     left = decontam.without_leaks(docs_of(docs), df)
     assert left.columns == docs_of(docs).columns and left.where("doc_id is null").count() == 1
+
+
+def test_small_batches_cut_long_texts_without_loss():
+    import pyarrow as pa
+
+    from tidemark.llm.common import small_batches
+    texts = ["", None, "a" * 30, "b" * 5, None, "ü" * 9, "", "c" * 4, "d" * 25]
+    whole = pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts)})
+    parts = list(small_batches(iter([whole, whole.slice(0, 0)]), most=20))
+    assert pa.Table.from_batches(parts).to_pylist() == whole.to_pylist()
+    assert all(p.num_rows and sum(len((t or "").encode()) for t in p.column(1).to_pylist()[1:]) <= 20 for p in parts)

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import materialize, scratch_path, ship_package
 
-__all__ = ["materialize", "scratch_path", "table", "arrow_map", "batches_of", "text_bytes"]
+__all__ = ["materialize", "scratch_path", "table", "arrow_map", "batches_of", "small_batches", "text_bytes"]
+
+#: What goes to a Python task at once: rows and bytes of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +29,29 @@ def text_bytes(col: str = "text"):
 
 
 def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with the package shipped to the executors."""
-    ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    """``mapInArrow`` with the package shipped to the executors. The session's
+    Arrow batches are set to at most ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes,
+    and ``fn`` meets no more text than that at once (but for a longer single
+    text), so a run of long documents does not fill a task's memory."""
+    spark = df.sparkSession
+    ship_package(spark)
+    held = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < held <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(lambda batches: fn(small_batches(batches)), schema)
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut (without a copy) where their texts pass ``most`` bytes."""
+    for b in batches:
+        size = np.zeros(b.num_rows, np.int64)
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+                size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        cuts = [*np.flatnonzero(np.diff(np.cumsum(size) // most, prepend=-1)).tolist(), b.num_rows]
+        for start, end in zip(cuts, cuts[1:]):
+            yield b.slice(start, end - start)
 
 
 def batches_of(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:

@@ -13,12 +13,14 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map
+from tidemark.llm.common import arrow_map, small_batches
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 200_000
+CACHED_PAIRS = 500_000
+ENCODED_BYTES = 2 << 20
 
 
 class Vocabulary:
@@ -94,7 +96,7 @@ class Vocabulary:
             else:
                 known = True
                 break
-        if len(self._pairs) >= 2_000_000:
+        if len(self._pairs) >= CACHED_PAIRS:
             self._pairs.clear()
         self._pairs[key] = known
         return known
@@ -185,8 +187,8 @@ def vocabulary(proto: bytes) -> Vocabulary:
 
 class BatchEncoder:
     """Encodes lists of texts. Words met before come from a table of at most
-    ``CACHED_WORDS`` (emptied when full); the new ones of a batch go through the
-    trie together.
+    ``CACHED_WORDS`` (when full, only those of the batch at hand stay); the new
+    ones of a batch go through the trie together.
 
     A text without runs of spaces is cut by plain splitting: a token stands for
     its marked word, a token that begins with a line end for that line end and
@@ -199,10 +201,12 @@ class BatchEncoder:
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the offsets of the texts."""
         cut = [(True, t.replace("\n", " \n").split(" ")) if self._plain(t) else (False, self.vocab.words(t)) for t in texts]
-        if len(self.tokens) + len(self.marked) > CACHED_WORDS:
-            self.tokens, self.marked = {}, {}
-        tokens = set().union(*(ws for easy, ws in cut if easy)) - self.tokens.keys()
+        tokens = set().union(*(ws for easy, ws in cut if easy))
         marked = set().union(*(ws for easy, ws in cut if not easy))
+        if len(self.tokens) + len(self.marked) > CACHED_WORDS:
+            self.tokens = {t: self.tokens[t] for t in tokens & self.tokens.keys()}
+            self.marked = {w: self.marked[w] for w in marked & self.marked.keys()}
+        tokens -= self.tokens.keys()
         marked |= {t[1:] if t[:1] == "\n" else MARK + t for t in tokens}
         marked.discard("")
         marked -= self.marked.keys()
@@ -246,15 +250,13 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc_id"
 
     def run(batches):
         vocab, encode_batch = vocabulary(proto), encoder(proto)
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                flat, offsets = encode_batch(texts)
-                listed = flat.tolist()
-                same = [vocab.decode(listed[s:e]) == t for t, s, e in zip(texts, offsets.tolist(), offsets[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
-                                                  pa.array(np.diff(offsets).astype(np.int64)), pa.array(same)], schema=schema)
+        for part in small_batches(batches, ENCODED_BYTES):
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            flat, offsets = encode_batch(texts)
+            listed = flat.tolist()
+            same = [vocab.decode(listed[s:e]) == t for t, s, e in zip(texts, offsets.tolist(), offsets[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                                              pa.array(np.diff(offsets).astype(np.int64)), pa.array(same)], schema=schema)
 
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run,
                      "doc_id long, ids array<int>, n_ids long, round_trip boolean")
