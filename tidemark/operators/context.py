@@ -120,20 +120,33 @@ def parse_insights(df: DataFrame, col: str = "response") -> DataFrame:
                       status.alias("parse_status"))
 
 
-def report_context(ctx: DataFrame, keys: Iterable[str] = (), horizon: int = 5) -> DataFrame:
-    """One row per (keys, ssd): forecast table, spot, the driver contexts as a
-    JSON array sorted by driver, and ``is_valid`` / ``reason`` (a report needs
-    a spot, a full forecast path and at least one driver)."""
+def report_context(days: DataFrame, spot_now: DataFrame, path: DataFrame, ctx: DataFrame,
+                   insights: DataFrame | None = None, keys: Iterable[str] = (), horizon: int = 5) -> DataFrame:
+    """One row per requested ``(keys, ssd)`` of ``days``, whatever is known of it:
+    spot (``current_spot`` rows), forecast table and its number of steps, the
+    driver contexts as an array sorted by driver, each with the fields of its
+    parsed insight (``parse_insights`` rows of status 'ok', one per keys, ssd and
+    driver), and ``is_valid`` / ``reason``: a report needs a spot, all ``horizon``
+    steps and at least one driver."""
     keys = list(keys)
-    drivers = F.array_sort(F.collect_list(F.struct(
-        "driver", "business_name", "attribution_direction", "forecast_direction", "role", "strength")))
-    g = ctx.groupBy(*keys, "ssd").agg(F.first("current_spot").alias("current_spot"),
-                                      F.first("forecast").alias("forecast"),
-                                      F.count(F.lit(1)).alias("n_drivers"), drivers.alias("_d"))
-    full_path = F.col("forecast").startswith(F.lit(f"[{horizon}]"))
+    on = keys + ["ssd"]
+    shown = ["driver", "business_name", "attribution_direction", "forecast_direction", "role", "strength"]
+    known = ctx.select(*on, *shown)
+    if insights is None:
+        told = known.withColumn("insight", F.lit(None).cast(INSIGHT_SCHEMA))
+    else:
+        ok = insights.where("parse_status = 'ok'").select(*on, "driver", F.struct(*INSIGHT_FIELDS).alias("insight"))
+        told = known.join(ok, on + ["driver"], "left")
+    drivers = told.groupBy(*on).agg(F.count(F.lit(1)).alias("n_drivers"), F.count("insight").alias("n_insights"),
+                                    F.array_sort(F.collect_list(F.struct(*shown, "insight"))).alias("drivers"))
+    steps = path.groupBy(*on).agg(F.count("forecast_price").alias("n_steps"))
+    g = (days.select(*on).distinct()
+         .join(spot_now.select(*on, "current_spot"), on, "left")
+         .join(path_text(path, keys).select(*on, "forecast"), on, "left")
+         .join(steps, on, "left").join(drivers, on, "left")
+         .fillna(0, ["n_steps", "n_drivers", "n_insights"]))
     reason = (F.when(F.col("current_spot").isNull(), F.lit("missing current price"))
-              .when(F.col("forecast").isNull() | ~full_path, F.lit("missing forecast path"))
+              .when(F.col("n_steps") < horizon, F.lit("missing forecast path"))
               .when(F.col("n_drivers") == 0, F.lit("missing driver context")))
-    return g.select(*keys, "ssd", "current_spot", "forecast", "n_drivers",
-                    F.to_json("_d").alias("drivers_json"),
+    return g.select(*on, "current_spot", "forecast", "n_steps", "n_drivers", "n_insights", "drivers",
                     reason.isNull().alias("is_valid"), reason.alias("reason"))

@@ -1,4 +1,4 @@
-"""Report requests: validation rules as one expression chain."""
+"""Report requests: validation rules as one expression chain, and outcomes."""
 
 from __future__ import annotations
 
@@ -30,3 +30,17 @@ def validate_requests(requests: DataFrame, col: str = "friday_date",
             .select("request", "report_date", F.col("reason").isNull().alias("is_valid"),
                     F.when(F.col("reason").isNull(), F.lit(200)).otherwise(F.lit(400)).alias("status_code"),
                     "reason"))
+
+
+def request_outcomes(checked: DataFrame, reports: DataFrame) -> DataFrame:
+    """One row per request with ``n_reports`` and ``n_complete`` of its date and
+    ``status``: 'rejected' by validation, 'failed' when no report of the date is
+    complete, 'partial' when some are, else 'done'; ``outcome_reason`` is the
+    first reason (by name) that a report of the date is not complete."""
+    per_day = reports.groupBy(F.col("ssd").alias("report_date")).agg(
+        F.count(F.lit(1)).alias("n_reports"), F.count_if("is_valid").alias("n_complete"), F.min("reason").alias("_why"))
+    j = checked.join(per_day, "report_date", "left").fillna(0, ["n_reports", "n_complete"])
+    status = (F.when(~F.col("is_valid"), "rejected").when(F.col("n_complete") == 0, "failed")
+              .when(F.col("n_complete") < F.col("n_reports"), "partial").otherwise("done"))
+    why = F.when(status.isin("failed", "partial"), F.coalesce("_why", F.lit("no spot for the date")))
+    return j.withColumn("status", status).withColumn("outcome_reason", why).drop("_why")

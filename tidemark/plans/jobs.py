@@ -19,7 +19,7 @@ from tidemark.operators.evaluate import eval_rows, eval_summary, metric_pivot
 from tidemark.operators.forecast.linear import fit_linear, score_linear
 from tidemark.operators.labels import future_return_vectors, future_returns
 from tidemark.operators.path import current_spot, forecast_path
-from tidemark.operators.requests import validate_requests
+from tidemark.operators.requests import request_outcomes, validate_requests
 from tidemark.operators.scale import apply_robust, fit_robust
 from tidemark.operators.windows import fit_split, lag_windows, recent_history, training_set
 from tidemark.sources.artifacts import feature_order, save_models, save_params, save_windows
@@ -110,8 +110,8 @@ def report_job(spark: SparkSession, requests: DataFrame, spot: DataFrame, out: s
     """E6: validate the requested dates, then per valid date and driver (and
     series, for every series with a spot on that date) the forecast path,
     attribution, role labels, history and the rendered context; one
-    report-context row per date, and one outcome row per request. A date that is
-    requested twice is computed once."""
+    report-context row per date (and series), complete or not, and one outcome
+    row per request. A date that is requested twice is computed once."""
     keys = list(keys)
     kw = {k: v for k, v in (("start", start), ("end", end)) if v}
     checked = validate_requests(requests, **kw)
@@ -128,26 +128,16 @@ def report_job(spark: SparkSession, requests: DataFrame, spot: DataFrame, out: s
     report = scaled.join(days, keys + ["ssd"], "left_semi")
     background = sample_background(scaled.join(samples, keys + ["ssd"], "left_semi"), background_n, seed, keys)
     summary = attribution_summary(attribute_linear(report, models, background, cols, keys), keys)
-    path = forecast_path(score_linear(report, models, keys), current_spot(spot, days, keys), horizon, keys)
+    spot_now = current_spot(spot, days, keys)
+    write_table(forecast_path(score_linear(report, models, keys), spot_now, horizon, keys), _p(out, "paths"))
+    path = read_table(spark, _p(out, "paths"))
     roles = driver_role(summary, path, keys)
     history = recent_history(frame, cols, days, lag, keys)
     ctx = driver_context(driver_dictionary(spark), history, path, summary, roles, keys)
     write_table(ctx, _p(out, "driver_context"))
     ctx = read_table(spark, _p(out, "driver_context"))
     write_table(render_driver_context(ctx, keys), _p(out, "driver_prompts"))
-    write_table(report_context(ctx, keys, horizon), _p(out, "report_context"))
-    done = read_table(spark, _p(out, "report_context")).groupBy("ssd").agg(
-        F.count(F.lit(1)).alias("n_reports"), F.min("reason").alias("_why"))
-    write_table(request_outcomes(read_table(spark, _p(out, "requests")), done), _p(out, "outcomes"))
-    return {n: _p(out, n) for n in ("requests", "outcomes", "driver_context", "driver_prompts", "report_context")}
-
-
-def request_outcomes(checked: DataFrame, done: DataFrame) -> DataFrame:
-    """One row per request with ``status``: 'rejected' by validation, 'failed' when
-    the date has no complete report (no spot, window or path), else 'done'."""
-    j = checked.join(done.withColumnRenamed("ssd", "report_date"), "report_date", "left")
-    status = (F.when(~F.col("is_valid"), "rejected")
-              .when(F.col("n_reports").isNull() | F.col("_why").isNotNull(), "failed").otherwise("done"))
-    missing = F.when(status == "failed", F.coalesce("_why", F.lit("no spot or window for the date")))
-    return (j.withColumn("n_reports", F.coalesce("n_reports", F.lit(0)))
-            .withColumn("status", status).withColumn("outcome_reason", missing).drop("_why"))
+    write_table(report_context(days, spot_now, path, ctx, None, keys, horizon), _p(out, "report_context"))
+    write_table(request_outcomes(read_table(spark, _p(out, "requests")), read_table(spark, _p(out, "report_context"))),
+                _p(out, "outcomes"))
+    return {n: _p(out, n) for n in ("requests", "outcomes", "paths", "driver_context", "driver_prompts", "report_context")}

@@ -548,6 +548,33 @@ _PROMPT = f" || {NL} || ".join(f"({x})" for x in [
 ORACLE["context_render"] = f"""WITH {CTX.replace(FRIDAYS + ',', FRIDAYS + ', ' + DICT + ',', 1)}
 SELECT ssd, driver, {_PROMPT} AS prompt FROM ctx"""
 
+REPORTS = CTX.replace(FRIDAYS + ',', FRIDAYS + ', ' + DICT + ',', 1) + f""",
+rp AS (SELECT f.ssd, cs.current_spot, ftx.forecast, coalesce(st.n, 0) AS n_steps, coalesce(nd.n, 0) AS n_drivers,
+  coalesce(nd.told, 0) AS n_insights,
+  CASE WHEN cs.current_spot IS NULL THEN 'missing current price' WHEN coalesce(st.n, 0) < {H} THEN 'missing forecast path'
+    WHEN coalesce(nd.n, 0) = 0 THEN 'missing driver context' END AS reason
+  FROM fri f LEFT JOIN cs ON cs.ssd = f.ssd LEFT JOIN ftx ON ftx.ssd = f.ssd
+  LEFT JOIN (SELECT ssd, count(forecast_price) AS n FROM fpt GROUP BY ssd) st ON st.ssd = f.ssd
+  LEFT JOIN (SELECT ssd, count(*) AS n, count(*) FILTER (strength <> 'LOW') AS told FROM ctx GROUP BY ssd) nd ON nd.ssd = f.ssd)"""
+
+ORACLE["report_context"] = f"""WITH {REPORTS}
+SELECT rp.ssd, {r6('rp.current_spot', 'current_spot')}, rp.forecast, rp.n_steps, rp.n_drivers, rp.n_insights,
+  rp.reason IS NULL AS is_valid, rp.reason, c.driver, c.business_name, c.role, c.strength,
+  CASE WHEN c.strength <> 'LOW' THEN c.driver || ' ' || c.role || ' ' || c.strength END AS explanation
+  FROM rp LEFT JOIN ctx c ON c.ssd = rp.ssd"""
+
+ORACLE["request_outcome"] = f"""WITH {REPORTS},
+asked AS (SELECT ssd AS day FROM fri UNION ALL SELECT CAST(ssd + 7301 AS DATE) FROM fri UNION ALL SELECT CAST(ssd + 1 AS DATE) FROM fri),
+ck AS (SELECT day, CASE WHEN isodow(day) <> 5 THEN 'Provided date is not a Friday'
+  WHEN day NOT BETWEEN DATE '{R.REQUEST_START}' AND DATE '{R.REQUEST_END}'
+    THEN 'Date must be between {R.REQUEST_START} and {R.REQUEST_END}' END AS reason FROM asked),
+oc AS (SELECT ck.day, ck.reason, rp.reason AS why, rp.ssd IS NOT NULL AS n, rp.ssd IS NOT NULL AND rp.reason IS NULL AS whole
+  FROM ck LEFT JOIN rp ON rp.ssd = ck.day)
+SELECT strftime(day, '%Y-%m-%d') AS request, day AS report_date, reason IS NULL AS is_valid,
+  CASE WHEN reason IS NULL THEN 200 ELSE 400 END AS status_code, reason, CAST(n AS BIGINT) AS n_reports, CAST(whole AS BIGINT) AS n_complete,
+  CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN whole THEN 'done' ELSE 'failed' END AS status,
+  CASE WHEN reason IS NULL AND NOT whole THEN coalesce(why, 'no spot for the date') END AS outcome_reason FROM oc"""
+
 _INS = INSIGHT_FIELDS
 
 ORACLE["insight_parse"] = f"""WITH {_ROLE_CTES},

@@ -27,7 +27,7 @@ from tidemark.sources.artifacts import (
 from tidemark.sources.scan import ingest_snapshot, read_table, scan_prices, write_table
 from tidemark.functions.dates import business_days, is_friday
 from tidemark.operators.path import forecast_path
-from tidemark.operators.requests import validate_requests
+from tidemark.operators.requests import request_outcomes, validate_requests
 from tidemark.operators.scale import apply_robust, fit_robust
 from tidemark.operators.windows import asof_last_n, fit_split, lag_windows, recent_history, training_set
 from tidemark.functions.numeric import directional_loss
@@ -607,14 +607,19 @@ def driver_dictionary_q(spark: SparkSession, d: str) -> DataFrame:
     return with_driver_info(_known_drivers(spark, d), driver_dictionary(spark))
 
 
-def _context_one(spark, d):
+def _context_parts(spark, d):
+    """Forecast path, roles and driver contexts of the report days."""
     inputs = _attr_inputs(spark, d, cut=True)
     report, models, background = inputs
     scores = attribute_linear(report, models, background, R.FEATURES)
     summary = attribution_summary(scores)
     path = _linear_path_one(spark, d, inputs)
     roles = driver_role(summary, path)
-    return driver_context(driver_dictionary(spark), _history_one(spark, d), path, summary, roles)
+    return path, roles, driver_context(driver_dictionary(spark), _history_one(spark, d), path, summary, roles)
+
+
+def _context_one(spark, d):
+    return _context_parts(spark, d)[2]
 
 
 @query
@@ -633,6 +638,16 @@ def context_render(spark: SparkSession, d: str) -> DataFrame:
     return render_driver_context(_context_one(spark, d))
 
 
+def _role_insights(roles):
+    """A complete insight as JSON for every row of the role table."""
+    full = F.to_json(F.struct(
+        F.col("driver").alias("feature_name"), F.col("attribution_direction").alias("feature_behavior"),
+        F.col("role").alias("shap_interpretation"), F.col("forecast_direction").alias("forecast_alignment"),
+        F.col("strength").alias("influence_strength"),
+        F.concat_ws(" ", "driver", "role", "strength").alias("analyst_explanation")))
+    return roles.select("ssd", "driver", full.alias("response"))
+
+
 def _insight_texts(spark, d):
     """Insight JSON built from the role table (complete and cut short) and
     the raw event property text (valid JSON, none of the fields)."""
@@ -640,12 +655,7 @@ def _insight_texts(spark, d):
     report, models, background = inputs
     roles = driver_role(attribution_summary(attribute_linear(report, models, background, R.FEATURES)),
                         _linear_path_one(spark, d, inputs))
-    full = F.to_json(F.struct(
-        F.col("driver").alias("feature_name"), F.col("attribution_direction").alias("feature_behavior"),
-        F.col("role").alias("shap_interpretation"), F.col("forecast_direction").alias("forecast_alignment"),
-        F.col("strength").alias("influence_strength"),
-        F.concat_ws(" ", "driver", "role", "strength").alias("analyst_explanation")))
-    rows = roles.select("ssd", "driver", full.alias("response"))
+    rows = _role_insights(roles)
     cut = rows.select("ssd", "driver", F.regexp_replace("response", r"\}$", "").alias("response"))
     ev = R.table(spark, d, "events").select(F.col("ts").cast("date").alias("ssd"),
                                             F.lit("props").alias("driver"), F.col("props").alias("response"))
@@ -659,11 +669,34 @@ def insight_parse(spark: SparkSession, d: str) -> DataFrame:
     return parse_insights(_insight_texts(spark, d), "response").drop("response")
 
 
+def _reports_one(spark, d):
+    """Reports of all Fridays; the insights are parsed from JSON of the strong and
+    moderate roles, so that some drivers have none."""
+    path, roles, ctx = _context_parts(spark, d)
+    days = _report_days(spark, d)
+    insights = parse_insights(_role_insights(roles.where("strength <> 'LOW'")), "response")
+    return report_context(days, current_spot(R.spot_one(spark, d), days), path, ctx, insights, horizon=R.HORIZON)
+
+
 @query(name="report_context")
 def report_context_q(spark: SparkSession, d: str) -> DataFrame:
-    """Per Friday: forecast table, spot, sorted driver contexts as JSON and
-    validity (rows-only check: JSON text layout is engine specific)."""
-    return report_context(_context_one(spark, d), horizon=R.HORIZON)
+    """Report of every Friday, one row per driver (one without a driver for a
+    Friday that has none)."""
+    r = _reports_one(spark, d).withColumn("x", F.explode_outer("drivers"))
+    return rounded(r.select("ssd", "current_spot", "forecast", "n_steps", "n_drivers", "n_insights", "is_valid", "reason",
+                            "x.driver", "x.business_name", "x.role", "x.strength",
+                            F.col("x.insight.analyst_explanation").alias("explanation")))
+
+
+@query
+def request_outcome(spark: SparkSession, d: str) -> DataFrame:
+    """Outcome of a request for every Friday, for the Fridays 20 years on and for
+    the Saturdays after."""
+    days = _report_days(spark, d)
+    asked = days.select(F.explode(F.array("ssd", F.date_add("ssd", 7 * 1043), F.date_add("ssd", 1))).alias("day"))
+    checked = validate_requests(asked.select(F.date_format("day", "yyyy-MM-dd").alias("friday_date")),
+                                start=R.REQUEST_START, end=R.REQUEST_END)
+    return request_outcomes(checked, _reports_one(spark, d))
 
 
 # ---- scalable paths for one long series (same SQL as the global window) -----

@@ -20,6 +20,7 @@ EVAL_BOUNDARY = "2000-07-01"
 BACKGROUND_N = 100
 RIDGE = 1e-3
 SEED = 42
+REQUEST_START, REQUEST_END = "1990-01-01", "2010-12-31"
 # Index classes (return flag _ line status), the excluded one, and the
 # driver order of the frame.
 INDEX_DRIVERS = ["A_F", "A_O", "N_O", "R_F", "R_O"]
