@@ -58,9 +58,14 @@ def query(fn=None, *, name: str | None = None):
     return deco(fn) if fn is not None else deco
 
 
-def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+#: Where sums often end on a decimal tie, whose side depends on the order of
+#: summation, both engines add this before they round.
+OFF_TIES = 1e-9
+
+
+def rounded(df: DataFrame, digits: int = DIGITS, off: float = 0.0) -> DataFrame:
     """Round every DOUBLE column (output convention of checked queries)."""
-    return df.select(*[round_half_even(F.col(f.name), digits).alias(f.name)
+    return df.select(*[round_half_even(F.col(f.name) + off if off else F.col(f.name), digits).alias(f.name)
                        if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
                        for f in df.schema.fields])
 
@@ -391,7 +396,7 @@ def _pipeline_many(spark, d):
     params = fit_robust(past, R.FEATURES, R.LAG, ends, keys=R.KEYS)
     scaled = lag_windows(apply_robust(frame, params, R.FEATURES, keys=R.KEYS), R.FEATURES, R.LAG,
                          keys=R.KEYS)
-    return frame, labels, params, scaled
+    return frame, labels, params, scaled, spot
 
 
 @query
@@ -402,7 +407,7 @@ def robust_params_many(spark: SparkSession, d: str) -> DataFrame:
 @query
 def predictions_long(spark: SparkSession, d: str) -> DataFrame:
     """Per-supplier scaled windows scored by per-supplier models (keyed path)."""
-    frame, _, _, scaled = _pipeline_many(spark, d)
+    frame, _, _, scaled, _ = _pipeline_many(spark, d)
     series = frame.select(F.col("series_id").alias("series_id")).distinct()  # an attribute of its own for the co-group
     return rounded(score_linear(scaled, fixed_models(spark, R.LAG * len(R.FEATURES), series), R.KEYS))
 
@@ -591,6 +596,34 @@ def driver_role_q(spark: SparkSession, d: str) -> DataFrame:
     return rounded(driver_role(summary, _linear_path_one(spark, d, inputs)))
 
 
+def _summary_many(spark, d):
+    """Attribution of every supplier's Fridays, their windows, models and spot."""
+    frame, _, params, _, spot = _pipeline_many(spark, d)
+    scaled = materialize(lag_windows(apply_robust(frame, params, R.FEATURES, keys=R.KEYS), R.FEATURES, R.LAG,
+                                     keys=R.KEYS, with_dates=True), "scaled_many")
+    report = scaled.where(is_friday("ssd"))
+    background = sample_background(scaled, R.BACKGROUND_N, R.SEED, R.KEYS)
+    series = frame.select(F.col("series_id").alias("series_id")).distinct()
+    models = fixed_models(spark, R.LAG * len(R.FEATURES), series)
+    scores = attribute_linear(report, models, background, R.FEATURES, R.KEYS)
+    return attribution_summary(scores, R.KEYS), report, models, spot
+
+
+@query
+def attribution_many(spark: SparkSession, d: str) -> DataFrame:
+    """Attribution per supplier, Friday, horizon and driver."""
+    return rounded(_summary_many(spark, d)[0], off=OFF_TIES)
+
+
+@query
+def driver_role_many(spark: SparkSession, d: str) -> DataFrame:
+    """Role labels per supplier, Friday and driver."""
+    summary, report, models, spot = _summary_many(spark, d)
+    days = spot.where(is_friday("ssd")).select(*R.KEYS, "ssd")
+    path = forecast_path(score_linear(report, models, R.KEYS), current_spot(spot, days, R.KEYS), R.HORIZON, R.KEYS)
+    return rounded(driver_role(summary, path, R.KEYS), off=OFF_TIES)
+
+
 # ---- dictionary, context, report ---------------------------------------------
 
 def _known_drivers(spark, d):
