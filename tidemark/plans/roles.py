@@ -63,11 +63,17 @@ def inventory(spark: SparkSession, d: str) -> DataFrame:
     return scan_series(daily, "day", "q", out="inventory", dedupe="none")
 
 
+def _sparse_tax():
+    """Tax of first lines from 1996 on: the values of the sparse role; all other
+    lines of the table are its missing values."""
+    known = (F.col("l_linenumber") == 1) & (F.col("l_shipdate") >= F.lit("1996-01-01").cast("timestamp_ntz"))
+    return F.avg(F.when(known, F.col("l_tax").cast("double")))
+
+
 def freight(spark: SparkSession, d: str) -> DataFrame:
     """Sparse daily series starting a year late → ``(ssd, freight)``."""
-    li = table(spark, d, "lineitem").where(
-        (F.col("l_linenumber") == 1) & (F.col("l_shipdate") >= F.lit("1996-01-01").cast("timestamp_ntz")))
-    daily = li.groupBy(F.col("l_shipdate").cast("date").alias("day")).agg(F.avg("l_tax").alias("t"))
+    li = table(spark, d, "lineitem")
+    daily = li.groupBy(F.col("l_shipdate").cast("date").alias("day")).agg(_sparse_tax().alias("t")).where("t is not null")
     return scan_series(daily, "day", "t", out="freight", dedupe="none")
 
 
@@ -77,11 +83,10 @@ def date_only(spark: SparkSession, d: str) -> DataFrame:
     that merging the three on the date makes."""
     day = F.col("l_shipdate").cast("date")
     cls = F.concat("l_returnflag", F.lit("_"), "l_linestatus")
-    sparse = (F.col("l_linenumber") == 1) & (F.col("l_shipdate") >= F.lit("1996-01-01").cast("timestamp_ntz"))
     return table(spark, d, "lineitem").where(day.isNotNull()).groupBy(day.alias("ssd")).agg(
         *[F.avg(F.when(cls == c, F.col("l_extendedprice").cast("double"))).alias(c) for c in INDEX_DRIVERS],
         F.sum("l_quantity").cast("double").alias("inventory"),
-        F.avg(F.when(sparse, F.col("l_tax").cast("double"))).alias("freight"))
+        _sparse_tax().alias("freight"))
 
 
 def merged_one(spark: SparkSession, d: str) -> DataFrame:
