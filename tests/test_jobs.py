@@ -5,6 +5,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
+from tidemark.operators.context import parse_insights, report_context
+from tidemark.operators.path import current_spot
+from tidemark.operators.requests import request_outcomes, validate_requests
 from tidemark.plans import jobs
 from tidemark.plans import roles as R
 from tidemark.session import scratch_path
@@ -51,3 +54,30 @@ def test_report_for_many_series(spark):
     assert ctx.count() == ctx.select("series_id", "ssd").distinct().count()
     done = {str(r.ssd): r["count"] for r in ctx.groupBy("ssd").count().collect()}
     assert {str(r.report_date): r.n_reports for r in read_table(spark, rep["outcomes"]).collect()} == done
+
+
+def test_report_reasons_and_outcomes(spark):
+    days = [f"2024-01-{d:02d}" for d in (5, 12, 19, 26)]  # complete, no spot, short path, no driver
+    asked = spark.createDataFrame([(d,) for d in [*days, days[0], "2024-01-06", "2024-02-02"]], "friday_date string")
+    checked = validate_requests(asked)
+    ssd = checked.where("is_valid and report_date < '2024-02-01'").select(F.col("report_date").alias("ssd"))
+    spot = spark.createDataFrame([(d, 10.0) for d in days if d != days[1]], "ssd string, price double").withColumn("ssd", F.to_date("ssd"))
+    path = spark.createDataFrame([(d, h, 11, 10.0) for d, n in zip(days, (2, 2, 1, 2)) for h in range(1, n + 1)],
+                                 "ssd string, days_ahead int, forecast_price long, current_spot double").withColumn("ssd", F.to_date("ssd"))
+    path = path.withColumn("future_date", F.date_add("ssd", "days_ahead"))
+    ctx = spark.createDataFrame([(d, x) for d in days[:3] for x in ("b", "a")], "ssd string, driver string").withColumn("ssd", F.to_date("ssd"))
+    for c in ("business_name", "attribution_direction", "forecast_direction", "role", "strength"):
+        ctx = ctx.withColumn(c, F.lit("x"))
+    whole = '{"feature_name":"a","feature_behavior":"u","shap_interpretation":"v","forecast_alignment":"w","influence_strength":"y","analyst_explanation":"z"}'
+    told = parse_insights(ctx.where(F.col("ssd") == days[0]).select(
+        "ssd", "driver", F.when(F.col("driver") == "a", whole).otherwise("{").alias("response")))
+    rep = report_context(ssd, current_spot(spot, ssd.distinct(), []), path, ctx, told, horizon=2)
+    rows = {str(r.ssd): r for r in rep.collect()}
+    assert [rows[d].reason for d in days] == [None, "missing current price", "missing forecast path", "missing driver context"]
+    first = rows[days[0]]
+    assert (first.n_steps, first.n_drivers, first.n_insights) == (2, 2, 1) and rows[days[3]].drivers is None
+    assert [(x.driver, x.insight and x.insight.analyst_explanation) for x in first.drivers] == [("a", "z"), ("b", None)]
+    got = sorted((r.request, r.status, r.outcome_reason) for r in request_outcomes(checked, rep).collect())
+    assert got == [(days[0], "done", None), (days[0], "done", None), ("2024-01-06", "rejected", None), (days[1], "failed", "missing current price"),
+                   (days[2], "failed", "missing forecast path"), (days[3], "failed", "missing driver context"),
+                   ("2024-02-02", "failed", "no spot for the date")]
