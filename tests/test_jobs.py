@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
-from tidemark.operators.context import parse_insights, report_context
+from tidemark.operators.context import INSIGHT_FIELDS, parse_insights, report_context
 from tidemark.operators.path import current_spot
 from tidemark.operators.requests import request_outcomes, validate_requests
 from tidemark.plans import jobs
@@ -48,9 +48,12 @@ def test_report_for_many_series(spark):
     jobs.fit_job(spark, out, R.LAG, keys)
     fridays = (spot.where(F.weekday("ssd") == 4).groupBy("ssd").count().orderBy(F.desc("count"), "ssd").limit(3)
                .select(F.date_format("ssd", "yyyy-MM-dd").alias("friday_date")))
-    rep = jobs.report_job(spark, fridays, spot, out, R.LAG, R.HORIZON, keys, start="1995-01-01", end="2001-12-31")
+    told = spot.where(F.weekday("ssd") == 4).select(*keys, "ssd", F.lit("price").alias("driver"), F.to_json(F.struct(
+        *[F.lit("x").alias(c) for c in INSIGHT_FIELDS])).alias("response"))
+    rep = jobs.report_job(spark, fridays, spot, out, R.LAG, R.HORIZON, keys, start="1995-01-01", end="2001-12-31", responses=told)
     ctx = read_table(spark, rep["report_context"])
     assert ctx.where("is_valid").count() > 0
+    assert ctx.where("is_valid and n_insights <> 1").count() == 0
     assert ctx.count() == ctx.select("series_id", "ssd").distinct().count()
     done = {str(r.ssd): r["count"] for r in ctx.groupBy("ssd").count().collect()}
     assert {str(r.report_date): r.n_reports for r in read_table(spark, rep["outcomes"]).collect()} == done

@@ -14,7 +14,7 @@ from tidemark.operators.align import align_sources, fill
 from tidemark.operators.attribution import (
     attribute_linear, attribution_summary, driver_role, sample_background,
 )
-from tidemark.operators.context import driver_context, render_driver_context, report_context
+from tidemark.operators.context import driver_context, parse_insights, render_driver_context, report_context
 from tidemark.operators.evaluate import eval_rows, eval_summary, metric_pivot
 from tidemark.operators.forecast.linear import fit_linear, score_linear
 from tidemark.operators.labels import future_return_vectors, future_returns
@@ -106,12 +106,14 @@ def backtest_job(spark: SparkSession, out: str, lag: int, eval_boundary, keys: I
 
 def report_job(spark: SparkSession, requests: DataFrame, spot: DataFrame, out: str, lag: int, horizon: int,
                keys: Iterable[str] = (), start: str | None = None, end: str | None = None,
-               background_n: int = 100, seed: int = 42) -> dict[str, str]:
+               background_n: int = 100, seed: int = 42, responses: DataFrame | None = None) -> dict[str, str]:
     """E6: validate the requested dates, then per valid date and driver (and
     series, for every series with a spot on that date) the forecast path,
     attribution, role labels, history and the rendered context; one
     report-context row per date (and series), complete or not, and one outcome
-    row per request. A date that is requested twice is computed once."""
+    row per request. A date that is requested twice is computed once.
+    ``responses`` (keys, ssd, driver, response) is insight JSON, collected in
+    the reports."""
     keys = list(keys)
     kw = {k: v for k, v in (("start", start), ("end", end)) if v}
     checked = validate_requests(requests, **kw)
@@ -137,7 +139,8 @@ def report_job(spark: SparkSession, requests: DataFrame, spot: DataFrame, out: s
     write_table(ctx, _p(out, "driver_context"))
     ctx = read_table(spark, _p(out, "driver_context"))
     write_table(render_driver_context(ctx, keys), _p(out, "driver_prompts"))
-    write_table(report_context(days, spot_now, path, ctx, None, keys, horizon), _p(out, "report_context"))
+    insights = parse_insights(responses) if responses is not None else None
+    write_table(report_context(days, spot_now, path, ctx, insights, keys, horizon), _p(out, "report_context"))
     write_table(request_outcomes(read_table(spark, _p(out, "requests")), read_table(spark, _p(out, "report_context"))),
                 _p(out, "outcomes"))
     return {n: _p(out, n) for n in ("requests", "outcomes", "paths", "driver_context", "driver_prompts", "report_context")}
