@@ -127,6 +127,36 @@ def test_secrets(spark, docs_of):
     assert secret_scan.scan(docs_of(rows).limit(0)).count() == 0
 
 
+def long_run_rows():
+    """Labels, and long runs of token characters that no base pattern covers:
+    200 with a secret in the middle, 201 and 202 without one."""
+    rnd = random.Random(9)
+    hexed = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
+    rows = [(10 + i, f"some words token = \"{hexed(40)}\" and more") for i in range(60)]
+    rows += [(100 + i, f"mail to user{i}.{hexed(3)}@mail{i}.example.com on 10.20.{i}.{i + 1}.99 now") for i in range(60)]
+    path = lambda: "/".join(rnd.choice(("reports", "Summary", "monthly", "archive", "page12", "2024")) for _ in range(12))
+    rows += [(300 + i, f"see /{path()}/{hexed(40)}/{path()} there") for i in range(30)] + [(400 + i, f"see /{path()} there") for i in range(60)]
+    return rows + [(200, f"see /{path()}/{hexed(20)}-{hexed(20)}/{path()} there"), (201, f"see /{path()}/{path()} there"), (202, f"see /{path()} there")]
+
+
+def test_secret_inside_a_long_run(spark, docs_of):
+    rows = long_run_rows()
+    found = {r.doc_id: r.findings for r in secret_scan.scan(docs_of(rows)).collect()}
+    text = dict(rows)[200]
+    assert [(x["kind"], text[x["start"]:x["end"]]) for x in found[200]] == [("model", text.split()[1])]
+    assert found[201] == [] and found[202] == []
+
+
+def test_windows_reach_every_character():
+    for n in range(12, 200):
+        text = "ab " + "x" * n + " cd"
+        c, = secret_scan.looked_at(text.replace("x" * n, "xY1" + "x" * (n - 3)), [])
+        seen = {i for o in c["at"] for i in range(o, o + secret_scan.INSIDE)}
+        assert set(range(n)) <= seen and all(len(c["codes"][o:o + secret_scan.WIDTH]) == secret_scan.WIDTH for o in c["at"])
+        # 33 characters in a row are whole in one window
+        assert n < 33 or all(any(o <= i and i + 33 <= o + secret_scan.INSIDE for o in c["at"]) for i in range(n - 32))
+
+
 def test_contract_digest(spark):
     rows = queries.op8_secret_scan(spark, SF_SMALL).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
