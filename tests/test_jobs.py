@@ -1,16 +1,19 @@
 """The experiment run and a report request end to end (smallest tables)."""
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
-from tidemark.operators.context import INSIGHT_FIELDS, parse_insights, report_context
+from tidemark.operators.attribution import attribution_summary, driver_role
+from tidemark.operators.context import INSIGHT_FIELDS, driver_context, parse_insights, render_driver_context, report_context
 from tidemark.operators.path import current_spot
 from tidemark.operators.requests import request_outcomes, validate_requests
 from tidemark.plans import jobs
 from tidemark.plans import roles as R
 from tidemark.session import scratch_path
+from tidemark.sources.dictionary import driver_dictionary
 from tidemark.sources.scan import read_table
 
 
@@ -38,6 +41,28 @@ def test_experiment_and_report(spark):
     assert outcomes.where("status = 'failed' and outcome_reason is null").count() == 0
 
 
+def test_driver_record_has_every_lag_step(spark):
+    day, lags, ahead = dt.date(2001, 3, 2), 3, 2
+    a, b = R.FEATURES[:2]
+    scores = [(day, h, d, k, day - dt.timedelta(2 - k), (h + k / 8 + 0.00006) * (1 if d == a else -1))
+              for h in (1, 2) for d in (a, b) for k in range(lags)]
+    scores = spark.createDataFrame(scores[::-1], "ssd date, days_ahead int, driver string, lag_step int, lag_date date, score double")
+    path = spark.createDataFrame([(day, h, day + dt.timedelta(2 + h), 100.0 + h, 100.0) for h in (1, 2)],
+                                 "ssd date, days_ahead int, future_date date, forecast_price double, current_spot double")
+    history = spark.createDataFrame([(day, d, 0, day, 1.0) for d in (a, b)], "ssd date, driver string, step int, hist_date date, value double")
+    summary = attribution_summary(scores)
+    ctx = driver_context(driver_dictionary(spark), history, path, summary, driver_role(summary, path), scores=scores)
+    said = {r.driver: r.step_scores for r in ctx.collect()}
+    assert set(said) == {a, b}
+    assert said[a].split("\n") == [
+        f"[{ahead}]{{horizon,scores}}:",
+        "  SHAPScoreFor 2001-03-05,2001-02-28:1.0001 2001-03-01:1.1251 2001-03-02:1.2501",
+        "  SHAPScoreFor 2001-03-06,2001-02-28:2.0001 2001-03-01:2.1251 2001-03-02:2.2501"]
+    assert "2001-03-01:-1.1251" in said[b]
+    for r in render_driver_context(ctx).collect():
+        assert said[r.driver] in r.prompt
+
+
 def test_report_for_many_series(spark):
     out = scratch_path(spark, f"jobs-{uuid.uuid4().hex}")
     keys = ["series_id"]

@@ -64,10 +64,26 @@ def attribution_text(summary: DataFrame, path: DataFrame, keys: Iterable[str] =
                         ["horizon", "score"], out="attribution")
 
 
+def step_scores_text(scores: DataFrame, path: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
+    """From ``attribute_linear`` rows: ``(keys…, ssd, driver, step_scores)``: one
+    line per horizon, labelled with its target business day, then the score of
+    every lag step as ``date:score``, oldest first, rounded to 4 places."""
+    keys = list(keys)
+    on = keys + ["ssd", "days_ahead"]
+    step = F.concat(F.date_format("lag_date", "yyyy-MM-dd"), F.lit(":"), fmt_fixed(round_half_even("score", 4), 4))
+    vectors = scores.groupBy(*on, "driver").agg(
+        F.array_sort(F.collect_list(F.struct("lag_step", step.alias("t")))).alias("steps"))
+    s = vectors.join(path.select(*on, "future_date"), on)
+    label = F.concat(F.lit(SCORE_LABEL), F.date_format("future_date", "yyyy-MM-dd"))
+    return encode_table(s, keys + ["ssd", "driver"], "days_ahead", [label, F.array_join("steps.t", " ")],
+                        ["horizon", "scores"], out="step_scores")
+
+
 def driver_context(info: DataFrame, history: DataFrame, path: DataFrame, summary: DataFrame,
-                   roles: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
+                   roles: DataFrame, keys: Iterable[str] = (), scores: DataFrame | None = None) -> DataFrame:
     """One row per (keys, ssd, driver): dictionary fields, current spot,
-    history / forecast / attribution tables and the role labels."""
+    history / forecast / attribution tables and the role labels. With ``scores``
+    (``attribute_linear`` rows) also ``step_scores``, every lag step's score."""
     keys = list(keys)
     on = keys + ["ssd", "driver"]
     h = history_text(history, keys)
@@ -75,18 +91,22 @@ def driver_context(info: DataFrame, history: DataFrame, path: DataFrame, summary
     f = path_text(path, keys)
     r = roles.select(*on, "attribution_direction", "forecast_direction", "role", "strength")
     base = h.join(a, on).join(r, on).join(f, keys + ["ssd"])
+    if scores is not None:
+        base = base.join(step_scores_text(scores, path, keys), on)
     return with_driver_info(base, info)
 
 
 def render_driver_context(ctx: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
     """``(keys…, ssd, driver, prompt)``: one keyed record per driver. A head of
     ``name=value`` fields says what the driver is and where it stands; three
-    tables follow, each under a line that names it and its columns' meaning."""
+    tables follow, each under a line that names it and its columns' meaning, and
+    ``step_scores`` after the scores if ``ctx`` has them."""
     keys = list(keys)
 
     def field(name, value):
         return F.concat(F.lit(f"{name}="), F.coalesce(value, F.lit("-")))
 
+    steps = [F.lit("[steps] score per horizon and lag date, oldest first"), F.col("step_scores")] if "step_scores" in ctx.columns else []
     text = F.concat_ws(
         "\n",
         F.concat_ws(" ", F.lit("[driver]"), field("id", F.col("driver")), field("on", F.date_format("ssd", "yyyy-MM-dd")),
@@ -95,7 +115,7 @@ def render_driver_context(ctx: DataFrame, keys: Iterable[str] = ()) -> DataFrame
                     field("pushes", F.col("attribution_direction")), field("path", F.col("forecast_direction"))),
         F.concat_ws("; ", field("title", F.col("business_name")), field("class", F.col("asset_class")),
                     field("theme", F.col("macro_role")), field("link", F.col("relationship_to_target"))),
-        F.lit("[scores] total per horizon"), F.col("attribution"),
+        F.lit("[scores] total per horizon"), F.col("attribution"), *steps,
         F.lit("[path] price per business day"), F.col("forecast"),
         F.lit("[series] latest values, oldest first"), F.col("history"))
     return ctx.select(*keys, "ssd", "driver", text.alias("prompt"))

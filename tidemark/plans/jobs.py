@@ -129,13 +129,15 @@ def report_job(spark: SparkSession, requests: DataFrame, spot: DataFrame, out: s
     samples = read_table(spark, _p(out, "windows")).select(*keys, "ssd")
     report = scaled.join(days, keys + ["ssd"], "left_semi")
     background = sample_background(scaled.join(samples, keys + ["ssd"], "left_semi"), background_n, seed, keys)
-    summary = attribution_summary(attribute_linear(report, models, background, cols, keys), keys)
+    write_table(attribute_linear(report, models, background, cols, keys), _p(out, "attribution"))
+    scores = read_table(spark, _p(out, "attribution"))
+    summary = attribution_summary(scores, keys)
     spot_now = current_spot(spot, days, keys)
     write_table(forecast_path(score_linear(report, models, keys), spot_now, horizon, keys), _p(out, "paths"))
     path = read_table(spark, _p(out, "paths"))
     roles = driver_role(summary, path, keys)
     history = recent_history(frame, cols, days, lag, keys)
-    ctx = driver_context(driver_dictionary(spark), history, path, summary, roles, keys)
+    ctx = driver_context(driver_dictionary(spark), history, path, summary, roles, keys, scores)
     write_table(ctx, _p(out, "driver_context"))
     ctx = read_table(spark, _p(out, "driver_context"))
     write_table(render_driver_context(ctx, keys), _p(out, "driver_prompts"))
