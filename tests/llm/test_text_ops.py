@@ -157,6 +157,27 @@ def test_windows_reach_every_character():
         assert n < 33 or all(any(o <= i and i + 33 <= o + secret_scan.INSIDE for o in c["at"]) for i in range(n - 32))
 
 
+def test_following_text_counts():
+    rnd = random.Random(4)
+    x, y = [], []
+    for i in range(400):
+        text = "".join(rnd.choice("abcdef0123456789") for _ in range(20))
+        text = f"see {text}" + ("\"; // key" if i % 2 else " is here") + " and so on"
+        x.append(secret_scan.strip(text, 4, 24))
+        y.append(i % 2)
+    x, y = np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1), np.array(y, float)
+    net = secret_scan.CharNet().train(x[:300], y[:300])
+    assert ((net.logits(x[300:]) > 0) == (y[300:] > 0)).mean() > 0.95
+    # each following character reaches the score
+    net, least = secret_scan.CharNet(), 1e-6
+    z = net.logits(x[:1])[0]
+    other = x[:1].copy()
+    for at in range(secret_scan.BEFORE + secret_scan.INSIDE, secret_scan.WIDTH):
+        other[0, at] = (x[0, at] + 7) % secret_scan.CLASSES
+        assert abs(net.logits(other)[0] - z) > least
+        other[0, at] = x[0, at]
+
+
 def test_contract_digest(spark):
     rows = queries.op8_secret_scan(spark, SF_SMALL).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
