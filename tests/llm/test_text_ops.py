@@ -178,6 +178,38 @@ def test_following_text_counts():
         other[0, at] = x[0, at]
 
 
+def test_rest_beside_a_base_finding(spark, docs_of):
+    rows = long_run_rows()
+    secret = rows[-3][1].split("/")[13]
+    rows += [(500, f"see token=abc123def@{secret}@{secret[::-1]} there")]
+    found = {r.doc_id: r.findings for r in secret_scan.scan(docs_of(rows)).collect()}
+    assert [(x["kind"], rows[-1][1][x["start"]:x["end"]]) for x in found[500]] == [
+        ("assign", "token=abc123def"), ("model", f"@{secret}@{secret[::-1]}")]
+    spans = secret_scan.Spans([(3, 0, 5), (4, 1, 8), (10, 0, 12)])
+    for s in range(14):
+        for e in range(s + 1, 15):
+            free = [i for i in range(s, e) if i < 3 or 8 <= i < 10 or i >= 12]
+            assert [i for a, z in spans.beside(s, e) for i in range(a, z)] == free
+            assert spans.touch(s, e) == (len(free) < e - s)
+
+
+def test_few_labels_still_give_a_network(spark):
+    rows = long_run_rows()
+    few = [r for r in rows if r[0] in (10, 11, 100, 101)]
+    scanned = spark.createDataFrame(
+        [(i, secret_scan.looked_at(t, secret_scan.base_spans(t))) for i, t in few],
+        "doc_id long, cands array<struct<start: long, end: long, found: boolean, at: array<int>, codes: binary>>")
+    assert secret_scan.fit_network(scanned) is not None
+    assert secret_scan.fit_network(scanned.where("doc_id >= 100")) is None  # one label only
+
+
+def test_threshold_keeps_recall():
+    rnd = np.random.default_rng(3)
+    for n in (1, 5, 20, 100, 1000):
+        p, y = rnd.random(2 * n) * .4, np.repeat([1.0, 0.0], n)
+        assert (p[y > 0] >= secret_scan.threshold(p, y, 0.95)).mean() >= 0.95
+
+
 def test_contract_digest(spark):
     rows = queries.op8_secret_scan(spark, SF_SMALL).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
