@@ -169,3 +169,29 @@ def test_large_filters_are_split_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(capfilter, "CHUNK", 32)
     got = capfilter.cosine_groups(df).collect()
     assert {(r.n_links, r.component_id) for r in got} == {(149, 0)}
+
+
+def test_embeddings_of_few_dimensions(spark):
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for dim in (1, 2, 4, 8, 9, 12, 16, 20):
+        x = capfilter.unit(rng.standard_normal((120, dim)))
+        turn = rng.standard_normal(x.shape)
+        turn -= (turn * x).sum(axis=1, keepdims=True) * x
+        x = np.concatenate([x, .935 * x + np.sqrt(1 - .935 ** 2) * capfilter.unit(turn)]) if dim > 1 else x
+        near = capfilter.unit(x) @ capfilter.unit(x).T >= .93
+        np.fill_diagonal(near, False)
+        rows += [(1000 * dim + i, v.tolist(), 0) for i, v in enumerate(x)]
+        want[dim] = near.sum(axis=1)
+    got = {r.vec_id: r.n_links for r in capfilter.cosine_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    for dim, links in want.items():
+        mine = np.array([got[1000 * dim + i] for i in range(len(links))])
+        assert (mine <= links).all() and mine.sum() >= .97 * links.sum()
+        assert dim >= capfilter.ALL_PAIRS or (mine == links).all()
+
+
+def test_filters_of_a_vector_in_every_dimension():
+    rng = np.random.default_rng(2)
+    for dim in (12, 16, 32, 64, 128):
+        found = capfilter.ProductCode(dim).decode(capfilter.unit(rng.standard_normal((500, dim))))
+        assert 17 < np.mean([len(f) for f in found]) < 26

@@ -12,6 +12,30 @@ from tidemark.llm.common import arrow_map, materialize
 from tidemark.llm.components import connected_components
 
 CHUNK = 1024
+#: Vectors of fewer dimensions are all compared: near vectors share too few caps of so small an area there.
+ALL_PAIRS = 12
+
+
+def cap_bound(dim: int, tail: float, of: int = 64) -> float:
+    """The inner product at which a vector is sent to a filter. From ``of``
+    dimensions on, ``tail`` standard deviations of that of random unit vectors. In
+    fewer, where that many are rare, the bound that random vectors pass as often as
+    in ``of``: the cap area, and with it the number of filters, stays the same."""
+    if dim >= of:
+        return float(tail / np.sqrt(dim))
+
+    def above(d):
+        # the angle has density sin(angle) ** (d - 2)
+        angle = np.linspace(0, np.pi, 200_001)
+        with np.errstate(divide="ignore"):
+            weight = np.exp((d - 2) * np.log(np.sin(angle).clip(0))) if d > 2 else np.ones_like(angle)
+        area = np.concatenate([[0], np.cumsum((weight[1:] + weight[:-1]) / 2)])
+        return angle, area / area[-1]
+
+    angle, area = above(of)
+    want = np.interp(np.arccos(min(1.0, tail / np.sqrt(of))), angle, area)
+    angle, area = above(dim)
+    return float(np.cos(np.interp(want, area, angle)))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -26,14 +50,13 @@ class ProductCode:
     """``codes`` random product codes of ``words ** 2`` directions each: after a
     random rotation, a direction is a random word of the first half of the
     coordinates beside one of the second. ``decode`` lists every direction whose
-    inner product with a unit vector is at least ``tail`` standard deviations of
-    a random one. A first word is looked at only where the best second word
+    inner product with a unit vector is at least ``cap_bound``. A first word is looked at only where the best second word
     can lift it over the bound. Several small codes instead of one large one keep
     the number of filters of a vector near its mean."""
 
     def __init__(self, dim: int, codes: int = 12, words: int = 40, tail: float = 3.0, seed: int = 7):
         rng = np.random.default_rng([seed, dim])
-        self.words, self.least, self.codes = words, tail / np.sqrt(dim), []
+        self.words, self.least, self.codes = words, cap_bound(dim, tail), []
         for _ in range(codes):
             turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
             both = []
@@ -119,9 +142,11 @@ def cosine_groups(vectors: DataFrame, least: float = 0.93, codes: int = 12, word
     vertex is sent to every cap filter it exceeds; inside a filter all members
     are compared, in blocks of ``CHUNK`` x ``CHUNK``, the blocks of a large
     filter in tasks of their own. Only verified pairs count, each once, and a
-    block returns one row per member, never its pairs. Pairs that share no
-    filter are missed: with the defaults a vector has about 20 filters and 1 in
-    100 pairs at 0.93 shares none (recall is measured in the tests). Buckets
+    block returns one row per member, never its pairs. Vectors of fewer than
+    ``ALL_PAIRS`` dimensions share one filter, so all of a label are compared. Of
+    the others, pairs that share no filter are missed: with the defaults a vector
+    has 20 to 25 filters and 1 in 100 pairs at 0.93 shares none (recall is measured
+    in the tests). Buckets
     hold about ``n * P(N(0, 1) > tail)`` vectors of a label: raise ``codes`` and
     ``tail`` with the table.
 
@@ -150,6 +175,10 @@ def cosine_groups(vectors: DataFrame, least: float = 0.93, codes: int = 12, word
             filters = [None] * len(vs)
             for d in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == d)
+                if d < ALL_PAIRS:
+                    for i in at:
+                        filters[i] = np.zeros(1, np.int32)
+                    continue
                 made.setdefault(d, ProductCode(d, codes, words, tail))
                 for i, f in zip(at, made[d].decode(unit(np.array([vs[i] for i in at])))):
                     filters[i] = f
