@@ -13,13 +13,23 @@ from tidemark.llm.common import materialize, scratch_path, table
 from tidemark.llm.queries import THRESHOLD, toxicity_model
 
 
+#: The key of a row of a stage's input; ids may be null or repeat.
+ROW = "row_key"
+
+
+def with_rows(docs: DataFrame) -> DataFrame:
+    """The rows with a key each, written once so that it stays the same."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold of the toxicity query; the model
-    learns from the labelled documents of the input. Rows that share an id go
-    together; rows with a null id are scored by nothing and stay."""
-    scores = toxicity_model(spark, docs, sf_dir).score(docs)
-    bad = materialize(scores.where(F.col("score") >= THRESHOLD).select("doc_id").distinct(), "toxic")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Rows that score below the threshold of the toxicity query; the model
+    learns from the labelled documents of the input. Each row is judged by its
+    own text, whatever its id."""
+    rows = with_rows(docs)
+    scores = toxicity_model(spark, rows, sf_dir).score(rows, id_col=ROW)
+    bad = materialize(scores.where(F.col("score") >= THRESHOLD).select(F.col("doc_id").alias(ROW)), "toxic")
+    return rows.join(bad, ROW, "left_anti").select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,17 +41,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the smallest id. Texts without words
-    share fingerprint zero and are a group like any other; rows with a null id
-    stay."""
-    groups = simhash.simhash_groups(docs, shingle=3, max_bits=2)
-    later = materialize(groups.where("doc_id <> component_id").select("doc_id"), "later")
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each SimHash group: the smallest id, a null id last. Texts
+    without words share fingerprint zero and are a group like any other."""
+    rows = with_rows(docs)
+    groups = simhash.simhash_groups(rows, shingle=3, max_bits=2, id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    first = (groups.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id")
+             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW)).alias("m")))
+    later = materialize(groups.join(first.select(f"m.{ROW}"), ROW, "left_anti").select(ROW), "later")
+    return rows.join(later, ROW, "left_anti").select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+    """Rows that hold no benchmark item, whatever their id."""
+    return decontam.without_leaks(with_rows(docs), table(spark, sf_dir, "benchmark"), doc_col=ROW).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,11 +1,14 @@
 """Chat formatting, WARC and the pipeline; every query with SQL against it."""
 
 import gzip
+import random
+from collections import Counter
 
 import pytest
 
 import corpus_pipeline
 from tests.conftest import SF_SMALL
+from tests.llm.test_dedup import components, slow_fingerprint
 from tidemark.llm import chat, queries, warc
 from tidemark.session import scratch_path
 from tools.check_oracle import TABLES, rows_of
@@ -101,3 +104,36 @@ def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, SF_SMALL)
     n = spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
     assert 0.5 * n < out.count() < n and out.where("not round_trip").count() == 0
+
+
+def test_pipeline_against_brute_force(spark, docs_of, tmp_path):
+    """Null and repeated ids: every row is judged by its own text."""
+    rnd = random.Random(6)
+    said = lambda i, bad: (f"note {i} " + " ".join(rnd.choice(("river", "table", "green", "paper", "window", "garden")) + str(rnd.randrange(999))
+                                                   for _ in range(30)) + (" you filthy scumbag" if bad else " kind regards"))
+    item = " ".join(f"bench{j}" for j in range(30))
+    rows = [(i, said(i, i % 2)) for i in range(160)]
+    rows += [(None, said(500, True)), (None, said(501, False)), (2, said(502, True)), (3, said(503, False))]
+    rows += [(None, rows[4][1].replace(" ", "\n", 1)), (600, rows[6][1].replace(" ", "\n", 1)), (None, f"{item} tail"), (8, f"{item} end")]
+    docs = docs_of(rows).select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(10, 160)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+
+    model = queries.toxicity_model(spark, docs, str(tmp_path))
+    numbered = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    toxic = {r.doc_id for r in model.score(numbered).where(f"score >= {queries.THRESHOLD}").collect()}
+    assert toxic == {k for k, (_, t) in enumerate(rows) if "scumbag" in t}
+    left = [r for k, r in enumerate(rows) if k not in toxic]
+    prints = [slow_fingerprint(t) for _, t in left]
+    low = components(len(left), [(a, b) for a in range(len(left)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 2])
+    group = {}
+    for k, (i, t) in enumerate(left):
+        group.setdefault(low[k], []).append((i is None, i or 0, t))
+    left = [(None if no_id else i, t) for no_id, i, t in map(min, group.values())]
+    want = [i for i, t in left if item not in t]
+    got = [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert Counter(got) == Counter(want)
+    # the null-id toxic text, near copy and leak are gone, the clean null-id row and the clean row of a toxic one's id are not
+    assert got.count(None) == 1 and got.count(2) == 1 and got.count(3) == 1 and 8 in got and 600 not in got
