@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialize, scratch_path, ship_package
 
-__all__ = ["materialize", "scratch_path", "table", "arrow_map", "batches_of", "small_batches", "text_bytes"]
+__all__ = ["materialize", "scratch_path", "table", "arrow_map", "batches_of", "small_batches", "text_bytes", "Generations"]
 
 #: What goes to a Python task at once: rows and bytes of an Arrow batch.
 BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
@@ -54,6 +54,24 @@ def small_batches(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) ->
             yield b.slice(start, end - start)
 
 
+class Generations:
+    """A table that stays bounded: when the young generation holds more than ``most``
+    keys it becomes the old one, whose keys are taken over as they are met again.
+    Read from ``young`` after ``unknown`` was asked for the same keys."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def unknown(self, keys: set) -> set:
+        """The keys of neither generation; the others are in ``young`` now."""
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        keys = keys.difference(self.young)
+        again = [k for k in keys if k in self.old] if self.old else []
+        self.young.update((k, self.old.pop(k)) for k in again)
+        return keys.difference(again)
+
+
 def batches_of(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
     """Row tuples as record batches of at most ``size`` rows."""
     held: list[tuple] = []

@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import capfilter, chat, decontam, linededup, pieces, quality, secret_scan, simhash, toxicity, warc
+from tidemark.llm import (
+    byte_bpe, capfilter, chat, decontam, filter_audit, lexical, linededup, pieces, quality, secret_scan, simhash, toxicity, warc,
+)
 from tidemark.llm.common import scratch_path, table
 
 THRESHOLD = 0.3
@@ -94,6 +96,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shingle=5, least=0.8)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents")))
+    return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -101,11 +116,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_chat_perspectives, op2_simhash_dedup, op3_toxicity, op4_quality, op5_line_dedup, op6_embedding_dedup, op7_pieces,
-    op8_secret_scan, op9_warc_round_trip, op10_decontamination, pipeline)}
+    op8_secret_scan, op9_warc_round_trip, op10_decontamination, op11_filter_audit, op12_lexical_search, op13_byte_bpe,
+    pipeline)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = (f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')")
 
+_TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+
 ORACLE: dict[str, str] = {
     "op1_chat_perspectives": """
 WITH said AS (SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS body FROM conversations),
@@ -144,4 +162,40 @@ n AS (SELECT item_id, count(*) AS n_item FROM si GROUP BY ALL),
 hit AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN si USING (s) GROUP BY ALL)
 SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM hit JOIN n USING (item_id)
 WHERE n_shared >= greatest(1, ceil(round(0.8 * n_item, 9)))""",
+    "op11_filter_audit": """
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(x, '[\\x20\\x09-\\x0D]+'), lambda v: v <> '') AS words FROM t),
+first AS (SELECT x, min(doc_id) AS id FROM t GROUP BY x),
+d AS (SELECT part, [len(words) < 50, 100 * len(list_distinct(words)) < 65 * len(words),
+    100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 5 * length(x), regexp_matches(x, '[#$%&*|]'),
+    coalesce(doc_id > id, false)] AS f,
+  EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = w.doc_id AND quality = 1) AS good,
+  EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = w.doc_id AND toxic = 1) AS bad
+  FROM w JOIN first USING (x)),
+cells AS (SELECT part, f, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (bad) AS b FROM d GROUP BY ALL),
+letters AS (SELECT unnest(range(1, 6)) AS v),
+orders AS (SELECT [a.v, b.v, c.v, e.v, h.v] AS o FROM letters a, letters b, letters c, letters e, letters h
+  WHERE len(list_distinct([a.v, b.v, c.v, e.v, h.v])) = 5),
+steps AS (SELECT o, array_to_string(list_transform(o, lambda v: substr('ABCDE', CAST(v AS INTEGER), 1)), '') AS filter_order, step,
+    o[step] AS own, o[1:step - 1] AS prior FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+hit AS (SELECT *, f[own] AS fails, len(list_filter(prior, lambda v: f[v])) > 0 AS gone, len(list_filter(f, lambda v: v)) AS n_fails
+  FROM steps, cells),
+r AS (SELECT part, filter_order, step, own, CAST(coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0) AS BIGINT) AS kept,
+  CAST(coalesce(sum(n) FILTER (fails AND NOT gone), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (fails AND gone), 0) AS BIGINT) AS redundant,
+  CAST(coalesce(sum(n) FILTER (fails AND n_fails = 1), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(g) FILTER (fails AND NOT gone), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(b) FILTER (fails AND NOT gone), 0) AS BIGINT) AS toxic_lost
+  FROM hit GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r""",
+    "op12_lexical_search": f"""
+WITH dt AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), {_TERM}) AS t FROM documents),
+s AS (SELECT count(*) FILTER (len(t) > 0) AS nd, CAST(sum(len(t)) AS BIGINT) AS total FROM dt),
+want AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), {_TERM})) AS term FROM benchmark),
+tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM dt)
+  WHERE term IN (SELECT term FROM want) GROUP BY ALL),
+df AS (SELECT term, CAST(floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, s GROUP BY term, nd),
+impact AS (SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nd) // total))) AS v FROM tf JOIN df USING (term), s),
+scores AS (SELECT item_id, r, doc_id, CAST(sum(v) AS BIGINT) AS score FROM want JOIN impact USING (term) GROUP BY ALL HAVING sum(v) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM scores QUALIFY rank <= 50""",
 }
