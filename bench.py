@@ -19,7 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "baseline_eval_many",   # scan → daily mean → labels + baseline in one window → backtest
     "feature_frame_many",   # per-supplier frame + daily calendar of date-only drivers
-    "lag_windows_many",     # 10-row windows of 8 drivers per supplier (exploded)
+    "lag_window_rows_many",  # 10-row windows of 8 drivers per supplier (exploded; lag_windows_many of earlier rounds)
     "robust_params_many",   # weighted exact percentiles per supplier and driver
     "predictions_long",     # scaled windows scored per supplier and horizon
     "labels_long",

@@ -7,14 +7,19 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.align import fill, outer_merge, pivot_drivers
-from tidemark.operators.attribution import attribute_linear, attribution_summary, sample_background
+from tidemark.operators.align import align_sources, fill, outer_merge, pivot_drivers
+from tidemark.operators.attribution import attribute_linear, attribution_summary, sample_background, score_rows
+from tidemark.operators.context import parse_insights
 from tidemark.operators.evaluate import eval_rows, metric_pivot
-from tidemark.operators.forecast.linear import fit_linear, score_linear
+from tidemark.operators.forecast.linear import fit_linear, score_linear, score_sliding
 from tidemark.operators.labels import future_returns
+from tidemark.operators.order import halo_leads, row_numbers
+from tidemark.operators.profile import StageCounts
 from tidemark.operators.requests import validate_requests
 from tidemark.operators.scale import fit_robust
-from tidemark.operators.windows import asof_last_n, lag_windows, label_vectors, training_set
+from tidemark.operators.windows import asof_last_n, asof_rows, fit_split, gather_rows, lag_windows, label_vectors, training_set
+from tidemark.sources import snapshot
+from tidemark.sources.scan import scan_prices
 
 D = [dt.date(2024, 1, i) for i in range(1, 32)]
 
@@ -211,3 +216,124 @@ def test_halo_windows_equal_global_windows(spark):
     b = sorted((r.k, r.ssd, str(r.x), str(r.lag_dates)) for r in
                halo_lag_windows(df, ["u", "v"], 4, ["k"], block_rows=5, with_dates=True).collect())
     assert a == b and len(a) == 2 * (37 - 3)
+
+
+def _many_dates(spark):
+    """Two series with gaps, repeated NULLs and dates outside the date-only source."""
+    rows = [("a", D[2], 1.0), ("a", D[5], None), ("a", D[9], 3.0), ("b", D[0], None), ("b", D[4], 7.0), ("b", D[30], 8.0), ("c", D[12], None)]
+    spot = spark.createDataFrame(rows, "k string, ssd date, price double")
+    glob = spark.createDataFrame([(D[3], 1.0), (D[4], None), (D[8], 2.5), (D[20], None)], "ssd date, g double")
+    return spot, glob
+
+
+def test_union_calendar_equals_the_single_series(spark):
+    spot, glob = _many_dates(spark)
+    many = fill(align_sources([spot], [glob], keys=["k"], calendar="union"), ["price", "g"], ["k"])
+    got = {}
+    for r in many.collect():
+        got.setdefault(r.k, {})[r.ssd] = (r.price, r.g)
+    assert many.count() == sum(map(len, got.values()))
+    for k in "abc":
+        one = fill(align_sources([spot.where(F.col("k") == k).drop("k")], [glob]), ["price", "g"])
+        assert got[k] == {r.ssd: (r.price, r.g) for r in one.collect()}
+
+
+def test_asof_in_blocks_equals_per_series(spark):
+    days = [dt.date(2020, 1, 1) + dt.timedelta(3 * i) for i in range(500)]
+    frame = spark.createDataFrame([(d, float(i)) for i, d in enumerate(days)], "ssd date, a double")
+    probes = spark.createDataFrame([(dt.date(2019, 12, 31),), *[(dt.date(2020, 1, 1) + dt.timedelta(7 * i),) for i in range(250)]], "ssd date")
+    one = asof_rows(frame, probes, ["a"], 4)
+    many = asof_rows(frame.withColumn("k", F.lit(1)), probes.withColumn("k", F.lit(1)), ["a"], 4, ["k"]).drop("k")
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+    by_day = {}
+    for r in one.collect():
+        by_day.setdefault(r.ssd, []).append((r.step, r.a))
+    for p, got in by_day.items():
+        last = max(i for i, d in enumerate(days) if d <= p)
+        assert sorted(got) == list(enumerate(float(i) for i in range(max(0, last - 3), last + 1)))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
+
+
+def test_block_labels_and_split_equal_windows(spark):
+    rng = np.random.default_rng(0)
+    days = [dt.date(2010, 1, 1) + dt.timedelta(int(x)) for x in np.cumsum(rng.integers(1, 40, 300))]
+    spot = spark.createDataFrame([(k, d, float(i)) for k in "ab" for i, d in enumerate(days[:300 if k == "a" else 7])], "k string, ssd date, price double")
+    for keys, df in ((["k"], spot), ([], spot.where("k = 'a'"))):
+        rows = [sorted(map(tuple, future_returns(df, 5, keys, path=p).collect()), key=str) for p in ("window", "halo")]
+        assert rows[0] == rows[1]
+        split = [sorted(map(tuple, fit_split(df, .3, keys, path=p).select(*keys, "ssd", "is_val").collect())) for p in ("window", "blocks")]
+        assert split[0] == split[1]
+    blocks = halo_leads(spot.where("k = 'a'"), ["price"], 5, block_rows=8).collect()
+    for r in blocks:
+        i = int(r.price)
+        assert [x.price for x in r._ahead] == [float(j) if j < 300 else None for j in range(i + 1, i + 6)]
+
+
+def test_sliding_scores_equal_window_scores(spark):
+    rng = np.random.default_rng(3)
+    frame = spark.createDataFrame([(k, D[i], *rng.standard_normal(2).tolist()) for k, n in (("a", 31), ("b", 3), ("c", 2)) for i in range(n)],
+                                  "k string, ssd date, p double, q double")
+    models = spark.createDataFrame([(k, h, rng.standard_normal(6).tolist(), float(h)) for k in "ab" for h in (1, 2)],
+                                   "k string, days_ahead int, weights array<double>, intercept double")
+    want = score_linear(lag_windows(frame, ["p", "q"], 3, ["k"]), models, ["k"])
+    ends = row_numbers(frame, ["k"])
+    rows = gather_rows(ends, ends.where("rn >= 3").select("k", "ssd", "rn"), ["p", "q"], 3, ["k"])
+    for got in (score_sliding(frame, models, ["p", "q"], 3, ["k"]), score_rows(rows, models, ["p", "q"], ["k"])):
+        a, b = ({(r.k, r.ssd, r.days_ahead): r.prediction for r in x.collect()} for x in (want, got))
+        assert a.keys() == b.keys() and all(a[x] == pytest.approx(b[x]) for x in a) and len(a) == 60
+
+
+def test_fit_from_many_partial_sums(spark):
+    """1,000 tasks, labels missing in turns: the merged sums give the plain solution."""
+    rng = np.random.default_rng(8)
+    x, y = rng.standard_normal((3000, 3)), rng.standard_normal((3000, 2))
+    known = rng.random((3000, 2)) > .2
+    rows = [(x[i].reshape(3, 1).tolist(), [float(v) if k else None for v, k in zip(y[i], known[i])], True) for i in range(3000)]
+    samples = spark.createDataFrame(rows, "x array<array<double>>, y array<double>, is_train boolean").repartition(1000)
+    got = {r.days_ahead: r for r in fit_linear(samples, reg=.01).collect()}
+    for h in (0, 1):
+        k = known[:, h]
+        a = np.hstack([x[k], np.ones((k.sum(), 1))])
+        w = np.linalg.solve(a.T @ a + np.diag([.01 * k.sum()] * 3 + [0]), a.T @ y[k, h])
+        assert got[h + 1].n == k.sum() and np.allclose([*got[h + 1].weights, got[h + 1].intercept], w)
+    assert fit_linear(samples)._jdf.queryExecution().executedPlan().toString().count("Generate") == 0
+
+
+def test_insight_in_other_text(spark):
+    full = '{"feature_name":"a}{\\"b","feature_behavior":"x","shap_interpretation":"x","forecast_alignment":"x","influence_strength":"x","analyst_explanation":"y"}'
+    texts = {"plain": full, "fence": f"```json\n{full}\n```", "told": f"Sure: {full} and {{more}}", "quote": f'He said "hi" {full}',
+             "open": full[:-1], "none": "no object", "empty": "", "null": None, "wrong": "a {b} c", "some": 'x {"feature_name":"z"} y'}
+    df = spark.createDataFrame(list(texts.items()), "k string, response string")
+    got = {r.k: (r.parse_status, r.feature_name) for r in parse_insights(df).collect()}
+    name = 'a}{"b'
+    assert got == {"plain": ("ok", name), "fence": ("ok", name), "told": ("ok", name), "quote": ("ok", name), "open": ("malformed", None),
+                   "none": ("malformed", None), "empty": ("malformed", None), "null": ("malformed", None), "wrong": ("malformed", None),
+                   "some": ("incomplete", "z")}
+
+
+def test_observed_counts(spark):
+    src = spark.createDataFrame([("2024-01-01", "1.5"), ("2024-01-01", "x1"), ("1/2/2024", "2"), (None, None), ("2024-01-03", None)], "d string, v string")
+    counts = StageCounts()
+    scan_prices(src, "d", "v", cast="strict", counts=counts, stage="s").write.format("noop").mode("overwrite").save()
+    assert {r.metric: r.n for r in counts.table(spark).collect()} == {"rows": 5, "null_dates": 1, "bad_dates": 1, "bad_values": 1}
+
+
+def test_failed_refresh_keeps_the_old_version(spark, monkeypatch, tmp_path):
+    land, out = str(tmp_path / "land"), str(tmp_path / "snap")
+    spark.range(3).write.parquet(f"{land}/t.parquet")
+    snapshot.ingest_snapshot(spark, land, out, ["t"])
+    spark.range(5).write.mode("overwrite").parquet(f"{land}/t.parquet")
+
+    def fails(*_):
+        raise OSError("stopped before the commit")
+    with monkeypatch.context() as m:
+        m.setattr(snapshot, "_commit", fails)
+        with pytest.raises(OSError):
+            snapshot.ingest_snapshot(spark, land, out, ["t"])
+    assert snapshot.read_snapshot(spark, out, "t").count() == 3
+    held = snapshot.read_snapshot(spark, out, "t")
+    snapshot.ingest_snapshot(spark, land, out, ["t"])
+    assert snapshot.read_snapshot(spark, out, "t").count() == 5 and held.count() == 3
+    with pytest.raises(FileNotFoundError):
+        snapshot.read_snapshot(spark, out, "other")

@@ -35,6 +35,14 @@ def to_real(c, mode: str = "prefix") -> Column:
     return nan_to_null(out)
 
 
+def is_bad_real(c, mode: str = "prefix") -> Column:
+    """A text that is there but holds no number: no numeric prefix (``prefix``) or
+    not a number as a whole (``strict``)."""
+    c = _as_col(c)
+    good = c.try_cast(T.DoubleType()).isNotNull() if mode == "strict" else c.cast("string").rlike(_NUMERIC_PREFIX)
+    return c.isNotNull() & ~good
+
+
 def nan_to_null(c) -> Column:
     """NaN → NULL (Spark sorts NaN as largest and ``avg`` propagates it)."""
     c = _as_col(c)

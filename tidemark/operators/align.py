@@ -38,7 +38,9 @@ def outer_merge(frames: Sequence[DataFrame], keys: Iterable[str] = ()) -> DataFr
 
 def global_calendar(global_frame: DataFrame) -> DataFrame:
     """The date-only sources as one row per calendar day over their own span,
-    each column forward filled (back filled before its first value).
+    each column forward filled (back filled before its first value), with ``_pos``,
+    the number of dates of the sources up to the day, and ``_real``, whether the day
+    is one.
 
     Built from the date-only sources alone (never from the per-series
     tables) and checkpointed, so that the planner knows its size.
@@ -48,7 +50,9 @@ def global_calendar(global_frame: DataFrame) -> DataFrame:
     span = global_frame.agg(F.min("ssd").alias("lo"), F.max("ssd").alias("hi"))
     days = span.select(F.explode(F.sequence("lo", "hi")).alias("ssd"))
     cols = [c for c in global_frame.columns if c != "ssd"]
-    return materialize(fill(days.join(global_frame, "ssd", "left"), cols))
+    real = days.join(global_frame.withColumn("_real", F.lit(True)), "ssd", "left").fillna(False, ["_real"])
+    w = series_window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return materialize(fill(real, cols).withColumn("_pos", F.count(F.when(F.col("_real"), 1)).over(w)))
 
 
 def align_sources(series_frames: Sequence[DataFrame], global_frames: Sequence[DataFrame] = (),
@@ -75,19 +79,49 @@ def align_sources(series_frames: Sequence[DataFrame], global_frames: Sequence[Da
         if calendar != "union":
             raise ValueError("one series always uses the union calendar")
         return outer_merge([s, g])
-    if calendar != "own":
-        raise ValueError("many series use calendar='own'")
+    if calendar not in ("own", "union"):
+        raise ValueError(f"unknown calendar {calendar!r}")
     cal = global_calendar(g)
-    gcols = [c for c in cal.columns if c != "ssd"]
+    gcols = [c for c in cal.columns if c not in ("ssd", "_real", "_pos")]
     # the calendar's span is one row; the join of the calendar itself is chosen
     # from the file sizes of the checkpointed table
     span = cal.agg(F.min("ssd").alias("_lo"), F.max("ssd").alias("_hi"))
     day = F.least(F.greatest(F.col("ssd"), F.col("_lo")), F.col("_hi"))
     joined = (s.crossJoin(F.broadcast(span)).withColumn("_cal_day", day)
               .join(cal.withColumnRenamed("ssd", "_cal_day"), "_cal_day", "left"))
+    if calendar == "union":
+        return _gap_dates(joined, cal, keys, [c for c in s.columns if c not in keys and c != "ssd"], gcols)
     return joined.select(*keys, "ssd", *[c for c in s.columns if c not in keys and c != "ssd"], *gcols)
 
 
+def _gap_dates(own: DataFrame, cal: DataFrame, keys: list[str], scols: list[str], gcols: list[str]) -> DataFrame:
+    """The rows of ``own`` (joined with their calendar day) and, between each and the
+    next of its series, before the first and behind the last, the calendar's real
+    dates. Each row is exploded into the positions of its gap, which then fetch
+    their day: as many rows as the result has, never series times days."""
+    total = cal.agg(F.max("_pos").alias("_total"))
+    real = F.when(F.col("_real"), 1).otherwise(0)
+    before, after = F.col("ssd") < F.col("_lo"), F.col("ssd") > F.col("_hi")
+    d = (own.crossJoin(F.broadcast(total))  # one row
+         .withColumn("_le", F.when(before, 0).otherwise(F.col("_pos")))
+         .withColumn("_lt", F.when(before, 0).when(after, F.col("_total")).otherwise(F.col("_pos") - real)))
+    w = series_window(keys)
+    d = (d.withColumn("_first", F.row_number().over(w) == 1)
+         .withColumn("_to", F.coalesce(F.lead("_lt").over(w), F.col("_total"))))
+
+    def run(lo, hi, when):
+        return F.when(when & (lo <= hi), F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
+
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    spots = F.concat(F.array(zero), run(one, F.col("_lt"), F.col("_first")), run(F.col("_le") + 1, F.col("_to"), F.lit(True)))
+    gaps = d.select(*keys, "ssd", *scols, *gcols, F.explode(spots).alias("_i"))
+    days = cal.where("_real").select(F.col("_pos").alias("_i"), F.col("ssd").alias("_day"), *[F.col(c).alias(f"_g_{c}") for c in gcols])
+    mine = F.col("_i") == 0
+    return gaps.join(days, "_i", "left").select(
+        *keys, F.coalesce("_day", "ssd").alias("ssd"), *[F.when(mine, F.col(c)).alias(c) for c in scols],
+        *[F.when(mine, F.col(c)).otherwise(F.col(f"_g_{c}")).alias(c) for c in gcols])
+
+
 def fill(df: DataFrame, cols: Iterable[str], keys: Iterable[str] = (),
          how: str = "ffill_bfill", path: str = "window") -> DataFrame:
     """Forward fill each column in date order, then (``ffill_bfill``) fill the

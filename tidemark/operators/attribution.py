@@ -3,7 +3,8 @@
 For the linear backend the attribution is exact: with a background set B,
 the interventional Shapley value (and the expected gradient) of input j is
 ``w_j · (x_j − mean_B x_j)``; the scores of a window add up to
-``f(x) − mean_B f(b)``. Everything is an array expression over window rows.
+``f(x) − mean_B f(b)``. Everything is an expression over the long rows of the
+windows asked for.
 """
 
 from __future__ import annotations
@@ -28,42 +29,64 @@ def sample_background(windows: DataFrame, n: int = 100, seed: int = 42,
     return windows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
-def background_mean(background: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
-    """``(keys…, mu ARRAY<DOUBLE>)``: mean of every flattened window position."""
+def step_means(rows: DataFrame, cols: Sequence[str], keys: Iterable[str] = ()) -> DataFrame:
+    """``(keys…, step, <cols>…)``: mean of every column per lag step over the long
+    window rows (``gather_rows``) of a background set."""
+    return rows.groupBy(*keys, "step").agg(*[F.avg(c).alias(c) for c in cols])
+
+
+def _with_models(rows: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
+    """Long rows beside the packed models of their series, one row per horizon."""
+    side = pack_models(models, keys)
+    joined = rows.join(side, keys) if keys else rows.crossJoin(F.broadcast(side))  # one row
+    return joined.withColumn("m", F.explode("models")).drop("models")
+
+
+def attribute_rows(rows: DataFrame, models: DataFrame, means: DataFrame, cols: Sequence[str],
+                   keys: Iterable[str] = ()) -> DataFrame:
+    """Long scores ``(keys…, ssd, days_ahead, driver, lag_step, lag_date, score)``
+    from long window rows ``(keys…, ssd, step, lag_date, <cols>…)``: each value is
+    scored where it stands, no window is put together. ``means`` is
+    ``step_means`` of the background."""
     keys = list(keys)
-    pos = background.select(*keys, F.posexplode(F.flatten("x")).alias("j", "v"))
-    return (pos.groupBy(*keys, "j").agg(F.avg("v").alias("m"))
-            .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("j", "m"))).alias("_mu"))
-            .select(*keys, F.transform("_mu", lambda s: s["m"]).alias("mu")))
+    mu = means.select(*keys, "step", *[F.col(c).alias(f"_mu_{c}") for c in cols])
+    j = _with_models(rows.join(mu, keys + ["step"]), models, keys)
+
+    def score(i, c):
+        weight = F.get(F.col("m.weights"), (F.col("step") * len(cols) + i).cast("int"))
+        return F.struct(F.lit(c).alias("driver"), (weight * (F.col(c) - F.col(f"_mu_{c}"))).alias("score"))
+
+    return (j.select(*keys, "ssd", F.col("m.days_ahead").alias("days_ahead"), F.col("step").alias("lag_step"), "lag_date",
+                     F.explode(F.array(*[score(i, c) for i, c in enumerate(cols)])).alias("s"))
+            .select(*keys, "ssd", "days_ahead", F.col("s.driver").alias("driver"), "lag_step", "lag_date",
+                    F.col("s.score").alias("score")))
+
+
+def score_rows(rows: DataFrame, models: DataFrame, cols: Sequence[str], keys: Iterable[str] = ()) -> DataFrame:
+    """Predictions ``(keys…, ssd, days_ahead, prediction)`` of the same long rows:
+    the products of every lag step are added up per date and horizon."""
+    keys = list(keys)
+    j = _with_models(rows, models, keys)
+    part = sum((F.col(c).cast("double") * F.get(F.col("m.weights"), (F.col("step") * len(cols) + i).cast("int"))
+                for i, c in enumerate(cols)), F.lit(0.0))
+    return (j.select(*keys, "ssd", "m.days_ahead", "m.intercept", part.alias("p"))
+            .groupBy(*keys, "ssd", "days_ahead").agg((F.sum("p") + F.first("intercept")).alias("prediction")))
+
+
+def explode_rows(windows: DataFrame, cols: Sequence[str], keys: Iterable[str] = ()) -> DataFrame:
+    """Long window rows of window arrays (``lag_windows(..., with_dates=True)``)."""
+    keys = list(keys)
+    return (windows.select(*keys, "ssd", "lag_dates", F.posexplode("x").alias("step", "_row"))
+            .select(*keys, "ssd", "step", F.element_at("lag_dates", F.col("step") + 1).alias("lag_date"),
+                    *[F.col("_row")[i].alias(c) for i, c in enumerate(cols)]))
 
 
 def attribute_linear(windows: DataFrame, models: DataFrame, background: DataFrame,
                      cols: Sequence[str], keys: Iterable[str] = ()) -> DataFrame:
-    """Long scores ``(keys…, ssd, days_ahead, driver, lag_step, lag_date, score)``
-    for every window × horizon × (lag step, driver). ``windows`` need
-    ``lag_dates`` (``lag_windows(..., with_dates=True)``)."""
-    keys = list(keys)
-    nf = len(cols)
-    side = pack_models(models, keys).join(background_mean(background, keys), keys) if keys else \
-        pack_models(models).withColumn("_one", F.lit(1)).join(
-            background_mean(background).withColumn("_one", F.lit(1)), "_one")
-    if keys:
-        j = windows.join(side, keys)
-    else:
-        j = windows.withColumn("_one", F.lit(1)).join(F.broadcast(side), "_one")
-    names = F.array(*[F.lit(c) for c in cols])
-    per_h = F.transform("models", lambda m: F.struct(
-        m["days_ahead"].alias("days_ahead"),
-        F.zip_with(m["weights"], F.zip_with(F.col("_xf"), F.col("mu"), lambda a, b: a - b),
-                   lambda w, dx: w * dx).alias("scores")))
-    rows = (j.select(*keys, "ssd", "lag_dates", "models", "mu", F.flatten("x").alias("_xf"))
-            .select(*keys, "ssd", "lag_dates", F.explode(per_h).alias("h"))
-            .select(*keys, "ssd", "lag_dates", "h.days_ahead", F.posexplode("h.scores").alias("j", "score")))
-    step = (F.col("j") / nf).cast("int")
-    return rows.select(*keys, "ssd", "days_ahead",
-                       F.element_at(names, (F.col("j") % nf) + 1).alias("driver"),
-                       step.alias("lag_step"),
-                       F.element_at("lag_dates", step + 1).alias("lag_date"), "score")
+    """``attribute_rows`` for windows and background given as arrays."""
+    means = step_means(explode_rows(background.withColumn("lag_dates", F.array().cast("array<date>"))
+                                    if "lag_dates" not in background.columns else background, cols, keys), cols, keys)
+    return attribute_rows(explode_rows(windows, cols, keys), models, means, cols, keys)
 
 
 def attribution_summary(scores: DataFrame, keys: Iterable[str] = ()) -> DataFrame:

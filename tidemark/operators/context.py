@@ -16,6 +16,7 @@ from tidemark.sources.dictionary import with_driver_info
 # Fixed value: the label that stands before a score's target day.
 SCORE_LABEL = "SHAPScoreFor "
 
+# The fields of an insight.
 INSIGHT_FIELDS = ["feature_name", "feature_behavior", "shap_interpretation",
                   "forecast_alignment", "influence_strength", "analyst_explanation"]
 INSIGHT_SCHEMA = "struct<" + ", ".join(f"{f}: string" for f in INSIGHT_FIELDS) + ">"
@@ -51,6 +52,12 @@ def path_text(path: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
     return t.join(spot, keys + ["ssd"])
 
 
+def _places(score: Column) -> Column:
+    """A score at 4 places. It is brought to 9 places first: whether a sum that ends
+    on a decimal tie goes up or down must not depend on the order of summation."""
+    return round_half_even(round_half_even(score, 9), 4)
+
+
 def attribution_text(summary: DataFrame, path: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
     """From ``attribution_summary`` rows: ``(keys…, ssd, driver, attribution)``:
     one line per horizon, labelled with its target business day, total score
@@ -60,17 +67,17 @@ def attribution_text(summary: DataFrame, path: DataFrame, keys: Iterable[str] =
     s = summary.join(p, keys + ["ssd", "days_ahead"])
     label = F.concat(F.lit(SCORE_LABEL), F.date_format("future_date", "yyyy-MM-dd"))
     return encode_table(s, keys + ["ssd", "driver"], "days_ahead",
-                        [label, fmt_fixed(round_half_even("total", 4), 4)],
+                        [label, fmt_fixed(_places(F.col("total")), 4)],
                         ["horizon", "score"], out="attribution")
 
 
 def step_scores_text(scores: DataFrame, path: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
-    """From ``attribute_linear`` rows: ``(keys…, ssd, driver, step_scores)``: one
+    """From ``attribute_rows`` rows: ``(keys…, ssd, driver, step_scores)``: one
     line per horizon, labelled with its target business day, then the score of
     every lag step as ``date:score``, oldest first, rounded to 4 places."""
     keys = list(keys)
     on = keys + ["ssd", "days_ahead"]
-    step = F.concat(F.date_format("lag_date", "yyyy-MM-dd"), F.lit(":"), fmt_fixed(round_half_even("score", 4), 4))
+    step = F.concat(F.date_format("lag_date", "yyyy-MM-dd"), F.lit(":"), fmt_fixed(_places(F.col("score")), 4))
     vectors = scores.groupBy(*on, "driver").agg(
         F.array_sort(F.collect_list(F.struct("lag_step", step.alias("t")))).alias("steps"))
     s = vectors.join(path.select(*on, "future_date"), on)
@@ -83,7 +90,7 @@ def driver_context(info: DataFrame, history: DataFrame, path: DataFrame, summary
                    roles: DataFrame, keys: Iterable[str] = (), scores: DataFrame | None = None) -> DataFrame:
     """One row per (keys, ssd, driver): dictionary fields, current spot,
     history / forecast / attribution tables and the role labels. With ``scores``
-    (``attribute_linear`` rows) also ``step_scores``, every lag step's score."""
+    (``attribute_rows`` rows) also ``step_scores``, every lag step's score."""
     keys = list(keys)
     on = keys + ["ssd", "driver"]
     h = history_text(history, keys)
@@ -121,23 +128,51 @@ def render_driver_context(ctx: DataFrame, keys: Iterable[str] = ()) -> DataFrame
     return ctx.select(*keys, "ssd", "driver", text.alias("prompt"))
 
 
-def parse_insights(df: DataFrame, col: str = "response") -> DataFrame:
-    """Parse insight JSON into its six fields. ``parse_status``: 'ok' when all
-    six are present, 'incomplete' when some are missing, 'malformed' when
-    the text is not valid JSON (then every field is NULL: the parser's
-    partial results are discarded). Never fails the job."""
-    schema = INSIGHT_SCHEMA[:-1] + ", _corrupt_record: string>"
-    parsed = F.from_json(F.col(col), schema,
+def first_object(text: Column) -> Column:
+    """The first balanced ``{…}`` of a text, NULL without one: one pass over the
+    characters that keeps the depth and whether it is inside a quoted string (where
+    braces do not count and a backslash hides the next character)."""
+    zero = F.lit(0)
+    start = F.struct(zero.alias("i"), zero.alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("hidden"),
+                     zero.alias("first"), zero.alias("last"))
+
+    def step(s, ch):
+        inside, open_quote = s["depth"] > 0, s["quoted"]
+        mark = inside & (ch == '"') & ~s["hidden"]
+        opens = ~open_quote & (ch == "{")
+        closes = inside & ~open_quote & (ch == "}")
+        depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        return F.when(s["last"] > 0, s).otherwise(F.struct(
+            (s["i"] + 1).alias("i"), depth.alias("depth"), F.when(mark, ~open_quote).otherwise(open_quote).alias("quoted"),
+            (open_quote & ~s["hidden"] & (ch == "\\")).alias("hidden"),
+            F.when(opens & (s["first"] == 0), s["i"] + 1).otherwise(s["first"]).alias("first"),
+            F.when(closes & (depth == 0), s["i"] + 1).otherwise(0).alias("last")))
+
+    found = F.aggregate(F.split(text, ""), start, step, lambda s: F.struct(s["first"], s["last"]))
+    return F.when(found["last"] > 0, F.substr(text, found["first"], found["last"] - found["first"] + 1))
+
+
+def _insight(text: Column) -> Column:
+    """The parsed struct of a JSON text, NULL if it is malformed (partial results of
+    the reader are discarded)."""
+    parsed = F.from_json(text, INSIGHT_SCHEMA[:-1] + ", _corrupt_record: string>",
                          {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    out = df.withColumn("_p", parsed)
-    bad = F.col("_p").isNull() | F.col("_p._corrupt_record").isNotNull()
+    return F.when(parsed["_corrupt_record"].isNull(), parsed)
+
+
+def parse_insights(df: DataFrame, col: str = "response") -> DataFrame:
+    """Parse insight JSON into its six fields. A text that is not JSON as a whole is
+    searched for its first balanced object (code fences, text before and after).
+    ``parse_status``: 'ok' when all six are present, 'incomplete' when some are
+    missing, 'malformed' when neither parses (then every field is NULL). Never fails
+    the job."""
+    out = df.withColumn("_p", _insight(F.col(col)))
+    out = out.withColumn("_p", F.coalesce("_p", _insight(F.when(F.col("_p").isNull(), first_object(F.col(col))))))
     complete = F.lit(True)
     for f in INSIGHT_FIELDS:
         complete = complete & F.col(f"_p.{f}").isNotNull()
-    status = F.when(bad, F.lit("malformed")).when(complete, F.lit("ok")).otherwise(F.lit("incomplete"))
-    return out.select(*[c for c in df.columns],
-                      *[F.when(~bad, F.col(f"_p.{f}")).alias(f) for f in INSIGHT_FIELDS],
-                      status.alias("parse_status"))
+    status = F.when(F.col("_p").isNull(), F.lit("malformed")).when(complete, F.lit("ok")).otherwise(F.lit("incomplete"))
+    return out.select(*df.columns, *[F.col(f"_p.{f}").alias(f) for f in INSIGHT_FIELDS], status.alias("parse_status"))
 
 
 def report_context(days: DataFrame, spot_now: DataFrame, path: DataFrame, ctx: DataFrame,

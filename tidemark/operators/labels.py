@@ -12,7 +12,7 @@ from tidemark.operators._common import series_window
 
 
 def future_returns(spot: DataFrame, horizon: int = 5, keys: Iterable[str] = (),
-                   price: str = "price", carry: Iterable[str] = ()) -> DataFrame:
+                   price: str = "price", carry: Iterable[str] = (), path: str = "window") -> DataFrame:
     """``(keys…, ssd, current_spot_price, predicted_for, days_ahead, y)``.
 
     Horizon *d* looks *d* observed rows ahead (the next observed dates, not
@@ -20,15 +20,23 @@ def future_returns(spot: DataFrame, horizon: int = 5, keys: Iterable[str] = (),
     NULL ``predicted_for`` and ``y``. All H ``lead``s share one window (one
     sort) and one ``explode`` replaces H copies + a union. ``carry`` columns
     (e.g. a per-date prediction from the same window) ride along, so a
-    backtest needs no join back to the labels.
+    backtest needs no join back to the labels. ``path="halo"`` looks ahead inside
+    row blocks that hold the first rows of the next one (for a series too long for
+    one task; same result).
     """
     keys = list(keys)
     carry = list(carry)
-    w = series_window(keys)
-    per_h = [F.struct(F.lit(d).alias("days_ahead"),
-                      F.lead("ssd", d).over(w).alias("predicted_for"),
-                      F.lead(price, d).over(w).alias("future"))
-             for d in range(1, horizon + 1)]
+    if path == "halo":
+        from tidemark.operators.order import halo_leads
+        spot = halo_leads(spot, ["ssd", price], horizon, keys)
+        per_h = [F.struct(F.lit(d).alias("days_ahead"), F.col("_ahead")[d - 1]["ssd"].alias("predicted_for"),
+                          F.col("_ahead")[d - 1][price].alias("future")) for d in range(1, horizon + 1)]
+    else:
+        w = series_window(keys)
+        per_h = [F.struct(F.lit(d).alias("days_ahead"),
+                          F.lead("ssd", d).over(w).alias("predicted_for"),
+                          F.lead(price, d).over(w).alias("future"))
+                 for d in range(1, horizon + 1)]
     return (spot.select(*keys, "ssd", F.col(price).alias("current_spot_price"), *carry,
                         F.array(*per_h).alias("_hs"))
             .select(*keys, "ssd", "current_spot_price", *carry, F.explode("_hs").alias("h"))

@@ -16,6 +16,13 @@ split one series into buckets and give exactly the same results:
   block's gap at its edges is closed from the last (first) known value of
   the earlier (later) blocks, carried over the small block table.
 
+* ``last_rows``: how many rows of a frame lie on or before a probe date, counted
+  inside date blocks and shifted the same way.
+* ``halo_leads``: the mirror image of the halo, the first rows of a block are
+  copied into the block before, so looking ahead stays inside a block.
+* ``block_split``: a series' tail by row number and total, without a window over
+  the whole series.
+
 All need a total order on ``ssd`` within a series (one row per date, as the
 scans produce).
 """
@@ -40,21 +47,81 @@ def _w(keys: list[str]):
     return Window.partitionBy(*keys) if keys else Window.partitionBy()
 
 
+def _with_offset(d: DataFrame, count: Column, keys: list[str]) -> DataFrame:
+    """Adds ``_off``: the sum of ``count`` over all earlier date blocks of the
+    series (from a table of one row per block)."""
+    counts = d.groupBy(*keys, "_blk").agg(count.alias("_cnt"))
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(
+        _w(keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return d.join(offsets.select(*keys, "_blk", "_off"), keys + ["_blk"])
+
+
 def global_row_number(df: DataFrame, keys: Iterable[str] = (), block_days: int = BLOCK_DAYS) -> DataFrame:
     """Adds ``rn`` (1-based, by ``ssd`` within keys) computed per date block."""
     keys = list(keys)
     d = df.withColumn("_blk", _block(F.col("ssd"), block_days))
-    counts = d.groupBy(*keys, "_blk").agg(F.count(F.lit(1)).alias("_cnt"))
-    offsets = counts.withColumn(
-        "_off", F.coalesce(F.sum("_cnt").over(
-            _w(keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     local = F.row_number().over(Window.partitionBy(*keys, "_blk").orderBy("ssd"))
-    return (d.withColumn("_lrn", local)
-            .join(offsets.select(*keys, "_blk", "_off"), keys + ["_blk"])
+    return (_with_offset(d.withColumn("_lrn", local), F.count(F.lit(1)), keys)
             .withColumn("rn", F.col("_off") + F.col("_lrn"))
             .drop("_blk", "_lrn", "_off"))
 
 
+def row_numbers(df: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
+    """Adds ``rn``: one sorted window per series, or by date blocks where there is
+    one series only (no task then holds it whole)."""
+    keys = list(keys)
+    if not keys:
+        return global_row_number(df)
+    return df.withColumn("rn", F.row_number().over(_w(keys).orderBy("ssd")).cast("long"))
+
+
+def last_rows(frame: DataFrame, probes: DataFrame, keys: Iterable[str] = (), block_days: int = BLOCK_DAYS) -> DataFrame:
+    """``(keys…, ssd, rn)`` of the probes: the number of the last frame row dated on
+    or before each; probes before the first row are left out. The frame's dates and
+    the probes are merged in date order and the frame's rows counted along it, per
+    series, or per date block plus the earlier blocks where there is one series."""
+    keys = list(keys)
+    merged = (frame.select(*keys, "ssd", F.lit(0).alias("_probe"))
+              .unionByName(probes.select(*keys, "ssd").distinct().withColumn("_probe", F.lit(1))))
+    row = F.when(F.col("_probe") == 0, 1)
+    by = list(keys)
+    if not keys:
+        merged = merged.withColumn("_blk", _block(F.col("ssd"), block_days))
+        by = ["_blk"]
+    along = Window.partitionBy(*by).orderBy("ssd", "_probe").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = merged.withColumn("rn", F.count(row).over(along))
+    if not keys:
+        counted = _with_offset(counted, F.count(row), keys).withColumn("rn", F.col("rn") + F.col("_off"))
+    return counted.where((F.col("_probe") == 1) & (F.col("rn") > 0)).select(*keys, "ssd", "rn")
+
+
+def halo_leads(df: DataFrame, cols: Sequence[str], ahead: int, keys: Iterable[str] = (),
+               block_rows: int = 4096) -> DataFrame:
+    """Adds ``_ahead``: for each of the next ``ahead`` rows a struct of ``cols``
+    (NULL behind the last row), oldest first, from windows over blocks of
+    ``block_rows`` rows."""
+    keys = list(keys)
+    if block_rows < ahead:
+        raise ValueError("block_rows must be at least the rows looked ahead")
+    home = F.floor((F.col("rn") - 1) / F.lit(block_rows)).cast("long")
+    pos = (F.col("rn") - 1) % F.lit(block_rows)
+    targets = F.when(pos < F.lit(ahead), F.array(home, home - 1)).otherwise(F.array(home))
+    copies = global_row_number(df, keys).withColumn("_home", home).withColumn("_b", F.explode(targets))
+    w = Window.partitionBy(*keys, "_b").orderBy("ssd")
+    nxt = F.array(*[F.struct(*[F.lead(c, k).over(w).alias(c) for c in cols]) for k in range(1, ahead + 1)])
+    return copies.withColumn("_ahead", nxt).where(F.col("_b") == F.col("_home")).drop("rn", "_home", "_b")
+
+
+def block_split(df: DataFrame, fraction: float, keys: Iterable[str] = ()) -> DataFrame:
+    """Adds ``is_val`` for the last ``fraction`` of each series by row number and
+    total, both from block counts."""
+    keys = list(keys)
+    total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    numbered = global_row_number(df, keys)
+    joined = numbered.join(total, keys) if keys else numbered.crossJoin(F.broadcast(total))  # one row
+    return joined.withColumn("is_val", F.col("rn") > F.floor(F.col("_n") * F.lit(1.0 - fraction))).drop("rn", "_n")
+
+
 def halo_lag_windows(frame: DataFrame, cols: Sequence[str], lag: int, keys: Iterable[str] = (),
                      block_rows: int = 4096, with_dates: bool = False) -> DataFrame:
     """Same output as ``lag_windows`` (complete windows only) without ever

@@ -1,8 +1,10 @@
-"""Row and shape profiles (counts at each stage, one aggregate job)."""
+"""Row and shape profiles: counts per stage of a job, and of the label table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,10 +17,24 @@ LABEL_SCHEMA = T.StructType([
 ])
 
 
-def profile(df: DataFrame) -> DataFrame:
-    """One row: ``rows`` and, per column, the number of non-NULL values."""
-    return df.agg(F.count(F.lit(1)).alias("rows"),
-                  *[F.count(c).alias(f"n_{c}") for c in df.columns])
+class StageCounts:
+    """Counts of a job's stages, gathered by the job that computes them
+    (``DataFrame.observe``), not by jobs of their own. Each watched frame must feed
+    one written table; a task that runs again after a failure may count twice."""
+
+    def __init__(self) -> None:
+        self._seen: list[tuple[str, Observation]] = []
+
+    def watch(self, df: DataFrame, stage: str, **metrics: Column) -> DataFrame:
+        """``df``, observed: its rows and the named aggregates."""
+        seen = Observation(f"{stage}-{uuid.uuid4().hex}")
+        self._seen.append((stage, seen))
+        return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[m.alias(k) for k, m in metrics.items()])
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """``(stage, metric, n)``; waits for the jobs that write the watched frames."""
+        rows = [(stage, k, int(v)) for stage, seen in self._seen for k, v in seen.get.items()]
+        return spark.createDataFrame(rows, "stage string, metric string, n long")
 
 
 def profile_labels(labels: DataFrame) -> DataFrame:

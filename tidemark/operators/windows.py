@@ -39,30 +39,50 @@ def lag_windows(frame: DataFrame, cols: Sequence[str], lag: int = 10, keys: Iter
     return out.drop("_n")
 
 
-def asof_last_n(frame: DataFrame, dates: DataFrame, cols: Sequence[str], n: int,
+def gather_rows(frame: DataFrame, ends: DataFrame, cols: Sequence[str], n: int,
                 keys: Iterable[str] = ()) -> DataFrame:
+    """``(keys…, ssd, step, lag_date, <cols>…)``: the ``n`` rows of ``frame`` (which
+    has row numbers ``rn``) up to row ``rn`` of each ``(keys…, ssd, rn)`` of
+    ``ends``, oldest first, fewer where the series begins. Only these rows are
+    joined, by series and number; no window is built for any other date."""
+    keys = list(keys)
+    first = F.greatest(F.col("rn") - (n - 1), F.lit(1))
+    want = ends.select(*keys, "ssd", F.posexplode(F.sequence(first, F.col("rn"))).alias("step", "rn"))
+    held = frame.select(*keys, "rn", F.col("ssd").alias("lag_date"), *cols)
+    return want.join(held, keys + ["rn"]).select(*keys, "ssd", "step", "lag_date", *cols)
+
+
+def training_ends(frame: DataFrame, label_days: DataFrame, lag: int, train_cutoff, keys: Iterable[str] = ()) -> DataFrame:
+    """``(keys…, ssd)`` of the training samples: frame rows before the cutoff that end
+    a complete window and have a label row. Only dates are read; what a scaler needs
+    of the training set are its dates, not its windows."""
+    from tidemark.operators.order import row_numbers
+    keys = list(keys)
+    past = frame.select(*keys, "ssd").where(F.col("ssd") < F.lit(train_cutoff).cast("date"))
+    return (row_numbers(past, keys).where(F.col("rn") >= lag)
+            .join(label_days.select(*keys, "ssd").distinct(), keys + ["ssd"], "left_semi").select(*keys, "ssd"))
+
+
+def asof_rows(frame: DataFrame, dates: DataFrame, cols: Sequence[str], n: int,
+              keys: Iterable[str] = ()) -> DataFrame:
     """For every probe date the last ``n`` frame rows dated on or before it
-    (backward as-of, row count based). Probe dates need not be frame dates.
-
-    Plan: the frame gets its row number; probes are merged into the frame's
-    order to find the number of the last row at or before them
-    (``last(ignorenulls)``); windows ending at that row are joined on
-    ``(keys, row number)``. Linear in the input, one window sort per side.
-    Output ``(keys…, ssd, x, lag_dates)``; windows may be short.
-    """
+    (backward as-of, row count based), as long rows ``(keys…, ssd, step, lag_date,
+    <cols>…)``. Probe dates need not be frame dates."""
+    from tidemark.operators.order import last_rows, row_numbers
+    keys = list(keys)
+    return gather_rows(row_numbers(frame, keys), last_rows(frame, dates, keys), cols, n, keys)
+
+
+def asof_last_n(frame: DataFrame, dates: DataFrame, cols: Sequence[str], n: int,
+                keys: Iterable[str] = ()) -> DataFrame:
+    """``asof_rows`` as one row per probe: ``(keys…, ssd, x, lag_dates)``; windows
+    may be short. A group is at most ``n`` rows."""
     keys = list(keys)
-    numbered = frame.withColumn("_rn", F.row_number().over(series_window(keys)))
-    wins = lag_windows(numbered, cols, n, keys, with_dates=True, complete=False, carry=["_rn"]).drop("ssd")
-    probes = dates.select(*keys, "ssd").distinct()
-    merged = (numbered.select(*keys, "ssd", "_rn", F.lit(0).alias("_probe"))
-              .unionByName(probes.select(*keys, "ssd", F.lit(None).cast("int").alias("_rn"),
-                                         F.lit(1).alias("_probe"))))
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("ssd", "_probe") \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = (merged.withColumn("_end", F.last("_rn", ignorenulls=True).over(w))
-            .where((F.col("_probe") == 1) & F.col("_end").isNotNull())
-            .select(*keys, "ssd", F.col("_end").alias("_rn")))
-    return ends.join(wins, keys + ["_rn"]).select(*keys, "ssd", "x", "lag_dates")
+    rows = asof_rows(frame, dates, cols, n, keys)
+    x = F.array(*[F.col(c).cast("double") for c in cols])
+    g = rows.groupBy(*keys, "ssd").agg(F.array_sort(F.collect_list(F.struct("step", "lag_date", x.alias("x")))).alias("_r"))
+    return g.select(*keys, "ssd", F.transform("_r", lambda r: r["x"]).alias("x"),
+                    F.transform("_r", lambda r: r["lag_date"]).alias("lag_dates"))
 
 
 def label_vectors(labels: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
@@ -93,10 +113,16 @@ def training_set(windows: DataFrame, labels: DataFrame, train_cutoff,
             .select(*keys, "ssd", "x", "y", F.coalesce(is_train, F.lit(False)).alias("is_train")))
 
 
-def fit_split(samples: DataFrame, fraction: float = 0.25, keys: Iterable[str] = ()) -> DataFrame:
+def fit_split(samples: DataFrame, fraction: float = 0.25, keys: Iterable[str] = (),
+              path: str = "window") -> DataFrame:
     """Chronological hold-out: the last ``fraction`` of each series' samples
-    (by date) is validation, ``is_val = rn > floor(n · (1 − fraction))``."""
+    (by date) is validation, ``is_val = rn > floor(n · (1 − fraction))``.
+    ``path="blocks"`` numbers date blocks (for a series too long for one task;
+    same result)."""
     keys = list(keys)
+    if path == "blocks":
+        from tidemark.operators.order import block_split
+        return block_split(samples, fraction, keys)
     w = series_window(keys)
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys) if keys else Window.partitionBy())
     rn = F.row_number().over(w)
@@ -109,12 +135,8 @@ def recent_history(frame: DataFrame, cols: Sequence[str], dates: DataFrame, n: i
     ``n`` rows on or before each probe date for every driver (step 0 is the
     oldest), values rounded half-to-even."""
     keys = list(keys)
-    wins = asof_last_n(frame, dates, cols, n, keys)
-    drivers = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("driver"))
-                        for i, c in enumerate(cols)])
-    rows = wins.select(*keys, "ssd", "lag_dates", F.posexplode("x").alias("step", "row"))
-    return rows.select(*keys, "ssd", "step",
-                       F.element_at("lag_dates", F.col("step") + 1).alias("hist_date"),
-                       "row", F.explode(drivers).alias("d")) \
-        .select(*keys, "ssd", F.col("d.driver").alias("driver"), "step", "hist_date",
-                round_half_even(F.element_at("row", F.col("d.i") + 1), digits).alias("value"))
+    each = F.array(*[F.struct(F.lit(c).alias("driver"), F.col(c).cast("double").alias("value")) for c in cols])
+    return (asof_rows(frame, dates, cols, n, keys)
+            .select(*keys, "ssd", "step", F.col("lag_date").alias("hist_date"), F.explode(each).alias("d"))
+            .select(*keys, "ssd", F.col("d.driver").alias("driver"), "step", "hist_date",
+                    round_half_even(F.col("d.value"), digits).alias("value")))

@@ -189,12 +189,32 @@ ORACLE["feature_frame"] = f"WITH {FRAME1} SELECT ssd, " + ", ".join(r6(q(c), q(c
 ORACLE["feature_frame_many"] = f"WITH {FRAMEM} SELECT series_id, ssd, " + ", ".join(
     r6(q(c), q(c)) for c in FEATS) + " FROM ffm"
 
+UNIONM = FRAMEM + """,
+ud AS (SELECT series_id, ssd FROM spotm UNION SELECT s.series_id, g.ssd FROM (SELECT DISTINCT series_id FROM spotm) s CROSS JOIN gm g),
+um AS (SELECT u.series_id, u.ssd, s.price, """ + ", ".join(f"g.{q(c)}" for c in GCOLS) + """ FROM ud u
+  LEFT JOIN spotm s ON s.series_id = u.series_id AND s.ssd = u.ssd LEFT JOIN gm g ON g.ssd = u.ssd),
+""" + filled("ffu", "um", FEATS, "series_id")
+ORACLE["feature_frame_union_many"] = f"WITH {UNIONM} SELECT series_id, ssd, " + ", ".join(r6(q(c), q(c)) for c in FEATS) + " FROM ffu"
+
 ORACLE["feature_order"] = f"WITH {FRAME1} " + " UNION ALL ".join(
     f"SELECT {i} AS pos, '{c}' AS driver, count({q(c)}) AS n_known FROM m1" for i, c in enumerate(FEATS))
 
 ORACLE["label_profile"] = f"""WITH {SPOT1}, {labels_cte('spot1')}
 SELECT min(ssd) AS first_ssd, count(DISTINCT ssd) AS n_dates, count(*) AS n_rows, count(y) AS n_labelled FROM lab"""
 
+TEXT_ORDERS = """tx AS (SELECT CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderdate AS DATE) END AS ssd, o_orderdate IS NULL AS no_date,
+  CASE WHEN o_orderpriority LIKE '5%' THEN NULL ELSE CAST(printf('%.2f', o_totalprice) AS DOUBLE) END AS price, o_orderpriority LIKE '5%' AS bad FROM orders),
+spot1 AS (SELECT ssd, avg(price) AS price FROM tx WHERE ssd IS NOT NULL GROUP BY ssd)"""
+_FRAMET = ",\n".join([TEXT_ORDERS, IDXL, IDXW, INV, FRT, MERGED1, FF1, labels_cte("spot1")])
+ORACLE["stage_profile"] = f"WITH {_FRAMET} " + " UNION ALL ".join(
+    f"SELECT '{stage}' AS stage, '{metric}' AS metric, {e} AS n FROM {src}" for stage, src, metric, e in [
+        ("spot_scan", "tx", "rows", "count(*)"), ("spot_scan", "tx", "null_dates", "count(*) FILTER (no_date)"),
+        ("spot_scan", "tx", "bad_dates", "count(*) FILTER (ssd IS NULL AND NOT no_date)"),
+        ("spot_scan", "tx", "bad_values", "count(*) FILTER (bad)"),
+        ("spot", "spot1", "rows", "count(*)"), ("spot", "spot1", "price", "count(price)"),
+        *[(st, src, m, "count(*)" if m == "rows" else f"count({q(m)})") for st, src in (("merged", "m1"), ("frame", "ff1")) for m in ["rows", *FEATS]],
+        *[("labels", "lab", m, "count(*)" if m == "rows" else f"count({m})") for m in ("rows", "y", "predicted_for")]])
+
 ORACLE["csv_roundtrip"] = ORACLE["labels_long"]
 ORACLE["snapshot"] = ORACLE["spot_daily"]
 
@@ -215,7 +235,13 @@ ORACLE["lag_windows"] = f"""WITH {FR1}
 SELECT e.ssd, CAST(r.rn - e.rn + {LAG - 1} AS INTEGER) AS step, r.ssd AS lag_date, {VALS}
   FROM fr e JOIN fr r ON r.rn BETWEEN e.rn - {LAG - 1} AND e.rn WHERE e.rn >= {LAG}"""
 
-ORACLE["lag_windows_many"] = f"""WITH {FRM}
+ORACLE["lag_windows_many"] = f"""WITH {FRM},
+wd AS (SELECT series_id, ssd, rn, lag(ssd, {LAG - 1}) OVER w AS first_lag_date, """ + ", ".join(
+    " + ".join(f"lag({q(c)}, {k}) OVER w * {LAG - k}" for k in range(LAG - 1, -1, -1)) + f" AS {q(c)}" for c in FEATS) + f"""
+  FROM frm WINDOW w AS (PARTITION BY series_id ORDER BY ssd))
+SELECT series_id, ssd, first_lag_date, """ + ", ".join(f"{reven(q(c) + ' + 1e-7', 3)} AS {q(c)}" for c in FEATS) + f" FROM wd WHERE rn >= {LAG}"
+
+ORACLE["lag_window_rows_many"] = f"""WITH {FRM}
 SELECT e.series_id, e.ssd, CAST(r.rn - e.rn + {LAG - 1} AS INTEGER) AS step, r.ssd AS lag_date, {VALS}
   FROM (SELECT series_id, ssd, rn, rn - unnest(range(0, {LAG})) AS at FROM frm WHERE rn >= {LAG}) e
   JOIN frm r ON r.series_id = e.series_id AND r.rn = e.at"""
@@ -447,7 +473,7 @@ sm AS (SELECT ssd, days_ahead, driver, sum(score) AS total, sum(abs(score)) AS a
 sm2 AS (SELECT *, abs_total / nullif(sum(abs_total) OVER (PARTITION BY ssd, days_ahead), 0) AS share FROM sm)"""
 
 ORACLE["attribution_summary"] = f"""WITH {SUMM1}
-SELECT ssd, days_ahead, driver, {r6('total', 'total')}, {r6('abs_total', 'abs_total')}, {r6('share', 'share')} FROM sm2"""
+SELECT ssd, days_ahead, driver, {r6('total + 1e-9', 'total')}, {r6('abs_total + 1e-9', 'abs_total')}, {r6('share + 1e-9', 'share')} FROM sm2"""
 
 ORACLE["driver_role"] = f"""WITH {SUMM1},
 {score_sql('sf').replace('WHERE e.rn >= ' + str(LAG), 'WHERE e.rn >= ' + str(LAG) + ' AND e.ssd IN (SELECT ssd FROM fri)').replace('sc AS (', 'pr AS (', 1)},
@@ -567,18 +593,24 @@ ftx AS (SELECT ssd, first(current_spot) AS current_spot,
   {table_text('FutureDates,ForecastedPrice', "strftime(future_date, '%Y-%m-%d') || ',' || printf('%d', forecast_price)", 'days_ahead')} AS forecast
   FROM fpt GROUP BY ssd),
 atx AS (SELECT s.ssd, s.driver,
-  {table_text('horizon,score', f"'{SCORE_LABEL}' || strftime(f.future_date, '%Y-%m-%d') || ',' || printf('%.4f', " + reven('s.total', 4) + ")", 's.days_ahead')} AS attribution
+  {table_text('horizon,score', f"'{SCORE_LABEL}' || strftime(f.future_date, '%Y-%m-%d') || ',' || printf('%.4f', " + reven(reven('s.total', 9), 4) + ")", 's.days_ahead')} AS attribution
   FROM sm2 s JOIN fpt f ON f.ssd = s.ssd AND f.days_ahead = s.days_ahead GROUP BY s.ssd, s.driver),
+stl AS (SELECT ssd, driver, days_ahead, string_agg(strftime(lag_date, '%Y-%m-%d') || ':' || printf('%.4f', {reven(reven('score', 9), 4)}), ' ' ORDER BY lag_step) AS t
+  FROM sc GROUP BY ALL),
+stx AS (SELECT s.ssd, s.driver,
+  {table_text('horizon,scores', f"'{SCORE_LABEL}' || strftime(f.future_date, '%Y-%m-%d') || ',' || s.t", 's.days_ahead')} AS step_scores
+  FROM stl s JOIN fpt f ON f.ssd = s.ssd AND f.days_ahead = s.days_ahead GROUP BY s.ssd, s.driver),
 {HIST},
-ctx AS (SELECT ht.ssd, ht.driver, ht.history, atx.attribution, rl.attribution_direction, rl.forecast_direction,
+ctx AS (SELECT ht.ssd, ht.driver, ht.history, atx.attribution, stx.step_scores, rl.attribution_direction, rl.forecast_direction,
   rl.role, rl.strength, ftx.forecast, ftx.current_spot, d.business_name, d.asset_class, d.macro_role,
   d.relationship_to_target
   FROM ht JOIN atx ON atx.ssd = ht.ssd AND atx.driver = ht.driver
+  JOIN stx ON stx.ssd = ht.ssd AND stx.driver = ht.driver
   JOIN rl ON rl.ssd = ht.ssd AND rl.driver = ht.driver
   JOIN ftx ON ftx.ssd = ht.ssd LEFT JOIN dct d ON d.driver = ht.driver)"""
 
 ORACLE["driver_context"] = f"""WITH {CTX.replace(FRIDAYS + ',', FRIDAYS + ', ' + DICT + ',', 1)}
-SELECT ssd, driver, history, attribution, attribution_direction, forecast_direction, role, strength, forecast,
+SELECT ssd, driver, history, attribution, step_scores, attribution_direction, forecast_direction, role, strength, forecast,
   {r6('current_spot', 'current_spot')}, business_name, asset_class, macro_role, relationship_to_target FROM ctx"""
 
 _PROMPT = f" || {NL} || ".join(f"({x})" for x in [
@@ -587,7 +619,7 @@ _PROMPT = f" || {NL} || ".join(f"({x})" for x in [
     "coalesce(attribution_direction, '-') || '; path=' || coalesce(forecast_direction, '-')",
     "'title=' || coalesce(business_name, '-') || '; class=' || coalesce(asset_class, '-') || '; theme=' || "
     "coalesce(macro_role, '-') || '; link=' || coalesce(relationship_to_target, '-')",
-    "'[scores] total per horizon'", "attribution", "'[path] price per business day'", "forecast",
+    "'[scores] total per horizon'", "attribution", "'[steps] score per horizon and lag date, oldest first'", "step_scores", "'[path] price per business day'", "forecast",
     "'[series] latest values, oldest first'", "history"])
 
 ORACLE["context_render"] = f"""WITH {CTX.replace(FRIDAYS + ',', FRIDAYS + ', ' + DICT + ',', 1)}
@@ -629,10 +661,12 @@ fl AS (SELECT ssd, driver, 'full' AS variant, driver AS feature_name, attributio
   driver || ' ' || role || ' ' || strength AS analyst_explanation, TRUE AS valid FROM rl),
 cut AS (SELECT ssd, driver, 'cut' AS variant, """ + ", ".join(f"CAST(NULL AS VARCHAR) AS {f}" for f in _INS) + """,
   FALSE AS valid FROM rl),
+wrapped AS (SELECT fl.* REPLACE (v.variant AS variant, CASE WHEN v.variant = 'odd' THEN '}{"' || fl.feature_name ELSE fl.feature_name END AS feature_name)
+  FROM fl CROSS JOIN (VALUES ('fenced'), ('told'), ('odd')) v(variant)),
 ev AS (SELECT CAST(ts AS DATE) AS ssd, 'props' AS driver, 'props' AS variant, """ + ", ".join(
     f"CASE WHEN json_valid(props) THEN json_extract_string(props, '$.{f}') END AS {f}" for f in _INS) + """,
   json_valid(props) AS valid FROM events),
-allr AS (SELECT * FROM fl UNION ALL SELECT * FROM cut UNION ALL SELECT * FROM ev)
+allr AS (SELECT * FROM fl UNION ALL SELECT * FROM wrapped UNION ALL SELECT * FROM cut UNION ALL SELECT * FROM ev)
 SELECT ssd, driver, variant, """ + ", ".join(_INS) + """, CASE WHEN NOT valid THEN 'malformed' WHEN """ + \
     " AND ".join(f"{f} IS NOT NULL" for f in _INS) + """ THEN 'ok' ELSE 'incomplete' END AS parse_status FROM allr"""
 
@@ -640,6 +674,8 @@ SELECT ssd, driver, variant, """ + ", ".join(_INS) + """, CASE WHEN NOT valid TH
 
 ORACLE["feature_frame_two_pass"] = ORACLE["feature_frame"]
 ORACLE["lag_windows_halo"] = ORACLE["lag_windows"]
+ORACLE["labels_halo"] = ORACLE["labels_long"]
+ORACLE["fit_split_blocks"] = ORACLE["fit_split"]
 
 # ---- artifacts and incremental ingest -------------------------------------------
 

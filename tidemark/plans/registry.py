@@ -16,25 +16,29 @@ from pyspark.sql import types as T
 
 from tidemark.functions.casts import to_real
 from tidemark.functions.numeric import round_half_even
-from tidemark.operators.align import fill
+from tidemark.operators.align import align_sources, fill
 from tidemark.operators.path import current_spot
-from tidemark.operators.profile import LABEL_SCHEMA, profile_labels
+from tidemark.operators.profile import LABEL_SCHEMA, StageCounts, profile_labels
 from tidemark.session import materialize, scratch_path
 from tidemark.sources.artifacts import (
     check_model_shape, feature_order, load_models, load_params, load_windows, save_models, save_params,
     save_windows,
 )
-from tidemark.sources.scan import ingest_snapshot, read_table, scan_prices, write_table
+from tidemark.sources.scan import read_table, scan_prices, write_table
+from tidemark.sources.snapshot import ingest_snapshot, read_snapshot
 from tidemark.functions.dates import business_days, is_friday
 from tidemark.operators.path import forecast_path
 from tidemark.operators.requests import request_outcomes, validate_requests
 from tidemark.operators.scale import apply_robust, fit_robust
-from tidemark.operators.windows import asof_last_n, fit_split, lag_windows, recent_history, training_set
+from tidemark.operators.windows import (
+    asof_rows, fit_split, gather_rows, lag_windows, recent_history, training_ends, training_set,
+)
 from tidemark.functions.numeric import directional_loss
-from tidemark.operators.forecast.linear import fit_linear, predictions_wide, score_linear
+from tidemark.operators.forecast.linear import fit_linear, predictions_wide, score_linear, score_sliding
 from tidemark.operators.attribution import (
-    attribute_linear, attribution_summary, driver_role, sample_background,
+    attribute_rows, attribution_summary, driver_role, sample_background, score_rows, step_means,
 )
+from tidemark.operators.order import row_numbers
 from tidemark.operators.context import (
     SCORE_LABEL,
     driver_context, history_text, parse_insights, render_driver_context, report_context,
@@ -182,6 +186,12 @@ def feature_frame_many(spark: SparkSession, d: str) -> DataFrame:
     return rounded(R.frame_many(spark, d))
 
 
+@query
+def feature_frame_union_many(spark: SparkSession, d: str) -> DataFrame:
+    """Every supplier's frame on the union of all dates (what one series gets)."""
+    return rounded(R.frame_union_many(spark, d))
+
+
 @query(name="feature_order")
 def feature_order_q(spark: SparkSession, d: str) -> DataFrame:
     """Feature order of the frame with each driver's count of known values
@@ -213,11 +223,35 @@ def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def snapshot(spark: SparkSession, d: str) -> DataFrame:
-    """Forced refresh of the orders table into a snapshot folder, then the
-    spot scan over the snapshot copy."""
+    """Two forced refreshes of the orders table into a snapshot folder, then the
+    spot scan over the version committed last."""
     out = scratch_path(spark, f"snapshot-{uuid.uuid4().hex}")
-    paths = ingest_snapshot(spark, d, out, ["orders"])
-    return rounded(scan_prices(spark.read.parquet(paths["orders"]), "o_orderdate", "o_totalprice"))
+    for _ in range(2):
+        ingest_snapshot(spark, d, out, ["orders"])
+    return rounded(scan_prices(read_snapshot(spark, out, "orders"), "o_orderdate", "o_totalprice"))
+
+
+def _text_orders(spark, d):
+    """Orders as text: dates of one status spoilt, values of one priority not numbers."""
+    price, day = F.format_string("%.2f", "o_totalprice"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    return R.table(spark, d, "orders").select(
+        F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("on "), day)).otherwise(day).alias("day"),
+        F.when(F.col("o_orderpriority").startswith("5"), F.col("o_orderpriority")).otherwise(price).alias("price"))
+
+
+@query
+def stage_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, unreadable dates, bad values and known values per stage from the text
+    scan to the filled frame, observed while the tables are written."""
+    counts = StageCounts()
+    spot = scan_prices(_text_orders(spark, d), "day", "price", cast="strict", counts=counts, stage="spot_scan")
+    spot = materialize(counts.watch(spot, "spot", price=F.count("price")), "spot")
+    merged = counts.watch(align_sources([spot], [R.date_only(spark, d)]), "merged", **{c: F.count(c) for c in R.FEATURES})
+    frame = counts.watch(fill(merged, R.FEATURES), "frame", **{c: F.count(c) for c in R.FEATURES})
+    materialize(frame, "frame")
+    labels = counts.watch(future_returns(spot, R.HORIZON), "labels", y=F.count("y"), predicted_for=F.count("predicted_for"))
+    materialize(labels, "labels")
+    return counts.table(spark)
 
 
 @query(name="current_spot")
@@ -261,10 +295,27 @@ def lag_windows_q(spark: SparkSession, d: str) -> DataFrame:
     return rounded(explode_windows(_windows_one(spark, d), R.FEATURES))
 
 
+def _windows_many(spark, d):
+    return lag_windows(R.frame_many(spark, d), R.FEATURES, R.LAG, keys=R.KEYS, with_dates=True)
+
+
 @query
 def lag_windows_many(spark: SparkSession, d: str) -> DataFrame:
-    w = lag_windows(R.frame_many(spark, d), R.FEATURES, R.LAG, keys=R.KEYS, with_dates=True)
-    return rounded(explode_windows(w, R.FEATURES, R.KEYS))
+    """Every window of every supplier as one row: its first date and, per driver, the
+    sum of its values times their place in the window (1 for the oldest)."""
+    steps = F.sequence(F.lit(0), F.lit(R.LAG - 1))
+
+    def weighed(i):
+        return F.aggregate(steps, F.lit(0.0), lambda s, k: s + F.get(F.get("x", k), F.lit(i)) * (k + 1))
+
+    sums = [weighed(i).alias(c) for i, c in enumerate(R.FEATURES)]
+    return rounded(_windows_many(spark, d).select(*R.KEYS, "ssd", F.col("lag_dates")[0].alias("first_lag_date"), *sums), 3, off=1e-7)
+
+
+@query
+def lag_window_rows_many(spark: SparkSession, d: str) -> DataFrame:
+    """The same windows as long rows, one per lag step."""
+    return rounded(explode_windows(_windows_many(spark, d), R.FEATURES, R.KEYS))
 
 
 def _probe_days(spark, d):
@@ -275,8 +326,7 @@ def _probe_days(spark, d):
 @query
 def asof_windows(spark: SparkSession, d: str) -> DataFrame:
     """Backward as-of: last 10 frame rows on or before each order date + 3."""
-    w = asof_last_n(materialize(R.frame_one(spark, d), "frame_one"), _probe_days(spark, d), R.FEATURES, R.LAG)
-    return rounded(explode_windows(w, R.FEATURES))
+    return rounded(asof_rows(materialize(R.frame_one(spark, d), "frame_one"), _probe_days(spark, d), R.FEATURES, R.LAG))
 
 
 @query(name="training_set")
@@ -306,9 +356,7 @@ def _params_one(spark, d):
     """Frame (lineage cut once: it feeds the scaler, the windows and the
     samples) and scaler parameters fitted on the training windows."""
     frame = materialize(R.frame_one(spark, d), "frame_one")
-    samples = training_set(lag_windows(frame, R.FEATURES, R.LAG),
-                           future_return_vectors(R.spot_one(spark, d), R.HORIZON), R.TRAIN_CUTOFF)
-    ends = samples.where("is_train").select("ssd")
+    ends = training_ends(frame, R.spot_one(spark, d), R.LAG, R.TRAIN_CUTOFF)
     return frame, fit_robust(frame, R.FEATURES, R.LAG, ends)
 
 
@@ -382,21 +430,14 @@ def score_linear_q(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pipeline_many(spark, d):
-    """Per-supplier frame → windows → label vectors → per-supplier scaler →
-    scaled windows. The frame feeds three branches, so it is checkpointed
-    once (lineage cut, no recomputation)."""
+    """Per-supplier spot, frame and scaler parameters. The frame feeds the scaler
+    and the scaled rows, so it is written once."""
     spot = materialize(R.spot_many(spark, d), "spot_many")  # one scan of the line table
     frame = materialize(R.frame_many(spark, d, spot), "frame_many")
-    labels = future_return_vectors(spot, R.HORIZON, R.KEYS)
     # windows look back only: rows from the cutoff on are in no training window
     past = frame.where(F.col("ssd") < F.lit(R.TRAIN_CUTOFF).cast("date"))
-    samples = training_set(lag_windows(past, R.FEATURES, R.LAG, keys=R.KEYS), labels,
-                           R.TRAIN_CUTOFF, keys=R.KEYS)
-    ends = samples.where("is_train").select(*R.KEYS, "ssd")
-    params = fit_robust(past, R.FEATURES, R.LAG, ends, keys=R.KEYS)
-    scaled = lag_windows(apply_robust(frame, params, R.FEATURES, keys=R.KEYS), R.FEATURES, R.LAG,
-                         keys=R.KEYS)
-    return frame, labels, params, scaled, spot
+    params = fit_robust(past, R.FEATURES, R.LAG, training_ends(past, spot, R.LAG, R.TRAIN_CUTOFF, R.KEYS), keys=R.KEYS)
+    return spot, frame, params
 
 
 @query
@@ -406,10 +447,11 @@ def robust_params_many(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def predictions_long(spark: SparkSession, d: str) -> DataFrame:
-    """Per-supplier scaled windows scored by per-supplier models (keyed path)."""
-    frame, _, _, scaled, _ = _pipeline_many(spark, d)
+    """Every window of every supplier scored by the supplier's models (keyed path)."""
+    _, frame, params = _pipeline_many(spark, d)
     series = frame.select(F.col("series_id").alias("series_id")).distinct()  # an attribute of its own for the co-group
-    return rounded(score_linear(scaled, fixed_models(spark, R.LAG * len(R.FEATURES), series), R.KEYS))
+    models = fixed_models(spark, R.LAG * len(R.FEATURES), series)
+    return rounded(score_sliding(apply_robust(frame, params, R.FEATURES, keys=R.KEYS), models, R.FEATURES, R.LAG, R.KEYS))
 
 
 @query(name="predictions_wide")
@@ -533,31 +575,27 @@ def request_validation(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- attribution -------------------------------------------------------------
 
-def _attr_inputs(spark, d, cut: bool = False):
-    """Scaled windows of the single series, the samples among them, the
-    report-day windows and the background set. ``cut``: checkpoint the
-    scaled windows once when several branches reuse them."""
+def _attr_inputs(spark, d):
+    """Rows of the report days' windows, the models, the lag-step means of the
+    background set and its days. The scaled frame is numbered and written once;
+    only the rows of these windows are read from it."""
     frame, params = _params_one(spark, d)
-    scaled = lag_windows(apply_robust(frame, params, R.FEATURES), R.FEATURES, R.LAG, with_dates=True)
-    if cut:
-        scaled = materialize(scaled)
-    label_days = R.spot_one(spark, d).select("ssd")
-    samples = scaled.join(label_days, "ssd", "left_semi")
-    report = scaled.join(_report_days(spark, d), "ssd", "left_semi")
-    background = sample_background(samples, R.BACKGROUND_N, R.SEED)
-    models = fixed_models(spark, R.LAG * len(R.FEATURES))
-    return report, models, background
+    scaled = materialize(row_numbers(apply_robust(frame, params, R.FEATURES)), "scaled")
+    full = scaled.where(F.col("rn") >= R.LAG).select("ssd", "rn")
+    report = full.join(_report_days(spark, d), "ssd", "left_semi")
+    background = sample_background(full.join(R.spot_one(spark, d).select("ssd"), "ssd", "left_semi"), R.BACKGROUND_N, R.SEED)
+    means = step_means(gather_rows(scaled, background, R.FEATURES, R.LAG), R.FEATURES)
+    return gather_rows(scaled, report, R.FEATURES, R.LAG), fixed_models(spark, R.LAG * len(R.FEATURES)), means, background
 
 
 def _scores_one(spark, d):
-    report, models, background = _attr_inputs(spark, d)
-    return attribute_linear(report, models, background, R.FEATURES)
+    report, models, means, _ = _attr_inputs(spark, d)
+    return attribute_rows(report, models, means, R.FEATURES)
 
 
 @query(name="background_sample")
 def background_sample_q(spark: SparkSession, d: str) -> DataFrame:
-    _, _, background = _attr_inputs(spark, d)
-    return background.select("ssd")
+    return _attr_inputs(spark, d)[3].select("ssd")
 
 
 @query
@@ -579,33 +617,37 @@ def attribution_driver(spark: SparkSession, d: str) -> DataFrame:
 
 @query(name="attribution_summary")
 def attribution_summary_q(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(attribution_summary(_scores_one(spark, d)))
+    return rounded(attribution_summary(_scores_one(spark, d)), off=OFF_TIES)
 
 
-def _linear_path_one(spark, d, inputs=None):
-    report, models, _ = inputs or _attr_inputs(spark, d)
-    preds = score_linear(report, models)
-    return forecast_path(preds, current_spot(R.spot_one(spark, d), _report_days(spark, d)), R.HORIZON)
+def _report_parts(spark, d):
+    """Scores, forecast path, summary and roles of the report days; scores and path
+    feed several branches each and are written once."""
+    report, models, means, _ = _attr_inputs(spark, d)
+    report = materialize(report, "report_rows")
+    scores = materialize(attribute_rows(report, models, means, R.FEATURES), "scores")
+    spot_now = current_spot(R.spot_one(spark, d), _report_days(spark, d))
+    path = materialize(forecast_path(score_rows(report, models, R.FEATURES), spot_now, R.HORIZON), "path")
+    summary = materialize(attribution_summary(scores), "summary")
+    return scores, path, summary, driver_role(summary, path)
 
 
 @query(name="driver_role")
 def driver_role_q(spark: SparkSession, d: str) -> DataFrame:
-    inputs = _attr_inputs(spark, d, cut=True)
-    report, models, background = inputs
-    summary = attribution_summary(attribute_linear(report, models, background, R.FEATURES))
-    return rounded(driver_role(summary, _linear_path_one(spark, d, inputs)))
+    return rounded(_report_parts(spark, d)[3])
 
 
 def _summary_many(spark, d):
-    """Attribution of every supplier's Fridays, their windows, models and spot."""
-    frame, _, params, _, spot = _pipeline_many(spark, d)
-    scaled = materialize(lag_windows(apply_robust(frame, params, R.FEATURES, keys=R.KEYS), R.FEATURES, R.LAG,
-                                     keys=R.KEYS, with_dates=True), "scaled_many")
-    report = scaled.where(is_friday("ssd"))
-    background = sample_background(scaled, R.BACKGROUND_N, R.SEED, R.KEYS)
+    """Attribution of every supplier's Fridays, their window rows, models and spot."""
+    spot, frame, params = _pipeline_many(spark, d)
+    scaled = materialize(row_numbers(apply_robust(frame, params, R.FEATURES, keys=R.KEYS), R.KEYS), "scaled_many")
+    full = scaled.where(F.col("rn") >= R.LAG).select(*R.KEYS, "ssd", "rn")
+    report = gather_rows(scaled, full.where(is_friday("ssd")), R.FEATURES, R.LAG, R.KEYS)
+    background = sample_background(full, R.BACKGROUND_N, R.SEED, R.KEYS)
+    means = step_means(gather_rows(scaled, background, R.FEATURES, R.LAG, R.KEYS), R.FEATURES, R.KEYS)
     series = frame.select(F.col("series_id").alias("series_id")).distinct()
     models = fixed_models(spark, R.LAG * len(R.FEATURES), series)
-    scores = attribute_linear(report, models, background, R.FEATURES, R.KEYS)
+    scores = attribute_rows(report, models, means, R.FEATURES, R.KEYS)
     return attribution_summary(scores, R.KEYS), report, models, spot
 
 
@@ -620,7 +662,7 @@ def driver_role_many(spark: SparkSession, d: str) -> DataFrame:
     """Role labels per supplier, Friday and driver."""
     summary, report, models, spot = _summary_many(spark, d)
     days = spot.where(is_friday("ssd")).select(*R.KEYS, "ssd")
-    path = forecast_path(score_linear(report, models, R.KEYS), current_spot(spot, days, R.KEYS), R.HORIZON, R.KEYS)
+    path = forecast_path(score_rows(report, models, R.FEATURES, R.KEYS), current_spot(spot, days, R.KEYS), R.HORIZON, R.KEYS)
     return rounded(driver_role(summary, path, R.KEYS), off=OFF_TIES)
 
 
@@ -642,13 +684,10 @@ def driver_dictionary_q(spark: SparkSession, d: str) -> DataFrame:
 
 def _context_parts(spark, d):
     """Forecast path, roles and driver contexts of the report days."""
-    inputs = _attr_inputs(spark, d, cut=True)
-    report, models, background = inputs
-    scores = attribute_linear(report, models, background, R.FEATURES)
-    summary = attribution_summary(scores)
-    path = _linear_path_one(spark, d, inputs)
-    roles = driver_role(summary, path)
-    return path, roles, driver_context(driver_dictionary(spark), _history_one(spark, d), path, summary, roles)
+    scores, path, summary, roles = _report_parts(spark, d)
+    roles = materialize(roles, "roles")
+    ctx = driver_context(driver_dictionary(spark), _history_one(spark, d), path, summary, roles, scores=scores)
+    return path, roles, materialize(ctx, "context")
 
 
 def _context_one(spark, d):
@@ -682,18 +721,21 @@ def _role_insights(roles):
 
 
 def _insight_texts(spark, d):
-    """Insight JSON built from the role table (complete and cut short) and
-    the raw event property text (valid JSON, none of the fields)."""
-    inputs = _attr_inputs(spark, d, cut=True)
-    report, models, background = inputs
-    roles = driver_role(attribution_summary(attribute_linear(report, models, background, R.FEATURES)),
-                        _linear_path_one(spark, d, inputs))
-    rows = _role_insights(roles)
+    """Insight JSON built from the role table (complete, cut short, in a code fence,
+    between other text, with braces and quotes inside a field) and the raw event
+    property text (valid JSON, none of the fields)."""
+    rows = materialize(_role_insights(_report_parts(spark, d)[3]), "responses")
     cut = rows.select("ssd", "driver", F.regexp_replace("response", r"\}$", "").alias("response"))
+    fenced = rows.withColumn("response", F.concat(F.lit("```json\n"), "response", F.lit("\n```")))
+    told = rows.withColumn("response", F.concat(F.lit("The insight you asked for: "), "response", F.lit(" More on {driver} if needed.")))
+    odd = rows.withColumn("response", F.concat(F.lit("Answer "), F.regexp_replace("response", '"feature_name":"', r'"feature_name":"}{\\"')))
     ev = R.table(spark, d, "events").select(F.col("ts").cast("date").alias("ssd"),
                                             F.lit("props").alias("driver"), F.col("props").alias("response"))
     return (rows.withColumn("variant", F.lit("full"))
             .unionByName(cut.withColumn("variant", F.lit("cut")))
+            .unionByName(fenced.withColumn("variant", F.lit("fenced")))
+            .unionByName(told.withColumn("variant", F.lit("told")))
+            .unionByName(odd.withColumn("variant", F.lit("odd")))
             .unionByName(ev.withColumn("variant", F.lit("props"))))
 
 
@@ -749,6 +791,19 @@ def lag_windows_halo(spark: SparkSession, d: str) -> DataFrame:
     return rounded(explode_windows(w, R.FEATURES))
 
 
+@query
+def labels_halo(spark: SparkSession, d: str) -> DataFrame:
+    """Single-series labels through row blocks with a forward halo."""
+    return rounded(future_returns(R.spot_one(spark, d), R.HORIZON, path="halo"))
+
+
+@query
+def fit_split_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Chronological hold-out from the counts of date blocks."""
+    s = _samples_one(spark, d).where("is_train").select("ssd")
+    return fit_split(s, 0.25, path="blocks").select("ssd", "is_val")
+
+
 # ---- artifacts and incremental ingest -------------------------------------------
 
 @query

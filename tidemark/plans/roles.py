@@ -106,3 +106,10 @@ def frame_many(spark: SparkSession, d: str, spot: DataFrame | None = None) -> Da
     computed ``spot_many`` (so callers that also need labels scan once)."""
     return align_sources([spot if spot is not None else spot_many(spark, d)], [date_only(spark, d)],
                          keys=KEYS, calendar="own")
+
+
+def frame_union_many(spark: SparkSession, d: str, spot: DataFrame | None = None) -> DataFrame:
+    """Per-supplier frame on the union of its own dates and those of the date-only
+    drivers, filled per supplier."""
+    merged = align_sources([spot if spot is not None else spot_many(spark, d)], [date_only(spark, d)], keys=KEYS, calendar="union")
+    return fill(merged, FEATURES, KEYS)

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.casts import nan_to_null, to_day, to_real
+from tidemark.functions.casts import is_bad_real, nan_to_null, to_day, to_real
+from tidemark.operators.profile import StageCounts
 
 
 def _expr(c) -> Column:
@@ -32,22 +33,36 @@ def _real(src: DataFrame, c, cast: str) -> Column:
     return nan_to_null(_expr(c).cast("double"))
 
 
+def _bad(src: DataFrame, c, cast: str) -> Column:
+    """A value that the cast cannot read: text without a number, or NaN."""
+    return is_bad_real(_expr(c), cast) if isinstance(_dtype(src, c), T.StringType) else F.isnan(_expr(c).cast("double"))
+
+
 def _day(src: DataFrame, c) -> Column:
     return to_day(_expr(c), _dtype(src, c))
 
 
 def scan_prices(src: DataFrame, date_col, value_col, keys: Iterable[str] = (),
-                out: str = "price", cast: str = "prefix", dedupe: str = "mean") -> DataFrame:
+                out: str = "price", cast: str = "prefix", dedupe: str = "mean",
+                counts: StageCounts | None = None, stage: str = "scan") -> DataFrame:
     """Daily price series ``(keys…, ssd DATE, <out> DOUBLE)``.
 
     Rows with an unreadable date are dropped. ``dedupe="mean"`` averages
     duplicate dates (a partial aggregate runs before the shuffle, so a hot
     key only ships one row per date and map task); ``"none"`` keeps them.
+    With ``counts`` the scan notes under ``stage`` its rows, the dates missing and
+    unreadable and the values that are no numbers.
     """
     keys = list(keys)
     df = src.select(*[F.col(k) for k in keys],
                     _day(src, date_col).alias("ssd"),
-                    _real(src, value_col, cast).alias(out)).where(F.col("ssd").isNotNull())
+                    _real(src, value_col, cast).alias(out),
+                    *([_expr(date_col).isNull().alias("_no_date"), _bad(src, value_col, cast).alias("_bad")] if counts else []))
+    if counts:
+        df = counts.watch(df, stage, null_dates=F.count(F.when(F.col("_no_date"), 1)),
+                          bad_dates=F.count(F.when(F.col("ssd").isNull() & ~F.col("_no_date"), 1)),
+                          bad_values=F.count(F.when(F.col("_bad"), 1))).drop("_no_date", "_bad")
+    df = df.where(F.col("ssd").isNotNull())
     if dedupe == "mean":
         return df.groupBy(*keys, "ssd").agg(F.avg(out).alias(out))
     if dedupe == "none":
@@ -103,19 +118,3 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet",
         w.option("header", True).option("dateFormat", "yyyy-MM-dd").csv(path)
     else:
         w.format(fmt).save(path)
-
-
-def ingest_snapshot(spark: SparkSession, landing_dir: str, out_dir: str,
-                    tables: Iterable[str], fmt: str = "parquet") -> dict[str, str]:
-    """Forced refresh of a local snapshot: every landed table is read and
-    written over its previous copy. Returns ``{table: path}``."""
-    tables = list(tables)
-    if not tables or any(not t for t in tables):
-        raise ValueError("snapshot needs non-empty table names")
-    out = {}
-    for t in tables:
-        src = spark.read.format(fmt).load(f"{landing_dir.rstrip('/')}/{t}.{fmt}")
-        dest = f"{out_dir.rstrip('/')}/{t}"
-        src.write.mode("overwrite").parquet(dest)
-        out[t] = dest
-    return out
