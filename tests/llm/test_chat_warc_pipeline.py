@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.conftest import SF_SMALL
@@ -29,13 +30,13 @@ def test_perspectives(spark):
     rows = [(1, 0, "system", "be <|kind|>"), (1, 1, "ann", "hi"), (1, 2, "bob b", None), (1, 2, "bob b", None), (1, 3, None, "who"),
             (None, 0, "ann", "lost"), (2, 0, "system", "alone")] + [(3, None, "cat", f"m{i}") for i in range(7)]
     df = spark.createDataFrame([(*r, 9) for r in rows], "conv_id long, turn long, role string, text string, part int")
-    got = {(r.conv_id, r.speaker, r.part): r for r in chat.perspectives(df, part_size=4).collect()}
+    got = {(r.conv_id, r.speaker, r.part): r for r in chat.perspectives(df, part_size=5).collect()}
     assert set(got) == {(1, "ann", 0), (1, "bob b", 0), (None, "ann", 0), (3, "cat", 0), (3, "cat", 1)}
     ann = got[1, "ann", 0]
     assert ann.text == ("<|im_start|>system\nbe < |kind|><|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n"
-                        "<|im_start|>user name=bob_b\n<|im_end|>\n<|im_start|>user\nwho<|im_end|>\n")
+                        "<|im_start|>user name=bob_b\n<|im_end|>\n<|im_start|>user name=bob_b\n<|im_end|>\n<|im_start|>user\nwho<|im_end|>\n")
     assert [ann.text[int(a):int(b)] for a, b in (x.split(":") for x in ann.mask.split(","))] == ["hi<|im_end|>"]
-    assert got[3, "cat", 1].n_messages == 3 and got[1, "bob b", 0].n_messages == 4
+    assert got[3, "cat", 1].n_messages == 2 and got[1, "bob b", 0].n_messages == 5
     plan = chat.perspectives(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert chat.perspectives(df.limit(0)).count() == 0
@@ -74,6 +75,27 @@ def test_warc_reads_foreign_members_and_unlisted_files(spark, tmp_path):
     assert gzip.decompress(warc.member(one)) == one
 
 
+def test_repeated_messages_stay(spark):
+    rows = [("c", None, "ann", "ok"), ("c", None, "bob", "hm"), ("c", None, "ann", "ok"), ("c", None, "ann", "ok")] + [("d", 1, "x", "again")] * 9
+    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id string, turn long, role string, text string, copies int")
+    got = {(r.conv_id, r.speaker, r.part): r for r in chat.perspectives(df, part_size=4).collect()}
+    assert got["c", "bob", 0].text.count("user name=ann\nok<|im_end|>") == 3 and got["c", "ann", 0].mask.count(":") == 3
+    assert [got["d", "x", p].n_messages for p in range(3)] == [4, 4, 1]
+    long = spark.createDataFrame([(1, 1, "a", "w " * 100_000), (1, 2, "", "x")], "conv_id long, turn long, role string, text string")
+    assert {len(r.text) > 200_000 for r in chat.perspectives(long).collect()} == {True}
+
+
+def test_second_append_keeps_the_first(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"page {i}", 1) for i in range(4)], "page_id long, url string, html string, payload int")
+    path = str(tmp_path / "w")
+    for i in range(3):
+        warc.write_archives(warc.plan_records(pages.where(F.col("page_id") == i)), path)
+    assert sorted(r.page_id for r in warc.read_archives(spark, path).collect()) == [0, 1, 2]
+    warc.write_archives(warc.plan_records(pages.where("page_id = 3")), path, overwrite=True)
+    assert [r.page_id for r in warc.read_archives(spark, path).collect()] == [3]
+    assert len(list((tmp_path / "w").iterdir())) == 2 and warc.read_archives(spark, path).where("payload is null").count() == 0
+
+
 def test_empty_archive(spark):
     path = scratch_path(spark, "warc-empty")
     warc.write_archives(warc.plan_records(spark.createDataFrame([], "page_id long, url string, html string")), path)

@@ -23,29 +23,38 @@ def perspectives(messages: DataFrame, context_roles: tuple[str, ...] = ("system"
     texts with their end marks; all else is masked out. ``<|`` inside a text is
     written ``< |``.
 
-    Messages go by turn (null first), then role and text; a message repeated in
-    full is one message, a null text is empty. A dialogue is rendered whole up to
-    ``part_size`` messages and goes on in further parts beyond, so one huge
-    conversation is cut into rows of bounded size and never meets in one task:
-    messages are numbered from a range partitioning by conversation and order.
-    Messages with a null conversation form one dialogue. A conversation without
-    a participant has no rows. Other columns are not read.
+    Messages go by turn (null first), then role and text; every row is a message,
+    also one that repeats another in full (equal messages are counted before they
+    are sorted and dealt out again after), and a null text is empty. A dialogue is
+    rendered whole up to ``part_size`` messages and goes on in further parts
+    beyond, so one huge conversation is cut into rows of bounded size and never
+    meets in one task: messages are numbered from a range partitioning by
+    conversation and order. Messages with a null conversation form one dialogue; a
+    null or empty role speaks like any other but a null one has no perspective. A
+    conversation without a participant, and an empty table, has no rows. Very long
+    texts are rendered whole. Other columns are not read.
     """
     key = ["conv_id", "turn", "role", "body"]
     said = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), "role",
-                           F.coalesce(F.col("text"), F.lit("")).alias("body")).distinct()
+                           F.coalesce(F.col("text"), F.lit("")).alias("body")).groupBy(*key).agg(F.count(F.lit(1)).alias("copies"))
     dealt = materialize(said.repartitionByRange(*key).withColumn("slice", F.spark_partition_id()), "dealt")
     # number the messages: inside a conversation's slice, then past the slices before
     inside = Window.partitionBy("conv_id", "slice").orderBy("turn", "role", "body")
     before = Window.partitionBy("conv_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = (dealt.groupBy("conv_id", "slice").agg(F.count(F.lit(1)).alias("n"))
+    sizes = (dealt.groupBy("conv_id", "slice").agg(F.sum("copies").alias("n"))
              .select(F.col("conv_id").alias("c"), F.col("slice").alias("s"),
                      F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")))
-    numbered = (dealt.withColumn("i", F.row_number().over(inside))
-                .join(sizes, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("slice") == F.col("s")))
-                .select("conv_id", "role", "body", (F.col("i") + F.col("first") - 1).alias("i"))
-                .withColumn("part", F.floor(F.col("i") / part_size)))
-    speakers = (said.where(F.col("role").isNotNull() & ~F.col("role").isin(list(context_roles)))
+    ends = (dealt.withColumn("i", F.sum("copies").over(inside))
+            .join(sizes, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("slice") == F.col("s")))
+            .select("conv_id", "role", "body", (F.col("first") + F.col("i") - F.col("copies")).alias("lo"),
+                    (F.col("first") + F.col("i") - 1).alias("hi")))
+    # the copies of a message: first the parts they reach, then their places in a part
+    part = F.floor(F.col("lo") / part_size), F.floor(F.col("hi") / part_size)
+    numbered = (ends.withColumn("part", F.explode(F.sequence(*part)))
+                .withColumn("i", F.explode(F.sequence(F.greatest("lo", F.col("part") * part_size),
+                                                      F.least("hi", (F.col("part") + 1) * part_size - 1))))
+                .drop("lo", "hi"))
+    speakers = (dealt.where(F.col("role").isNotNull() & ~F.col("role").isin(list(context_roles)))
                 .select(F.col("conv_id").alias("c"), F.col("role").alias("speaker")).distinct())
     name = F.regexp_replace("role", r"[\s<|>]", "_")
     own = F.coalesce(F.col("role") == F.col("speaker"), F.lit(False))

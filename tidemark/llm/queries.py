@@ -126,7 +126,7 @@ _TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
 
 ORACLE: dict[str, str] = {
     "op1_chat_perspectives": """
-WITH said AS (SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS body FROM conversations),
+WITH said AS (SELECT conv_id, turn, role, coalesce(text, '') AS body FROM conversations),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, body) - 1 AS i FROM said),
 speakers AS (SELECT DISTINCT conv_id AS c, role AS speaker FROM said WHERE role IS NOT NULL AND role <> 'system'),
 seen AS (SELECT conv_id, speaker, i // 512 AS part, i, coalesce(role = speaker, false) AS own,
