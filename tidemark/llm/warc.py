@@ -20,7 +20,8 @@ from tidemark.llm.common import ship_package
 SCHEMA = ("record_type string, record_id string, page_id long, target_uri string, payload_digest string, payload_length long,"
           " refers_to long, headers map<string,string>, payload binary")
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-LIST = "_archives.json"
+#: Names of the lists that commits write, one each; readers take their union.
+LIST = re.compile(r"_archives(-[0-9a-f]+)?\.json")
 #: column -> header, and how the header's text becomes the column
 FIELDS = {"record_type": ("warc-type", str), "record_id": ("warc-record-id", str), "page_id": ("x-page-id", int),
           "target_uri": ("warc-target-uri", str), "payload_digest": ("warc-payload-digest", lambda s: s.removeprefix("sha256:")),
@@ -33,6 +34,18 @@ def file_system(path: str):
     return fs.FileSystem.from_uri(path if re.match(r"[a-z][a-z0-9+.-]+:", path) else "file://" + os.path.abspath(path))
 
 
+def archive_lists(store, root: str) -> list[str]:
+    """Paths of the lists in a folder."""
+    from pyarrow import fs
+    found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    return sorted(x.path for x in found if x.type == fs.FileType.File and LIST.fullmatch(x.base_name))
+
+
+def listed_names(store, path: str) -> list[str]:
+    with store.open_input_stream(path) as f:
+        return json.loads(f.read())
+
+
 def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     """One record: version line, headers, block. Line ends in a value become spaces."""
     clean = [(k, re.sub(r"[\r\n]+", " ", v)) for k, v in headers if v is not None]
@@ -73,10 +86,12 @@ class WarcSource(DataSource):
     decoded only with ``payload`` true (the default); then a response's HTTP head
     is cut off. Missing headers are null.
 
-    Writing: rows of ``SCHEMA`` (without ``headers``); a task writes one file, the
-    commit lists the files of the tasks that succeeded, and only listed files
-    are read, so a task that was lost or ran twice leaves no trace. ``compress``
-    (default true) makes a gzip member of each record.
+    Writing: rows of ``SCHEMA`` (without ``headers``); a task writes one file, each
+    commit writes a list of its own of the files of the tasks that succeeded, and
+    only listed files are read, so a task that was lost or ran twice leaves no
+    trace and a later write adds to an earlier one. Overwriting takes the earlier
+    lists and their files away once the new list is there. ``compress`` (default
+    true) makes a gzip member of each record.
     """
 
     @classmethod
@@ -90,7 +105,7 @@ class WarcSource(DataSource):
         return WarcReader(dict(self.options), [f.name for f in schema])
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(dict(self.options), [f.name for f in schema])
+        return WarcWriter(dict(self.options), [f.name for f in schema], overwrite)
 
 
 class WarcReader(DataSourceReader):
@@ -118,10 +133,9 @@ class WarcReader(DataSourceReader):
         info = store.get_file_info(root)
         if info.type == fs.FileType.File:
             return [Archive([root])]
-        listed = store.get_file_info(f"{root}/{LIST}")
-        if listed.type == fs.FileType.File:
-            with store.open_input_stream(f"{root}/{LIST}") as f:
-                names = json.loads(f.read())
+        lists = archive_lists(store, root)
+        if lists:
+            names = set().union(*(listed_names(store, x) for x in lists))
             files = store.get_file_info([f"{root}/{n}" for n in names])
         else:
             files = [x for x in store.get_file_info(fs.FileSelector(root, recursive=True)) if x.path.endswith((".warc", ".warc.gz"))]
@@ -266,8 +280,8 @@ def parse(head: bytes) -> dict[str, str]:
 
 
 class WarcWriter(DataSourceWriter):
-    def __init__(self, options: dict, columns: list[str]):
-        self.path, self.columns = options["path"], columns
+    def __init__(self, options: dict, columns: list[str], overwrite: bool = False):
+        self.path, self.columns, self.overwrite = options["path"], columns, overwrite
         self.compress = options.get("compress", "true").lower() == "true"
 
     def write(self, rows) -> Written:
@@ -285,8 +299,14 @@ class WarcWriter(DataSourceWriter):
     def commit(self, messages: list) -> None:
         store, root = file_system(self.path)
         store.create_dir(root, recursive=True)
-        with store.open_output_stream(f"{root}/{LIST}") as f:
+        earlier = archive_lists(store, root) if self.overwrite else []
+        with store.open_output_stream(f"{root}/_archives-{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps(sorted(m.name for m in messages if m is not None and m.records)).encode())
+        for path in earlier:
+            names = listed_names(store, path)
+            store.delete_file(path)
+            for name in names:
+                store.delete_file(f"{root}/{name}")
 
     def abort(self, messages: list) -> None:
         store, root = file_system(self.path)
@@ -341,11 +361,16 @@ def plan_records(pages: DataFrame, least: int = 100) -> DataFrame:
                     F.when(~again, F.col("payload")).alias("payload")))
 
 
-def write_archives(records: DataFrame, path: str, compress: bool = True) -> None:
+def write_archives(records: DataFrame, path: str, compress: bool = True, overwrite: bool = False) -> None:
+    """Add the records to the folder's archives, or replace them."""
     register(records.sparkSession)
-    records.write.format("warc").mode("append").option("path", path).option("compress", str(compress).lower()).save()
+    records.write.format("warc").mode("overwrite" if overwrite else "append").option("path", path).option("compress", str(compress).lower()).save()
 
 
 def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """The records of all committed archives of a folder as ``SCHEMA``; without
+    ``payload`` no payload is decoded. An empty folder has no rows; fields that a
+    record lacks or that do not parse are null, very long payloads are read whole
+    and one at a time."""
     register(spark)
     return spark.read.format("warc").option("path", path).option("payload", str(payload).lower()).load()
