@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from tests.conftest import SF_SMALL
-from tidemark.llm import decontam, pieces, quality, queries, secret_scan, toxicity
+from tidemark.llm import decontam, linededup, pieces, quality, queries, secret_scan, toxicity
 
 
 def auc(y, s):
@@ -260,3 +260,40 @@ def test_small_batches_cut_long_texts_without_loss():
     parts = list(small_batches(iter([whole, whole.slice(0, 0)]), most=20))
     assert pa.Table.from_batches(parts).to_pylist() == whole.to_pylist()
     assert all(p.num_rows and sum(len((t or "").encode()) for t in p.column(1).to_pylist()[1:]) <= 20 for p in parts)
+
+
+def test_invalid_utf8_is_replaced(spark):
+    bad = spark.sql("SELECT 1L AS doc_id, CAST(X'61FF620A63' AS STRING) AS text")
+    assert [(r.round_trip, r.n_ids > 0) for r in pieces.encode(bad).collect()] == [(True, True)]
+    assert secret_scan.scan(bad).count() == 1
+    known = spark.createDataFrame([(1, 1)], "doc_id long, y int")
+    assert toxicity.ToxicityModel.fit(bad, known).score(bad).count() == 1
+    assert linededup.dedup_lines(bad).first().text == "a\ufffdb\nc"
+
+
+def test_lexicon_has_every_term_that_weighs(spark, docs_of):
+    """Brute force: all terms whose lower log odds reach the bound, whatever their number."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices([f"t{j}" for j in range(6)] if i % 2 else [f"c{j}" for j in range(6)], k=9) + ["both"])) for i in range(200)]
+    known = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, y int")
+    model = toxicity.ToxicityModel.fit(docs_of(rows), known)
+    want = {}
+    for t in {w for _, x in rows for w in toxicity.fold(x).split()}:
+        pos, neg = (sum(t in toxicity.fold(x).split() for i, x in rows if i % 2 == y) for y in (1, 0))
+        w = toxicity.log_odds(pos, neg, 100, 100)
+        if w >= 1 and pos >= 4:
+            want[t] = float(w)
+    assert want and model.weights == pytest.approx(want)
+
+
+def test_matcher_against_plain_search():
+    rng = random.Random(6)
+    weights = {w: rng.random() + .1 for w in ("bad", "badly", "ass", "mean man", "rot")}
+    spared = ["bad luck", "rot proof", "not bad"]
+    lex = toxicity.Lexicon(weights, spared)
+    for _ in range(300):
+        folded = toxicity.fold(" ".join(rng.choices(["bad", "badly", "ass", "mean", "man", "rot", "luck", "proof", "not", "x"], k=rng.randint(0, 14))))
+        at = lambda p: [(i, i + len(p)) for i in range(len(folded)) if folded.startswith(p, i)]
+        free = [s for p in spared for s in at(f" {p} ")]
+        want = sorted(w for t, w in weights.items() for s, e in at(f" {t} ") if not any(a <= s and e <= b for a, b in free))
+        assert sorted(w for *_, w in lex.hits(folded)) == pytest.approx(want)

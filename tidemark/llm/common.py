@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialize, scratch_path, ship_package
 
-__all__ = ["materialize", "scratch_path", "table", "arrow_map", "batches_of", "small_batches", "text_bytes", "Generations"]
+__all__ = ["materialize", "scratch_path", "table", "arrow_map", "batches_of", "small_batches", "text_bytes", "valid_text", "Generations"]
 
 #: What goes to a Python task at once: rows and bytes of an Arrow batch.
 BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
@@ -28,6 +28,11 @@ def text_bytes(col: str = "text"):
     return F.coalesce(F.col(col), F.lit("")).cast("binary")
 
 
+def valid_text(col: str = "text"):
+    """The text, null as empty; what is no UTF-8 in it becomes U+FFFD."""
+    return F.make_valid_utf8(F.coalesce(F.col(col), F.lit("")))
+
+
 def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with the package shipped to the executors. The session's
     Arrow batches are set to at most ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes,

@@ -292,7 +292,7 @@ class LineStore:
                     if keys:
                         keys = set(keys)
                         kept = [x for x in parts if line_key(x, least) not in keys]
-                    texts.append(b"\n".join(kept).decode("utf-8"))
+                    texts.append(b"\n".join(kept).decode("utf-8", "replace"))
                     lines.append(len(parts))
                     dropped.append(len(parts) - len(kept))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(lines, pa.int64()),
