@@ -13,12 +13,13 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, small_batches
+from tidemark.llm.common import Generations, arrow_map, small_batches, valid_text
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
-CACHED_WORDS = 200_000
+TAIL, PIECE = 1, 2  # what a string is: the end of a longer piece, a piece
+CACHED_WORDS = 120_000
 CACHED_PAIRS = 500_000
 ENCODED_BYTES = 2 << 20
 
@@ -53,7 +54,8 @@ class Vocabulary:
                 elif len(p) > 1:
                     del self.ids[p]
         # proper endings of pieces: a step further to the left is worth a look
-        self.tails = {p[k:] for p in self.ids for k in range(1, len(p))}
+        self.kinds = dict.fromkeys((p[k:] for p in self.ids for k in range(1, len(p))), TAIL)
+        self.kinds.update((p, self.kinds.get(p, 0) | PIECE) for p in self.ids)
         self.alone = "" if any("\n" in p and p != "\n" for p in self.ids) else "\n"
         self.worst = min(self.scores, default=0.0) - 10.0
         # what a piece stands for in the decoded bytes
@@ -114,7 +116,8 @@ class Vocabulary:
         out: dict[str, list[int]] = {}
         best, start, last = [0.0], [0], [""]  # by end: score, where the last piece starts, the piece
         prev = ""
-        ids, scores, tails, pairs, bpe = self.ids, self.scores, self.tails, self._pairs, self.kind == BPE
+        ids, scores, kinds, bpe = self.ids, self.scores, self.kinds, self.kind == BPE
+        fits = self._pairs.get
         for word in sorted(words):
             same, most = 0, min(len(prev), len(word))
             while same < most and prev[same] == word[same]:
@@ -123,25 +126,31 @@ class Vocabulary:
             for end in range(same + 1, len(word) + 1):
                 s = end - 1
                 piece = word[s]
-                steps = [(s, piece, scores[ids[piece]] if piece in ids else self.worst)]
-                while s and piece in tails:
+                steps, code = [piece], kinds.get(piece, 0)
+                while s and code & TAIL:
                     s -= 1
                     piece = word[s:end]
-                    if piece in ids:
-                        steps.append((s, piece, scores[ids[piece]]))
+                    code = kinds.get(piece, 0)
+                    if code & PIECE:
+                        steps.append(piece)
+                if bpe:  # longest first; a step of one character is open to every path
+                    while True:
+                        piece = steps.pop()
+                        s = end - len(piece)
+                        if not s or not steps:
+                            break
+                        known = fits((last[s], piece))
+                        if known or known is None and self.beside(last[s], piece):
+                            break
+                    start.append(s)
+                    last.append(piece)
+                    continue
                 top = None
-                for s, piece, score in reversed(steps):  # longest first
-                    if bpe:
-                        if s:
-                            fits = pairs.get((last[s], piece))
-                            if fits is None:
-                                fits = self.beside(last[s], piece)
-                            if not fits:
-                                continue
-                        top = best[s] + score, s, piece
-                        break
-                    if top is None or best[s] + score > top[0]:
-                        top = best[s] + score, s, piece
+                for piece in reversed(steps):
+                    s = end - len(piece)
+                    score = best[s] + (scores[ids[piece]] if piece in ids else self.worst)
+                    if top is None or score > top[0]:
+                        top = score, s, piece
                 best.append(top[0])
                 start.append(top[1])
                 last.append(top[2])
@@ -186,40 +195,31 @@ def vocabulary(proto: bytes) -> Vocabulary:
 
 
 class BatchEncoder:
-    """Encodes lists of texts. Words met before come from a table of at most
-    ``CACHED_WORDS`` (when full, only those of the batch at hand stay); the new
-    ones of a batch go through the trie together.
+    """Encodes lists of texts. Words met before come from tables of two generations
+    (each of at most ``CACHED_WORDS`` and a batch's words); the new ones of a batch go
+    through the trie together.
 
     A text without runs of spaces is cut by plain splitting: a token stands for
     its marked word, a token that begins with a line end for that line end and
     an unmarked word. Other texts go through ``Vocabulary.words``."""
 
     def __init__(self, vocab: Vocabulary):
-        self.vocab, self.tokens, self.marked = vocab, {}, {}
+        self.vocab, self.tokens, self.marked = vocab, Generations(CACHED_WORDS), Generations(CACHED_WORDS)
         self.plain = vocab.dummy and vocab.alone == "\n"
+        self.line_end = array("i", [vocab.ids.get("\n", vocab.byte[10])]).tobytes()
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the offsets of the texts."""
-        cut = [(True, t.replace("\n", " \n").split(" ")) if self._plain(t) else (False, self.vocab.words(t)) for t in texts]
-        tokens = set().union(*(ws for easy, ws in cut if easy))
-        marked = set().union(*(ws for easy, ws in cut if not easy))
-        if len(self.tokens) + len(self.marked) > CACHED_WORDS:
-            self.tokens = {t: self.tokens[t] for t in tokens & self.tokens.keys()}
-            self.marked = {w: self.marked[w] for w in marked & self.marked.keys()}
-        tokens -= self.tokens.keys()
-        marked |= {t[1:] if t[:1] == "\n" else MARK + t for t in tokens}
-        marked.discard("")
-        marked -= self.marked.keys()
-        new = {w: array("i", v).tobytes() for w, v in self.vocab.encode_words(list(marked)).items()}
-        if not self.plain:
-            self.marked |= new
-        else:  # kept as tokens only
-            self.marked |= {w: new[w] for easy, ws in cut if not easy for w in ws if w in new}
-        line_end = array("i", [self.vocab.byte[10]] if "\n" not in self.vocab.ids else [self.vocab.ids["\n"]]).tobytes()
-        at = lambda w: new[w] if w in new else self.marked[w]
-        for t in tokens:
-            self.tokens[t] = line_end + (at(t[1:]) if len(t) > 1 else b"") if t[:1] == "\n" else at(MARK + t)
-        flat = [b"".join([table[w] for w in ws]) for table, ws in ((self.tokens if easy else self.marked, ws) for easy, ws in cut)]
+        easy = [self._plain(t) for t in texts]
+        cut = [t.replace("\n", " \n").split(" ") if e else self.vocab.words(t) for e, t in zip(easy, texts)]
+        tokens = self.tokens.unknown(set().union(*(ws for e, ws in zip(easy, cut) if e)))
+        marked = self.marked.unknown(set().union(*(ws for e, ws in zip(easy, cut) if not e)))
+        words = {t: t[1:] if t[:1] == "\n" else MARK + t for t in tokens}
+        new = {w: array("i", v).tobytes() for w, v in self.vocab.encode_words(list(marked.union(words.values()) - {""})).items()}
+        self.marked.young.update((w, new[w]) for w in marked)
+        self.tokens.young.update((t, self.line_end + new.get(w, b"") if t[:1] == "\n" else new[w]) for t, w in words.items())
+        known, apart = self.tokens.young.__getitem__, self.marked.young.__getitem__
+        flat = [b"".join(map(known if e else apart, ws)) for e, ws in zip(easy, cut)]
         offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in flat])))
         return np.frombuffer(b"".join(flat), np.int32), offsets.astype(np.int32)
 
@@ -243,8 +243,9 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc_id"
     """``(doc_id, ids array<int>, n_ids, round_trip)`` for every row, in one pass
     without a shuffle. ``round_trip``: decoding gives the text back (a text that
     holds U+2581 does not, as that is the mark of a space). Null and empty texts
-    have no ids and round-trip. Repeated rows and null ids give a row each; other
-    columns are not read."""
+    have no ids and round-trip. Invalid UTF-8 is read as U+FFFD. Repeated rows and
+    null ids give a row each, an empty table none; very long texts are encoded
+    whole; other columns are not read."""
     proto = read_model(model_path)
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_ids", pa.int64()), ("round_trip", pa.bool_())])
 
@@ -258,7 +259,7 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                                               pa.array(np.diff(offsets).astype(np.int64)), pa.array(same)], schema=schema)
 
-    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run,
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), valid_text(text_col).alias("text")), run,
                      "doc_id long, ids array<int>, n_ids long, round_trip boolean")
 
 
