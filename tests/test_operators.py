@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.align import align_sources, fill, outer_merge, pivot_drivers
 from tidemark.operators.attribution import attribute_linear, attribution_summary, sample_background, score_rows
-from tidemark.operators.context import parse_insights
+from tidemark.operators.context import parse_insights, render_report, report_context
 from tidemark.operators.evaluate import eval_rows, metric_pivot
 from tidemark.operators.forecast.linear import fit_linear, score_linear, score_sliding
 from tidemark.operators.labels import future_returns
 from tidemark.operators.order import halo_leads, row_numbers
 from tidemark.operators.profile import StageCounts
+from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.requests import validate_requests
 from tidemark.operators.scale import fit_robust
 from tidemark.operators.windows import asof_last_n, asof_rows, fit_split, gather_rows, lag_windows, label_vectors, training_set
@@ -337,3 +338,36 @@ def test_failed_refresh_keeps_the_old_version(spark, monkeypatch, tmp_path):
     assert snapshot.read_snapshot(spark, out, "t").count() == 5 and held.count() == 3
     with pytest.raises(FileNotFoundError):
         snapshot.read_snapshot(spark, out, "other")
+
+
+def test_quantiles_of_one_driver_in_many_tasks(spark):
+    rng = np.random.default_rng(4)
+    values = {"wide": rng.standard_normal(3000) * 10.0 ** rng.integers(-3, 3, 3000), "same": np.full(50, 2.5),
+              "few": np.array([1.0, 2.0, 4.0]), "ties": rng.integers(0, 5, 2000).astype(float), "one": np.array([7.0]),
+              "huge": np.array([-1.7e308, 0.0, 1.7e308])}
+    rows = [(k, float(v), int(m)) for k, vs in values.items() for v, m in zip(vs, rng.integers(0, 4, len(vs)))]
+    rows += [("few", None, 3), ("few", 9.0, 0)]
+    df = spark.createDataFrame(rows, "driver string, v double, m long").repartition(12)
+    qs = (.25, .5, .75, .999)
+    got = {r.driver: r.qs for r in exact_quantiles(df, qs, ["driver"], buckets=256).collect()}
+    want = df.where("m > 0").groupBy("driver").agg(F.percentile("v", F.array(*map(F.lit, qs)), F.col("m")).alias("qs"))
+    want = {r.driver: r.qs for r in want.collect()}
+    assert got.keys() == want.keys()
+    for k in got:
+        assert got[k] == pytest.approx(want[k], rel=1e-12)
+
+
+def test_report_text(spark):
+    full = '{"feature_name":"a","feature_behavior":"x","shap_interpretation":"x","forecast_alignment":"x","influence_strength":"x","analyst_explanation":"why"}'
+    day = dt.date(2024, 1, 5)
+    ctx = spark.createDataFrame([(day, "b", None, "U", "U", "SUPPORTING", "LOW"), (day, "a", "Name", "U", "D", "OPPOSING", "STRONG")],
+                                "ssd date, driver string, business_name string, attribution_direction string, forecast_direction string, role string, strength string")
+    path = spark.createDataFrame([(day, 1, dt.date(2024, 1, 8), 101, 100.0)], "ssd date, days_ahead int, future_date date, forecast_price long, current_spot double")
+    days = spark.createDataFrame([(day,), (dt.date(2024, 1, 12),)], "ssd date")
+    now = spark.createDataFrame([(day, 100.0)], "ssd date, current_spot double")
+    told = parse_insights(spark.createDataFrame([(day, "a", full)], "ssd date, driver string, response string"))
+    got = {r.ssd: r.report.split("\n") for r in render_report(report_context(days, now, path, ctx, told, horizon=1)).collect()}
+    assert got[day] == ["[report] on=2024-01-05 spot=100.00 state=complete", "[path] price per business day", "[1]{FutureDates,ForecastedPrice}:",
+                        "  2024-01-08,101", "[drivers] 2, explained 1", "- Name (OPPOSING, STRONG): why", "- b (SUPPORTING, LOW)"]
+    assert got[dt.date(2024, 1, 12)] == ["[report] on=2024-01-12 spot=- state=missing current price", "[path] price per business day", "-",
+                                         "[drivers] 0, explained 0"]

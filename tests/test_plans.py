@@ -74,3 +74,26 @@ def test_fill_time_grows_linearly(spark):
 
     seconds(1_000)
     assert seconds(40_000) < 15
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    from tidemark.plans.registry import bucketed_scores
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = _plan(bucketed_scores(spark, SF_SMALL))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "Exchange" not in plan and plan.count("Bucketed: true") == 2
+
+
+def test_asof_plan_builds_no_windows(spark):
+    from tidemark.plans.registry import QUERIES
+    for name in ("asof_windows", "recent_history", "history_many"):
+        assert "collect_list" not in _plan(QUERIES[name](spark, SF_SMALL))
+
+
+def test_scored_report_days_stay_in_the_jvm(spark):
+    from tidemark.plans.registry import QUERIES
+    plan = _plan(QUERIES["attribution_long"](spark, SF_SMALL))
+    assert "Python" not in plan and "Pandas" not in plan and "collect_list(array" not in plan

@@ -205,3 +205,24 @@ def report_context(days: DataFrame, spot_now: DataFrame, path: DataFrame, ctx: D
               .when(F.col("n_drivers") == 0, F.lit("missing driver context")))
     return g.select(*on, "current_spot", "forecast", "n_steps", "n_drivers", "n_insights", "drivers",
                     reason.isNull().alias("is_valid"), reason.alias("reason"))
+
+
+def render_report(reports: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
+    """``(keys…, ssd, report)``: one text per row of ``report_context``. The head says
+    whether the report is complete, the path follows, then each driver on a line of
+    its own with its stance, its weight and, where there is one, its explanation."""
+    keys = list(keys)
+
+    def line(x):
+        said = F.when(x["insight"]["analyst_explanation"].isNotNull(), F.concat(F.lit(": "), x["insight"]["analyst_explanation"]))
+        return F.concat(F.lit("- "), F.coalesce(x["business_name"], x["driver"]), F.lit(" ("), F.coalesce(x["role"], F.lit("-")),
+                        F.lit(", "), F.coalesce(x["strength"], F.lit("-")), F.lit(")"), F.coalesce(said, F.lit("")))
+
+    text = F.concat_ws(
+        "\n",
+        F.concat(F.lit("[report] on="), F.date_format("ssd", "yyyy-MM-dd"), F.lit(" spot="),
+                 F.when(F.col("current_spot").isNull(), "-").otherwise(fmt_fixed("current_spot", 2)), F.lit(" state="), F.coalesce("reason", F.lit("complete"))),
+        F.lit("[path] price per business day"), F.coalesce("forecast", F.lit("-")),
+        F.concat(F.lit("[drivers] "), F.col("n_drivers"), F.lit(", explained "), F.col("n_insights")),
+        F.when(F.size("drivers") > 0, F.array_join(F.transform("drivers", line), "\n")))
+    return reports.select(*keys, "ssd", text.alias("report"))

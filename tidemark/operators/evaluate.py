@@ -43,13 +43,6 @@ def metric_pivot(rows: DataFrame, metric: str, keys: Iterable[str] = ()) -> Data
                     *[F.col(f"{p}_{a}") for p in PERIODS for a in ("mean", "count")]))
 
 
-def evaluate(labels: DataFrame, preds: DataFrame, eval_boundary,
-             keys: Iterable[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, MAPE pivot, directional-accuracy pivot)."""
-    rows = eval_rows(labels, preds, eval_boundary, keys)
-    return rows, metric_pivot(rows, "ape", keys), metric_pivot(rows, "da", keys)
-
-
 def eval_summary(rows: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
     """Long form per (keys, days_ahead, period): MAPE, DA, n and the
     directional loss over the whole group."""

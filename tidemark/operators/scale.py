@@ -24,17 +24,23 @@ def window_weights(frame: DataFrame, ends: DataFrame, lag: int, keys: Iterable[s
 
 
 def fit_robust(frame: DataFrame, cols: Sequence[str], lag: int, ends: DataFrame,
-               keys: Iterable[str] = (), q: tuple[float, float] = (0.25, 0.75)) -> DataFrame:
+               keys: Iterable[str] = (), q: tuple[float, float] = (0.25, 0.75), path: str = "buffer") -> DataFrame:
     """Scaler parameters ``(keys…, driver, center, scale)``: exact weighted
     median and ``q75 − q25`` (linear interpolation) of every driver over all
-    rows of the fitted windows; a zero range becomes 1."""
+    rows of the fitted windows; a zero range becomes 1. ``path="buffer"`` sorts a
+    driver's values of one series in one aggregate; ``"histogram"`` finds the same
+    values by narrowing histograms (for a driver with more values than a task holds)."""
     keys = list(keys)
     weighted = window_weights(frame, ends, lag, keys).where(F.col("m") > 0)
     long = weighted.select(*keys, "m", F.explode(F.array(*[
         F.struct(F.lit(c).alias("driver"), F.col(c).cast("double").alias("v")) for c in cols
     ])).alias("d")).select(*keys, "m", "d.driver", "d.v")
-    qs = F.percentile(F.col("v"), F.array(F.lit(q[0]), F.lit(0.5), F.lit(q[1])), F.col("m"))
-    p = long.groupBy(*keys, "driver").agg(qs.alias("qs"))
+    if path == "histogram":
+        from tidemark.operators.quantiles import exact_quantiles
+        p = exact_quantiles(long, (q[0], 0.5, q[1]), [*keys, "driver"])
+    else:
+        qs = F.percentile(F.col("v"), F.array(F.lit(q[0]), F.lit(0.5), F.lit(q[1])), F.col("m"))
+        p = long.groupBy(*keys, "driver").agg(qs.alias("qs"))
     rng = F.col("qs")[2] - F.col("qs")[0]
     return p.select(*keys, "driver", F.col("qs")[1].alias("center"),
                     F.when(rng == 0, F.lit(1.0)).otherwise(rng).alias("scale"))

@@ -14,7 +14,7 @@ from tidemark.operators.align import align_sources, fill
 from tidemark.operators.attribution import (
     attribute_linear, attribution_summary, driver_role, sample_background,
 )
-from tidemark.operators.context import driver_context, parse_insights, render_driver_context, report_context
+from tidemark.operators.context import driver_context, parse_insights, render_driver_context, render_report, report_context
 from tidemark.operators.evaluate import eval_rows, eval_summary, metric_pivot
 from tidemark.operators.forecast.linear import fit_linear, score_linear
 from tidemark.operators.labels import future_return_vectors, future_returns
@@ -22,7 +22,7 @@ from tidemark.operators.path import current_spot, forecast_path
 from tidemark.operators.requests import request_outcomes, validate_requests
 from tidemark.operators.scale import apply_robust, fit_robust
 from tidemark.operators.windows import fit_split, lag_windows, recent_history, training_set
-from tidemark.sources.artifacts import feature_order, save_models, save_params, save_windows
+from tidemark.sources.artifacts import check_model_shape, feature_order, load_models, save_models, save_params, save_windows
 from tidemark.sources.dictionary import driver_dictionary
 from tidemark.sources.scan import read_table, write_table
 
@@ -90,7 +90,9 @@ def backtest_job(spark: SparkSession, out: str, lag: int, eval_boundary, keys: I
     """E5: predictions for every window, evaluation rows, MAPE and DA pivots
     and the long summary (persisted, unlike the source, which only logs)."""
     keys = list(keys)
-    preds = score_linear(read_table(spark, _p(out, "scaled_windows")), read_table(spark, _p(out, "models_linear")), keys)
+    windows = read_table(spark, _p(out, "scaled_windows"))
+    cols = read_table(spark, _p(out, "feature_order")).count()
+    preds = score_linear(windows, check_model_shape(load_models(spark, _p(out, "models_linear")), lag * cols), keys)
     write_table(preds, _p(out, "predictions"))
     rows = eval_rows(read_table(spark, _p(out, "labels")), read_table(spark, _p(out, "predictions")),
                      eval_boundary, keys)
@@ -124,7 +126,7 @@ def report_job(spark: SparkSession, requests: DataFrame, spot: DataFrame, out: s
     frame = read_table(spark, _p(out, "features"))
     cols = [r.driver for r in read_table(spark, _p(out, "feature_order")).orderBy("pos").collect()]
     params = read_table(spark, _p(out, "scaler"))
-    models = read_table(spark, _p(out, "models_linear"))
+    models = check_model_shape(load_models(spark, _p(out, "models_linear")), lag * len(cols))
     scaled = lag_windows(apply_robust(frame, params, cols, keys), cols, lag, keys, with_dates=True)
     samples = read_table(spark, _p(out, "windows")).select(*keys, "ssd")
     report = scaled.join(days, keys + ["ssd"], "left_semi")
@@ -143,6 +145,7 @@ def report_job(spark: SparkSession, requests: DataFrame, spot: DataFrame, out: s
     write_table(render_driver_context(ctx, keys), _p(out, "driver_prompts"))
     insights = parse_insights(responses) if responses is not None else None
     write_table(report_context(days, spot_now, path, ctx, insights, keys, horizon), _p(out, "report_context"))
+    write_table(render_report(read_table(spark, _p(out, "report_context")), keys), _p(out, "reports"))
     write_table(request_outcomes(read_table(spark, _p(out, "requests")), read_table(spark, _p(out, "report_context"))),
                 _p(out, "outcomes"))
-    return {n: _p(out, n) for n in ("requests", "outcomes", "paths", "driver_context", "driver_prompts", "report_context")}
+    return {n: _p(out, n) for n in ("requests", "outcomes", "paths", "driver_context", "driver_prompts", "report_context", "reports")}

@@ -334,6 +334,16 @@ er AS (SELECT *, abs(predicted_price - actual_price) / nullif(actual_price, 0) A
   CASE WHEN ssd >= DATE '{BND}' THEN 'validation' ELSE 'train' END AS period FROM ev)
 {summary('series_id')}"""
 
+# the gradient of the penalised error at its minimum; the split is that of fit_split
+ORACLE["fit_gradient"] = f"""WITH {SAMPLES1},
+t AS (SELECT ssd, row_number() OVER (ORDER BY ssd) AS k, count(*) OVER () AS n FROM smp WHERE ssd < DATE '{CUT}'),
+fitted AS (SELECT l.days_ahead, count(*) AS n FROM t JOIN lab l USING (ssd) WHERE t.k <= floor(t.n * 0.75) AND l.y IS NOT NULL GROUP BY ALL)
+SELECT days_ahead, CAST(i.input AS INTEGER) AS input, n, 0.0::DOUBLE AS gradient
+  FROM fitted CROSS JOIN (SELECT unnest(range(-1, {LAG * len(FEATS)})) AS input) i"""
+
+ORACLE["momentum_eval"] = f"WITH {SPOT1}, " + baseline_rows("spot1").replace(
+    f"THEN avg(price) OVER w / nullif(price, 0) - 1 END", f"THEN price / nullif(first_value(price) OVER w, 0) - 1 END") + f"\n{summary()}"
+
 # ---- linear scoring ------------------------------------------------------------
 
 NF = len(FEATS)
@@ -640,6 +650,14 @@ SELECT rp.ssd, {r6('rp.current_spot', 'current_spot')}, rp.forecast, rp.n_steps,
   CASE WHEN c.strength <> 'LOW' THEN c.driver || ' ' || c.role || ' ' || c.strength END AS explanation
   FROM rp LEFT JOIN ctx c ON c.ssd = rp.ssd"""
 
+ORACLE["report_text"] = f"""WITH {REPORTS},
+dl AS (SELECT ssd, string_agg('- ' || coalesce(business_name, driver) || ' (' || coalesce(role, '-') || ', ' || coalesce(strength, '-') || ')' ||
+  CASE WHEN strength <> 'LOW' THEN ': ' || driver || ' ' || role || ' ' || strength ELSE '' END, {NL} ORDER BY driver) AS said FROM ctx GROUP BY ssd)
+SELECT rp.ssd, '[report] on=' || strftime(rp.ssd, '%Y-%m-%d') || ' spot=' || coalesce(printf('%.2f', rp.current_spot), '-') || ' state=' ||
+  coalesce(rp.reason, 'complete') || {NL} || '[path] price per business day' || {NL} || coalesce(rp.forecast, '-') || {NL} ||
+  '[drivers] ' || rp.n_drivers || ', explained ' || rp.n_insights || coalesce({NL} || dl.said, '') AS report
+  FROM rp LEFT JOIN dl ON dl.ssd = rp.ssd"""
+
 ORACLE["request_outcome"] = f"""WITH {REPORTS},
 asked AS (SELECT ssd AS day FROM fri UNION ALL SELECT CAST(ssd + 7301 AS DATE) FROM fri UNION ALL SELECT CAST(ssd + 1 AS DATE) FROM fri),
 ck AS (SELECT day, CASE WHEN isodow(day) <> 5 THEN 'Provided date is not a Friday'
@@ -683,3 +701,19 @@ ORACLE["windows_dataset"] = ORACLE["training_set"].rstrip() + f"\n  WHERE s.ssd
 ORACLE["scaler_artifact"] = ORACLE["robust_params"]
 ORACLE["model_artifact"] = ORACLE["score_linear"]
 ORACLE["snapshot_stream"] = ORACLE["spot_daily"]
+ORACLE["frame_csv"] = ORACLE["feature_frame"]
+ORACLE["windows_splits"] = ORACLE["training_set"]
+ORACLE["predictions_bucketed"] = ORACLE["predictions_long"]
+ORACLE["robust_params_histogram"] = ORACLE["robust_params"]
+
+# ---- end-to-end jobs ------------------------------------------------------------
+
+ORACLE["job_labels"] = ORACLE["labels_long"]
+ORACLE["job_features"] = ORACLE["feature_frame"]
+ORACLE["job_windows"] = ORACLE["training_set"]
+ORACLE["job_scaler"] = ORACLE["robust_params"]
+ORACLE["job_outcomes"] = ORACLE["request_outcome"]
+ORACLE["job_backtest"] = f"""WITH {SAMPLES1}
+SELECT l.days_ahead, CASE WHEN s.ssd >= DATE '{BND}' THEN 'validation' ELSE 'train' END AS period, count(*) AS n, count(*) AS n_ape,
+  count(*) AS n_da, min(s.ssd) AS first_ssd, max(s.ssd) AS last_ssd
+  FROM smp s JOIN lab l ON l.ssd = s.ssd WHERE l.y IS NOT NULL GROUP BY ALL"""

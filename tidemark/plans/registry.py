@@ -21,8 +21,8 @@ from tidemark.operators.path import current_spot
 from tidemark.operators.profile import LABEL_SCHEMA, StageCounts, profile_labels
 from tidemark.session import materialize, scratch_path
 from tidemark.sources.artifacts import (
-    check_model_shape, feature_order, load_models, load_params, load_windows, save_models, save_params,
-    save_windows,
+    check_model_shape, feature_order, load_bucketed, load_models, load_params, load_windows, save_bucketed, save_models,
+    save_params, save_windows,
 )
 from tidemark.sources.scan import read_table, scan_prices, write_table
 from tidemark.sources.snapshot import ingest_snapshot, read_snapshot
@@ -34,19 +34,20 @@ from tidemark.operators.windows import (
     asof_rows, fit_split, gather_rows, lag_windows, recent_history, training_ends, training_set,
 )
 from tidemark.functions.numeric import directional_loss
-from tidemark.operators.forecast.linear import fit_linear, predictions_wide, score_linear, score_sliding
+from tidemark.operators.forecast.linear import fit_linear, predictions_wide, score_linear, score_sliding, train_samples
 from tidemark.operators.attribution import (
     attribute_rows, attribution_summary, driver_role, sample_background, score_rows, step_means,
 )
 from tidemark.operators.order import row_numbers
 from tidemark.operators.context import (
     SCORE_LABEL,
-    driver_context, history_text, parse_insights, render_driver_context, report_context,
+    driver_context, history_text, parse_insights, render_driver_context, render_report, report_context,
 )
 from tidemark.sources.dictionary import driver_dictionary, with_driver_info
 from tidemark.operators.evaluate import eval_rows, eval_summary, metric_pivot
 from tidemark.operators.forecast.baseline import baseline_predictions, with_baseline
 from tidemark.operators.labels import future_return_vectors, future_returns
+from tidemark.plans import jobs
 from tidemark.plans import roles as R
 
 DIGITS = 6
@@ -522,6 +523,28 @@ def ridge_eval_many(spark: SparkSession, d: str) -> DataFrame:
     return rounded(eval_summary(eval_rows(labels, preds, R.EVAL_BOUNDARY, R.KEYS), R.KEYS))
 
 
+@query
+def fit_gradient(spark: SparkSession, d: str) -> DataFrame:
+    """The fit on all inputs checked by what makes it the minimum: the gradient of the
+    penalised error is zero in every weight and in the intercept (input -1)."""
+    samples, models = _fit_one(spark, d)
+    models = materialize(models, "models")
+    known = (materialize(train_samples(samples), "train").select("xf", F.posexplode("y").alias("k", "y")).where("y IS NOT NULL")
+             .withColumn("days_ahead", F.col("k") + 1).join(F.broadcast(models), "days_ahead"))  # one model per horizon
+    error = known.withColumn("e", F.aggregate(F.zip_with("xf", "weights", lambda a, b: a * b), F.col("intercept"), lambda s, v: s + v) - F.col("y"))
+    each = error.select("days_ahead", "weights", "n", "e", F.posexplode(F.concat(F.array(F.lit(1.0)), "xf")).alias("i", "v"))
+    pull = F.when(F.col("i") > 0, 1e-3 * F.get("weights", F.col("i") - 1)).otherwise(0.0)
+    g = each.groupBy("days_ahead", "n", "i", pull.alias("pull")).agg((F.sum(F.col("e") * F.col("v")) / F.col("n")).alias("g"))
+    return rounded(g.select("days_ahead", (F.col("i") - 1).alias("input"), "n", F.abs(F.col("g") + F.col("pull")).alias("gradient")))
+
+
+@query
+def momentum_eval(spark: SparkSession, d: str) -> DataFrame:
+    """Backtest of the momentum baseline."""
+    labels = future_returns(with_baseline(R.spot_one(spark, d), R.LAG, kind="momentum"), R.HORIZON, carry=["prediction"])
+    return rounded(eval_summary(eval_rows(labels, None, R.EVAL_BOUNDARY)))
+
+
 @query(name="directional_loss")
 def directional_loss_q(spark: SparkSession, d: str) -> DataFrame:
     """MSE and the direction-penalised loss per horizon and period."""
@@ -763,14 +786,23 @@ def report_context_q(spark: SparkSession, d: str) -> DataFrame:
                             F.col("x.insight.analyst_explanation").alias("explanation")))
 
 
+def _asked(spark, d):
+    """Requests for every Friday, for the Fridays 20 years on and the Saturdays after."""
+    asked = _report_days(spark, d).select(F.explode(F.array("ssd", F.date_add("ssd", 7 * 1043), F.date_add("ssd", 1))).alias("day"))
+    return asked.select(F.date_format("day", "yyyy-MM-dd").alias("friday_date"))
+
+
+@query
+def report_text(spark: SparkSession, d: str) -> DataFrame:
+    """Every Friday's report as text."""
+    return render_report(_reports_one(spark, d))
+
+
 @query
 def request_outcome(spark: SparkSession, d: str) -> DataFrame:
     """Outcome of a request for every Friday, for the Fridays 20 years on and for
     the Saturdays after."""
-    days = _report_days(spark, d)
-    asked = days.select(F.explode(F.array("ssd", F.date_add("ssd", 7 * 1043), F.date_add("ssd", 1))).alias("day"))
-    checked = validate_requests(asked.select(F.date_format("day", "yyyy-MM-dd").alias("friday_date")),
-                                start=R.REQUEST_START, end=R.REQUEST_END)
+    checked = validate_requests(_asked(spark, d), start=R.REQUEST_START, end=R.REQUEST_END)
     return request_outcomes(checked, _reports_one(spark, d))
 
 
@@ -791,6 +823,14 @@ def lag_windows_halo(spark: SparkSession, d: str) -> DataFrame:
     return rounded(explode_windows(w, R.FEATURES))
 
 
+@query
+def robust_params_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """Scaler parameters of the single series by narrowing histograms."""
+    frame = materialize(R.frame_one(spark, d), "frame_one")
+    ends = training_ends(frame, R.spot_one(spark, d), R.LAG, R.TRAIN_CUTOFF)
+    return rounded(fit_robust(frame, R.FEATURES, R.LAG, ends, path="histogram"))
+
+
 @query
 def labels_halo(spark: SparkSession, d: str) -> DataFrame:
     """Single-series labels through row blocks with a forward halo."""
@@ -818,6 +858,112 @@ def windows_dataset(spark: SparkSession, d: str) -> DataFrame:
                    .select("ssd", "is_train", "x_last_price", (F.col("k") + 1).alias("days_ahead"), "y"))
 
 
+@query
+def frame_csv(spark: SparkSession, d: str) -> DataFrame:
+    """The feature frame written as CSV and read back with its schema."""
+    frame = R.frame_one(spark, d)
+    path = scratch_path(spark, f"csv-frame-{uuid.uuid4().hex}")
+    write_table(frame, path, fmt="csv")
+    return rounded(read_table(spark, path, frame.schema, fmt="csv"))
+
+
+@query
+def windows_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Both halves of the stored window dataset."""
+    path = scratch_path(spark, f"windows-{uuid.uuid4().hex}")
+    save_windows(_samples_one(spark, d), path)
+    s = load_windows(spark, path)
+    return rounded(s.select("ssd", "is_train", F.col("x")[R.LAG - 1][0].alias("x_last_price"), F.posexplode("y").alias("k", "y"))
+                   .select("ssd", "is_train", "x_last_price", (F.col("k") + 1).alias("days_ahead"), "y"))
+
+
+BUCKETS = 16
+
+
+def bucketed_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scaled windows and models of many series stored in buckets of the series, then
+    scored: the join reads both in place."""
+    _, frame, params = _pipeline_many(spark, d)
+    windows = lag_windows(apply_robust(frame, params, R.FEATURES, keys=R.KEYS), R.FEATURES, R.LAG, R.KEYS)
+    models = fixed_models(spark, R.LAG * len(R.FEATURES), frame.select("series_id").distinct())
+    held = {}
+    for name, df in (("windows", windows), ("models", models)):
+        run = f"{name}_{uuid.uuid4().hex}"
+        path = scratch_path(spark, run)
+        save_bucketed(df, run, path, R.KEYS, BUCKETS)
+        held[name] = load_bucketed(spark, run, path, R.KEYS, BUCKETS)
+    return score_linear(held["windows"], held["models"], R.KEYS)
+
+
+@query
+def predictions_bucketed(spark: SparkSession, d: str) -> DataFrame:
+    """Every window of every supplier scored from bucketed tables."""
+    return rounded(bucketed_scores(spark, d))
+
+
+# ---- end-to-end jobs ------------------------------------------------------------
+
+def _job_run(spark, d, last: str) -> str:
+    """The experiment run up to a job, in a folder of its own."""
+    out = scratch_path(spark, f"run-{uuid.uuid4().hex}")
+    spot = materialize(R.spot_one(spark, d), "spot")
+    steps = {
+        "labels": lambda: jobs.labels_job(spot, out, R.HORIZON),
+        "features": lambda: jobs.features_job([spot], [R.index_wide(spark, d), R.inventory(spark, d), R.freight(spark, d)], out),
+        "training": lambda: jobs.training_job(spark, spot, out, R.LAG, R.HORIZON, R.TRAIN_CUTOFF),
+        "fit": lambda: jobs.fit_job(spark, out, R.LAG),
+        "report": lambda: jobs.report_job(spark, _asked(spark, d), spot, out, R.LAG, R.HORIZON, start=R.REQUEST_START, end=R.REQUEST_END),
+    }
+    for name, step in steps.items():
+        step()
+        if name == last:
+            return out
+    raise ValueError(last)
+
+
+@query
+def job_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Result of the label job (E1)."""
+    return rounded(read_table(spark, f"{_job_run(spark, d, 'labels')}/labels"))
+
+
+@query
+def job_features(spark: SparkSession, d: str) -> DataFrame:
+    """Result of the feature job (E2)."""
+    return rounded(read_table(spark, f"{_job_run(spark, d, 'features')}/features"))
+
+
+@query
+def job_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Result of the training-set job (E3), both splits."""
+    s = load_windows(spark, f"{_job_run(spark, d, 'training')}/windows")
+    return rounded(s.select("ssd", "is_train", F.col("x")[R.LAG - 1][0].alias("x_last_price"), F.posexplode("y").alias("k", "y"))
+                   .select("ssd", "is_train", "x_last_price", (F.col("k") + 1).alias("days_ahead"), "y"))
+
+
+@query
+def job_scaler(spark: SparkSession, d: str) -> DataFrame:
+    """Scaler of the fit job (E4)."""
+    return rounded(load_params(spark, f"{_job_run(spark, d, 'fit')}/scaler"))
+
+
+@query
+def job_backtest(spark: SparkSession, d: str) -> DataFrame:
+    """Labels scored by the backtest job (E5) per horizon and period, from the models
+    fitted before: how many rows it has and whether every error is there."""
+    out = _job_run(spark, d, "fit")
+    jobs.backtest_job(spark, out, R.LAG, R.EVAL_BOUNDARY)
+    rows = read_table(spark, f"{out}/eval_rows")
+    return rows.groupBy("days_ahead", "period").agg(F.count(F.lit(1)).alias("n"), F.count("ape").alias("n_ape"), F.count("da").alias("n_da"),
+                                                    F.min("ssd").alias("first_ssd"), F.max("ssd").alias("last_ssd"))
+
+
+@query
+def job_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Outcomes of the report job (E6) from the fitted models."""
+    return read_table(spark, f"{_job_run(spark, d, 'report')}/outcomes")
+
+
 @query
 def scaler_artifact(spark: SparkSession, d: str) -> DataFrame:
     """Scaler parameters saved as a table and loaded back."""

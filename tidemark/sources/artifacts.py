@@ -24,11 +24,6 @@ def feature_order(frame: DataFrame, exclude: Sequence[str] = ("ssd",)) -> DataFr
     return spark.createDataFrame([(i, c) for i, c in enumerate(cols)], FEATURE_ORDER_SCHEMA)
 
 
-def driver_position(order: DataFrame, driver: str):
-    """Column: position of ``driver`` in a feature-order table (0-based)."""
-    return order.where(F.col("driver") == driver).select("pos")
-
-
 def save_windows(samples: DataFrame, path: str) -> None:
     """Window dataset ``(keys…, ssd, x, y, is_train)`` partitioned by split."""
     write_table(samples, path, partition_by=["is_train"])
@@ -73,3 +68,22 @@ def check_model_shape(models: DataFrame, dim: int) -> DataFrame:
     return models.withColumn("weights", F.when(bad, F.raise_error(F.concat(
         F.lit("model input size "), F.col("dim").cast("string"), F.lit(f" does not match windows ({dim})"))))
         .otherwise(F.col("weights")))
+
+
+def save_bucketed(df: DataFrame, table: str, path: str, keys: Sequence[str], buckets: int) -> None:
+    """Write a table bucketed and sorted by its series, so that jobs which join such
+    tables on the series read them without a shuffle. ``table`` is its name in the
+    session's catalog, ``path`` the shared folder that holds its files."""
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
+    # one task per bucket: a bucket is one file, and its sort order can be used
+    (df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+     .option("path", path).format("parquet").saveAsTable(table))
+
+
+def load_bucketed(spark: SparkSession, table: str, path: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """The table, registered anew if this session does not know it."""
+    if not spark.catalog.tableExists(table):
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+        cols = ", ".join(f"`{k}`" for k in keys)
+        spark.sql(f"CREATE TABLE {table} ({fields}) USING parquet CLUSTERED BY ({cols}) SORTED BY ({cols}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(table)
