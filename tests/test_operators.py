@@ -367,7 +367,7 @@ def test_report_text(spark):
     now = spark.createDataFrame([(day, 100.0)], "ssd date, current_spot double")
     told = parse_insights(spark.createDataFrame([(day, "a", full)], "ssd date, driver string, response string"))
     got = {r.ssd: r.report.split("\n") for r in render_report(report_context(days, now, path, ctx, told, horizon=1)).collect()}
-    assert got[day] == ["[report] on=2024-01-05 spot=100.00 state=complete", "[path] price per business day", "[1]{FutureDates,ForecastedPrice}:",
+    assert got[day] == ["[report] on=2024-01-05 spot=100.00 state=complete", "[path] price per business day", "[1]{day,price}:",
                         "  2024-01-08,101", "[drivers] 2, explained 1", "- Name (OPPOSING, STRONG): why", "- b (SUPPORTING, LOW)"]
     assert got[dt.date(2024, 1, 12)] == ["[report] on=2024-01-12 spot=- state=missing current price", "[path] price per business day", "-",
                                          "[drivers] 0, explained 0"]

@@ -47,7 +47,7 @@ def path_text(path: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
     keys = list(keys)
     t = encode_table(path, keys + ["ssd"], "days_ahead",
                      [F.date_format("future_date", "yyyy-MM-dd"), fmt_fixed("forecast_price", 0)],
-                     ["FutureDates", "ForecastedPrice"], out="forecast")
+                     ["day", "price"], out="forecast")
     spot = path.groupBy(*keys, "ssd").agg(F.first("current_spot").alias("current_spot"))
     return t.join(spot, keys + ["ssd"])
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from tidemark.operators.attribution import MODERATE_SHARE as MODERATE, STRONG_SHARE as STRONG
 from tidemark.operators.context import INSIGHT_FIELDS, SCORE_LABEL
+from tidemark.operators.requests import MSG_FORMAT, MSG_FRIDAY, MSG_RANGE, REPORT_END, REPORT_START
 from tidemark.plans import roles as R
 
 H, LAG = R.HORIZON, R.LAG
@@ -441,10 +442,10 @@ REQS = """rqs AS (SELECT DISTINCT friday_date FROM (
 rv AS (SELECT friday_date AS request,
   CASE WHEN regexp_matches(friday_date, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$')
     THEN CAST(try_strptime(friday_date, '%Y-%m-%d') AS DATE) END AS report_date FROM rqs),
-rr AS (SELECT request, report_date, CASE WHEN report_date IS NULL THEN 'Date must be in YYYY-MM-DD format'
-  WHEN isodow(report_date) <> 5 THEN 'Provided date is not a Friday'
-  WHEN report_date NOT BETWEEN DATE '2015-01-14' AND DATE '2026-02-05'
-    THEN 'Date must be between 2015-01-14 and 2026-02-05' END AS reason FROM rv)"""
+rr AS (SELECT request, report_date, CASE WHEN report_date IS NULL THEN '""" + MSG_FORMAT + """'
+  WHEN isodow(report_date) <> 5 THEN '""" + MSG_FRIDAY + """'
+  WHEN report_date NOT BETWEEN DATE '""" + REPORT_START + """' AND DATE '""" + REPORT_END + """'
+    THEN '""" + MSG_RANGE.format(start=REPORT_START, end=REPORT_END) + """' END AS reason FROM rv)"""
 
 ORACLE["request_validation"] = f"""WITH {REQS}
 SELECT request, report_date, reason IS NULL AS is_valid,
@@ -600,7 +601,7 @@ fpt AS (SELECT c.ssd, c.current_spot, p.days_ahead, b.bday AS future_date,
   CAST({reven(f"c.current_spot * {reven('p.prediction', 2)} + c.current_spot", 0)} AS BIGINT) AS forecast_price
   FROM cs c JOIN pr p ON p.ssd = c.ssd JOIN bk b ON b.ssd = c.ssd AND b.k = p.days_ahead),
 ftx AS (SELECT ssd, first(current_spot) AS current_spot,
-  {table_text('FutureDates,ForecastedPrice', "strftime(future_date, '%Y-%m-%d') || ',' || printf('%d', forecast_price)", 'days_ahead')} AS forecast
+  {table_text('day,price', "strftime(future_date, '%Y-%m-%d') || ',' || printf('%d', forecast_price)", 'days_ahead')} AS forecast
   FROM fpt GROUP BY ssd),
 atx AS (SELECT s.ssd, s.driver,
   {table_text('horizon,score', f"'{SCORE_LABEL}' || strftime(f.future_date, '%Y-%m-%d') || ',' || printf('%.4f', " + reven(reven('s.total', 9), 4) + ")", 's.days_ahead')} AS attribution
@@ -660,9 +661,9 @@ SELECT rp.ssd, '[report] on=' || strftime(rp.ssd, '%Y-%m-%d') || ' spot=' || coa
 
 ORACLE["request_outcome"] = f"""WITH {REPORTS},
 asked AS (SELECT ssd AS day FROM fri UNION ALL SELECT CAST(ssd + 7301 AS DATE) FROM fri UNION ALL SELECT CAST(ssd + 1 AS DATE) FROM fri),
-ck AS (SELECT day, CASE WHEN isodow(day) <> 5 THEN 'Provided date is not a Friday'
+ck AS (SELECT day, CASE WHEN isodow(day) <> 5 THEN '{MSG_FRIDAY}'
   WHEN day NOT BETWEEN DATE '{R.REQUEST_START}' AND DATE '{R.REQUEST_END}'
-    THEN 'Date must be between {R.REQUEST_START} and {R.REQUEST_END}' END AS reason FROM asked),
+    THEN '{MSG_RANGE.format(start=R.REQUEST_START, end=R.REQUEST_END)}' END AS reason FROM asked),
 oc AS (SELECT ck.day, ck.reason, rp.reason AS why, rp.ssd IS NOT NULL AS n, rp.ssd IS NOT NULL AND rp.reason IS NULL AS whole
   FROM ck LEFT JOIN rp ON rp.ssd = ck.day)
 SELECT strftime(day, '%Y-%m-%d') AS request, day AS report_date, reason IS NULL AS is_valid,

@@ -12,10 +12,16 @@ INFO_FIELDS = ["business_name", "asset_class", "macro_role", "relationship_to_ta
 DICT_SCHEMA = "map<string, struct<" + ", ".join(f"{f}: string" for f in INFO_FIELDS) + ">>"
 
 
-def driver_dictionary(spark: SparkSession, path: str = DEFAULT_PATH) -> DataFrame:
+def driver_dictionary(spark: SparkSession, path: str | None = None) -> DataFrame:
     """``(driver, business_name, asset_class, macro_role, relationship_to_target)``
-    from one JSON object keyed by driver (read whole, parsed in the JVM)."""
-    doc = spark.read.text(path, wholetext=True)
+    from one JSON object keyed by driver. ``path`` is read by Spark from any store
+    (whole, parsed in the JVM); without it the package's own document is taken,
+    which lies beside the code and need not be on the cluster's file system."""
+    if path is None:
+        with open(DEFAULT_PATH, encoding="utf-8") as f:
+            doc = spark.createDataFrame([(f.read(),)], "value string")
+    else:
+        doc = spark.read.text(path, wholetext=True)
     m = F.from_json(F.col("value"), DICT_SCHEMA)
     return (doc.select(F.explode(m).alias("driver", "info"))
             .select("driver", *[F.col(f"info.{f}").alias(f) for f in INFO_FIELDS]))
