@@ -195,3 +195,46 @@ def test_filters_of_a_vector_in_every_dimension():
     for dim in (12, 16, 32, 64, 128):
         found = capfilter.ProductCode(dim).decode(capfilter.unit(rng.standard_normal((500, dim))))
         assert 17 < np.mean([len(f) for f in found]) < 26
+
+
+def test_codes_follow_the_size_of_a_label():
+    """Planted pairs at cosine 0.93 share a filter at every level, and the vectors that
+    a filter holds, of a label four times as large each, do not become more."""
+    rng = np.random.default_rng(1)
+    a, b = (capfilter.unit(rng.standard_normal((2000, 64))) for _ in range(2))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = .93 * a + np.sqrt(1 - .93 ** 2) * capfilter.unit(b)
+    compared = []
+    for level in range(4):
+        code = capfilter.ProductCode(64, 12, *capfilter.level_code(12, 40, 3.0, level))
+        mine, yours = code.decode(a), code.decode(b)
+        assert np.mean([len(np.intersect1d(x, y)) > 0 for x, y in zip(mine, yours)]) >= .97
+        held = np.unique(np.concatenate(mine), return_counts=True)[1]
+        compared.append((held * (held - 1)).sum() / 2000 / 1999 * capfilter.LEVEL_ROWS * 4 ** level)
+        assert np.mean([len(x) for x in mine]) < 40
+    assert max(compared) <= 1.1 * compared[0]
+    assert [capfilter.level_of(n) for n in (0, 8_000, 8_001, 32_000, 32_001, 10 ** 12)] == [0, 0, 1, 1, 2, capfilter.TOP_LEVEL]
+
+
+def test_an_id_in_two_labels_joins_no_components(spark):
+    rng = np.random.default_rng(5)
+    x, y = rng.standard_normal((2, 16)).tolist()
+    rows = [(5, x, 0), (7, x, 0), (5, y, 1), (9, y, 1), (1, [-v for v in x], 0)]
+    got = {(r.vec_id, r.component_id, r.n_links) for r in capfilter.cosine_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {(5, 5, 1), (7, 5, 1), (9, 5, 1), (1, 1, 0)}
+    rows = [(5, x, 0), (2, x, 0), (5, y, 1), (9, y, 1)]
+    got = sorted((r.vec_id, r.component_id) for r in capfilter.cosine_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(2, 2), (5, 2), (5, 5), (9, 5)]
+
+
+def test_labels_of_other_levels(spark, monkeypatch):
+    """One label large enough for the next level, one not: the links of brute force."""
+    rng = np.random.default_rng(11)
+    x = capfilter.unit(rng.standard_normal((4600, 24)))
+    near = capfilter.unit(x + .02 * rng.standard_normal(x.shape))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([x, near]))] + [(20_000 + i, v.tolist(), 1) for i, v in enumerate(x[:50])]
+    got = {r.vec_id: r for r in capfilter.cosine_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    y = np.array([r[1] for r in rows[:9200]])
+    want = sum(int((y[i:i + 500] @ y.T >= .93).sum()) for i in range(0, len(y), 500)) - len(y)
+    found = sum(r.n_links for r in got.values())
+    assert .97 * want <= found <= want and all(got[20_000 + i].n_links == 0 for i in range(50))

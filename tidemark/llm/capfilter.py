@@ -16,6 +16,46 @@ CHUNK = 1024
 ALL_PAIRS = 12
 
 
+#: A label of up to this many distinct vectors has codes of level 0; each level more is for four times as many.
+LEVEL_ROWS = 8_000
+#: Above this level filter numbers would pass 32 bits; labels of more than LEVEL_ROWS * 4 ** TOP_LEVEL vectors
+#: (33 million) get no rarer filters, and their buckets grow with them again.
+TOP_LEVEL = 6
+
+
+def level_of(n: int) -> int:
+    """The level whose filters hold about as many of ``n`` vectors as those of level
+    0 hold of ``LEVEL_ROWS``."""
+    level = 0
+    while n > LEVEL_ROWS * 4 ** level and level < TOP_LEVEL:
+        level += 1
+    return level
+
+
+def cap_areas(dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Angles and the share of the sphere of ``dim`` dimensions within each of a direction."""
+    # the angle has density sin(angle) ** (dim - 2)
+    angle = np.linspace(0, np.pi, 200_001)
+    with np.errstate(divide="ignore"):
+        weight = np.exp((dim - 2) * np.log(np.sin(angle).clip(0))) if dim > 2 else np.ones_like(angle)
+    area = np.concatenate([[0], np.cumsum((weight[1:] + weight[:-1]) / 2)])
+    return angle, area / area[-1]
+
+
+def level_code(codes: int, words: int, tail: float, level: int, of: int = 64) -> tuple[int, float]:
+    """``(words, tail)`` of a level: a filter takes a quarter of the vectors that one
+    of the level before takes, and there are enough filters for a vector to have 4
+    more than there (20 at level 0), since near vectors share a rarer filter less often."""
+    if level == 0:
+        return words, tail
+    from statistics import NormalDist
+    normal = NormalDist()
+    tail = -normal.inv_cdf((1 - normal.cdf(tail)) / 4 ** level)
+    angle, area = cap_areas(of)
+    small = float(np.interp(np.arccos(min(1.0, tail / np.sqrt(of))), angle, area))
+    return int(np.ceil(np.sqrt(19.5 * (1 + .22 * level) / (codes * small)))), tail
+
+
 def cap_bound(dim: int, tail: float, of: int = 64) -> float:
     """The inner product at which a vector is sent to a filter. From ``of``
     dimensions on, ``tail`` standard deviations of that of random unit vectors. In
@@ -23,18 +63,9 @@ def cap_bound(dim: int, tail: float, of: int = 64) -> float:
     in ``of``: the cap area, and with it the number of filters, stays the same."""
     if dim >= of:
         return float(tail / np.sqrt(dim))
-
-    def above(d):
-        # the angle has density sin(angle) ** (d - 2)
-        angle = np.linspace(0, np.pi, 200_001)
-        with np.errstate(divide="ignore"):
-            weight = np.exp((d - 2) * np.log(np.sin(angle).clip(0))) if d > 2 else np.ones_like(angle)
-        area = np.concatenate([[0], np.cumsum((weight[1:] + weight[:-1]) / 2)])
-        return angle, area / area[-1]
-
-    angle, area = above(of)
+    angle, area = cap_areas(of)
     want = np.interp(np.arccos(min(1.0, tail / np.sqrt(of))), angle, area)
-    angle, area = above(dim)
+    angle, area = cap_areas(dim)
     return float(np.cos(np.interp(want, area, angle)))
 
 
@@ -146,14 +177,15 @@ def cosine_groups(vectors: DataFrame, least: float = 0.93, codes: int = 12, word
     ``ALL_PAIRS`` dimensions share one filter, so all of a label are compared. Of
     the others, pairs that share no filter are missed: with the defaults a vector
     has 20 to 25 filters and 1 in 100 pairs at 0.93 shares none (recall is measured
-    in the tests). Buckets
-    hold about ``n * P(N(0, 1) > tail)`` vectors of a label: raise ``codes`` and
-    ``tail`` with the table.
+    in the tests). ``words`` and ``tail`` hold for labels of up to ``LEVEL_ROWS``
+    distinct vectors; larger ones get rarer and more filters by their number
+    (``level_code``), so that buckets, and the comparisons of a vector, stay as they
+    are while its filters grow with the logarithm of the label.
 
     Vectors that are null, zero, empty or hold null or non-finite components,
     and those without label or id, link with nothing: no links, component their
     own id. Rows that repeat an id and vector are copies and link with each
-    other; one id with several vectors is one vertex of them all. Other columns
+    other; rows of one id with different vectors or labels are apart. Other columns
     are not read; an empty table gives an empty result.
     """
     # floats travel as floats; all arithmetic is in doubles
@@ -164,29 +196,37 @@ def cosine_groups(vectors: DataFrame, least: float = 0.93, codes: int = 12, word
                    " and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))"
                    " and exists(v, x -> x <> 0)")
     ok = rows.where(F.coalesce(sound, F.lit(False))).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0).cast(wide)))
-    distinct = materialize(ok.groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")), "vectors")
+    distinct = materialize(ok.groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+                           .withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.size("v")), "vectors")
+    level = F.lit(0)
+    for n in range(TOP_LEVEL):
+        level = F.when(F.col("n") > LEVEL_ROWS * 4 ** n, n + 1).otherwise(level)
+    levels = materialize(distinct.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LEVEL_ROWS)
+                         .select("label", "dim", level.alias("level")), "levels")
     kind = vectors.schema[label_col].dataType
 
     def listed(batches):
         made = {}
         for b in batches:
             vs = b.column("v").to_pylist()
-            dims = np.array([len(v) for v in vs])
+            dims, at_level = b.column("dim").to_numpy(), b.column("level").to_numpy()
             filters = [None] * len(vs)
-            for d in np.unique(dims).tolist():
-                at = np.flatnonzero(dims == d)
+            for d, k in sorted(set(zip(dims.tolist(), at_level.tolist()))):
+                at = np.flatnonzero((dims == d) & (at_level == k))
                 if d < ALL_PAIRS:
                     for i in at:
                         filters[i] = np.zeros(1, np.int32)
                     continue
-                made.setdefault(d, ProductCode(d, codes, words, tail))
-                for i, f in zip(at, made[d].decode(unit(np.array([vs[i] for i in at])))):
+                if (d, k) not in made:
+                    made[d, k] = ProductCode(d, codes, *level_code(codes, words, tail, k))
+                for i, f in zip(at, made[d, k].decode(unit(np.array([vs[i] for i in at])))):
                     filters[i] = f
-            cols = [*b.columns, pa.array(dims, pa.int32()), pa.array(filters, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, "dim", "filters"])
+            cols = [b.column(c) for c in ("label", "node", "copies", "v", "dim")] + [pa.array(filters, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, ["label", "node", "copies", "v", "dim", "filters"])
 
-    sent = arrow_map(distinct.select("label", "node", "copies", "v"), listed,
-                     f"label {kind.simpleString()}, node long, copies long, v array<{wide}>, dim int, filters array<int>")
+    leveled = (distinct.join(levels, ["label", "dim"], "left")
+               .select("label", "node", "copies", "v", "dim", F.coalesce("level", F.lit(0)).alias("level")))
+    sent = arrow_map(leveled, listed, f"label {kind.simpleString()}, node long, copies long, v array<{wide}>, dim int, filters array<int>")
     sent = materialize(sent, "filters")
     keyed = sent.select("*", F.explode("filters").alias("f"))
     sizes = (keyed.groupBy("label", "dim", "f").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -232,9 +272,11 @@ def cosine_groups(vectors: DataFrame, least: float = 0.93, codes: int = 12, word
     links = found.groupBy("node").agg(F.sum("links").alias("links")).join(
         roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").select("node", "links", "root")
     known = (distinct.join(links, "node", "left")
-             .select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-                     F.coalesce("root", "node").alias("component_id")))
-    linked = ok.join(known, ["label", "v"]).select("vec_id", "n_links", "component_id")
+             .select("label", "v", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+                     F.coalesce("root", "node").alias("root")))
+    known = materialize(known, "known")
+    low = materialize(known.groupBy("root").agg(F.min("first").alias("component_id")), "low")
+    linked = ok.join(known.join(low, "root").drop("root", "first"), ["label", "v"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.coalesce(sound, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"),
                                                                F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
