@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from tidemark.llm import capfilter, linededup, simhash
@@ -122,6 +123,44 @@ def test_line_store_takes_documents_back(spark, docs_of):
     assert as_rows(store.rewrite(docs_of(ROWS))) == slow_lines(ROWS)
 
 
+def test_line_store_is_reopened_and_repeats_nothing(spark, docs_of, monkeypatch):
+    store = linededup.LineStore(spark, shards=3)
+    store.insert(docs_of(ROWS[:6]), batch="a")
+
+    def fails(*_):
+        raise OSError("stopped before the commit")
+    with monkeypatch.context() as m:  # an insert that stops half-way is not there
+        m.setattr(linededup.LineStore, "_commit", fails)
+        with pytest.raises(OSError):
+            store.insert(docs_of(ROWS[6:]), batch="b")
+    store = linededup.LineStore(spark, path=store.path)
+    store.insert(docs_of(ROWS[:6]), batch="a")
+    store.insert(docs_of(ROWS[6:]), batch="b")
+    store.insert(docs_of(ROWS[:9]))  # all held: by id, without a name
+    assert as_rows(store.rewrite(docs_of(ROWS))) == slow_lines(ROWS)
+    assert max(r["refs"] for r in store.counts().collect()) == 4
+    store = linededup.LineStore(spark, path=store.path)
+    store.delete(docs_of([(1, "edited since"), (9, None), (77, "never held")]))
+    left = [r for r in ROWS if r[0] not in (1, 9)]
+    assert as_rows(store.rewrite(docs_of(left))) == slow_lines(left)
+    assert len(store.log) == len(linededup.LineStore(spark, path=store.path).log) == 4
+
+
+def test_line_store_deals_to_more_shards(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 4)
+    rows = [(i, f"line of its own {i}\nshared with the next {i // 2}") for i in range(120)]
+    store = linededup.LineStore(spark, shards=2)
+    for k in range(3):
+        store.insert(docs_of(rows[k::3]))
+    assert store.shards > 16
+    assert as_rows(store.rewrite(docs_of(rows))) == slow_lines(rows)
+    held = {}
+    for r in store.filters().collect():
+        held.setdefault(r["shard"], []).append(linededup.CuckooFilter.load(bytes(r["filter"])))
+    counts = store.counts().collect()
+    assert len(counts) == 180 and all(any(bytes(r["key"]) in f for f in held[r["shard"]]) for r in counts)
+
+
 def test_cuckoo_filter_never_misses():
     keys = [hashlib.blake2b(str(i).encode(), digest_size=16).digest() for i in range(4000)]
     f = linededup.CuckooFilter.sized(3000)

@@ -121,6 +121,7 @@ def line_postings(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text
 
 KEYS = pa.schema([("key", pa.binary()), ("shard", pa.int32()), ("refs", pa.int64()), ("first", pa.int64()),
                   ("last", pa.int64()), ("home", pa.int32())])
+LOG_DDL = "number int, batch string, kind string, postings string, version int, shards int, least int"
 KEYS_DDL = "key binary, shard int, refs long, first long, last long, home int"
 
 
@@ -136,20 +137,43 @@ class LineStore:
     ``filters``   (shard, home, filter): a shard's cuckoo filters; when the last
                   is full the next is opened, so none is ever rebuilt.
 
+    ``log``       (number, batch, kind, postings, version, shards, least): a row per
+                  change, written last. A change is there once its row is; one
+                  that failed before left files that the next change replaces.
+
     ``insert`` counts a batch's keys before the shuffle and sends each key once
     to its shard. A key that no filter of the shard holds is new and needs no
     look-up; only the others are joined with the exact counts. ``delete`` counts
     the keys of leaving documents anew from the postings; keys without a holder
     leave counts and filters. Shards follow the key's hash, so a line that fills
-    a third of all documents is one row of one shard, and a shard holds about
-    ``SHARD_KEYS`` keys of the first batch.
+    a third of all documents is one row of one shard; when shards hold more than
+    twice ``SHARD_KEYS`` keys on average, all keys are dealt to more shards.
+
+    A store is opened again by its ``path``, by one writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, least: int = 10, shards: int | None = None):
+    def __init__(self, spark: SparkSession, least: int = 10, shards: int | None = None, path: str | None = None):
         self.spark, self.least, self.shards = spark, least, shards
-        self.path = scratch_path(spark, f"lines-{uuid.uuid4().hex}")
+        self.path = path or scratch_path(spark, f"lines-{uuid.uuid4().hex}")
         self.log: list[str] = []
+        self.batches: set[str] = set()
         self.version = 0
+        if path:
+            self._reopen()
+
+    def _reopen(self) -> None:
+        """The state of the last change in the log, if there is a log."""
+        from pyspark.errors import AnalysisException
+        try:
+            rows = self.spark.read.schema(LOG_DDL).parquet(f"{self.path}/log").orderBy("number").collect()  # one a change
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return
+        for r in rows:
+            self.log.append(r["postings"])
+            self.batches |= {r["batch"]} - {None}
+            self.version, self.shards, self.least = r["version"], r["shards"], r["least"]
 
     def _save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
@@ -175,54 +199,77 @@ class LineStore:
             log = log.groupBy("key", "doc_id").agg(F.sum("live").alias("live")).where("live > 0")
         return log.select("key", "doc_id")
 
-    def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        """Add documents whose ids the store does not hold. Rows that share an id
-        are one document; rows with a null id hold nothing."""
+    def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> None:
+        """Add documents. A ``batch`` name that the store has taken before does
+        nothing, and documents whose ids it holds are left out, so an insert can be
+        repeated. Rows that share an id are one document; rows with a null id hold
+        nothing."""
+        if batch is not None and batch in self.batches:
+            return
         held = line_postings(docs, self.least, id_col, text_col).distinct().withColumn("live", F.lit(1))
-        held = self._save(held, f"held-{len(self.log)}")
-        self.log.append(f"held-{len(self.log)}")
+        if self.log:
+            held = held.join(self.postings().select("doc_id").distinct(), "doc_id", "left_anti").select("key", "doc_id", "live")
+        name = f"held-{len(self.log)}"
+        held = self._save(held, name)
         self.shards = self.shards or 16 + held.count() // SHARD_KEYS
-        batch = self._counted(held)
+        new = self._counted(held)
         old, stored = self.counts(), self.version > 0
         if stored:
-            batch = self._save(self._probe(batch), f"probed-{self.version + 1}")
-            maybe = batch.where("maybe").drop("maybe")
+            new = self._save(self._probe(new), f"probed-{self.version + 1}")
+            maybe = new.where("maybe").drop("maybe")
             met = (maybe.alias("n").join(old.alias("o"), "key")
                    .select("key", "o.shard", (F.col("n.refs") + F.col("o.refs")).alias("refs"),
                            F.least("n.first", "o.first").alias("first"), F.greatest("n.last", "o.last").alias("last"), "o.home"))
-            batch = batch.where("not maybe").drop("maybe").union(maybe.join(old, "key", "left_anti"))
-        new = self._save(self._tags(batch.withColumn("home", F.lit(None).cast("int")).select(*KEYS.names)),
+            new = new.where("not maybe").drop("maybe").union(maybe.join(old, "key", "left_anti"))
+        new = self._save(self._tags(new.withColumn("home", F.lit(None).cast("int")).select(*KEYS.names), self.filters()),
                          f"tagged-{self.version + 1}")
         counts = new.where("filter is null").select(*KEYS.names)
         if stored:
             counts = counts.union(met).union(old.join(met.select("key"), "key", "left_anti").select(*KEYS.names))
-        self._commit(counts, new)
-
-    def delete(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        """Take documents out; the state is as if they had never come."""
-        gone = line_postings(docs, self.least, id_col, text_col).distinct()
-        gone = self._save(gone.join(self.postings(), ["key", "doc_id"], "left_semi").withColumn("live", F.lit(-1)),
-                          f"gone-{len(self.log)}")
-        self.log.append(f"gone-{len(self.log)}")
+        self._commit(counts, new, name, "insert", batch)
+
+    def delete(self, docs: DataFrame, id_col: str = "doc_id") -> None:
+        """Take documents out by their ids, whatever their texts are now; the state is
+        as if they had never come. Ids that the store does not hold change nothing."""
+        if not self.log:
+            return
+        ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).distinct()
+        name = f"gone-{len(self.log)}"
+        gone = self._save(self.postings().join(ids, "doc_id", "left_semi").select("key", "doc_id", F.lit(-1).alias("live")), name)
         hit, old = gone.select("key").distinct(), self.counts()
-        now = self._counted(self.postings().join(hit, "key", "left_semi"))
+        stay = self.postings().join(gone, ["key", "doc_id"], "left_anti")
+        now = self._counted(stay.join(hit, "key", "left_semi"))
         now = now.join(old.select("key", "home"), "key").select(*KEYS.names)
         dead = old.join(hit, "key", "left_semi").join(now, "key", "left_anti").select(*KEYS.names)
-        tags = self._save(self._tags(dead), f"tagged-{self.version + 1}")
-        self._commit(old.join(hit, "key", "left_anti").select(*KEYS.names).union(now), tags)
+        tags = self._save(self._tags(dead, self.filters()), f"tagged-{self.version + 1}")
+        self._commit(old.join(hit, "key", "left_anti").select(*KEYS.names).union(now), tags, name, "delete", None)
 
     def _counted(self, postings: DataFrame) -> DataFrame:
         return (postings.groupBy("key").agg(F.count(F.lit(1)).alias("refs"), F.min("doc_id").alias("first"),
                                             F.max("doc_id").alias("last"))
                 .select("key", F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int").alias("shard"), "refs", "first", "last"))
 
-    def _commit(self, counts: DataFrame, tagged: DataFrame) -> None:
+    def _commit(self, counts: DataFrame, tagged: DataFrame, postings: str, kind: str, batch: str | None) -> None:
+        """Counts and filters of the next version, then the change's row in the log."""
         v = self.version + 1
         filters = tagged.where("filter is not null").select("shard", "home", "filter")
         filters = filters.union(self.filters().join(filters, "shard", "left_anti").select("shard", "home", "filter"))
-        self._save(counts, f"counts-{v}")
+        counts = self._save(counts, f"counts-{v}")
+        n = counts.count()
+        if n > 2 * SHARD_KEYS * self.shards:
+            self.shards, v = 16 + n // SHARD_KEYS, v + 1
+            shard = F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int")
+            dealt = counts.withColumn("shard", shard).withColumn("home", F.lit(None).cast("int")).select(*KEYS.names)
+            none = self.spark.createDataFrame([], "shard int, home int, filter binary")
+            tagged = self._save(self._tags(dealt, none), f"tagged-{v}")
+            self._save(tagged.where("filter is null").select(*KEYS.names), f"counts-{v}")
+            filters = tagged.where("filter is not null").select("shard", "home", "filter")
         self._save(filters, f"filters-{v}")
+        row = [(len(self.log) + 1, batch, kind, postings, v, int(self.shards), self.least)]
+        self.spark.createDataFrame(row, LOG_DDL).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
         self.version = v
+        self.log.append(postings)
+        self.batches |= {batch} - {None}
 
     def _probe(self, batch: DataFrame) -> DataFrame:
         """The batch's keys with ``maybe``: a filter of the shard holds the tag."""
@@ -236,7 +283,7 @@ class LineStore:
         return (batch.groupBy("shard").cogroup(self.filters().groupBy("shard"))
                 .applyInArrow(shard, "key binary, shard int, refs long, first long, last long, maybe boolean"))
 
-    def _tags(self, keys: DataFrame) -> DataFrame:
+    def _tags(self, keys: DataFrame, held: DataFrame) -> DataFrame:
         """Keys without a home are added to their shard's last filter with room
         and get its number, keys with one are removed from it. Returns the keys,
         then the shard's filters as rows with ``filter`` set."""
@@ -265,7 +312,7 @@ class LineStore:
             kept = [(None, n, None, None, None, h, f.dump()) for h, f in filters.items()]
             return pa.concat_tables([rows, pa.Table.from_batches(batches_of(iter(kept), out), out)])
 
-        return (keys.groupBy("shard").cogroup(self.filters().groupBy("shard"))
+        return (keys.groupBy("shard").cogroup(held.groupBy("shard"))
                 .applyInArrow(shard, KEYS_DDL + ", filter binary"))
 
     def rewrite(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
