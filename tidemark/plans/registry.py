@@ -463,26 +463,28 @@ def predictions_wide_q(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fit_one(spark, d):
+    """Spot, scaled samples with their split, and the models fitted on them; the samples
+    feed the fit and the backtest and are written once."""
     frame, params = _params_one(spark, d)
-    scaled = apply_robust(frame, params, R.FEATURES)
-    samples = training_set(lag_windows(scaled, R.FEATURES, R.LAG), _labels_one(spark, d), R.TRAIN_CUTOFF)
-    samples = fit_split(samples.where("is_train"), 0.25).unionByName(
-        samples.where(~F.col("is_train")).withColumn("is_val", F.lit(False)))
-    return samples, fit_linear(samples)
+    spot = materialize(R.spot_one(spark, d), "spot")
+    scaled = lag_windows(apply_robust(frame, params, R.FEATURES), R.FEATURES, R.LAG)
+    samples = materialize(training_set(scaled, future_return_vectors(spot, R.HORIZON), R.TRAIN_CUTOFF), "samples")
+    train = fit_split(samples.where("is_train"), 0.25)
+    return spot, samples, train, materialize(fit_linear(train), "models")
 
 
 @query(name="fit_linear")
 def fit_linear_q(spark: SparkSession, d: str) -> DataFrame:
     """Ridge model per horizon (rows-only check: one model per horizon)."""
-    return _fit_one(spark, d)[1].select("days_ahead", "n", "dim", F.size("weights").alias("n_weights"))
+    return _fit_one(spark, d)[3].select("days_ahead", "n", "dim", F.size("weights").alias("n_weights"))
 
 
 @query
 def linear_eval(spark: SparkSession, d: str) -> DataFrame:
     """Backtest of the fitted linear models (rows-only check)."""
-    samples, models = _fit_one(spark, d)
+    spot, samples, _, models = _fit_one(spark, d)
     preds = score_linear(samples.select("ssd", "x"), models)
-    return rounded(eval_summary(eval_rows(_labels_one(spark, d), preds, R.EVAL_BOUNDARY)))
+    return rounded(eval_summary(eval_rows(future_returns(spot, R.HORIZON), preds, R.EVAL_BOUNDARY)))
 
 
 def _ridge(spark, d, keys=()):
@@ -527,9 +529,8 @@ def ridge_eval_many(spark: SparkSession, d: str) -> DataFrame:
 def fit_gradient(spark: SparkSession, d: str) -> DataFrame:
     """The fit on all inputs checked by what makes it the minimum: the gradient of the
     penalised error is zero in every weight and in the intercept (input -1)."""
-    samples, models = _fit_one(spark, d)
-    models = materialize(models, "models")
-    known = (materialize(train_samples(samples), "train").select("xf", F.posexplode("y").alias("k", "y")).where("y IS NOT NULL")
+    _, _, train, models = _fit_one(spark, d)
+    known = (materialize(train_samples(train), "train").select("xf", F.posexplode("y").alias("k", "y")).where("y IS NOT NULL")
              .withColumn("days_ahead", F.col("k") + 1).join(F.broadcast(models), "days_ahead"))  # one model per horizon
     error = known.withColumn("e", F.aggregate(F.zip_with("xf", "weights", lambda a, b: a * b), F.col("intercept"), lambda s, v: s + v) - F.col("y"))
     each = error.select("days_ahead", "weights", "n", "e", F.posexplode(F.concat(F.array(F.lit(1.0)), "xf")).alias("i", "v"))

@@ -96,8 +96,9 @@ def merged_one(spark: SparkSession, d: str) -> DataFrame:
 
 
 def frame_one(spark: SparkSession, d: str) -> DataFrame:
-    """The single-series feature frame, filled forward then backward."""
-    return fill(merged_one(spark, d), FEATURES)
+    """The single-series feature frame, filled forward then backward. The date-only
+    drivers come from one scan; ``merged_one`` merges the same rows from a scan each."""
+    return fill(align_sources([spot_one(spark, d)], [date_only(spark, d)]), FEATURES)
 
 
 def frame_many(spark: SparkSession, d: str, spot: DataFrame | None = None) -> DataFrame:
