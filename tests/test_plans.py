@@ -97,3 +97,11 @@ def test_scored_report_days_stay_in_the_jvm(spark):
     from tidemark.plans.registry import QUERIES
     plan = _plan(QUERIES["attribution_long"](spark, SF_SMALL))
     assert "Python" not in plan and "Pandas" not in plan and "collect_list(array" not in plan
+
+
+def test_lag_windows_many_returns_every_step(spark):
+    from tidemark.plans import roles as R
+    from tidemark.plans.registry import QUERIES
+    rows, sums = QUERIES["lag_windows_many"](spark, SF_SMALL), QUERIES["lag_window_sums_many"](spark, SF_SMALL)
+    assert {"step", "lag_date", *R.FEATURES} <= set(rows.columns)
+    assert rows.count() == R.LAG * sums.count() > 0

@@ -236,7 +236,7 @@ ORACLE["lag_windows"] = f"""WITH {FR1}
 SELECT e.ssd, CAST(r.rn - e.rn + {LAG - 1} AS INTEGER) AS step, r.ssd AS lag_date, {VALS}
   FROM fr e JOIN fr r ON r.rn BETWEEN e.rn - {LAG - 1} AND e.rn WHERE e.rn >= {LAG}"""
 
-ORACLE["lag_windows_many"] = f"""WITH {FRM},
+ORACLE["lag_window_sums_many"] = f"""WITH {FRM},
 wd AS (SELECT series_id, ssd, rn, lag(ssd, {LAG - 1}) OVER w AS first_lag_date, """ + ", ".join(
     " + ".join(f"lag({q(c)}, {k}) OVER w * {LAG - k}" for k in range(LAG - 1, -1, -1)) + f" AS {q(c)}" for c in FEATS) + f"""
   FROM frm WINDOW w AS (PARTITION BY series_id ORDER BY ssd))
@@ -246,6 +246,7 @@ ORACLE["lag_window_rows_many"] = f"""WITH {FRM}
 SELECT e.series_id, e.ssd, CAST(r.rn - e.rn + {LAG - 1} AS INTEGER) AS step, r.ssd AS lag_date, {VALS}
   FROM (SELECT series_id, ssd, rn, rn - unnest(range(0, {LAG})) AS at FROM frm WHERE rn >= {LAG}) e
   JOIN frm r ON r.series_id = e.series_id AND r.rn = e.at"""
+ORACLE["lag_windows_many"] = ORACLE["lag_window_rows_many"]
 
 ORACLE["asof_windows"] = f"""WITH {FR1},
 pb AS (SELECT DISTINCT CAST(o_orderdate AS DATE) + 3 AS ssd FROM orders WHERE o_orderdate IS NOT NULL),
