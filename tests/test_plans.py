@@ -105,3 +105,15 @@ def test_lag_windows_many_returns_every_step(spark):
     rows, sums = QUERIES["lag_windows_many"](spark, SF_SMALL), QUERIES["lag_window_sums_many"](spark, SF_SMALL)
     assert {"step", "lag_date", *R.FEATURES} <= set(rows.columns)
     assert rows.count() == R.LAG * sums.count() > 0
+
+
+def test_rows_of_a_series_are_dealt_once(spark):
+    """Nothing that a row is widened or exploded to is sent or broadcast."""
+    import re
+
+    from tidemark.plans.registry import QUERIES
+    for name in ("ridge_eval_many", "attribution_many", "driver_role_many"):
+        plan = _plan(QUERIES[name](spark, SF_SMALL)).splitlines()
+        dealt = [x for x in plan if "Exchange hashpartitioning(series_id" in x]
+        assert dealt and all("REPARTITION_BY_NUM" in x for x in dealt)
+        assert not [x for x in plan if re.search(r"BroadcastHashJoin \[series_id", x)]

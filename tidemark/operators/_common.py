@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from typing import Iterable
 
-from pyspark.sql import Window, WindowSpec
+from pyspark.sql import DataFrame, Window, WindowSpec
 
 
 def series_window(keys: Iterable[str] = (), order: str = "ssd") -> WindowSpec:
@@ -18,3 +18,10 @@ def series_window(keys: Iterable[str] = (), order: str = "ssd") -> WindowSpec:
 def trailing(keys: Iterable[str], n: int, order: str = "ssd") -> WindowSpec:
     """Frame of the current row and the ``n - 1`` rows before it."""
     return series_window(keys, order).rowsBetween(-(n - 1), Window.currentRow)
+
+
+def merged(df: DataFrame, keys: Iterable[str]) -> DataFrame:
+    """``df`` as the right side of a join by series: merged with rows that are dealt
+    the same way, never broadcast. The planner takes a side for as small as the file
+    it comes from, whatever it is widened or exploded to since."""
+    return df.hint("merge") if list(keys) else df

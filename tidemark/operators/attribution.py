@@ -14,6 +14,7 @@ from typing import Iterable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators._common import merged
 from tidemark.operators.forecast.linear import pack_models
 
 
@@ -38,7 +39,7 @@ def step_means(rows: DataFrame, cols: Sequence[str], keys: Iterable[str] = ()) -
 def _with_models(rows: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
     """Long rows beside the packed models of their series, one row per horizon."""
     side = pack_models(models, keys)
-    joined = rows.join(side, keys) if keys else rows.crossJoin(F.broadcast(side))  # one row
+    joined = rows.join(merged(side, keys), keys) if keys else rows.crossJoin(F.broadcast(side))  # one row
     return joined.withColumn("m", F.explode("models")).drop("models")
 
 
@@ -50,7 +51,7 @@ def attribute_rows(rows: DataFrame, models: DataFrame, means: DataFrame, cols: S
     ``step_means`` of the background."""
     keys = list(keys)
     mu = means.select(*keys, "step", *[F.col(c).alias(f"_mu_{c}") for c in cols])
-    j = _with_models(rows.join(mu, keys + ["step"]), models, keys)
+    j = _with_models(rows.join(merged(mu, keys), keys + ["step"]), models, keys)
 
     def score(i, c):
         weight = F.get(F.col("m.weights"), (F.col("step") * len(cols) + i).cast("int"))
@@ -130,7 +131,7 @@ def driver_role(summary: DataFrame, path: DataFrame, keys: Iterable[str] = (),
             .when(F.col("_last") < F.col("_spot"), F.lit("DOWNWARD")).otherwise(F.lit("FLAT")))
     adir = (F.when(F.col("_pos") == F.col("_n"), F.lit("UPWARD"))
             .when(F.col("_neg") == F.col("_n"), F.lit("DOWNWARD")).otherwise(F.lit("MIXED")))
-    j = d.join(fwd.select(*keys, "ssd", fdir.alias("forecast_direction")), keys + ["ssd"])
+    j = d.join(merged(fwd.select(*keys, "ssd", fdir.alias("forecast_direction")), keys), keys + ["ssd"])
     role = (F.when(F.col("attribution_direction").isin("UPWARD", "DOWNWARD")
                    & (F.col("attribution_direction") == F.col("forecast_direction")), F.lit("SUPPORTING"))
             .when(F.col("attribution_direction").isin("UPWARD", "DOWNWARD")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.numeric import (
     ape, directional_loss, period_label, price_from_return, sign_agree,
 )
+from tidemark.operators._common import merged
 
 PERIODS = ["train", "validation"]
 
@@ -23,7 +24,7 @@ def eval_rows(labels: DataFrame, preds: DataFrame | None, eval_boundary,
     ``prediction`` column (fused plan, no join)."""
     keys = list(keys)
     on = keys + ["ssd", "days_ahead"]
-    j = labels if preds is None else labels.join(preds.select(*on, "prediction"), on, "left")
+    j = labels if preds is None else labels.join(merged(preds.select(*on, "prediction"), keys), on, "left")
     j = j.where(F.col("prediction").isNotNull() & F.col("y").isNotNull())
     return (j.withColumn("actual_price", price_from_return("current_spot_price", "y"))
              .withColumn("predicted_price", price_from_return("current_spot_price", "prediction"))

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators._common import merged
 from tidemark.session import ship_package
 
 
@@ -209,7 +210,7 @@ def score_linear(windows: DataFrame, models: DataFrame, keys: Iterable[str] = ()
     keys = list(keys)
     side = pack_models(models, keys)
     left = windows.select(*keys, "ssd", F.flatten("x").alias("_xf"))
-    joined = left.join(side, keys) if keys else left.crossJoin(F.broadcast(side))
+    joined = left.join(merged(side, keys), keys) if keys else left.crossJoin(F.broadcast(side))
     preds = F.transform("models", lambda m: F.struct(
         m["days_ahead"].alias("days_ahead"),
         (dot(F.col("_xf"), m["weights"]) + m["intercept"]).alias("prediction")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.dates import business_days
 from tidemark.functions.numeric import price_from_return, round_half_even
+from tidemark.operators._common import merged
 
 
 def current_spot(spot: DataFrame, dates: DataFrame, keys: Iterable[str] = (),
@@ -18,7 +19,7 @@ def current_spot(spot: DataFrame, dates: DataFrame, keys: Iterable[str] = (),
     (the error of a point lookup becomes a column). ``spot`` has one row per
     date (scans de-duplicate)."""
     keys = list(keys)
-    j = dates.select(*keys, "ssd").join(spot.select(*keys, "ssd", price), keys + ["ssd"], "left")
+    j = dates.select(*keys, "ssd").join(merged(spot.select(*keys, "ssd", price), keys), keys + ["ssd"], "left")
     return j.select(*keys, "ssd", round_half_even(price, 2).alias("current_spot"),
                     F.when(F.col(price).isNull(), F.lit("missing")).otherwise(F.lit("ok")).alias("status"))
 
@@ -34,7 +35,7 @@ def forecast_path(preds: DataFrame, spot_now: DataFrame, horizon: int,
     """
     keys = list(keys)
     s = spot_now.where(F.col("status") == "ok").select(*keys, "ssd", "current_spot")
-    j = preds.join(s, keys + ["ssd"])
+    j = preds.join(merged(s, keys), keys + ["ssd"])
     price = price_from_return(F.col("current_spot"), round_half_even("prediction", 2))
     return j.select(*keys, "ssd", "days_ahead",
                     F.element_at(business_days("ssd", horizon), F.col("days_ahead")).alias("future_date"),

@@ -7,7 +7,7 @@ from typing import Iterable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators._common import series_window
+from tidemark.operators._common import merged, series_window
 
 
 def window_weights(frame: DataFrame, ends: DataFrame, lag: int, keys: Iterable[str] = ()) -> DataFrame:
@@ -18,7 +18,7 @@ def window_weights(frame: DataFrame, ends: DataFrame, lag: int, keys: Iterable[s
     keys = list(keys)
     e = ends.select(*keys, "ssd").distinct().withColumn("_end", F.lit(1))
     w = series_window(keys).rowsBetween(Window.currentRow, lag - 1)
-    return (frame.join(e, keys + ["ssd"], "left")
+    return (frame.join(merged(e, keys), keys + ["ssd"], "left")
             .withColumn("m", F.sum(F.coalesce(F.col("_end"), F.lit(0))).over(w).cast("long"))
             .drop("_end"))
 
@@ -54,7 +54,7 @@ def apply_robust(frame: DataFrame, params: DataFrame, cols: Sequence[str],
     wide = params.groupBy(*keys).pivot("driver", list(cols)).agg(
         F.first("center").alias("c"), F.first("scale").alias("s"))
     if keys:
-        j = frame.join(wide, keys, "left")
+        j = frame.join(merged(wide, keys), keys, "left")
     else:
         j = frame.withColumn("_one", F.lit(1)).join(
             F.broadcast(wide.withColumn("_one", F.lit(1))), "_one").drop("_one")

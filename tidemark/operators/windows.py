@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import round_half_even
-from tidemark.operators._common import series_window, trailing
+from tidemark.operators._common import merged, series_window, trailing
 
 
 def lag_windows(frame: DataFrame, cols: Sequence[str], lag: int = 10, keys: Iterable[str] = (),
@@ -49,7 +49,7 @@ def gather_rows(frame: DataFrame, ends: DataFrame, cols: Sequence[str], n: int,
     first = F.greatest(F.col("rn") - (n - 1), F.lit(1))
     want = ends.select(*keys, "ssd", F.posexplode(F.sequence(first, F.col("rn"))).alias("step", "rn"))
     held = frame.select(*keys, "rn", F.col("ssd").alias("lag_date"), *cols)
-    return want.join(held, keys + ["rn"]).select(*keys, "ssd", "step", "lag_date", *cols)
+    return want.join(merged(held, keys), keys + ["rn"]).select(*keys, "ssd", "step", "lag_date", *cols)
 
 
 def training_ends(frame: DataFrame, label_days: DataFrame, lag: int, train_cutoff, keys: Iterable[str] = ()) -> DataFrame:
@@ -60,7 +60,7 @@ def training_ends(frame: DataFrame, label_days: DataFrame, lag: int, train_cutof
     keys = list(keys)
     past = frame.select(*keys, "ssd").where(F.col("ssd") < F.lit(train_cutoff).cast("date"))
     return (row_numbers(past, keys).where(F.col("rn") >= lag)
-            .join(label_days.select(*keys, "ssd").distinct(), keys + ["ssd"], "left_semi").select(*keys, "ssd"))
+            .join(merged(label_days.select(*keys, "ssd").distinct(), keys), keys + ["ssd"], "left_semi").select(*keys, "ssd"))
 
 
 def asof_rows(frame: DataFrame, dates: DataFrame, cols: Sequence[str], n: int,
@@ -109,7 +109,7 @@ def training_set(windows: DataFrame, labels: DataFrame, train_cutoff,
     is_train = F.col("ssd") < cutoff
     if embargo:
         is_train = is_train & (F.col("last_target") < cutoff)
-    return (windows.join(vectors, keys + ["ssd"])
+    return (windows.join(merged(vectors, keys), keys + ["ssd"])
             .select(*keys, "ssd", "x", "y", F.coalesce(is_train, F.lit(False)).alias("is_train")))
 
 

@@ -19,7 +19,7 @@ from tidemark.functions.numeric import round_half_even
 from tidemark.operators.align import align_sources, fill
 from tidemark.operators.path import current_spot
 from tidemark.operators.profile import LABEL_SCHEMA, StageCounts, profile_labels
-from tidemark.session import materialize, scratch_path
+from tidemark.session import by_series, materialize, scratch_path, series_parts
 from tidemark.sources.artifacts import (
     check_model_shape, feature_order, load_bucketed, load_models, load_params, load_windows, save_bucketed, save_models,
     save_params, save_windows,
@@ -436,15 +436,24 @@ def score_linear_q(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-def _pipeline_many(spark, d):
-    """Per-supplier spot, frame and scaler parameters. The frame feeds the scaler
-    and the scaled rows, so it is written once."""
+def _spot_by_series(spark, d):
+    """Per-supplier spot, written once, its rows dealt by supplier, and the number of
+    partitions: what is made of a supplier's rows later stays in its partition."""
     spot = materialize(R.spot_many(spark, d), "spot_many")  # one scan of the line table
-    frame = materialize(R.frame_many(spark, d, spot), "frame_many")
+    parts = series_parts(spot)
+    return by_series(spot, R.KEYS, parts), parts
+
+
+def _pipeline_many(spark, d):
+    """Per-supplier spot, frame and scaler parameters, dealt by supplier. Only the
+    spot rows are sent: the calendar joins them where they lie, so the frame is made
+    anew for the scaler and the scaled rows; the parameters are written once."""
+    spot, parts = _spot_by_series(spark, d)
+    frame = R.frame_many(spark, d, spot)
     # windows look back only: rows from the cutoff on are in no training window
     past = frame.where(F.col("ssd") < F.lit(R.TRAIN_CUTOFF).cast("date"))
     params = fit_robust(past, R.FEATURES, R.LAG, training_ends(past, spot, R.LAG, R.TRAIN_CUTOFF, R.KEYS), keys=R.KEYS)
-    return spot, frame, params
+    return spot, frame, by_series(materialize(params, "params_many"), R.KEYS, parts), parts
 
 
 @query
@@ -455,8 +464,8 @@ def robust_params_many(spark: SparkSession, d: str) -> DataFrame:
 @query
 def predictions_long(spark: SparkSession, d: str) -> DataFrame:
     """Every window of every supplier scored by the supplier's models (keyed path)."""
-    _, frame, params = _pipeline_many(spark, d)
-    series = frame.select(F.col("series_id").alias("series_id")).distinct()  # an attribute of its own for the co-group
+    spot, frame, params, _ = _pipeline_many(spark, d)
+    series = spot.select(F.col("series_id").alias("series_id")).distinct()  # an attribute of its own for the co-group
     models = fixed_models(spark, R.LAG * len(R.FEATURES), series)
     return rounded(score_sliding(apply_robust(frame, params, R.FEATURES, keys=R.KEYS), models, R.FEATURES, R.LAG, R.KEYS))
 
@@ -496,12 +505,14 @@ def linear_eval(spark: SparkSession, d: str) -> DataFrame:
 def _ridge(spark, d, keys=()):
     """Labels, scaled prices as windows of one step, and the models fitted on them:
     with one input the ridge solution has a closed form that SQL can state."""
-    spot = materialize(R.spot_many(spark, d) if keys else R.spot_one(spark, d), "spot")
+    spot, parts = _spot_by_series(spark, d) if keys else (materialize(R.spot_one(spark, d), "spot"), 1)
     past = spot.where(F.col("ssd") < F.lit(R.TRAIN_CUTOFF).cast("date"))
     params = fit_robust(past, ["price"], 1, past.select(*keys, "ssd"), keys=keys)
     windows = lag_windows(apply_robust(spot, params, ["price"], keys=keys), ["price"], 1, keys)
     samples = training_set(windows, future_return_vectors(spot, R.HORIZON, keys), R.TRAIN_CUTOFF, keys)
     models = materialize(fit_linear(samples, keys, reg=R.RIDGE), "models")
+    if keys:
+        models = by_series(models, keys, parts)
     return future_returns(spot, R.HORIZON, keys), windows, models
 
 
@@ -669,13 +680,13 @@ def driver_role_q(spark: SparkSession, d: str) -> DataFrame:
 
 def _summary_many(spark, d):
     """Attribution of every supplier's Fridays, their window rows, models and spot."""
-    spot, frame, params = _pipeline_many(spark, d)
-    scaled = materialize(row_numbers(apply_robust(frame, params, R.FEATURES, keys=R.KEYS), R.KEYS), "scaled_many")
-    full = scaled.where(F.col("rn") >= R.LAG).select(*R.KEYS, "ssd", "rn")
+    spot, frame, params, _ = _pipeline_many(spark, d)
+    scaled = row_numbers(apply_robust(frame, params, R.FEATURES, keys=R.KEYS), R.KEYS)
+    full = row_numbers(spot.select(*R.KEYS, "ssd"), R.KEYS).where(F.col("rn") >= R.LAG)  # the frame has the spot's rows
     report = gather_rows(scaled, full.where(is_friday("ssd")), R.FEATURES, R.LAG, R.KEYS)
     background = sample_background(full, R.BACKGROUND_N, R.SEED, R.KEYS)
     means = step_means(gather_rows(scaled, background, R.FEATURES, R.LAG, R.KEYS), R.FEATURES, R.KEYS)
-    series = frame.select(F.col("series_id").alias("series_id")).distinct()
+    series = spot.select(F.col("series_id").alias("series_id")).distinct()
     models = fixed_models(spark, R.LAG * len(R.FEATURES), series)
     scores = attribute_rows(report, models, means, R.FEATURES, R.KEYS)
     return attribution_summary(scores, R.KEYS), report, models, spot
@@ -890,15 +901,16 @@ BUCKETS = 16
 def bucketed_scores(spark: SparkSession, d: str) -> DataFrame:
     """Scaled windows and models of many series stored in buckets of the series, then
     scored: the join reads both in place."""
-    _, frame, params = _pipeline_many(spark, d)
+    spot, frame, params, _ = _pipeline_many(spark, d)
+    buckets = BUCKETS
     windows = lag_windows(apply_robust(frame, params, R.FEATURES, keys=R.KEYS), R.FEATURES, R.LAG, R.KEYS)
-    models = fixed_models(spark, R.LAG * len(R.FEATURES), frame.select("series_id").distinct())
+    models = fixed_models(spark, R.LAG * len(R.FEATURES), spot.select("series_id").distinct())
     held = {}
     for name, df in (("windows", windows), ("models", models)):
         run = f"{name}_{uuid.uuid4().hex}"
         path = scratch_path(spark, run)
-        save_bucketed(df, run, path, R.KEYS, BUCKETS)
-        held[name] = load_bucketed(spark, run, path, R.KEYS, BUCKETS)
+        save_bucketed(df, run, path, R.KEYS, buckets)
+        held[name] = load_bucketed(spark, run, path, R.KEYS, buckets)
     return score_linear(held["windows"], held["models"], R.KEYS)
 
 
