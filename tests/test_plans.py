@@ -117,3 +117,14 @@ def test_rows_of_a_series_are_dealt_once(spark):
         dealt = [x for x in plan if "Exchange hashpartitioning(series_id" in x]
         assert dealt and all("REPARTITION_BY_NUM" in x for x in dealt)
         assert not [x for x in plan if re.search(r"BroadcastHashJoin \[series_id", x)]
+
+
+def test_buckets_grow_with_the_rows(spark, monkeypatch):
+    import re
+
+    from tidemark import session
+    from tidemark.plans.registry import bucketed_scores
+    monkeypatch.setattr(session, "ROWS_PER_PART", 100)
+    scores = bucketed_scores(spark, SF_SMALL)
+    counts = {int(n) for n in re.findall(r"SelectedBucketsCount: \d+ out of (\d+)", _plan(scores))}
+    assert len(counts) == 1 and min(counts) > 16 and scores.count() > 0

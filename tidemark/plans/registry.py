@@ -895,14 +895,15 @@ def windows_splits(spark: SparkSession, d: str) -> DataFrame:
                    .select("ssd", "is_train", "x_last_price", (F.col("k") + 1).alias("days_ahead"), "y"))
 
 
-BUCKETS = 16
+BUCKETS = 16  # at least; more as the rows grow
 
 
 def bucketed_scores(spark: SparkSession, d: str) -> DataFrame:
     """Scaled windows and models of many series stored in buckets of the series, then
-    scored: the join reads both in place."""
-    spot, frame, params, _ = _pipeline_many(spark, d)
-    buckets = BUCKETS
+    scored: the join reads both in place. The buckets grow in number with the rows, so
+    that none outgrows its task."""
+    spot, frame, params, parts = _pipeline_many(spark, d)
+    buckets = max(BUCKETS, parts)
     windows = lag_windows(apply_robust(frame, params, R.FEATURES, keys=R.KEYS), R.FEATURES, R.LAG, R.KEYS)
     models = fixed_models(spark, R.LAG * len(R.FEATURES), spot.select("series_id").distinct())
     held = {}
