@@ -210,6 +210,30 @@ def test_threshold_keeps_recall():
         assert (p[y > 0] >= secret_scan.threshold(p, y, 0.95)).mean() >= 0.95
 
 
+def test_every_window_counts(spark):
+    """More findings than were once sampled: the network is the mean over all parts, and
+    threshold and calibration follow every window kept aside."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [{"start": 0, "end": 30, "found": i < 3200, "at": [0],
+                  "codes": bytes(rng.integers(3, 12 + 3 * (i < 3200), secret_scan.WIDTH).astype(np.uint8))}]) for i in range(5700)]
+    scanned = spark.createDataFrame(
+        rows, "doc_id long, cands array<struct<start: long, end: long, found: boolean, at: array<int>, codes: binary>>")
+    net, least = secret_scan.fit_network(scanned)
+    held = [r.doc_id for r in scanned.selectExpr("doc_id", "xxhash64(doc_id, 0L, 30L) % 5 = 0 AS aside").collect() if r.aside]
+    x = np.frombuffer(b"".join(rows[i][1][0]["codes"] for i in held), np.uint8).reshape(len(held), -1)
+    y = np.array([float(i < 3200) for i in held])
+    assert auc(y, net.logits(x)) > 0.95
+    assert least == pytest.approx(secret_scan.threshold(net.probability(x), y, 0.95), rel=1e-9)
+    assert [net.scale, net.shift] == pytest.approx(toxicity.logistic(net.logits(x)[:, None], y, ridge=.1).tolist(), rel=1e-6)
+
+
+def test_nth_value(spark):
+    rng = np.random.default_rng(3)
+    for some in ([5.0], [1.0] * 9, np.round(rng.standard_normal(400), 2).tolist(), [1e-9 * i for i in range(50)] + [1e9, -1e9]):
+        df = spark.createDataFrame([(float(v),) for v in some], "z double")
+        assert all(secret_scan.nth(df, n, bins=4) == sorted(some)[n] for n in {0, len(some) // 20, len(some) // 2, len(some) - 1})
+
+
 def test_contract_digest(spark):
     rows = queries.op8_secret_scan(spark, SF_SMALL).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
