@@ -101,6 +101,33 @@ def test_unigram_walk_is_viterbi():
         assert "".join(uni.decode(ids)) in (w.replace("▁", " "), w.replace("▁", ""))
 
 
+def test_pieces_that_end_at_a_state():
+    """Brute force: after every character, the pieces that are an ending of the text."""
+    vocab = pieces.vocabulary(pieces.read_model())
+    rnd = random.Random(7)
+    for _ in range(60):
+        text, at = "", 0
+        for c in rnd.choices("▁aeinrsthl,é日😀", k=30):
+            text, at = text + c, vocab.step(at, c)
+            want = [(vocab.ids[text[k:]], k - len(text)) for k in range(len(text) - 1) if text[k:] in vocab.ids]
+            assert list(vocab.ends[at]) == want
+
+
+def test_walked_words_equal_the_library():
+    """Distinct words with shared beginnings, of letters that are no pieces too, in one walk
+    and, with hardly any pairs kept, again."""
+    import sentencepiece
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_PATH)
+    rnd = random.Random(12)
+    words = list({"".join(rnd.choices("aeinrsthldo,.é%日😀ƕ", weights=[9] * 11 + [2] * 3 + [1] * 4, k=rnd.randrange(1, 25))) for _ in range(3000)})
+    vocab = pieces.Vocabulary(pieces.read_model())
+    for kept in (pieces.CACHED_PAIRS, 10):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(pieces, "CACHED_PAIRS", kept)
+            got = vocab.encode_words([pieces.MARK + w for w in words])
+        assert [got[pieces.MARK + w] for w in words] == lib.encode(words)
+
+
 def slow_base(text):
     found = []
     for k, (kind, pattern, flags, ok) in enumerate((

@@ -18,7 +18,6 @@ from tidemark.llm.common import Generations, arrow_map, small_batches, valid_tex
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
-TAIL, PIECE = 1, 2  # what a string is: the end of a longer piece, a piece
 CACHED_WORDS = 120_000
 CACHED_PAIRS = 500_000
 ENCODED_BYTES = 2 << 20
@@ -53,16 +52,54 @@ class Vocabulary:
                     self.halves[p], self.rank[p] = (parts[0], parts[1]), len(self.rank) + 1
                 elif len(p) > 1:
                     del self.ids[p]
-        # proper endings of pieces: a step further to the left is worth a look
-        self.kinds = dict.fromkeys((p[k:] for p in self.ids for k in range(1, len(p))), TAIL)
-        self.kinds.update((p, self.kinds.get(p, 0) | PIECE) for p in self.ids)
+        self._index()
         self.alone = "" if any("\n" in p and p != "\n" for p in self.ids) else "\n"
         self.worst = min(self.scores, default=0.0) - 10.0
         # what a piece stands for in the decoded bytes
         self.bytes = [p.replace(MARK, " ").encode() if p in self.ids else b"" for p in self.names]
         for v, i in enumerate(self.byte):
             self.bytes[i] = bytes([v])
-        self._pairs: dict[tuple[str, str], bool] = {}
+        self._pairs: dict[int, bool] = {}
+
+    def _index(self) -> None:
+        """The pieces as a suffix-linked trie (Aho-Corasick). A state stands for the longest
+        ending of what was read that begins a piece; ``ends`` has the pieces of two and
+        more characters that end there as (id, minus the length), longest first;
+        ``ones`` the pieces of one."""
+        self.next = [{}]
+        self.ones = {p: i for p, i in self.ids.items() if len(p) == 1}
+        whole = {}
+        for p, i in self.ids.items():
+            at = 0
+            for c in p:
+                to = self.next[at].get(c)
+                if to is None:
+                    to = self.next[at][c] = len(self.next)
+                    self.next.append({})
+                at = to
+            if len(p) > 1:
+                whole[at] = ((i, -len(p)),)
+        self.short, self.ends = [0] * len(self.next), [()] * len(self.next)
+        level = [0]
+        while level:  # by depth: the shorter endings are ready
+            below = []
+            for at in level:
+                for c, to in self.next[at].items():
+                    if at:
+                        self.short[to] = self.step(self.short[at], c)
+                    self.ends[to] = whole.get(to, ()) + self.ends[self.short[to]]
+                    below.append(to)
+            level = below
+
+    def step(self, at: int, c: str) -> int:
+        """The state after one more character."""
+        while True:
+            to = self.next[at].get(c)
+            if to is not None:
+                return to
+            if not at:
+                return 0
+            at = self.short[at]
 
     def _merged(self, text: str, stop: int = 1) -> list[str]:
         """Merge the best-scored neighbouring pair, leftmost first, until none is
@@ -81,30 +118,35 @@ class Vocabulary:
         """BPE leaves the pieces ``a`` and ``b`` side by side. The later of their
         last merges is undone, again and again: at each stage, merging what
         touches must not come before the merge just undone."""
-        key = (a, b)
-        known = self._pairs.get(key)
-        if known is not None:
-            return known
         rank, halves, limit = self.rank, self.halves, 1 << 60
         while True:
             if rank.get(a + b, limit) < limit:
-                known = False
-                break
+                return False
             x, y = rank.get(a, 0), rank.get(b, 0)
             if x > y:
                 limit, a = x, halves[a][1]
             elif y:
                 limit, b = y + 1, halves[b][0]
             else:
-                known = True
-                break
+                return True
+
+    def _fit(self, a: int, b: int) -> bool:
+        """``beside`` of ids, kept; a character that is no piece has -1 less its code, the
+        word's beginning the id after the last."""
         if len(self._pairs) >= CACHED_PAIRS:
             self._pairs.clear()
-        self._pairs[key] = known
+        n = len(self.names)
+        known = self._pairs[a * (n + 1) + b] = a == n or self.beside(self.names[a] if a >= 0 else chr(-1 - a), self.names[b])
         return known
 
     def encode_words(self, words: list[str]) -> dict[str, list[int]]:
-        """Ids of distinct words. The words are walked in sorted order, which is
+        """Ids of distinct words."""
+        words, ids, ends = self.walk(words)
+        return {w: ids[s:e] for w, s, e in zip(words, [0, *ends], ends)}
+
+    def walk(self, words: list[str]) -> tuple[list[str], list[int], list[int]]:
+        """Distinct words in sorted order, their ids one after the other, and where those
+        of each word end. The words are walked in sorted order, which is
         the depth-first order of their trie; the forward tables of the prefix
         that a word shares with the one before are kept, only the rest is scored.
 
@@ -113,57 +155,64 @@ class Vocabulary:
         leaves side by side are allowed; one path remains and it is the model's.
         A character that is no piece costs more than any piece and is written as
         its bytes."""
-        out: dict[str, list[int]] = {}
-        best, start, last = [0.0], [0], [""]  # by end: score, where the last piece starts, the piece
+        words, flat, until, found = sorted(words), [], [], []
+        # by end: state of the trie, the last piece's id, score
+        state, last, best = [0], [len(self.names)], [0.0]
         prev = ""
-        ids, scores, kinds, bpe = self.ids, self.scores, self.kinds, self.kind == BPE
-        fits = self._pairs.get
-        for word in sorted(words):
-            same, most = 0, min(len(prev), len(word))
-            while same < most and prev[same] == word[same]:
+        scores, after, short, ends, ones, bpe, many = self.scores, self.next, self.short, self.ends, self.ones, self.kind == BPE, len(self.names) + 1
+        fits, length = self._pairs.get, [*map(len, self.names)]
+        for word in words:
+            same = 0
+            for c, d in zip(prev, word):
+                if c != d:
+                    break
                 same += 1
-            del best[same + 1:], start[same + 1:], last[same + 1:]
-            for end in range(same + 1, len(word) + 1):
-                s = end - 1
-                piece = word[s]
-                steps, code = [piece], kinds.get(piece, 0)
-                while s and code & TAIL:
-                    s -= 1
-                    piece = word[s:end]
-                    code = kinds.get(piece, 0)
-                    if code & PIECE:
-                        steps.append(piece)
+            del state[same + 1:], last[same + 1:], best[same + 1:]
+            at = state[same]
+            for c in word[same:]:
+                to = after[at].get(c)
+                while to is None and at:
+                    at = short[at]
+                    to = after[at].get(c)
+                at = to or 0
+                state.append(at)
                 if bpe:  # longest first; a step of one character is open to every path
-                    while True:
-                        piece = steps.pop()
-                        s = end - len(piece)
-                        if not s or not steps:
-                            break
-                        known = fits((last[s], piece))
-                        if known or known is None and self.beside(last[s], piece):
+                    for i, back in ends[at]:
+                        known = fits(last[back] * many + i)
+                        if known or known is None and self._fit(last[back], i):
                             break
-                    start.append(s)
-                    last.append(piece)
+                    else:
+                        i = ones.get(c)
+                        if i is None:
+                            i = -1 - ord(c)
+                    last.append(i)
                     continue
                 top = None
-                for piece in reversed(steps):
-                    s = end - len(piece)
-                    score = best[s] + (scores[ids[piece]] if piece in ids else self.worst)
-                    if top is None or score > top[0]:
-                        top = score, s, piece
-                best.append(top[0])
-                start.append(top[1])
-                last.append(top[2])
-            found: list[int] = []
+                for i, back in ends[at]:
+                    score = best[back] + scores[i]
+                    if top is None or score > top:
+                        top, piece = score, i
+                i = ones.get(c)
+                score = best[-1] + (self.worst if i is None else scores[i])
+                if top is None or score > top:
+                    top, piece = score, -1 - ord(c) if i is None else i
+                best.append(top)
+                last.append(piece)
             end = len(word)
             while end:
-                piece = last[end]
-                i = ids.get(piece)
-                found.extend([i] if i is not None else [self.byte[x] for x in reversed(piece.encode())])
-                end = start[end]
-            out[word] = found[::-1]
+                i = last[end]
+                if i >= 0:
+                    found.append(i)
+                    end -= length[i]
+                else:
+                    found.extend([self.byte[x] for x in reversed(chr(-1 - i).encode())])
+                    end -= 1
+            found.reverse()
+            flat += found
+            found.clear()
+            until.append(len(flat))
             prev = word
-        return out
+        return words, flat, until
 
     def words(self, text: str) -> list[str]:
         """Marked words: a run of marks and what follows up to the next mark. No
@@ -215,7 +264,9 @@ class BatchEncoder:
         tokens = self.tokens.unknown(set().union(*(ws for e, ws in zip(easy, cut) if e)))
         marked = self.marked.unknown(set().union(*(ws for e, ws in zip(easy, cut) if not e)))
         words = {t: t[1:] if t[:1] == "\n" else MARK + t for t in tokens}
-        new = {w: array("i", v).tobytes() for w, v in self.vocab.encode_words(list(marked.union(words.values()) - {""})).items()}
+        walked, ids, ends = self.vocab.walk(list(marked.union(words.values()) - {""}))
+        data = array("i", ids).tobytes()
+        new = {w: data[4 * s:4 * e] for w, s, e in zip(walked, [0, *ends], ends)}
         self.marked.young.update((w, new[w]) for w in marked)
         self.tokens.young.update((t, self.line_end + new.get(w, b"") if t[:1] == "\n" else new[w]) for t, w in words.items())
         known, apart = self.tokens.young.__getitem__, self.marked.young.__getitem__
