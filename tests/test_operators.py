@@ -371,3 +371,62 @@ def test_report_text(spark):
                         "  2024-01-08,101", "[drivers] 2, explained 1", "- Name (OPPOSING, STRONG): why", "- b (SUPPORTING, LOW)"]
     assert got[dt.date(2024, 1, 12)] == ["[report] on=2024-01-12 spot=- state=missing current price", "[path] price per business day", "-",
                                          "[drivers] 0, explained 0"]
+
+
+def _roles_of(rows, models, means, cols, spot_now, keys, shared):
+    """Roles from scores exploded by driver and predictions of their own, or from wide
+    scores that carry the parts of the predictions."""
+    from tidemark.operators.attribution import attribute_rows, driver_role
+    from tidemark.operators.path import forecast_path
+    if shared:
+        scored = score_rows(rows, models, cols, keys, alongside=True)
+        summary = attribution_summary(attribute_rows(scored, None, means, cols, keys, wide=True), keys, cols, wide=True)
+        return driver_role(forecast_path(summary, spot_now, 2, keys, carry=cols), None, keys, cols=cols)
+    summary = attribution_summary(attribute_rows(rows, models, means, cols, keys), keys)
+    return driver_role(summary, forecast_path(score_rows(rows, models, cols, keys), spot_now, 2, keys), keys)
+
+
+def test_wide_scores_give_the_same_summary_and_roles(spark):
+    from tidemark.operators.attribution import attribute_rows, step_means
+    rng, cols, keys, lag = np.random.default_rng(11), ["a", "b", "c"], ["k"], 3
+    rows = [(k, i + 1, D[i], *[None if rng.random() < 0.15 else float(v) for v in rng.normal(size=2)],
+             None if k == 2 else float(k)) for k in (1, 2, 3) for i in range(12)]
+    frame = spark.createDataFrame(rows, "k long, rn long, ssd date, a double, b double, c double")
+    ends = frame.select("k", "ssd", "rn")
+    report, background = ends.where("rn >= 3 and rn % 2 = 0"), ends.where("rn >= 5")
+    gathered = [sorted(map(tuple, gather_rows(frame, report, cols, lag, keys, dealt=x).collect()), key=str) for x in (False, True)]
+    assert gathered[0] == gathered[1] and len(gathered[0]) == 3 * 5 * lag
+    win = gather_rows(frame, report, cols, lag, keys, dealt=True)
+    means = step_means(gather_rows(frame, background, cols, lag, keys, dealt=True), cols, keys)
+    models = spark.createDataFrame([(k, h, [float(v) for v in rng.normal(size=lag * len(cols))], float(h))
+                                    for k in (1, 2, 3) for h in (1, 2)], "k long, days_ahead int, weights array<double>, intercept double")
+    # one date has no price: it has a summary and no role
+    spot_now = frame.select("k", "ssd", F.lit(100.0).alias("current_spot"),
+                            F.when((F.col("k") == 1) & (F.col("rn") == 4), "missing").otherwise("ok").alias("status"))
+
+    def held(df):
+        return {tuple(r[c] for c in ("k", "ssd", "days_ahead", "driver") if c in df.columns): r.asDict() for r in df.collect()}
+
+    long = held(attribution_summary(attribute_rows(win, models, means, cols, keys), keys))
+    wide = held(attribution_summary(attribute_rows(win, models, means, cols, keys, wide=True), keys, cols))
+    assert len(long) == 3 * 5 * 2 * 3
+    roles = [held(_roles_of(win, models, means, cols, spot_now, keys, x)) for x in (False, True)]
+    assert len(roles[0]) == (3 * 5 - 1) * 3
+    assert any(r["role"] != "NEUTRAL" for r in roles[0].values()) and any(r["total"] is None for r in long.values())
+    for old, new in ((long, wide), roles):
+        assert old.keys() == new.keys()
+        for key in old:
+            assert {c: pytest.approx(v) if isinstance(v, float) else v for c, v in old[key].items()} == new[key]
+
+
+def test_scaler_of_many_series_equals_one_by_one(spark):
+    rng, lag = np.random.default_rng(5), 3
+    rows = [(k, D[i], None if rng.random() < 0.2 else float(rng.normal()), None if k == 2 else i, float(k or 0))
+            for k in (1, 2, None) for i in range(15)]
+    frame = spark.createDataFrame(rows, "k long, ssd date, a double, b int, c double")
+    ends = frame.where(F.dayofmonth("ssd") % 3 != 0).select("k", "ssd")
+    many = fit_robust(frame, ["a", "b", "c"], lag, ends, ["k"]).collect()
+    assert len(many) == 6 and {r.k for r in many} == {1, 2}  # a series without a key has no window ends
+    for k in (1, 2):
+        one = fit_robust(frame.where(F.col("k") == k).drop("k"), ["a", "b", "c"], lag, ends.where(F.col("k") == k).drop("k")).collect()
+        assert {(r.driver, r.center, r.scale) for r in many if r.k == k} == {(r.driver, r.center, r.scale) for r in one}

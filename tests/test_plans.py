@@ -128,3 +128,24 @@ def test_buckets_grow_with_the_rows(spark, monkeypatch):
     scores = bucketed_scores(spark, SF_SMALL)
     counts = {int(n) for n in re.findall(r"SelectedBucketsCount: \d+ out of (\d+)", _plan(scores))}
     assert len(counts) == 1 and min(counts) > 16 and scores.count() > 0
+
+
+def test_window_rows_of_roles_are_made_once(spark):
+    """Scores and predictions share the report's window rows (the other ones are the
+    background's), and no score is exploded by driver before it is summed."""
+    import re
+
+    from tidemark.plans.registry import QUERIES
+    plan = _plan(QUERIES["driver_role_many"](spark, SF_SMALL))
+    assert plan.count("Generate posexplode(sequence") == 2
+    assert not re.search(r"Generate explode\(array\(struct\(driver, \w+, score", plan)
+    # series' parameters, means and models are hashed; only dates are sorted, narrow
+    assert not re.search(r"SortMergeJoin \[(series_id#\d+L)(, (step|rn)#\d+L?)?\],", plan)
+
+
+def test_scaler_rows_are_not_exploded(spark):
+    """Each series is one group of the scaler fit, with a buffer per driver."""
+    from tidemark.operators.scale import fit_robust
+    frame = spark.createDataFrame([], "k long, ssd date, a double, b double")
+    plan = _plan(fit_robust(frame, ["a", "b"], 2, frame.select("k", "ssd"), ["k"]))
+    assert plan.index("Generate explode") < plan.index("ObjectHashAggregate")

@@ -25,3 +25,10 @@ def merged(df: DataFrame, keys: Iterable[str]) -> DataFrame:
     the same way, never broadcast. The planner takes a side for as small as the file
     it comes from, whatever it is widened or exploded to since."""
     return df.hint("merge") if list(keys) else df
+
+
+def beside(df: DataFrame, keys: Iterable[str]) -> DataFrame:
+    """``df``, a few rows per series (parameters, models, means), as the right side of
+    a join by series: each task hashes those of its series, and the rows they are
+    joined to need no sort and keep their order. Never broadcast."""
+    return df.hint("shuffle_hash") if list(keys) else df

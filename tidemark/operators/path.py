@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import Iterable
+from typing import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +25,8 @@ def current_spot(spot: DataFrame, dates: DataFrame, keys: Iterable[str] = (),
 
 
 def forecast_path(preds: DataFrame, spot_now: DataFrame, horizon: int,
-                  keys: Iterable[str] = ()) -> DataFrame:
-    """``(keys…, ssd, days_ahead, future_date, forecast_price, current_spot)``.
+                  keys: Iterable[str] = (), carry: Sequence[str] = ()) -> DataFrame:
+    """``(keys…, ssd, days_ahead, future_date, forecast_price, current_spot, <carry>…)``.
 
     The return forecast is rounded to 2 places, turned into a price from the
     rounded current spot and rounded to a whole number (half-to-even); the
@@ -39,4 +39,4 @@ def forecast_path(preds: DataFrame, spot_now: DataFrame, horizon: int,
     price = price_from_return(F.col("current_spot"), round_half_even("prediction", 2))
     return j.select(*keys, "ssd", "days_ahead",
                     F.element_at(business_days("ssd", horizon), F.col("days_ahead")).alias("future_date"),
-                    round_half_even(price, 0).cast("long").alias("forecast_price"), "current_spot")
+                    round_half_even(price, 0).cast("long").alias("forecast_price"), "current_spot", *carry)

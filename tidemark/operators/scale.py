@@ -7,7 +7,7 @@ from typing import Iterable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators._common import merged, series_window
+from tidemark.operators._common import beside, merged, series_window
 
 
 def window_weights(frame: DataFrame, ends: DataFrame, lag: int, keys: Iterable[str] = ()) -> DataFrame:
@@ -32,15 +32,24 @@ def fit_robust(frame: DataFrame, cols: Sequence[str], lag: int, ends: DataFrame,
     values by narrowing histograms (for a driver with more values than a task holds)."""
     keys = list(keys)
     weighted = window_weights(frame, ends, lag, keys).where(F.col("m") > 0)
-    long = weighted.select(*keys, "m", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("driver"), F.col(c).cast("double").alias("v")) for c in cols
-    ])).alias("d")).select(*keys, "m", "d.driver", "d.v")
-    if path == "histogram":
-        from tidemark.operators.quantiles import exact_quantiles
-        p = exact_quantiles(long, (q[0], 0.5, q[1]), [*keys, "driver"])
+
+    def each(value):
+        return F.explode(F.array(*[F.struct(F.lit(c).alias("driver"), value(c)) for c in cols])).alias("d")
+
+    def buffered(v):
+        return F.percentile(F.col(v).cast("double"), F.array(F.lit(q[0]), F.lit(0.5), F.lit(q[1])), F.col("m"))
+
+    if keys and path != "histogram":
+        # a series' drivers side by side: the rows are not exploded, and a task has one group per series
+        p = weighted.groupBy(*keys).agg(*[buffered(c).alias(c) for c in cols])
+        p = p.select(*keys, each(lambda c: F.col(c).alias("qs"))).select(*keys, "d.driver", "d.qs")
     else:
-        qs = F.percentile(F.col("v"), F.array(F.lit(q[0]), F.lit(0.5), F.lit(q[1])), F.col("m"))
-        p = long.groupBy(*keys, "driver").agg(qs.alias("qs"))
+        long = weighted.select(*keys, "m", each(lambda c: F.col(c).cast("double").alias("v"))).select(*keys, "m", "d.driver", "d.v")
+        if path == "histogram":
+            from tidemark.operators.quantiles import exact_quantiles
+            p = exact_quantiles(long, (q[0], 0.5, q[1]), [*keys, "driver"])
+        else:
+            p = long.groupBy("driver").agg(buffered("v").alias("qs"))
     rng = F.col("qs")[2] - F.col("qs")[0]
     return p.select(*keys, "driver", F.col("qs")[1].alias("center"),
                     F.when(rng == 0, F.lit(1.0)).otherwise(rng).alias("scale"))
@@ -54,7 +63,7 @@ def apply_robust(frame: DataFrame, params: DataFrame, cols: Sequence[str],
     wide = params.groupBy(*keys).pivot("driver", list(cols)).agg(
         F.first("center").alias("c"), F.first("scale").alias("s"))
     if keys:
-        j = frame.join(merged(wide, keys), keys, "left")
+        j = frame.join(beside(wide, keys), keys, "left")
     else:
         j = frame.withColumn("_one", F.lit(1)).join(
             F.broadcast(wide.withColumn("_one", F.lit(1))), "_one").drop("_one")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import round_half_even
-from tidemark.operators._common import merged, series_window, trailing
+from tidemark.operators._common import beside, merged, series_window, trailing
 
 
 def lag_windows(frame: DataFrame, cols: Sequence[str], lag: int = 10, keys: Iterable[str] = (),
@@ -40,16 +40,19 @@ def lag_windows(frame: DataFrame, cols: Sequence[str], lag: int = 10, keys: Iter
 
 
 def gather_rows(frame: DataFrame, ends: DataFrame, cols: Sequence[str], n: int,
-                keys: Iterable[str] = ()) -> DataFrame:
+                keys: Iterable[str] = (), dealt: bool = False) -> DataFrame:
     """``(keys…, ssd, step, lag_date, <cols>…)``: the ``n`` rows of ``frame`` (which
     has row numbers ``rn``) up to row ``rn`` of each ``(keys…, ssd, rn)`` of
     ``ends``, oldest first, fewer where the series begins. Only these rows are
-    joined, by series and number; no window is built for any other date."""
+    joined, by series and number; no window is built for any other date. ``dealt``:
+    both sides lie in partitions of bounded size (``by_series``); a task then hashes
+    the numbers it wants and the frame's rows pass by unsorted."""
     keys = list(keys)
     first = F.greatest(F.col("rn") - (n - 1), F.lit(1))
     want = ends.select(*keys, "ssd", F.posexplode(F.sequence(first, F.col("rn"))).alias("step", "rn"))
     held = frame.select(*keys, "rn", F.col("ssd").alias("lag_date"), *cols)
-    return want.join(merged(held, keys), keys + ["rn"]).select(*keys, "ssd", "step", "lag_date", *cols)
+    joined = held.join(beside(want, keys), keys + ["rn"]) if dealt else want.join(merged(held, keys), keys + ["rn"])
+    return joined.select(*keys, "ssd", "step", "lag_date", *cols)
 
 
 def training_ends(frame: DataFrame, label_days: DataFrame, lag: int, train_cutoff, keys: Iterable[str] = ()) -> DataFrame:

@@ -444,11 +444,13 @@ def _spot_by_series(spark, d):
     return by_series(spot, R.KEYS, parts), parts
 
 
-def _pipeline_many(spark, d):
+def _pipeline_many(spark, d, numbered=False):
     """Per-supplier spot, frame and scaler parameters, dealt by supplier. Only the
     spot rows are sent: the calendar joins them where they lie, so the frame is made
-    anew for the scaler and the scaled rows; the parameters are written once."""
+    anew for the scaler and the scaled rows; the parameters are written once.
+    ``numbered``: spot and frame have row numbers, given while the rows are narrow."""
     spot, parts = _spot_by_series(spark, d)
+    spot = row_numbers(spot, R.KEYS) if numbered else spot
     frame = R.frame_many(spark, d, spot)
     # windows look back only: rows from the cutoff on are in no training window
     past = frame.where(F.col("ssd") < F.lit(R.TRAIN_CUTOFF).cast("date"))
@@ -678,33 +680,38 @@ def driver_role_q(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_report_parts(spark, d)[3])
 
 
-def _summary_many(spark, d):
-    """Attribution of every supplier's Fridays, their window rows, models and spot."""
-    spot, frame, params, _ = _pipeline_many(spark, d)
-    scaled = row_numbers(apply_robust(frame, params, R.FEATURES, keys=R.KEYS), R.KEYS)
-    full = row_numbers(spot.select(*R.KEYS, "ssd"), R.KEYS).where(F.col("rn") >= R.LAG)  # the frame has the spot's rows
-    report = gather_rows(scaled, full.where(is_friday("ssd")), R.FEATURES, R.LAG, R.KEYS)
+def _attr_many(spark, d):
+    """Window rows of every supplier's Fridays, the models, the lag-step means of the
+    background sets and the spot."""
+    spot, frame, params, _ = _pipeline_many(spark, d, numbered=True)
+    scaled = apply_robust(frame, params, R.FEATURES, keys=R.KEYS)
+    full = spot.select(*R.KEYS, "ssd", "rn").where(F.col("rn") >= R.LAG)  # the frame has the spot's rows
+    report = gather_rows(scaled, full.where(is_friday("ssd")), R.FEATURES, R.LAG, R.KEYS, dealt=True)
     background = sample_background(full, R.BACKGROUND_N, R.SEED, R.KEYS)
-    means = step_means(gather_rows(scaled, background, R.FEATURES, R.LAG, R.KEYS), R.FEATURES, R.KEYS)
+    means = step_means(gather_rows(scaled, background, R.FEATURES, R.LAG, R.KEYS, dealt=True), R.FEATURES, R.KEYS)
     series = spot.select(F.col("series_id").alias("series_id")).distinct()
-    models = fixed_models(spark, R.LAG * len(R.FEATURES), series)
-    scores = attribute_rows(report, models, means, R.FEATURES, R.KEYS)
-    return attribution_summary(scores, R.KEYS), report, models, spot
+    return report, fixed_models(spark, R.LAG * len(R.FEATURES), series), means, spot
 
 
 @query
 def attribution_many(spark: SparkSession, d: str) -> DataFrame:
     """Attribution per supplier, Friday, horizon and driver."""
-    return rounded(_summary_many(spark, d)[0], off=OFF_TIES)
+    report, models, means, _ = _attr_many(spark, d)
+    scores = attribute_rows(report, models, means, R.FEATURES, R.KEYS, wide=True)
+    return rounded(attribution_summary(scores, R.KEYS, R.FEATURES), off=OFF_TIES)
 
 
 @query
 def driver_role_many(spark: SparkSession, d: str) -> DataFrame:
-    """Role labels per supplier, Friday and driver."""
-    summary, report, models, spot = _summary_many(spark, d)
+    """Role labels per supplier, Friday and driver. The window rows are made once: the
+    parts of the predictions go along with the scores until both are added up."""
+    report, models, means, spot = _attr_many(spark, d)
+    scored = score_rows(report, models, R.FEATURES, R.KEYS, alongside=True)
+    scores = attribute_rows(scored, None, means, R.FEATURES, R.KEYS, wide=True)
+    summary = attribution_summary(scores, R.KEYS, R.FEATURES, wide=True)
     days = spot.where(is_friday("ssd")).select(*R.KEYS, "ssd")
-    path = forecast_path(score_rows(report, models, R.FEATURES, R.KEYS), current_spot(spot, days, R.KEYS), R.HORIZON, R.KEYS)
-    return rounded(driver_role(summary, path, R.KEYS), off=OFF_TIES)
+    path = forecast_path(summary, current_spot(spot, days, R.KEYS), R.HORIZON, R.KEYS, carry=R.FEATURES)
+    return rounded(driver_role(path, None, R.KEYS, cols=R.FEATURES), off=OFF_TIES)
 
 
 # ---- dictionary, context, report ---------------------------------------------
